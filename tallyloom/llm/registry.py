@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op3_license_scan": "license_scan",
     "op9_source_mixing": "source_mixing",
+    "op6_pii": "pii",
     "op8_quality_rules": "quality_rules",
 }
 
