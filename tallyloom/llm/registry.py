@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> module of this subpackage that defines a function of that name
 MODULES = {
+    "op1_sharding": "sharding",
+    "op5_best_fit_packing": "best_fit_packing",
     "op3_license_scan": "license_scan",
     "op9_source_mixing": "source_mixing",
     "op6_pii": "pii",
