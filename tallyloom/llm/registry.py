@@ -8,6 +8,8 @@ import importlib
 MODULES = {
     "op1_sharding": "sharding",
     "op5_best_fit_packing": "best_fit_packing",
+    "op2_token_attribution": "token_attribution",
+    "op10_voronoi_knn": "voronoi_knn",
     "op3_license_scan": "license_scan",
     "op9_source_mixing": "source_mixing",
     "op6_pii": "pii",
