@@ -13,6 +13,7 @@ MODULES = {
     "op3_license_scan": "license_scan",
     "op9_source_mixing": "source_mixing",
     "op6_pii": "pii",
+    "op7_substring_dedup": "substring_dedup",
     "op8_quality_rules": "quality_rules",
 }
 
