@@ -20,7 +20,9 @@ columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -57,11 +59,32 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # how a Latin letter reaches the merges: normalized alone (letters below U+0250
+        # do not combine with each other), then spelt in the byte alphabet
+        spell, fold = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.normalizer.normalize_str
+        self.letters = {i: "".join(x for x, _ in spell(fold(chr(i)))) for i in range(0x250) if fold(chr(i)).isalpha()}
+        self.latin = re.compile("[" + "".join(map(chr, self.letters)) + "]+").fullmatch
+        self.marks = {m: self._ids(m) for m in ".,"}
+
+    def _ids(self, stretch: str) -> bytes:
+        return np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, stretches: set[str]) -> None:
         if len(self) > KNOWN_WORDS:
             self.clear()
-        new = [s for s in stretches if s not in self]
+        merge, new = self.tokenizer.model.tokenize, []
+        for s in stretches:
+            if s in self:
+                continue
+            mark = s[-1:] if s[-1:] in self.marks else ""
+            word = s[:-1] if mark else s
+            if not self.latin(word):
+                new.append(s)
+                continue
+            ids = self.get(word)
+            if ids is None:
+                ids = array("I", [t.id for t in merge(word.translate(self.letters))]).tobytes()
+            self[s] = ids + self.marks[mark] if mark else ids
         for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self[s] = np.array(e.ids, "<u4").tobytes()
 
