@@ -7,6 +7,7 @@ import importlib
 #: query name -> module of this subpackage that defines a function of that name
 MODULES = {
     "op1_sharding": "sharding",
+    "op4_jaccard_join": "jaccard_join",
     "op5_best_fit_packing": "best_fit_packing",
     "op2_token_attribution": "token_attribution",
     "op10_voronoi_knn": "voronoi_knn",
