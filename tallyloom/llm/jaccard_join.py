@@ -7,7 +7,8 @@ A document's set holds its distinct five-word shingles (64-bit hashes). The step
 2. Every document sends the shingles below a fixed share of the hash range, and the
    first fifth of its set in hash order: by bucket they tell which shingles no other
    document has. A document that has more than a fifth of its set to itself cannot
-   link; it stops here. For the others the prefix is taken after those shingles.
+   link; it stops here. The documents left do the same once more among themselves, with
+   their whole sets. The prefix is taken after the shingles of one's own.
 3. Documents with the same prefix and size are one group; groups meet by prefix
    shingle and sizes at most a fifth apart. First each group member is paired with
    its leader, and each group with its nearest neighbours in every bucket. These
@@ -44,7 +45,8 @@ SIMILAR = 80
 #: share of the hash range whose shingles all documents send
 EXAMINED = 0.3
 MARK = ["<u8", "<i8", "<i4"]  # shingle, document, home bucket of the document
-GROUP = ["<u8", "<i8", "<i8", "<u8", "<i8"]  # shingle, document, size, first shingle, component
+#: shingle, document, size, first shingle, component, most that can be shared from here on
+GROUP = ["<u8", "<i8", "<i8", "<u8", "<i8", "<i8"]
 PAIRS = "a long, b long"
 
 
@@ -87,8 +89,12 @@ def set_sizes(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(measure, "doc_id long, n long, f1 long, f2 long")
 
 
-def _marks(buckets: int, similar: int):
-    edge = np.uint64(int(EXAMINED * 2.0**64))
+def _edge(share: float) -> np.uint64:
+    return np.uint64(min(int(share * 2.0**64), 2**64 - 1))
+
+
+def _marks(buckets: int, similar: int, share: float):
+    edge = _edge(share)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -126,9 +132,13 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield wh.packed(b[keep].astype(np.int64), [s[keep], d[keep], b[keep]], 1)
 
 
-def _candidates(similar: int):
-    """Texts and shared shingles of one home bucket -> documents that can link, with prefixes."""
-    edge = np.uint64(int(EXAMINED * 2.0**64))
+def _candidates(similar: int, share: float):
+    """Texts and shared shingles of one home bucket -> documents that can link, with prefixes.
+
+    ``lefts``: by prefix shingle, how much of the set is neither the document's own nor
+    before that shingle; a pair that meets there first shares no more than the smaller.
+    """
+    edge = _edge(share)
 
     def find(texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         s, d, _ = wh.unpacked(marks.loc[marks["kind"] == 1, "load"].tolist(), MARK)
@@ -153,8 +163,10 @@ def _candidates(similar: int):
                 rest = np.flatnonzero(~own)[:p]
                 rest = rest[met[rest]]
                 if len(rest):
-                    rows.append((doc, int(n[i]), x, mine[rest].tobytes()))
-        return pd.DataFrame(rows, columns=["doc_id", "n", "text", "prefix"])
+                    before = np.cumsum(~own)[rest] - 1
+                    lefts = (int(n[i]) - int(own.sum()) - before).astype(np.int64)
+                    rows.append((doc, int(n[i]), x, mine[rest].tobytes(), lefts.tobytes()))
+        return pd.DataFrame(rows, columns=["doc_id", "n", "text", "prefix", "lefts"])
 
     return find
 
@@ -171,20 +183,26 @@ def _entries(buckets: int):
                 for x in (pdf["doc_id"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64),
                           np.array([t[0] for t in tokens], np.uint64), pdf["root"].to_numpy(np.int64))
             ]
+            every.append(np.concatenate([np.frombuffer(x, "<i8") for x in pdf["lefts"]]))
             yield wh.packed((every[0] % np.uint64(buckets)).astype(np.int64), every)
 
     return find
 
 
 def _buckets(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document, size, meets earlier at, component) of each shingle's documents, by size."""
-    s, d, n, f, c = wh.unpacked(pdf["load"].tolist(), GROUP)
+    """(document, size, meets earlier at, component, left) of each shingle's documents, by size."""
+    s, d, n, f, c, r = wh.unpacked(pdf["load"].tolist(), GROUP)
     order = np.lexsort((d, n, s))
-    s, d, n, f, c = s[order], d[order], n[order], f[order], c[order]
+    s, d, n, f, c, r = (x[order] for x in (s, d, n, f, c, r))
     for a, z in zip(*wh.groups(s), strict=True):
         if z - a > 1:
             # documents with an equal first shingle meet in its bucket, not in later ones
-            yield d[a:z], n[a:z], np.where(f[a:z] == s[a], np.uint64(0), f[a:z]), c[a:z]
+            yield d[a:z], n[a:z], np.where(f[a:z] == s[a], np.uint64(0), f[a:z]), c[a:z], r[a:z]
+
+
+def _enough(n: np.ndarray, left: np.ndarray, i, j, similar: int) -> np.ndarray:
+    """Whether documents i and j can still share what similarity asks of their sizes."""
+    return np.minimum(left[i], left[j]) * (100 + similar) >= similar * (n[i] + n[j])
 
 
 def _near_pairs(similar: int):
@@ -193,11 +211,11 @@ def _near_pairs(similar: int):
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in wh.by_bucket(batches):
             out = []
-            for d, n, f, _ in _buckets(pdf):
+            for d, n, f, _, left in _buckets(pdf):
                 low = np.searchsorted(n, -(-n * similar // 100))
                 for one in (np.arange(len(d)) - 1, low):
                     ok = (one >= low) & (one < np.arange(len(d))) & (one >= 0)
-                    ok &= (f[one] != f) | (f == 0)
+                    ok &= ((f[one] != f) | (f == 0)) & _enough(n, left, one, np.arange(len(d)), similar)
                     out.append(np.stack((d[one[ok]], d[ok])))
             if out:
                 p = np.unique(np.sort(np.concatenate(out, 1), 0), axis=1)
@@ -211,7 +229,7 @@ def _open_pairs(similar: int):
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in wh.by_bucket(batches):
-            for d, n, f, c in _buckets(pdf):
+            for d, n, f, c, left in _buckets(pdf):
                 if (c == c[0]).all():
                     continue
                 roots, which, size = np.unique(c, return_inverse=True, return_counts=True)
@@ -221,6 +239,7 @@ def _open_pairs(similar: int):
                 for i in np.flatnonzero(which != largest):
                     j = np.arange(low[i], high[i])
                     # of two outside the largest component the later one asks
+                    j = j[_enough(n, left, i, j, similar)]
                     j = j[(c[j] != c[i]) & ((which[j] == largest) | (j < i)) & ((f[j] != f[i]) | (f[i] == 0))]
                     if len(j):
                         yield pd.DataFrame({"a": np.minimum(d[j], d[i]), "b": np.maximum(d[j], d[i])})
@@ -256,10 +275,9 @@ def verified(pairs: DataFrame, texts: DataFrame, similar: int = SIMILAR) -> Data
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: int = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, buckets // 8)
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, buckets // 2)
     every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = every.filter("doc_id IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
@@ -277,17 +295,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = classed.filter("doc_id > least").select(
         F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id"
     ).mapInPandas(listed, wh.PACKED)
-    marks = dealt(rows.mapInPandas(_marks(buckets, similar), wh.PACKED)).mapInPandas(_shared, wh.PACKED)
-    can = (
-        rows.groupBy("bucket").cogroup(marks.unionByName(copies).groupBy("bucket"))
-        .applyInPandas(_candidates(similar), "doc_id long, n long, text string, prefix binary")
-    )
-    can = materialize(can, "join-candidates")
+    schema = "doc_id long, n long, text string, prefix binary, lefts binary"
+
+    def narrowed(rows: DataFrame, share: float, name: str) -> DataFrame:
+        marks = dealt(rows.mapInPandas(_marks(buckets, similar, share), wh.PACKED)).mapInPandas(_shared, wh.PACKED)
+        marks = marks.unionByName(copies)
+        can = rows.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(_candidates(similar, share), schema)
+        return materialize(can, name)
+
+    def homed(df: DataFrame) -> DataFrame:
+        return df.select("doc_id", "text").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+
+    # a share of the hash range for all documents, then all of it for those that are left
+    can = narrowed(homed(every.filter("doc_id IS NOT NULL")), EXAMINED, "join-candidates")
+    can = narrowed(homed(can), 1.0, "join-candidates-2")
     # groups of equal prefix and size: the smallest id stands for all in the first pairs
-    slim = can.select("doc_id", "n", "prefix")
-    leaders = materialize(slim.groupBy("prefix", "n").agg(F.min("doc_id").alias("root")), "join-groups")
-    star = slim.join(leaders, ["prefix", "n"]).filter("doc_id <> root").select(F.col("root").alias("a"), F.col("doc_id").alias("b"))
-    heads = leaders.select(F.col("root").alias("doc_id"), "n", "prefix", "root")
+    slim = can.select("doc_id", "n", "prefix", "lefts")
+    leaders = materialize(slim.groupBy("prefix", "n").agg(F.min("doc_id").alias("root"), F.max("lefts").alias("lefts")), "join-groups")
+    star = slim.drop("lefts").join(leaders, ["prefix", "n"]).filter("doc_id <> root").select(F.col("root").alias("a"), F.col("doc_id").alias("b"))
+    heads = leaders.select(F.col("root").alias("doc_id"), "n", "prefix", "lefts", "root")
     near = dealt(heads.mapInPandas(_entries(buckets), wh.PACKED)).mapInPandas(_near_pairs(similar), PAIRS)
     links = materialize(verified(star.unionByName(near), can, similar), "join-links")
     roots = components(links)

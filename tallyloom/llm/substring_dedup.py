@@ -212,9 +212,9 @@ def remove_repeats(
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or period > length:
         raise ValueError("cover must be a difference cover modulo period, and period at most length")
     spark = docs.sparkSession
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _homes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), buckets)
-    parts = max(1, buckets // 8)
+    parts = max(1, buckets // 2)
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
