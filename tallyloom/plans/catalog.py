@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tallyloom.plans import leaks, money_flow, texts
+
+_PARTS = (leaks, money_flow, texts)
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+SQL: dict[str, str] = {k: q for part in _PARTS for k, q in part.SQL.items()}
