@@ -121,8 +121,8 @@ def spans_of(text: Column, kind: str, pattern: str, holds: str, score: float, co
 def with_spans(docs: DataFrame, text: str = "text", kinds=KINDS) -> DataFrame:
     """Add ``pii``: spans (kind, start, end, score), by kind as listed, then start."""
     t = F.coalesce(F.col(text), F.lit(""))
-    by_kind = docs.withColumns({f"_{k[0]}": spans_of(t, *k) for k in kinds})
-    return by_kind.withColumn("pii", F.concat(*[F.col(f"_{k[0]}") for k in kinds])).drop(*[f"_{k[0]}" for k in kinds])
+    by_kind = docs.withColumns({f"__pii_{k[0]}": spans_of(t, *k) for k in kinds})
+    return by_kind.withColumn("pii", F.concat(*[F.col(f"__pii_{k[0]}") for k in kinds])).drop(*[f"__pii_{k[0]}" for k in kinds])
 
 
 def listed(spans: Column) -> Column:

@@ -46,30 +46,30 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the metric columns the rules use; the word arrays do not stay."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    df = docs.withColumn("_w", words(t)).withColumn("_l", lines)
-    n = F.size("_w")
+    df = docs.withColumn("__words", words(t)).withColumn("__lines", lines)
+    n = F.size("__words")
     # hashes of one word, then of two, four and eight words side by side
-    df = df.withColumn("_g", F.transform("_w", lambda w: F.xxhash64(w)))
+    df = df.withColumn("__grams", F.transform("__words", lambda w: F.xxhash64(w)))
     for step in (1, 2, 4):
-        shifted = F.slice("_g", step + 1, F.greatest(n, F.lit(1)))
-        df = df.withColumn("_g", F.zip_with("_g", shifted, lambda a, b: F.xxhash64(a, b)))
-    df = df.withColumn("_g", F.slice("_g", 1, F.greatest(n - (WINDOW - 1), F.lit(0))))
+        shifted = F.slice("__grams", step + 1, F.greatest(n, F.lit(1)))
+        df = df.withColumn("__grams", F.zip_with("__grams", shifted, lambda a, b: F.xxhash64(a, b)))
+    df = df.withColumn("__grams", F.slice("__grams", 1, F.greatest(n - (WINDOW - 1), F.lit(0))))
     # only texts that repeat a window pay for the sort: (hash, place) pairs side by side
-    order = F.array_sort(F.transform(F.col("_g"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    repeated = F.size(F.array_distinct("_g")) < F.size("_g")
-    df = df.withColumn("_o", F.when(repeated, order))
+    order = F.array_sort(F.transform(F.col("__grams"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeated = F.size(F.array_distinct("__grams")) < F.size("__grams")
+    df = df.withColumn("__order", F.when(repeated, order))
     twice = F.filter(
         F.transform(
-            F.col("_o"),
+            F.col("__order"),
             lambda x, k: F.when(
-                (x["h"] == F.get("_o", k - 1)["h"]) | (x["h"] == F.get("_o", k + 1)["h"]), x["i"]
+                (x["h"] == F.get("__order", k - 1)["h"]) | (x["h"] == F.get("__order", k + 1)["h"]), x["i"]
             ),
         ),
         lambda i: i.isNotNull(),
     )
-    df = df.withColumn("_s", F.array_sort(twice))
+    df = df.withColumn("__starts", F.array_sort(twice))
     covered = F.aggregate(
-        F.transform(F.col("_s"), lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get("_s", k + 1) - i, F.lit(WINDOW)))),
+        F.transform(F.col("__starts"), lambda i, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__starts", k + 1) - i, F.lit(WINDOW)))),
         F.lit(0),
         lambda a, x: a + x,
     )
@@ -78,15 +78,15 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": F.aggregate("_w", F.lit(0), lambda a, w: a + F.length(w)).cast("long"),
+            "word_chars": F.aggregate("__words", F.lit(0), lambda a, w: a + F.length(w)).cast("long"),
             "n_symbols": symbols.cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
+            "n_lines": F.size("__lines").cast("long"),
+            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-            "n_stop_words": F.size(F.filter("_w", lambda w: w.isin(*stops))).cast("long"),
+            "n_stop_words": F.size(F.filter("__words", lambda w: w.isin(*stops))).cast("long"),
             "n_plain_words": F.greatest(n - 4 * symbols, F.lit(0)).cast("long"),
         }
-    ).drop("_w", "_l", "_g", "_o", "_s")
+    ).drop("__words", "__lines", "__grams", "__order", "__starts")
 
 
 def failed_rules(rules=RULES) -> Column:

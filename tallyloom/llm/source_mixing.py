@@ -56,25 +56,25 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share=TOTAL_SHARE, c
     sums tell for each whether it is still above when all before it are capped.
     """
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.orderBy("_null", "_src")
+    order = Window.orderBy("__null", "__src")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(order) - 1) % len(weights) + 1)
-    df = sizes.withColumn("_w", w).withColumn("_cap", cap * F.col("source_size"))
-    by_ratio = Window.orderBy(F.col("_cap") / F.col("_w"), "_null", "_src")
+    df = sizes.withColumn("__w", w).withColumn("__cap", cap * F.col("source_size"))
+    by_ratio = Window.orderBy(F.col("__cap") / F.col("__w"), "__null", "__src")
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns(
         {
-            "_cap_before": F.coalesce(F.sum("_cap").over(before), F.lit(0)),
-            "_w_before": F.coalesce(F.sum("_w").over(before), F.lit(0.0)),
-            "_w_all": F.sum("_w").over(everything),
-            "_total": total_share * F.sum("source_size").over(everything),
+            "__cap_before": F.coalesce(F.sum("__cap").over(before), F.lit(0)),
+            "__w_before": F.coalesce(F.sum("__w").over(before), F.lit(0.0)),
+            "__w_all": F.sum("__w").over(everything),
+            "__total": total_share * F.sum("source_size").over(everything),
         }
     )
-    full = F.col("_w") * (F.col("_total") - F.col("_cap_before")) >= F.col("_cap") * (F.col("_w_all") - F.col("_w_before"))
-    df = df.withColumn("_full", full)
-    left = F.col("_total") - F.sum(F.when(F.col("_full"), F.col("_cap")).otherwise(0)).over(everything)
-    w_left = F.col("_w_all") - F.sum(F.when(F.col("_full"), F.col("_w")).otherwise(0.0)).over(everything)
-    target = F.when(F.col("_full"), F.col("_cap").cast("double")).otherwise(F.col("_w") * left / w_left)
-    return df.withColumn("target", target).select("_null", "_src", "source_size", "target")
+    full = F.col("__w") * (F.col("__total") - F.col("__cap_before")) >= F.col("__cap") * (F.col("__w_all") - F.col("__w_before"))
+    df = df.withColumn("__full", full)
+    left = F.col("__total") - F.sum(F.when(F.col("__full"), F.col("__cap")).otherwise(0)).over(everything)
+    w_left = F.col("__w_all") - F.sum(F.when(F.col("__full"), F.col("__w")).otherwise(0.0)).over(everything)
+    target = F.when(F.col("__full"), F.col("__cap").cast("double")).otherwise(F.col("__w") * left / w_left)
+    return df.withColumn("target", target).select("__null", "__src", "source_size", "target")
 
 
 def mix_sources(
@@ -98,33 +98,33 @@ def mix_sources(
     there already (see ``measure``) and no text is read.
     """
     rows = docs if measured else measure(docs, text)
-    rows = rows.withColumn("_key", -F.log(uniform(doc_id, seed)) / F.col("quality"))
+    rows = rows.withColumn("__key", -F.log(uniform(doc_id, seed)) / F.col("quality"))
     rows = rows.withColumns(
         {
-            "_null": F.col(source).isNull(),
-            "_src": F.coalesce(F.col(source), F.lit("")),
-            "_cell": F.least(F.floor((1 - F.exp(-F.col("_key"))) * cells), F.lit(cells - 1)).cast("int"),
+            "__null": F.col(source).isNull(),
+            "__src": F.coalesce(F.col(source), F.lit("")),
+            "__cell": F.least(F.floor((1 - F.exp(-F.col("__key"))) * cells), F.lit(cells - 1)).cast("int"),
         }
     )
-    sums = materialize(rows.groupBy("_null", "_src", "_cell").agg(F.sum("size").alias("_size")), "mix-cells")
+    sums = materialize(rows.groupBy("__null", "__src", "__cell").agg(F.sum("size").alias("__size")), "mix-cells")
     targets = source_targets(
-        sums.groupBy("_null", "_src").agg(F.sum("_size").alias("source_size")), weights, total_share, cap
+        sums.groupBy("__null", "__src").agg(F.sum("__size").alias("source_size")), weights, total_share, cap
     )
-    earlier = Window.partitionBy("_null", "_src").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells_df = sums.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
-    cells_df = cells_df.join(targets, ["_null", "_src"])
-    inside = Window.partitionBy("_null", "_src", "_cell").orderBy("_key", doc_id, "size")
+    earlier = Window.partitionBy("__null", "__src").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells_df = sums.withColumn("__offset", F.coalesce(F.sum("__size").over(earlier), F.lit(0))).drop("__size")
+    cells_df = cells_df.join(targets, ["__null", "__src"])
+    inside = Window.partitionBy("__null", "__src", "__cell").orderBy("__key", doc_id, "size")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("_upto", F.sum("size").over(inside)).join(cells_df, ["_null", "_src", "_cell"])
+    out = rows.withColumn("__upto", F.sum("size").over(inside)).join(cells_df, ["__null", "__src", "__cell"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    out = out.withColumn("_epochs", epochs.cast("long"))
-    rest = F.round(F.col("target") - F.col("_epochs") * F.col("source_size")).cast("long")
-    missing = rest - (F.col("_offset") + F.col("_upto") - F.col("size"))
+    out = out.withColumn("__epochs", epochs.cast("long"))
+    rest = F.round(F.col("target") - F.col("__epochs") * F.col("source_size")).cast("long")
+    missing = rest - (F.col("__offset") + F.col("__upto") - F.col("size"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), missing))
     if not cut_boundary:
         part = F.when(2 * part >= F.col("size"), F.col("size")).otherwise(F.lit(0))
-    out = out.withColumn("taken", (F.col("_epochs") * F.col("size") + part).cast("long"))
-    return out.drop("_null", "_src", "_cell", "_key", "_upto", "_offset", "_epochs", "quality")
+    out = out.withColumn("taken", (F.col("__epochs") * F.col("size") + part).cast("long"))
+    return out.drop("__null", "__src", "__cell", "__key", "__upto", "__offset", "__epochs", "quality")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents as often as the mix takes them, whole ones only."""
     mixed = mix_sources(docs, cut_boundary=False)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    again = mixed.withColumn("_n", F.explode(F.array_repeat(F.lit(1), times)))
+    again = mixed.withColumn("__n", F.explode(F.array_repeat(F.lit(1), times)))
     return again.select(*docs.columns)
 
 
