@@ -119,3 +119,32 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the columns of documents stay."""
     return apply_rules(docs).filter("kept").select(*docs.columns)
+
+
+_STOPS = ", ".join(f"'{v}'" for w in STOP_WORDS for v in (w, w.capitalize()))
+_BROKEN = " OR ".join(f"{n} {op} {limit}" + (f" * {d}" if d else "") for _, n, d, op, limit in RULES)
+ORACLE_SQL = f"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+    len(regexp_extract_all(coalesce(text, ''), '[{SYMBOLS}]')) AS n_symbols,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+  FROM documents
+), m AS (
+  SELECT doc_id, w, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+    len(list_filter(w, lambda x: list_contains([{_STOPS}], x))) AS n_stop_words, greatest(len(w) - 4 * n_symbols, 0) AS n_plain_words
+  FROM t
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + {WINDOW - 1}]) AS c
+  FROM m, unnest(range(1, n_words - {WINDOW - 2})) AS x(i)
+), r AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM g, range(0, {WINDOW}) AS y(k) WHERE c > 1 GROUP BY doc_id
+), a AS (
+  SELECT m.*, coalesce(r.n, 0) AS n_repeat_words FROM m LEFT JOIN r USING (doc_id)
+), b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a
+)
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  n_repeat_words, base_failed, NOT base_failed AND NOT ({_BROKEN}) AS kept
+FROM b
+"""
