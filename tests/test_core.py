@@ -143,3 +143,25 @@ def test_verdicts(spark, cost, expenses, verdict):
 def test_html_and_typography(spark):
     r = spark.sql("SELECT '<head>x</head><p>a &amp; b</p><br/>c' h, 'pay-\n ment “x” ﬁt' t").select(text.html_to_text(F.col("h")), text.fold_typography(F.col("t"))).first()
     assert r[0] == "a & b\n\nc" and r[1] == 'payment "x" fit'
+
+
+def test_percentages_in_clauses(spark):
+    from tallyloom.functions.questions import percentage_stated
+
+    rows = [(8.0, "rise of 8 % a year"), (8.0, "eight (8) percent"), (8.0, "Eight per cent"), (8.0, "8.00 percent"), (8.0, "fee of $8,000"), (0.0, "0%"), (2.5, "2.5% more"), (3.0, "three percent (3%)"), (3.0, None)]
+    df = spark.createDataFrame(rows, "p double, c string").select(percentage_stated(F.col("p").cast("decimal(9,6)"), F.col("c")))
+    assert [r[0] for r in df.collect()] == [True, True, True, True, False, False, True, True, False]
+
+
+@pytest.mark.parametrize(
+    "text,amount,cadence",
+    [
+        ("a $5,000 designer starting in 2026", 5000.0, None), ("Can we afford 2000 a month?", 2000.0, "monthly"), ("$12,500 monthly", 12500.0, "monthly"),
+        ("5k per year", 5000.0, "annual"), ("£5.5k each month", 5500.0, "monthly"), ("hire in 2026?", None, None), ("no money here", None, None),
+    ],
+)
+def test_questions(spark, text, amount, cadence):
+    from tallyloom.functions import questions
+
+    r = spark.createDataFrame([(text,)], "x string").select(questions.cost(F.col("x")), questions.cadence(F.col("x"))).first()
+    assert (r[0], r[1]) == (amount, cadence)
