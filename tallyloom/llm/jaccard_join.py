@@ -48,6 +48,8 @@ MARK = ["<u8", "<i8", "<i4"]  # shingle, document, home bucket of the document
 #: shingle, document, size, first shingle, component, most that can be shared from here on
 GROUP = ["<u8", "<i8", "<i8", "<u8", "<i8", "<i8"]
 PAIRS = "a long, b long"
+#: rounds of a few pairs before the round over all pairs that are still open
+LINKING = 2
 
 
 def shingle_sets(raw: list[bytes], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -224,6 +226,33 @@ def _near_pairs(similar: int):
     return find
 
 
+def _linking_pairs(similar: int):
+    """Each document outside its bucket's largest component with the nearest ones by size
+    before and after it that are in another component: a few pairs join most of them."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in wh.by_bucket(batches):
+            out = []
+            for d, n, f, c, left in _buckets(pdf):
+                if (c == c[0]).all():
+                    continue
+                roots, which, size = np.unique(c, return_inverse=True, return_counts=True)
+                i = np.flatnonzero(which != size.argmax())
+                first, ends = wh.groups(c)  # runs of one component in order of size
+                run = np.searchsorted(first, i, "right") - 1
+                for j in (first[run] - 1, ends[run]):
+                    ok = (j >= 0) & (j < len(d))
+                    x, y = i[ok], j[ok]
+                    ok = np.minimum(n[x], n[y]) * 100 >= similar * np.maximum(n[x], n[y])
+                    ok &= ((f[x] != f[y]) | (f[x] == 0)) & _enough(n, left, x, y, similar)
+                    out.append(np.stack((d[x[ok]], d[y[ok]])))
+            if out:
+                p = np.unique(np.sort(np.concatenate(out, 1), 0), axis=1)
+                yield pd.DataFrame({"a": p[0], "b": p[1]})
+
+    return find
+
+
 def _open_pairs(similar: int):
     """All pairs of a bucket that can link and are in two components."""
 
@@ -315,15 +344,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     star = slim.drop("lefts").join(leaders, ["prefix", "n"]).filter("doc_id <> root").select(F.col("root").alias("a"), F.col("doc_id").alias("b"))
     heads = leaders.select(F.col("root").alias("doc_id"), "n", "prefix", "lefts", "root")
     near = dealt(heads.mapInPandas(_entries(buckets), wh.PACKED)).mapInPandas(_near_pairs(similar), PAIRS)
-    links = materialize(verified(star.unionByName(near), can, similar), "join-links")
-    roots = components(links)
-    # what is not in one component yet
-    known = slim.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    left = dealt(known.mapInPandas(_entries(buckets), wh.PACKED)).mapInPandas(_open_pairs(similar), PAIRS)
-    more = materialize(verified(left, can, similar), "join-links-2")
-    if not more.isEmpty():
-        stars = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-        roots = components(stars.unionByName(more))
+    roots = components(materialize(verified(star.unionByName(near), can, similar), "join-links"))
+    for k in range(LINKING + 1):
+        known = slim.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        # a few pairs that join components, and at last every pair not in one yet
+        choose = _linking_pairs(similar) if k < LINKING else _open_pairs(similar)
+        pairs = dealt(known.mapInPandas(_entries(buckets), wh.PACKED)).mapInPandas(choose, PAIRS)
+        more = materialize(verified(pairs, can, similar), f"join-links-{k}")
+        if not more.isEmpty():
+            stars = roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+            roots = components(stars.unionByName(more))
     roots = roots.select(F.col("node").alias("least"), "root")
     out = classed.join(roots, "least", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "least").alias("component_id"))
