@@ -74,7 +74,8 @@ def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Da
         votes = tallies.groupBy("grp").agg(
             F.max_by("shard", F.struct(space, "n", F.xxhash64("grp", "shard"))).alias("to"), F.sum("n").alias("members")
         )
-        votes = votes.filter("members > 1")
+        # a written table: the join below is then one that Spark can split at a huge group
+        votes = materialize(votes.filter("members > 1"), f"shard-votes-{k}")
         wish = state.select("doc_id", "size", "text_crc32", "grp", "shard").join(votes, "grp", "left")
         wish = wish.withColumn("to", F.coalesce("to", "shard"))
         wish = materialize(wish, f"shard-wish-{k}")
