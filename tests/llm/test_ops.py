@@ -365,3 +365,17 @@ def check_packing_rows(got, rows):
         assert all(a[0] + a[1] == b[0] for a, b in zip(s, s[1:])) and s[0][0] == 0 and sum(x[1] for x in s) <= 2048
     assert len({(r.doc_id, r.piece) for r in got}) >= len({r.doc_id for r in rows})
     return len(seqs), -(-sum(r.length for r in got) // 2048)
+
+
+def test_null_ids_do_not_crash(spark):
+    rows = [(None, "a b c d e f g"), (None, None), (3, "a b c d e f g"), (3, "a b c d e f g"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", source_mixing.F.lit(None).cast("string"))
+    assert sharding.shard_documents(df, shards=2, rounds=1).count() == 5
+    assert {r.doc_id for r in token_attribution.attribute_tokens(df).collect()} == {None, 3, 4}
+    assert license_scan.scan_licenses(df).count() == 5
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.near_duplicates(df).collect())
+    assert got == [(-1, 0, -1), (-1, 3, -1), (3, 3, 3), (3, 3, 3), (4, 0, 4)]
+    assert best_fit_packing.pack(df).count() == 5
+    assert pii.with_spans(df).count() == 5 and quality_rules.apply_rules(df).count() == 5
+    assert source_mixing.mix_sources(df).count() == 5
+    assert sorted(r.n_words for r in substring_dedup.remove_repeats(df).collect()) == [0, 0, 7, 7, 7]
