@@ -98,11 +98,11 @@ def failed_rules(rules=RULES) -> Column:
     return F.filter(F.array(*[F.when(broken(*r[1:]), F.lit(r[0])) for r in rules]), lambda x: x.isNotNull())
 
 
-def apply_rules(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+def apply_rules(docs: DataFrame, text: str = "text", rules=RULES, measured: bool = False) -> DataFrame:
     """Documents with metrics, ``base_failed``, ``failed`` rule names and ``kept``."""
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
-        with_metrics(docs, text)
+        (docs if measured else with_metrics(docs, text))
         .withColumn("base_failed", base)
         .withColumn("failed", failed_rules(rules))
         .withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
@@ -118,7 +118,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the columns of documents stay."""
-    return apply_rules(docs).filter("kept").select(*docs.columns)
+    # the row number keeps the filter above the metrics: pushed below them, it would
+    # evaluate whole arrays once for each of their elements
+    rows = with_metrics(docs).withColumn("__row", F.monotonically_increasing_id())
+    return apply_rules(rows, measured=True).filter("kept AND __row >= 0").select(*docs.columns)
 
 
 _STOPS = ", ".join(f"'{v}'" for w in STOP_WORDS for v in (w, w.capitalize()))
