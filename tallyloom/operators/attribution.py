@@ -1,23 +1,24 @@
 """Who sent a payment: fuzzy match of bank lines to clients with a margin.
 
-Scoring runs on distinct cleaned descriptions only. A name can score only if it shares
-a block with the description - the first two letters of any of its words or of its
-comparison key - so descriptions meet a few clients instead of all; a pair without a
-shared block scores below the threshold unless its key starts differently, which
-``blocks=False`` covers by scoring every pair.
+Distinct cleaned descriptions are scored against every client, so score and runner_up
+are those of all pairs. Lines and names are dealt into blocks; each pair of blocks is
+scored in one call, a line against all names of the block at once, and gives the two
+best clients of each line. The work is lines times names; only lines and names travel.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from tallyloom.functions.text import clean_description, normalise_name
 
 THRESHOLD = 85
 MARGIN = 6
+#: blocks that names are dealt into; lines go to as many as there are shuffle partitions
+NAME_BLOCKS = 8
 
 
 def indel_ratio(a: str, b: str) -> int:
@@ -48,24 +49,74 @@ def abbreviation(line: list[str], name: list[str]) -> int:
     return 0 if used < 2 <= len(name) else round(80 + 20 * used / len(name))
 
 
-@F.pandas_udf(IntegerType())
-def _score(key_a: pd.Series, key_b: pd.Series, words_a: pd.Series, words_b: pd.Series) -> pd.Series:
-    return pd.Series(
-        [max(indel_ratio(a, b), abbreviation(list(u), list(v))) for a, b, u, v in zip(key_a, key_b, words_a, words_b, strict=True)],
-        dtype="int32",
-    )
+class _Names:
+    """Names of a block: keys by character place, clients by the start of each word."""
+
+    def __init__(self, keys: list[str], words: list[list[str]], clients: np.ndarray):
+        order = sorted(range(len(keys)), key=lambda i: len(keys[i]))
+        self.keys, self.words = [keys[i] for i in order], [words[i] for i in order]
+        self.clients = clients[order]
+        self.length = np.array([len(k) for k in self.keys], np.int64)
+        flat = np.frombuffer("".join(self.keys).encode(), np.uint8)
+        start = np.cumsum(self.length) - self.length
+        # the names longer than a place are the last ones
+        after = np.searchsorted(self.length, np.arange(self.length.max(initial=0)), "right")
+        self.places = [(lo, flat[start[lo:] + p]) for p, lo in enumerate(after)]
+        starts: dict[str, set[int]] = {}
+        for i, w in enumerate(self.words):
+            for x in w:
+                starts.setdefault(x[:2], set()).add(i)
+        self.starts = starts
+
+    def scores(self, key: str, words: list[str]) -> np.ndarray:
+        n = len(key)
+        if n == 0:
+            out = np.zeros(len(self.keys), np.int64)
+        elif n > 64:
+            out = np.array([indel_ratio(key, k) for k in self.keys], np.int64)
+        else:
+            masks = np.zeros(256, np.uint64)
+            for i, ch in enumerate(key.encode()):
+                masks[ch] |= np.uint64(1 << i)
+            full = np.uint64((1 << n) - 1)
+            row = np.full(len(self.keys), full)
+            for lo, chars in self.places:
+                r = row[lo:]
+                u = r & masks[chars]
+                row[lo:] = ((r + u) | (r - u)) & full
+            common = n - np.bitwise_count(row).astype(np.int64)
+            out = np.where(self.length > 0, np.rint(200 * common / (n + self.length)), 0).astype(np.int64)
+        # words have two letters at least, so one that starts another shares its first two
+        met = [self.starts.get(w[:2], set()) for w in words]
+        for i in set.intersection(*sorted(met, key=len)) if met else ():
+            out[i] = max(out[i], abbreviation(words, self.words[i]))
+        return out
+
+
+def _best_two(lines: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+    """The two best clients of each line among the names of a block."""
+    if not len(lines) or not len(names):
+        return pd.DataFrame({"_line": [], "_cid": [], "_s": []}, dtype=object)
+    clients, ids = pd.factorize(names["_cid"], sort=True)
+    block = _Names(names["_kb"].tolist(), [list(w) for w in names["_wb"]], clients)
+    out = []
+    for line, key, words in zip(lines["_line"], lines["_ka"], lines["_wa"], strict=True):
+        best = np.full(len(ids), -1, np.int64)
+        np.maximum.at(best, block.clients, block.scores(key, list(words)))
+        first = int(best.argmax())  # of equal scores the smallest id
+        out.append((line, ids[first], int(best[first])))
+        if len(ids) > 1:
+            best[first] = -1
+            second = int(best.argmax())
+            out.append((line, ids[second], int(best[second])))
+    return pd.DataFrame(out, columns=["_line", "_cid", "_s"], dtype=object)
 
 
 def _words(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: F.length(w) > 1)
 
 
-def _blocks(x: Column) -> Column:
-    starts = F.transform(_words(x), lambda w: F.substring(w, 1, 2))
-    return F.array_distinct(F.concat(starts, F.array(F.substring(normalise_name(x), 1, 2))))
-
-
-def attribute(payments: DataFrame, clients: DataFrame, threshold: int = THRESHOLD, margin: int = MARGIN, blocks: bool = True) -> DataFrame:
+def attribute(payments: DataFrame, clients: DataFrame, threshold: int = THRESHOLD, margin: int = MARGIN) -> DataFrame:
     """payments(txn_id, client_id, description), clients(client_id, name) -> txn_id,
     client_id (null: nobody surely), score, runner_up. A known client_id stays at 100."""
     p = payments.withColumn("_line", clean_description(F.col("description")))
@@ -73,15 +124,15 @@ def attribute(payments: DataFrame, clients: DataFrame, threshold: int = THRESHOL
     p = p.join(known, F.col("client_id") == F.col("_known"), "left")
     lines = p.filter("_known IS NULL AND _line <> ''").select("_line").distinct()
     lines = lines.withColumns({"_ka": normalise_name(F.col("_line")), "_wa": _words(F.col("_line"))})
-    names = clients.select(F.col("client_id").alias("_cid"), F.col("name").alias("_name"))
+    names = clients.filter("client_id IS NOT NULL").select(F.col("client_id").alias("_cid"), F.coalesce("name", F.lit("")).alias("_name"))
     names = names.withColumns({"_kb": normalise_name(F.col("_name")), "_wb": _words(F.col("_name"))})
-    if blocks:
-        pairs = lines.withColumn("_b", F.explode(_blocks(F.col("_line")))).join(
-            names.withColumn("_b", F.explode(_blocks(F.col("_name")))), "_b"
-        ).drop("_b").dropDuplicates(["_line", "_cid", "_name"])
-    else:
-        pairs = lines.crossJoin(names)
-    scored = pairs.withColumn("_s", _score("_ka", "_kb", "_wa", "_wb")).groupBy("_line", "_cid").agg(F.max("_s").alias("_s"))
+    parts = int(clients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    lines = lines.withColumns({"_lb": dealt("_line", parts), "_nb": every(NAME_BLOCKS)})
+    names = names.withColumns({"_nb": dealt("_cid", NAME_BLOCKS), "_lb": every(parts)}).drop("_name")
+    kind = clients.schema["client_id"].dataType.simpleString()
+    scored = lines.groupBy("_lb", "_nb").cogroup(names.groupBy("_lb", "_nb")).applyInPandas(_best_two, f"_line string, _cid {kind}, _s int")
     order = Window.partitionBy("_line").orderBy(F.desc("_s"), "_cid")
     top = scored.withColumns({"_r": F.row_number().over(order), "_next": F.coalesce(F.lead("_s").over(order), F.lit(0))}).filter("_r = 1")
     sure = (F.col("_s") >= threshold) & (F.col("_s") - F.col("_next") >= margin)

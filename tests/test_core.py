@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
@@ -100,6 +101,27 @@ def test_attribution_margin_alias_and_noise(spark):
     assert got[4].score == 100 and got[6].score == 0
 
 
+def test_attribution_equals_all_pairs(spark):
+    long = "Overlong " * 9 + "Partners"
+    names = [(1, "Northwind"), (2, "Regalcinemasnorthwest"), (3, "Segalcinemasnorthwest"), (4, "Quartz Works"), (5, "Central Garden & Pet Co."), (6, long), (7, None), (8, "Northwind Design"), (8, "Zeta")]
+    texts = ["XORTHWIND", "REGALCINEMASNORTHWEST", "QUARTZ WORKS", "CTRL", "CENTRAL GARDEN", "W" + long, "PURE NOISE", "ZETA", "ZZZ QQQ", "GROUP"]
+    clients = spark.createDataFrame(names, "client_id long, name string")
+    lines = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "txn_id long, client_id long, description string")
+    got = {r.txn_id: (r.client_id, r.score, r.runner_up) for r in attribution.attribute(lines, clients).collect()}
+    words = lambda x: [w for w in re.split("[^a-z0-9]+", x.lower()) if len(w) > 1]
+    d = spark.createDataFrame([(x,) for x in [*texts, *[n or "" for _, n in names]]], "x string")
+    forms = {r.x: (r.k, r.l) for r in d.select("x", text.normalise_name(F.col("x")).alias("k"), text.clean_description(F.col("x")).alias("l")).collect()}
+    for i, t in enumerate(texts):
+        best = {}
+        for c, n in names:
+            s = max(attribution.indel_ratio(forms[t][0], forms[n or ""][0]), attribution.abbreviation(words(forms[t][1]), words(n or "")))
+            best[c] = max(best.get(c, 0), s)
+        (c1, s1), (_, s2) = sorted(best.items(), key=lambda kv: (-kv[1], kv[0]))[:2]
+        assert got[i] == (c1 if s1 >= 85 and s1 - s2 >= 6 else None, s1, s2), t
+    # a typo in the first letter still finds its client; a close second in another block stops attribution
+    assert got[0][:2] == (1, 89) and got[1] == (None, 100, 95)
+
+
 def test_indel_ratio():
     assert attribution.indel_ratio("kitten", "kitten") == 100
     assert attribution.indel_ratio("kitten", "sitting") == 62
