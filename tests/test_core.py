@@ -187,3 +187,12 @@ def test_questions(spark, text, amount, cadence):
 
     r = spark.createDataFrame([(text,)], "x string").select(questions.cost(F.col("x")), questions.cadence(F.col("x"))).first()
     assert (r[0], r[1]) == (amount, cadence)
+
+
+def test_numbers_of_the_whole_text(spark, tmp_path):
+    from tallyloom.plans import texts
+
+    rows = [(5, "word " * 200 + "costs 1,250.50 and 7 and 7"), (11, "no figures"), (17, "3 " + "word " * 100 + "4")]
+    spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.total) for r in texts.text_numbers(spark, str(tmp_path)).collect()}
+    assert got == {5: (2, 1257.5), 11: (0, 0.0), 17: (2, 7.0)}
