@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm import wordhash as wh
@@ -365,7 +365,21 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    found = near_duplicates(docs)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near-duplicates stays: the one with the smallest id.
+
+    Of rows with the same id and text one stays. Rows with a null id are in no group: they
+    stay, one of each text, and all of them where the text has no words.
+    """
+    rows = near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    keep = materialize(rows, "join-kept")
+    nameless, wordless = F.col("doc_id").isNull(), ~F.coalesce(F.col("text"), F.lit("")).rlike(r"\S")
+    once = docs.join(keep.filter("n = 1"), "doc_id", "left_semi").select(*docs.columns)
+    again = docs.join(keep.filter("n > 1"), "doc_id", "left_semi").select(*docs.columns)
+    again = again.unionByName(docs.filter(nameless & ~wordless))
+    # two steps: a row that is repeated very often is first thinned out by partition
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
+    for key in (["doc_id", "text", "_salt"], ["doc_id", "text"]):
+        w = Window.partitionBy(*key).orderBy(*rest)
+        again = again.withColumn("_salt", F.spark_partition_id()) if "_salt" in key else again
+        again = again.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    return once.unionByName(again.drop("_salt")).unionByName(docs.filter(nameless & wordless))

@@ -379,3 +379,14 @@ def test_null_ids_do_not_crash(spark):
     assert pii.with_spans(df).count() == 5 and quality_rules.apply_rules(df).count() == 5
     assert source_mixing.mix_sources(df).count() == 5
     assert sorted(r.n_words for r in substring_dedup.remove_repeats(df).collect()) == [0, 0, 7, 7, 7]
+
+
+def test_stage_keeps_null_ids_and_one_of_repeated_rows(spark):
+    one, near, two = "a b c d e f g h i j k l", "a b c d e f g h i j k l m", "p q r s t u v"
+    rows = [(3, one, "s"), (3, one, "s"), (3, one, "r"), (4, near, "s"), (5, two, "s"), (6, None, "s"), (6, None, "s")]
+    rows += [(None, two, "s"), (None, two, "s"), (None, "other words that stand alone here", "s"), (None, None, "s"), (None, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = jaccard_join.stage_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(3, one, "r"), (5, two, "s"), (6, None, "s"), (None, two, "s"), (None, "other words that stand alone here", "s"), (None, None, "s"), (None, "", "s")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
