@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tallyloom.functions.text import fold_typography
+from tallyloom.operators.corpus import verbatim_hits
 
 #: Lengths of the stretches of a quote that are searched, longest first.
 LADDER = (None, 240, 160, 80)
 LEAST = 20
+#: Hundredths that a window must resemble a quote, and share of its words that a page must use.
+RATIO = 75
+OVERLAP = 35
+WORD = "[a-z0-9][a-z0-9,.$%-]*"
+STOPWORDS = frozenset("the of and or to in for a an by on at as is be shall will with from that this such any all each per its it not".split())
 
 
 def probes(clause):
@@ -19,13 +29,113 @@ def probes(clause):
     return F.transform(F.filter(F.array_distinct(cut), lambda p: F.length(p) >= LEAST), lambda p, i: F.struct(i.alias("ord"), p.alias("probe")))
 
 
+def vocabulary(text: str) -> set[str]:
+    """Words worth matching on, of a lower-cased text: four characters, or with a digit."""
+    return {w for w in re.findall(WORD, text) if w not in STOPWORDS and (len(w) >= 4 or any(c.isdigit() for c in w))}
+
+
+def _vocabulary(x: Column) -> Column:
+    words = F.array_distinct(F.regexp_extract_all(x, F.lit(WORD), F.lit(0)))
+    return F.filter(words, lambda w: ~w.isin(*sorted(STOPWORDS)) & ((F.length(w) >= 4) | w.rlike("[0-9]")))
+
+
+def window_ratio(needle: str, page: str) -> int:
+    """Best Indel ratio of a quote with the windows of its length, a quarter of it apart."""
+    size = len(needle)
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(needle):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    full = (1 << size) - 1
+
+    def ratio(window: str) -> int:
+        row = full
+        for ch in window:
+            u = row & masks.get(ch, 0)
+            row = ((row + u) | (row - u)) & full
+        return round(200 * (size - row.bit_count()) / (size + len(window)))
+
+    if len(page) <= size * 1.2:
+        return ratio(page)
+    best = 0
+    for at in range(0, len(page) - size + 1, max(size // 4, 8)):
+        best = max(best, ratio(page[at : at + size]))
+        if best >= 97:
+            break
+    return best
+
+
+@F.pandas_udf(IntegerType())
+def _likeness(needle: pd.Series, page: pd.Series) -> pd.Series:
+    """Window ratio of a quote and a page that uses enough of its words, else 0."""
+    known: dict[str, set[str]] = {}
+    out = []
+    for q, t in zip(needle, page, strict=True):
+        if q not in known:
+            known[q] = vocabulary(q)
+        words = known[q]
+        shares = not words or 100 * len(words & vocabulary(t)) >= OVERLAP * len(words)
+        out.append(window_ratio(q, t) if shares else 0)
+    return pd.Series(out, dtype="int32")
+
+
+def _needles(clauses: DataFrame) -> DataFrame:
+    """clause_id, needle and words of the quotes that are long enough to be searched."""
+    c = clauses.withColumn("_n", F.lower(F.get(probes(F.col("clause_text")), 0)["probe"])).filter("_n IS NOT NULL")
+    return c.drop("clause_text").withColumn("_v", _vocabulary(F.col("_n")))
+
+
+def _sharing(needles: DataFrame, pages: DataFrame, within: list[str]) -> DataFrame:
+    """clause_id, doc_id, page of all pairs that can share enough words.
+
+    A page with 35 of 100 words of a quote has one of any 66 of them, so the rarest such
+    part is joined on. A quote without such words meets every page. ``within``: columns
+    that both sides have in common.
+    """
+    words = pages.select("doc_id", "page", F.explode(_vocabulary(F.col("_t"))).alias("_w"))
+    asked = needles.select("clause_id", *within, F.size("_v").alias("_k"), F.explode("_v").alias("_w"))
+    often = words.join(F.broadcast(asked.select("_w").distinct()), "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_f"))
+    rank = F.row_number().over(Window.partitionBy("clause_id", *within).orderBy(F.coalesce("_f", F.lit(0)), "_w"))
+    rare = asked.join(often, "_w", "left").withColumn("_r", rank)
+    rare = rare.filter(F.col("_r") <= F.col("_k") - F.floor((F.col("_k") * OVERLAP + 99) / 100) + 1).select("clause_id", *within, "_w")
+    met = words.join(rare, ["_w", *within]).select("clause_id", "doc_id", "page")
+    plain = needles.filter(F.size("_v") == 0).select("clause_id", *within)
+    every = pages.select("doc_id", "page")
+    every = every.join(plain, within) if within else every.crossJoin(plain)
+    return met.unionByName(every.select("clause_id", "doc_id", "page")).distinct()
+
+
+def _folded(pages: DataFrame) -> DataFrame:
+    return pages.select("doc_id", "page", F.lower(fold_typography(F.col("text"))).alias("_t")).filter(F.length("_t") >= LEAST)
+
+
+def candidates(clauses: DataFrame, pages: DataFrame) -> DataFrame:
+    """clauses(clause_id, clause_text), pages(doc_id, page, text) -> all (clause_id, doc_id)
+    that locate() can place: pages that hold the shortest stretch or share enough words."""
+    p = _folded(pages)
+    least = clauses.select(F.col("clause_id").alias("item_id"), F.get(F.reverse(probes(F.col("clause_text"))), 0)["probe"].alias("text")).filter("text IS NOT NULL")
+    exact = verbatim_hits(least, p.select(F.struct("doc_id", "page").alias("doc_id"), F.col("_t").alias("text")))
+    exact = exact.select(F.col("item_id").alias("clause_id"), "doc_id.doc_id")
+    needles = _needles(clauses)
+    like = _sharing(needles, p, []).join(needles.select("clause_id", "_n"), "clause_id").join(p, ["doc_id", "page"])
+    like = like.filter(_likeness("_n", "_t") >= RATIO).select("clause_id", "doc_id")
+    return exact.unionByName(like).distinct()
+
+
 def locate(clauses: DataFrame, pages: DataFrame) -> DataFrame:
     """clauses(clause_id, doc_id, clause_text), pages(doc_id, page, text) -> page and
-    method: the longest stretch found wins, then the first page; 'failed' without one."""
+    method: the longest stretch found wins, then the first page ('exact'); else the page with
+    the window most like the quote, from a ratio of 75, then the first ('fuzzy'); else 'failed'."""
     p = pages.select("doc_id", "page", fold_typography(F.col("text")).alias("_t"))
     c = clauses.withColumn("_p", F.explode(probes(F.col("clause_text")))).select("clause_id", "doc_id", "_p.ord", "_p.probe")
     hits = c.join(p, "doc_id").filter(F.contains("_t", "probe"))
     best = Window.partitionBy("clause_id", "doc_id").orderBy("ord", "page")
     one = hits.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("clause_id", "doc_id", "page", "ord")
-    out = clauses.select("clause_id", "doc_id").join(one, ["clause_id", "doc_id"], "left")
-    return out.withColumn("method", F.when(F.col("page").isNull(), "failed").otherwise("exact"))
+    left = _needles(clauses.join(one, ["clause_id", "doc_id"], "left_anti").select("clause_id", "doc_id", "clause_text"))
+    t = _folded(pages)
+    like = _sharing(left, t, ["doc_id"]).join(left.select("clause_id", "doc_id", "_n"), ["clause_id", "doc_id"]).join(t, ["doc_id", "page"])
+    like = like.withColumn("_s", _likeness("_n", "_t")).filter(F.col("_s") >= RATIO)
+    near = Window.partitionBy("clause_id", "doc_id").orderBy(F.desc("_s"), "page")
+    like = like.withColumn("_r", F.row_number().over(near)).filter("_r = 1").select("clause_id", "doc_id", F.col("page").alias("_near"))
+    out = clauses.select("clause_id", "doc_id").join(one, ["clause_id", "doc_id"], "left").join(like, ["clause_id", "doc_id"], "left")
+    method = F.when(F.col("page").isNotNull(), "exact").when(F.col("_near").isNotNull(), "fuzzy").otherwise("failed")
+    return out.select("clause_id", "doc_id", F.coalesce("page", "_near").alias("page"), "ord", method.alias("method"))

@@ -35,13 +35,24 @@ def ground_percentages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clause_locate(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark texts found word for word in documents, placed on their lines as pages."""
+    """Every benchmark text held against every document, placed on its lines as pages."""
     bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    hits = corpus.verbatim_hits(bench, docs)
-    clauses = hits.join(bench, "item_id").select(F.col("item_id").alias("clause_id"), "doc_id", F.col("text").alias("clause_text"))
-    pages = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
-    found = grounding.locate(clauses, pages)
-    return found.groupBy("method").agg(F.count("*").alias("n"), F.min("page").cast("long").alias("first_page"), F.max("page").cast("long").alias("last_page"))
+    clauses = bench.select(F.col("item_id").alias("clause_id"), F.col("text").alias("clause_text"))
+    pages = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
+    pairs = grounding.candidates(clauses, pages)
+    some = pages.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = grounding.locate(pairs.join(clauses, "clause_id"), some)
+
+    def of(method: str):
+        page = F.when(F.col("method") == method, F.col("page")).cast("long")
+        return F.struct(F.lit(method).alias("method"), F.count(page).alias("n"), F.min(page).alias("first_page"), F.max(page).alias("last_page"))
+
+    placed = found.agg(of("exact").alias("_e"), of("fuzzy").alias("_z"))
+    # all other pairs fail: candidates() leaves out none that can be placed
+    every = bench.agg(F.count("*").alias("_b")).crossJoin(docs.agg(F.count("*").alias("_d")))
+    none = F.lit(None).cast("long")
+    failed = F.struct(F.lit("failed").alias("method"), (F.col("_b") * F.col("_d") - F.col("_e.n") - F.col("_z.n")).alias("n"), none.alias("first_page"), none.alias("last_page"))
+    return placed.crossJoin(every).select(F.inline(F.array("_e", "_z", failed))).filter("n > 0")
 
 
 QUERIES = {f.__name__: f for f in (question_parse, ground_percentages, clause_locate)}

@@ -196,3 +196,20 @@ def test_numbers_of_the_whole_text(spark, tmp_path):
     spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n, r.total) for r in texts.text_numbers(spark, str(tmp_path)).collect()}
     assert got == {5: (2, 1257.5), 11: (0, 0.0), 17: (2, 7.0)}
+
+
+def test_altered_quotes_are_located_as_fuzzy(spark):
+    from tallyloom.operators import grounding
+
+    pages = [(1, 0, "A page on something else entirely, without the terms."), (1, 1, "Before it. The monthly retainer shall increase by five percent on each anniversary of this agreement. After it."), (2, 0, "short")]
+    quotes = [
+        (1, 1, "The monthly retainer shall increase by five percent on each anniversary"),
+        (2, 1, "The monthIy retainer shaII increase by flve percent on each anniversary"), (3, 1, "Payment is due in ninety days after receipt of an invoice by the client"),
+        (4, 1, "too short"), (5, 2, "The monthly retainer shall increase by five percent on each anniversary"), (6, 1, "0f it as a an by on at as is to"),
+    ]
+    p = spark.createDataFrame(pages, "doc_id long, page int, text string")
+    c = spark.createDataFrame(quotes, "clause_id long, doc_id long, clause_text string")
+    got = {r.clause_id: (r.method, r.page) for r in grounding.locate(c, p).collect()}
+    assert got == {1: ("exact", 1), 2: ("fuzzy", 1), 3: ("failed", None), 4: ("failed", None), 5: ("failed", None), 6: ("failed", None)}
+    pairs = sorted((r.clause_id, r.doc_id) for r in grounding.candidates(c.drop("doc_id"), p).collect())
+    assert pairs == [(1, 1), (2, 1), (5, 1)]
