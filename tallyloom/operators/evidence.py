@@ -12,9 +12,10 @@ def in_band(payments: DataFrame, low: float, high: float) -> DataFrame:
     return payments.filter(F.col("amount").between(F.least(a, b), F.greatest(a, b)))
 
 
-def ledger(payments: DataFrame, client_id: int, start: str, end: str) -> DataFrame:
-    """One client's payments, both days included."""
-    return payments.filter((F.col("client_id") == client_id) & F.col("transaction_date").between(start, end))
+def ledger(payments: DataFrame, client_id: int | None, start: str, end: str) -> DataFrame:
+    """One client's payments (None: those of all clients), both days included."""
+    days = payments.filter(F.col("transaction_date").between(start, end))
+    return days if client_id is None else days.filter(F.col("client_id") == client_id)
 
 
 def split_payments(targets: DataFrame, payments: DataFrame, tol: float = 0.01) -> DataFrame:

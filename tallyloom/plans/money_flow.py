@@ -74,7 +74,9 @@ def band_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def client_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.ledger(src.receipts(spark, d), 7, "1996-01-01", "1998-12-31").select("txn_id", "transaction_date", shown(F.col("amount")).alias("amount"))
+    """Ledgers of all clients, both days included."""
+    r = evidence.ledger(src.receipts(spark, d), None, "1996-01-01", "1998-12-31")
+    return r.select("client_id", "txn_id", "transaction_date", shown(F.col("amount")).alias("amount"))
 
 
 def evidence_split_payments(spark: SparkSession, d: str) -> DataFrame:

@@ -213,3 +213,11 @@ def test_altered_quotes_are_located_as_fuzzy(spark):
     assert got == {1: ("exact", 1), 2: ("fuzzy", 1), 3: ("failed", None), 4: ("failed", None), 5: ("failed", None), 6: ("failed", None)}
     pairs = sorted((r.clause_id, r.doc_id) for r in grounding.candidates(c.drop("doc_id"), p).collect())
     assert pairs == [(1, 1), (2, 1), (5, 1)]
+
+
+def test_ledgers_of_all_clients(spark, tmp_path):
+    from tallyloom.plans import money_flow
+
+    rows = [(1, 7, dt.date(1996, 1, 1), 10.0, "x"), (2, 8, dt.date(1998, 12, 31), 20.0, "x"), (3, 8, dt.date(1999, 1, 1), 30.0, "x")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted((r.client_id, r.txn_id) for r in money_flow.client_ledger(spark, str(tmp_path)).collect()) == [(7, 1), (8, 2)]
