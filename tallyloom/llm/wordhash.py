@@ -106,14 +106,15 @@ def places(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(pdf: pd.DataFrame, text: str, size: int = 4 << 20) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    """Rows in runs of about ``size`` bytes of text; null counts as empty."""
-    raw = [t.encode() if isinstance(t, str) else b"" for t in pdf[text]]
-    at, total = 0, 0
-    for k, b in enumerate(raw):
-        total += len(b)
-        if total >= size or k == len(raw) - 1:
-            yield pdf.iloc[at : k + 1], raw[at : k + 1]
-            at, total = k + 1, 0
+    """Rows in runs of about ``size`` bytes of text, encoded as they come; null counts as empty."""
+    raw: list[bytes] = []
+    at, total, last = 0, 0, len(pdf) - 1
+    for k, t in enumerate(pdf[text]):
+        raw.append(t.encode() if isinstance(t, str) else b"")
+        total += len(raw[-1])
+        if total >= size or k == last:
+            yield pdf.iloc[at : k + 1], raw
+            at, total, raw = k + 1, 0, []
 
 
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

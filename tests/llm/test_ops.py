@@ -167,6 +167,51 @@ def test_jaccard_join_equals_brute_force(spark, odd, none):
     assert jaccard_join.stage_near_duplicates(spark, odd, SF).columns == odd.columns
 
 
+def near_threshold(n=420, length=150):
+    """Copies of one text, each with so many words changed that pairs lie on both sides of the threshold."""
+    r = random.Random(11)
+    base = [f"b{r.randrange(10**6)}" for _ in range(length)]
+    out = {}
+    for i in range(n):
+        copy = list(base)
+        for at in r.sample(range(length), r.choice([1, 2, 3, 3, 4, 4, 5])):
+            copy[at] = f"x{r.randrange(40)}"
+        out[i] = " ".join(copy)
+    return out
+
+
+def test_jaccard_join_large_group_near_threshold(spark, monkeypatch):
+    texts = near_threshold()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = jaccard_brute(texts)
+    assert 5 < len({c for _, c in want.values()}) < 400
+    asked = []
+    monkeypatch.setattr(jaccard_join, "cluster_links", lambda *a, f=jaccard_join.cluster_links: asked.append(1) or f(*a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == want and asked
+
+
+def test_overlaps_count_shared_elements():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, hi, size=n).astype("<u8")) for n, hi in ((1, 9), (50, 60), (60, 60), (200, 90), (40, 10**6), (40, 50)) * 9]
+    got = jaccard_join.overlaps(sets, lags=4, columns=7)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(a, b))
+
+
+def test_jaccard_join_ids_with_several_texts(spark):
+    one, near, other = "a b c d e f g h i j k l", "a b c d e f g h i j k l m", "p q r s t u v w x"
+    rows = [(5, one), (5, other), (2, near), (2, near), (9, other), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect())
+    assert got == sorted([(5, 8, 2), (5, 5, 5), (2, 9, 2), (2, 9, 2), (9, 5, 5), (5, 0, 5)])
+    docs = df.selectExpr("doc_id", "text", "'s' AS source")
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.stage_near_duplicates(spark, docs, SF).collect()), key=repr)
+    assert kept == sorted([(2, near), (5, other), (5, None)], key=repr)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
