@@ -5,7 +5,8 @@ weaker kinds (iban, ssn) need check and context together to reach ``KEEP``. All
 one projection of built-in functions: no row leaves its partition.
 
 Places are code points, end exclusive, from the lengths of the pieces between
-matches. Patterns are written with possessive runs and a look-behind at the start of
+matches: time grows with the text and with the number of matches. Patterns are written
+with possessive runs and a look-behind at the start of
 a run, so that very long runs of letters or digits cost linear time; they match what
 the plain forms match.
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 KEEP = 0.6
 AROUND = 40
+#: matches whose places are summed up at once
+BLOCK = 256
 _IPV4 = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Kind, pattern, a character class that any match holds, score, context words
 KINDS = (
@@ -74,55 +77,86 @@ def confirmed(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(text: Column, kind: str, pattern: str, holds: str, score: float, context: str) -> Column:
-    """Confirmed spans of one kind with their scores."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    placed = F.aggregate(
-        F.arrays_zip(matches.alias("x"), gaps.alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<x:string,start:int,end:int>>").alias("r")),
-        lambda a, m: F.struct(
-            (a["at"] + F.length(m["g"]) + F.coalesce(F.length(m["x"]), F.lit(0))).cast("int").alias("at"),
-            F.when(
-                m["x"].isNotNull(),
-                F.concat(
-                    a["r"],
-                    F.array(
-                        F.struct(
-                            m["x"].alias("x"),
-                            (a["at"] + F.length(m["g"])).cast("int").alias("start"),
-                            (a["at"] + F.length(m["g"]) + F.length(m["x"])).cast("int").alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(a["r"])
-            .alias("r"),
-        ),
-        lambda a: a["r"],
+def _cut(text: Column, pattern: str, holds: str) -> tuple[Column, Column]:
+    """Matches, and the pieces before, between and after them; null where there can be none."""
+    may = text.rlike(holds)
+    return F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), F.when(may, F.split(text, pattern, -1))
+
+
+def _judged(m: str, g: str, kind: str, score: float, context: str) -> Column:
+    """Piece, match and score (null where check or context fail) of each match of one kind.
+
+    Context is what stands within ``AROUND`` characters, no further than the neighbouring
+    matches of the kind: so it costs the length of the pieces, not of the text.
+    """
+    first = F.array(F.lit(""))
+    parts = F.arrays_zip(
+        F.col(g).alias("g"), F.col(m).alias("x"), F.concat(first, g).alias("pg"), F.concat(first, m).alias("px"),
+        F.slice(g, F.lit(2), F.size(g)).alias("ng"), F.slice(m, F.lit(2), F.size(g)).alias("nx"),
     )
-    good = F.filter(placed, lambda s: confirmed(kind, s["x"]))
-
-    def scored(s: Column) -> Column:
-        left = F.greatest(s["start"] - AROUND, F.lit(0))
-        near = F.concat_ws(" ", F.substr(text, left + 1, s["start"] - left), F.substr(text, s["end"] + 1, F.lit(AROUND)))
-        bonus = F.when(near.rlike(rf"(?i)\b(?:{context})"), 0.3).otherwise(0.0)
-        return F.struct(
-            F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-            F.least(F.lit(1.0), F.lit(score) + bonus).alias("score"),
-        )
 
-    found = F.transform(good, scored)
-    if kind not in BASE:
-        found = F.filter(found, lambda s: s["score"] >= KEEP)
-    return F.when(text.rlike(holds), found).otherwise(F.array().cast(SPAN))
+    def judge(p: Column) -> Column:
+        left = F.right(F.concat_ws("", p["pg"], p["px"], p["g"]), F.lit(AROUND))
+        right = F.left(F.concat_ws("", p["ng"], p["nx"]), F.lit(AROUND))
+        bonus = F.when(F.concat_ws(" ", left, right).rlike(rf"(?i)\b(?:{context})"), 0.3).otherwise(0.0)
+        total = F.least(F.lit(1.0), F.lit(score) + bonus)
+        stands = p["x"].isNotNull() & confirmed(kind, p["x"])
+        if kind not in BASE:
+            stands = stands & (total >= KEEP)
+        return F.struct(p["g"].alias("g"), p["x"].alias("x"), F.when(stands, total).alias("score"))
+
+    return F.transform(parts, judge)
+
+
+def _placed(j: str, kind: str) -> Column:
+    """Spans of the matches that stand. Running places are taken block by block, so that
+    an array of many spans is not copied for every span."""
+    none = F.array().cast(SPAN)
+
+    def step(a: Column, z: Column) -> Column:
+        start = a["at"] + F.length(z["g"])
+        end = start + F.coalesce(F.length(z["x"]), F.lit(0))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), z["score"].alias("score"))
+        return F.struct(end.alias("at"), F.when(z["score"].isNotNull(), F.concat(a["r"], F.array(span))).otherwise(a["r"]).alias("r"))
+
+    def block(a: Column, k: Column) -> Column:
+        done = F.aggregate(F.slice(j, k * BLOCK + 1, F.lit(BLOCK)), F.struct(a["at"].alias("at"), none.alias("r")), step)
+        return F.aggregate(F.array(done), a, lambda b, d: F.struct(d["at"].alias("at"), F.concat(b["r"], F.array(d["r"])).alias("r")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("r"))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(j) - 1) / BLOCK).cast("int"))
+    spans = F.flatten(F.aggregate(blocks, start, block, lambda a: a["r"]))
+    return F.when(F.exists(j, lambda z: z["score"].isNotNull()), spans).otherwise(none)
 
 
 def with_spans(docs: DataFrame, text: str = "text", kinds=KINDS) -> DataFrame:
     """Add ``pii``: spans (kind, start, end, score), by kind as listed, then start."""
     t = F.coalesce(F.col(text), F.lit(""))
-    by_kind = docs.withColumns({f"__pii_{k[0]}": spans_of(t, *k) for k in kinds})
-    return by_kind.withColumn("pii", F.concat(*[F.col(f"__pii_{k[0]}") for k in kinds])).drop(*[f"__pii_{k[0]}" for k in kinds])
+    cuts = {}
+    for kind, pattern, holds, _, _ in kinds:
+        cuts[f"__m_{kind}"], cuts[f"__g_{kind}"] = _cut(t, pattern, holds)
+    out = docs.withColumns(cuts)
+    out = out.withColumns({f"__j_{k}": _judged(f"__m_{k}", f"__g_{k}", k, score, context) for k, _, _, score, context in kinds})
+    out = out.withColumns({f"__s_{k[0]}": _placed(f"__j_{k[0]}", k[0]) for k in kinds})
+    out = out.withColumn("pii", F.concat(*[f"__s_{k[0]}" for k in kinds]))
+    return out.drop(*cuts, *[f"__{x}_{k[0]}" for x in "js" for k in kinds])
+
+
+def redact(docs: DataFrame, text: str = "text", changed: str = "__changed", kinds=KINDS) -> DataFrame:
+    """Each kind's spans replaced by [KIND], one kind after the other on what is left by
+    those before it; ``changed`` tells whether there were any. One pass over the pieces."""
+    out = docs.withColumn(changed, F.lit(False))
+    for kind, pattern, holds, score, context in kinds:
+        m, g = _cut(F.col(text), pattern, holds)
+        out = out.withColumns({"__m": m, "__g": g}).withColumn("__j", _judged("__m", "__g", kind, score, context))
+        hit = F.coalesce(F.exists("__j", lambda z: z["score"].isNotNull()), F.lit(False))
+        tagged = F.array_join(_tagged("__j", f"[{kind.upper()}]"), "")
+        out = out.withColumns({text: F.when(hit, tagged).otherwise(F.col(text)), changed: F.col(changed) | hit})
+    return out.drop("__m", "__g", "__j")
+
+
+def _tagged(j: str, tag: str) -> Column:
+    return F.transform(j, lambda z: F.concat_ws("", z["g"], F.when(z["score"].isNotNull(), F.lit(tag)).otherwise(z["x"])))
 
 
 def listed(spans: Column) -> Column:
@@ -131,25 +165,6 @@ def listed(spans: Column) -> Column:
     )
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by [KIND]; overlapping spans count as one."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    done = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(
-                s["end"].alias("at"),
-                F.concat(
-                    a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")
-                ).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-    )
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substr(text, done["at"] + 1)))
-
-
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = with_spans(docs)
@@ -167,7 +182,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind; n_chars follows the text."""
-    clean = with_spans(docs).withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("pii"))))
-    changed = F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", changed).select(*docs.columns)
+    """Documents with personal data replaced by its kind; n_chars follows the text.
+
+    No row goes: null and empty texts, null ids and repeated rows stay as they are, and an
+    empty table gives an empty table. Columns other than text and n_chars are not touched.
+    """
+    clean = redact(docs)
+    length = F.when(F.col("__changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", length).select(*docs.columns)
