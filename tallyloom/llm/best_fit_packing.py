@@ -9,12 +9,12 @@ often as the counts allow; what is left is placed best-fit, longest first. The p
 says which ranks of a length go to which run of sequences; a join by length and rank
 gives every piece its sequence and offset.
 
-Ranks within a length are taken in cells by a hash of the id, so a length that a
-third of all pieces share is not ranked in one task.
+Ranks within a length are taken in cells by a hash of the id, as many as its pieces need,
+so a length that a third of all pieces share is not ranked in one task.
 
-Defined cases: a null text counts as empty and is the closing id alone; rows with
-the same id are packed one by one; an empty table gives an empty table; extra
-columns are not read.
+Defined cases: a null text counts as empty and is the closing id alone; a very long text
+is cut into full pieces and a rest; rows with the same id, null ids too, are packed one by
+one; an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ from tallyloom.llm.store import materialize
 
 CAPACITY = 2048
 END_ID = 0
-RANK_CELLS = 32
-#: words kept with their ids in a worker before the table is emptied (memory only)
-KNOWN_WORDS = 600_000
+#: pieces of one length that are ranked in one task; from ``SPREAD`` on a length is cut into up to RANK_CELLS cells
+RANK_CELL, RANK_CELLS, SPREAD = 50_000, 32, 256
+#: bytes of stretches kept with their ids in a worker before the table is emptied (memory only)
+KNOWN_BYTES = 32 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -65,13 +66,19 @@ class WordIds(dict):
         self.letters = {i: "".join(x for x, _ in spell(fold(chr(i)))) for i in range(0x250) if fold(chr(i)).isalpha()}
         self.latin = re.compile("[" + "".join(map(chr, self.letters)) + "]+").fullmatch
         self.marks = {m: self._ids(m) for m in ".,"}
+        self.held = 0
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
 
     def _ids(self, stretch: str) -> bytes:
         return np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, stretches: set[str]) -> None:
-        if len(self) > KNOWN_WORDS:
+        if self.held > KNOWN_BYTES:
             self.clear()
+        before = len(self)
         merge, new = self.tokenizer.model.tokenize, []
         for s in stretches:
             if s in self:
@@ -87,6 +94,8 @@ class WordIds(dict):
             self[s] = ids + self.marks[mark] if mark else ids
         for s, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
             self[s] = np.array(e.ids, "<u4").tobytes()
+        # two objects and a slot, besides what they hold (mostly one byte a letter, four an id)
+        self.held += 180 * (len(self) - before) + sum(map(len, new)) * 5
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
@@ -120,6 +129,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                         part = ids[at : at + 4 * capacity]
                         rows.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        known.clear()  # the worker may go on to other work
 
     return docs.select(doc_id, text).mapInPandas(cut, PIECE)
 
@@ -213,9 +223,13 @@ def pack(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text:
     """Pieces of all documents with sequence_id and offset."""
     spark = docs.sparkSession
     cut = materialize(pieces(docs, path or tokenizer_path(), doc_id, text, capacity), "pieces")
-    cut = cut.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_CELLS)).cast("int"))
+    # at most ``capacity`` rows, whatever the input
+    by_length = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = [(n, max(-(-c // RANK_CELL), min(RANK_CELLS, -(-c // SPREAD)))) for n, c in by_length.items()]
+    parts = F.broadcast(spark.createDataFrame(parts, "length long, _cells long"))
+    cut = cut.join(parts, "length").withColumn("_cell", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_cells").cast("int")).drop("_cells")
     cells = cut.groupBy("length", "_cell").agg(F.count("*").alias("n"))
-    found = cells.collect()  # at most capacity x RANK_CELLS rows
+    found = cells.collect()  # a row for RANK_CELL pieces, RANK_CELLS at most for a rarer length
     counts: Counter = Counter()
     starts = []
     for r in sorted(found):
