@@ -146,14 +146,19 @@ def _marks(buckets: int, similar: int, share: float):
 
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Shingles in two documents, packed by the home of their document."""
-    for pdf in wh.by_bucket(batches):
-        yield pdf[pdf["kind"] == 1]
-        s, d, b = wh.unpacked(pdf.loc[pdf["kind"] == 0, "load"].tolist(), MARK)
-        order = np.lexsort((d, s))
-        s, d, b = s[order], d[order], b[order]
-        first, ends = wh.groups(s)
-        keep = np.repeat(d[first] != d[ends - 1], ends - first) & (d != NOBODY) if len(s) else np.zeros(0, bool)
-        yield wh.packed(b[keep].astype(np.int64), [s[keep], d[keep], b[keep]], 1)
+
+    def found() -> Iterator[list[np.ndarray]]:
+        for pdf in wh.by_bucket(batches):
+            s, d, b = wh.unpacked(pdf.loc[pdf["kind"] == 1, "load"].tolist(), MARK)
+            yield [b, s, d, b]
+            s, d, b = wh.unpacked(pdf.loc[pdf["kind"] == 0, "load"].tolist(), MARK)
+            order = np.lexsort((d, s))
+            s, d, b = s[order], d[order], b[order]
+            first, ends = wh.groups(s)
+            keep = np.repeat(d[first] != d[ends - 1], ends - first) & (d != NOBODY) if len(s) else np.zeros(0, bool)
+            yield [b[keep], s[keep], d[keep], b[keep]]
+
+    yield from wh.repacked(found(), 1)
 
 
 def _candidates(similar: int, share: float):

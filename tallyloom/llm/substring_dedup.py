@@ -12,9 +12,11 @@ third of all documents share is combined before any shuffle. Entries travel pack
 bucket; buckets follow the session's shuffle partitions. Copies of whole texts are
 known from their md5: only the smallest id of each text goes through the windows.
 
-Defined cases: a null text has no words; rows with the same id count as one document
-(a removal found in one holds for the same places of the others); a null id is the
-largest one; an empty table gives an empty table; extra columns are not read.
+Defined cases: a null text has no words; every row is a document of its own: rows with the
+same id do not remove from each other, whatever their texts (where an id has several texts
+rows are told apart by 64-bit hashes of id and text); a null id is larger than all others
+and rows with null ids do not remove from each other; very long texts are taken whole; an
+empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +38,14 @@ PERIOD = 31
 COVER = (0, 1, 3, 8, 12, 18)
 ENTRY = ["<u8", "<i8", "<i4", "<i4"]  # hash, document, place, home bucket of the document
 WINDOW = ["<u8", "<u4", "<i8", "<i4", "<i4"]  # hash, check, document, place, home
-RANGE = ["<i8", "<i4", "<i4"]  # document, first word, end
+#: in both, where ids do not tell rows apart, the row's key follows
+KEY = ["<i8"]
+RANGE = ["<i8", "<i4", "<i4"]  # row's key, first word, end
 LAST = 2**63 - 1
+#: stands for the documents of an anchor that a task has combined; no document has this id
+NOBODY = -(2**63)
+#: anchors that a task combines before it sends them: bounds its memory
+COMBINED = 1 << 20
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -49,56 +57,71 @@ def _docs_per(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, first, d[first] != d[ends - 1]
 
 
-def _homes(docs: DataFrame, buckets: int) -> DataFrame:
-    ids = docs.withColumn("doc_id", F.coalesce(F.col("doc_id"), F.lit(LAST)))
-    return ids.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-
-
-def anchors(docs: DataFrame, buckets: int, length: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+def anchors(docs: DataFrame, buckets: int, length: int, period: int, cover: tuple[int, ...], wide: bool) -> DataFrame:
     """Packed anchors: kind 0 to be compared, kind 1 known to be in two documents."""
     k = length - period + 1
     chosen = np.zeros(period, bool)
     chosen[list(cover)] = True
 
+    def combined(got: list[list[np.ndarray]]) -> Iterator[pd.DataFrame]:
+        h, d, p, b, r = (np.concatenate(c) for c in zip(*got, strict=True))
+        if not len(h):
+            return
+        order, first, shared = _docs_per(h, d)
+        h, d, p, b, r = (x[order] for x in (h, d, p, b, r))
+        known = np.repeat(shared, np.diff(np.append(first, len(h))))
+        if known.any():
+            yield wh.packed(b[known].astype(np.int64), [r[known], p[known], p[known] + 1], 1)
+        # of a shared hash one entry goes on, for nobody, so that others meet it
+        go = np.concatenate((np.flatnonzero(~known), first[shared]))
+        sent = [h[go], np.where(known[go], NOBODY, d[go]), p[go], b[go]] + [r[go]] * wide
+        yield wh.packed((sent[0] % np.uint64(buckets)).astype(np.int64), sent)
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got: list[list[np.ndarray]] = []
+            got, held = [], 0
             for some, raw in wh.chunks(pdf, "text"):
                 words, ends = wh.hash_words(raw)
                 text, place = wh.places(ends)
                 n = np.diff(ends, prepend=0)[text]
                 at = np.flatnonzero(chosen[place % period] & (place + k <= n) & (n >= length))
                 h = wh.windows(words, k)
-                ids, home = some["doc_id"].to_numpy(np.int64), some["bucket"].to_numpy(np.int32)
-                got.append([h[at] if len(at) else h[:0], ids[text[at]], place[at].astype(np.int32), home[text[at]]])
-            h, d, p, b = (np.concatenate(c) for c in zip(*got, strict=True))
-            if not len(h):
-                continue
-            order, first, shared = _docs_per(h, d)
-            h, d, p, b = h[order], d[order], p[order], b[order]
-            size = np.diff(np.append(first, len(h)))
-            known = np.repeat(shared, size)
-            # of a shared hash one entry goes on, with document -1, so that others meet it
-            one = first[shared]
-            go = np.concatenate((np.flatnonzero(~known), one))
-            sent = [h[go], np.where(known[go], -1, d[go]), p[go], b[go]]
-            yield wh.packed((sent[0] % np.uint64(buckets)).astype(np.int64), sent)
-            if known.any():
-                yield wh.packed(b[known].astype(np.int64), [d[known], p[known], p[known] + 1], 1)
+                ids, keys = some["doc_id"].to_numpy(np.int64), some["key"].to_numpy(np.int64)
+                home = some["bucket"].to_numpy(np.int32)
+                got.append([h[at] if len(at) else h[:0], ids[text[at]], place[at].astype(np.int32), home[text[at]], keys[text[at]]])
+                held += len(at)
+                if held >= COMBINED:
+                    yield from combined(got)
+                    got, held = [], 0
+            if got:
+                yield from combined(got)
 
     return docs.mapInPandas(find, wh.PACKED)
 
 
-def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _ranges(pdf: pd.DataFrame, kind: int) -> list[np.ndarray]:
+    """The ranges of one bucket that are at home already, led by the bucket."""
+    r = wh.unpacked(pdf.loc[pdf["kind"] == kind, "load"].tolist(), RANGE)
+    return [np.full(len(r[0]), pdf["bucket"].iat[0]), *r]
+
+
+def _repeated(wide: bool):
     """Anchors in two documents, packed by the home of their document."""
-    for pdf in wh.by_bucket(batches):
-        yield pdf[pdf["kind"] == 1]
-        h, d, p, b = wh.unpacked(pdf.loc[pdf["kind"] == 0, "load"].tolist(), ENTRY)
-        order, first, shared = _docs_per(h, d)
-        size = np.diff(np.append(first, len(h)))
-        keep = order[np.repeat(shared, size)] if len(h) else order
-        keep = keep[d[keep] >= 0]
-        yield wh.packed(b[keep].astype(np.int64), [d[keep], p[keep], p[keep] + 1], 1)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[list[np.ndarray]]:
+            for pdf in wh.by_bucket(batches):
+                yield _ranges(pdf, 1)
+                h, d, p, b, *r = wh.unpacked(pdf.loc[pdf["kind"] == 0, "load"].tolist(), ENTRY + KEY * wide)
+                order, first, shared = _docs_per(h, d)
+                size = np.diff(np.append(first, len(h)))
+                keep = order[np.repeat(shared, size)] if len(h) else order
+                keep = keep[d[keep] != NOBODY]
+                yield [b[keep], (r or [d])[0][keep], p[keep], p[keep] + 1]
+
+        yield from wh.repacked(found(), 1)
+
+    return find
 
 
 def _per_doc(loads: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -129,57 +152,60 @@ def _runs(docs: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]
     return [d[new], s[new].astype(np.int32), (s[last] + length).astype(np.int32)]
 
 
-def window_entries(length: int, period: int, buckets: int):
+def window_entries(length: int, period: int, buckets: int, wide: bool):
     """Texts and repeated anchors of one home bucket -> windows to be compared."""
 
     def find(texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         hits = _per_doc(marks.loc[marks["kind"] == 1, "load"].tolist())
-        copies = set(wh.unpacked(marks.loc[marks["kind"] == 3, "load"].tolist(), ["<i8"])[0].tolist())
-        wanted = texts[texts["doc_id"].isin(list(hits.keys() - copies))]
+        copies = set(wh.unpacked(marks.loc[marks["kind"] == 3, "load"].tolist(), KEY)[0].tolist())
+        wanted = texts[texts["key"].isin(list(hits.keys() - copies))]
         got: list[list[np.ndarray]] = []
         for some, raw in wh.chunks(wanted, "text") if len(wanted) else ():
             words, ends = wh.hash_words(raw)
             begin = np.append(0, ends[:-1])
             h, c = wh.windows(words, length), wh.windows(words, length, 77).astype(np.uint32)
             home = some["bucket"].to_numpy(np.int32)
-            for i, d in enumerate(some["doc_id"].tolist()):
+            for i, (d, r) in enumerate(zip(some["doc_id"].tolist(), some["key"].tolist(), strict=True)):
                 n = int(ends[i] - begin[i]) - length + 1
                 if n <= 0:
                     continue
-                a, z = hits[d]
+                a, z = hits[r]
                 at = np.flatnonzero(_covered(n, a - period + 1, z))
-                w = begin[i] + at
-                got.append([h[w], c[w], np.full(len(at), d, np.int64), at.astype(np.int32), np.full(len(at), home[i])])
+                w, m = begin[i] + at, len(at)
+                got.append([h[w], c[w], np.full(m, d, np.int64), at.astype(np.int32), np.full(m, home[i]), np.full(m, r, np.int64)])
         if not got:
             return wh.packed(np.zeros(0, np.int64), [])
-        h, c, d, p, b = (np.concatenate(x) for x in zip(*got, strict=True))
+        h, c, d, p, b, r = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((d, c, h))
-        h, c, d, p, b = h[order], c[order], d[order], p[order], b[order]
+        h, c, d, p, b, r = (x[order] for x in (h, c, d, p, b, r))
         first, ends = wh.groups(h, c)
-        least = np.repeat(d[first], ends - first)
-        later = d > least
-        out = [wh.packed((h[~later] % np.uint64(buckets)).astype(np.int64), [x[~later] for x in (h, c, d, p, b)])]
+        later = d > np.repeat(d[first], ends - first)
+        sent = [x[~later] for x in (h, c, d, p, b)] + [r[~later]] * wide
+        out = [wh.packed((h[~later] % np.uint64(buckets)).astype(np.int64), sent)]
         if later.any():
-            r = _runs(d[later], p[later], length)
-            out.append(wh.packed(np.full(len(r[0]), int(b[0])), r, 2))
+            runs = _runs(r[later], p[later], length)
+            out.append(wh.packed(np.full(len(runs[0]), int(b[0])), runs, 2))
         return pd.concat(out)
 
     return find
 
 
-def _later_windows(length: int):
+def _later_windows(length: int, wide: bool):
     """Windows whose smallest document is another one, packed by home as word ranges."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in wh.by_bucket(batches):
-            yield pdf[pdf["kind"] == 2]
-            h, c, d, p, b = wh.unpacked(pdf.loc[pdf["kind"] == 0, "load"].tolist(), WINDOW)
-            order = np.lexsort((d, c, h))
-            h, c, d, p, b = h[order], c[order], d[order], p[order], b[order]
-            first, ends = wh.groups(h, c)
-            later = d > np.repeat(d[first], ends - first)
-            if later.any():
-                yield wh.packed(b[later].astype(np.int64), [d[later], p[later], p[later] + length], 2)
+        def found() -> Iterator[list[np.ndarray]]:
+            for pdf in wh.by_bucket(batches):
+                yield _ranges(pdf, 2)
+                h, c, d, p, b, *r = wh.unpacked(pdf.loc[pdf["kind"] == 0, "load"].tolist(), WINDOW + KEY * wide)
+                r = r[0] if wide else d
+                order = np.lexsort((d, c, h))
+                h, c, d, p, b, r = (x[order] for x in (h, c, d, p, b, r))
+                first, ends = wh.groups(h, c)
+                later = d > np.repeat(d[first], ends - first)
+                yield [b[later], r[later], p[later], p[later] + length]
+
+        yield from wh.repacked(found(), 2)
 
     return find
 
@@ -187,15 +213,15 @@ def _later_windows(length: int):
 def _finish(length: int):
     def cut(texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         hits = _per_doc(marks.loc[marks["kind"] == 2, "load"].tolist())
-        copies = set(wh.unpacked(marks.loc[marks["kind"] == 3, "load"].tolist(), ["<i8"])[0].tolist())
+        copies = set(wh.unpacked(marks.loc[marks["kind"] == 3, "load"].tolist(), KEY)[0].tolist())
         rows = []
-        for d, t in zip(texts["doc_id"].tolist(), texts["text"], strict=True):
+        for d, r, t in zip(texts["doc_id"].tolist(), texts["key"].tolist(), texts["text"], strict=True):
             words = t.encode().split() if isinstance(t, str) else []
             n = len(words)
-            if d in copies and n >= length:
+            if r in copies and n >= length:
                 words = []
-            elif d in hits:
-                gone = _covered(n, *hits[d])
+            elif r in hits:
+                gone = _covered(n, *hits[r])
                 words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             kept = b" ".join(words)
             rows.append((d, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
@@ -213,28 +239,36 @@ def remove_repeats(
         raise ValueError("cover must be a difference cover modulo period, and period at most length")
     spark = docs.sparkSession
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _homes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), buckets)
     parts = max(1, buckets // 2)
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"), digest.alias("h"))
+    named = materialize(rows.select("doc_id", "h"), "repeat-names")
+    texts_an_id = named.groupBy("doc_id").agg((F.min("h") < F.max("h")).alias("many"))
+    wide = not texts_an_id.filter("many").isEmpty()
+    key = F.xxhash64("doc_id", "h") if wide else F.col("doc_id")
+
+    def homed(df: DataFrame) -> DataFrame:
+        return df.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
     # copies of whole texts: all but the smallest id
-    named = rows.select("doc_id", "bucket", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("h"))
     least = materialize(named.groupBy("h").agg(F.min("doc_id").alias("least")), "repeat-copies")
-    copies = named.join(least, "h").filter("doc_id > least").select("bucket", "doc_id")
+    copies = homed(named).join(least, "h").filter("doc_id > least").select("bucket", "key")
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield wh.packed(pdf["bucket"].to_numpy(np.int64), [pdf["doc_id"].to_numpy(np.int64)], 3)
+            yield wh.packed(pdf["bucket"].to_numpy(np.int64), [pdf["key"].to_numpy(np.int64)], 3)
 
     copies = materialize(copies.mapInPandas(listed, wh.PACKED), "repeat-copy-ids")
-    marks = dealt(anchors(rows, buckets, length, period, cover)).mapInPandas(_repeated, wh.PACKED)
+    rows = homed(rows).drop("h")
+    marks = dealt(anchors(rows, buckets, length, period, cover, wide)).mapInPandas(_repeated(wide), wh.PACKED)
     found = (
         rows.groupBy("bucket").cogroup(marks.unionByName(copies).groupBy("bucket"))
-        .applyInPandas(window_entries(length, period, buckets), wh.PACKED)
+        .applyInPandas(window_entries(length, period, buckets, wide), wh.PACKED)
     )
-    gone = dealt(found).mapInPandas(_later_windows(length), wh.PACKED)
+    gone = dealt(found).mapInPandas(_later_windows(length, wide), wh.PACKED)
     finish, schema = _finish(length), RESULT + ", kept string" if texts else RESULT
     out = rows.groupBy("bucket").cogroup(gone.unionByName(copies).groupBy("bucket")).applyInPandas(
         lambda a, b: finish(a, b)[[c.split()[0] for c in schema.split(", ")]], schema

@@ -151,6 +151,24 @@ def unpacked(loads: list[bytes], types: list[str]) -> list[np.ndarray]:
     return [np.concatenate(p) for p in parts]
 
 
+def repacked(parts: Iterator[list[np.ndarray]], kind: int, limit: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Entries of many parts, each led by its home bucket, packed when ``limit`` are held: a
+    task sends one row a bucket, not one for every bucket that it has read."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for part in parts:
+        if len(part[0]):
+            held.append(part)
+            n += len(part[0])
+        if n >= limit:
+            b, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+            yield packed(b.astype(np.int64), columns, kind)
+            held, n = [], 0
+    if held:
+        b, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+        yield packed(b.astype(np.int64), columns, kind)
+
+
 PACKED = "bucket int, kind int, load binary"
 
 
