@@ -6,11 +6,10 @@ and template place q lies on diagonal p - q. Hits are counted by diagonal,
 neighbouring diagonals (words put in or left out) are merged, and what remains is
 verified on the words themselves.
 
-Words: runs of digits, letters a-z after lower-casing, and non-ASCII characters.
-``lower`` also folds non-ASCII capitals; word places and the base phrases (plain
-ASCII, no k or s that a non-ASCII letter folds to) are not touched by that.
+Words: runs of digits, letters a-z after A-Z are lower-cased, and non-ASCII characters.
 
-Defined cases: a null text counts as empty: no words, no labels, score 0; repeated
+Defined cases: a null text counts as empty: no words, no labels, score 0; very long texts
+are taken whole, their words travel only to the places of hits; null ids and repeated
 rows are scanned one by one; a text shorter than three words has no hits; an empty
 table gives an empty table; extra columns play no part.
 """
@@ -47,7 +46,8 @@ TEMPLATES = (
 
 
 def license_words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
+    folded = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.split(folded, NOT_WORD), lambda w: w != "")
 
 
 def grams(words: Column) -> Column:

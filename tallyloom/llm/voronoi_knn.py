@@ -1,18 +1,25 @@
 """Exact top-k search by a Voronoi kNN join under integer inner products.
 
-Vectors become integers floor(scale * x). A bounded set of pivots (chosen by hash)
-cuts the space into cells. Each cell is summarised by its pivot, radius and size;
-with |q| and the radius, q.pivot +- |q| * radius bounds every score in the cell.
-A query first gets a score its k-th best cannot fall below - from the summaries, then
-from solving its own cell - and is replicated only to cells whose upper bound reaches
-it. Cells and query sets are cut into blocks, so a cell that holds a third of all
-rows is solved in many tasks. Equal vectors are joined beforehand into one row with
-their smallest k + 1 ids, which decide all ties.
+Vectors become integers floor(scale * x). Pivots, chosen by hash, more of them the more
+data there are, cut the space into cells, and cells into rings by distance from the
+pivot. Each ring is summarised by its radius, its largest norm and its size: a score in
+it is at most the smaller of q.pivot + |q| * radius and |q| * norm, and at least
+q.pivot - |q| * radius. A query first gets a score that its k-th best cannot fall below -
+from the summaries, then from solving its own cell - and needs only the rings whose upper
+bound reaches it.
+
+Queries whose cells lie side by side form blocks. The distinct (query block, slice of a
+ring) pairs that some query needs are gathered first, and data are replicated to these
+alone: once to the block of their own cell, and further only as the bounds ask. A ring that
+holds a third of all rows is cut into slices. Equal vectors are joined beforehand into
+one row with their smallest k + 1 ids, which decide all ties.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no
 part; an empty vector scores 0; vectors whose length differs from the most common one
-take no part; fewer candidates than k give fewer rows; rows that repeat an id with
-the same vector count once; an empty table gives an empty table.
+take no part (inner products need one length); a null id takes no part; fewer candidates
+than k give fewer rows; rows that repeat an id with the same vector count once, rows that
+repeat an id with another vector are candidates of their own; an empty table gives an
+empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +33,14 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.store import materialize
 
-PIVOTS = 48
-CELL_BLOCK = 8192
-QUERY_BLOCK = 2048
+#: pivots: one for so many vectors, within these bounds
+PIVOT_ROWS, PIVOTS, MOST_PIVOTS = 50_000, 48, 4096
+#: a cell has a ring for so many vectors, and at most so many rings
+RING_ROWS, RINGS = 4096, 8
+#: bytes of vectors in a block of queries or a slice of a ring
+BLOCK_BYTES = 16 << 20
+#: queries and vectors whose products are held at once
+TILE = (512, 8192)
 
 
 def quantized(vector: str, scale: int = 256) -> Column:
@@ -49,8 +61,8 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
-def _best(qids: np.ndarray, scores: np.ndarray, ids: list, k: int) -> pd.DataFrame:
-    """Per query the k best (score, id) of one block; ids holds the ids of each vector."""
+def _best(qids: np.ndarray, scores: np.ndarray, ids: list, k: int) -> list[tuple[int, int, int]]:
+    """Per query the k best (score, id) of one tile; ids holds the ids of each vector."""
     out = []
     m = scores.shape[1]
     top = min(m, k + 1)
@@ -59,12 +71,40 @@ def _best(qids: np.ndarray, scores: np.ndarray, ids: list, k: int) -> pd.DataFra
         floor = row[np.argpartition(row, m - top)[m - top]] if top < m else row.min()
         some = [(-int(row[j]), int(v)) for j in np.flatnonzero(row >= floor) for v in ids[j] if v != q]
         out += [(q, v, -s) for s, v in sorted(some)[:k]]
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+    return out
+
+
+def _side_by_side(centre: np.ndarray) -> np.ndarray:
+    """Pivots in order along the direction in which they spread most."""
+    x = centre - centre.mean(0) if len(centre) else centre
+    u = np.ones(x.shape[1])
+    for _ in range(5):
+        u = x.T @ (x @ u)
+        u /= max(float(np.sqrt((u * u).sum())), 1.0)
+    return np.argsort(x @ u, kind="stable")
+
+
+def _query_blocks(asked: np.ndarray, order: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first query block, and over how many its queries are spread."""
+    first, parts = np.zeros(len(asked), np.int64), np.ones(len(asked), np.int64)
+    at, held = 0, 0
+    for c in order:
+        if held and held + asked[c] > size:
+            at, held = at + 1, 0
+        first[c], parts[c] = at, max(1, -(-int(asked[c]) // size))
+        at, held = at + int(parts[c]) - 1, held + int(asked[c])
+    return first, parts
+
+
+def replicated(slices: DataFrame, targets: DataFrame) -> DataFrame:
+    """Data once for each query block that needs their slice."""
+    needed = targets.select(*[F.col(c).alias(c) for c in ("qb", "cell", "ring", "slice")]).distinct()
+    return slices.join(needed, ["cell", "ring", "slice"])
 
 
 def top_k(
     data: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding",
-    scale: int = 256, pivots: int = PIVOTS,
+    scale: int = 256, pivots: int | None = None,
 ) -> DataFrame:
     """query_id, rank, vec_id, score for each query; the query's own id is no candidate."""
     spark = data.sparkSession
@@ -82,74 +122,121 @@ def top_k(
     if not common:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     d = common[0]["d"]
+    block = max(1, BLOCK_BYTES // (8 * max(d, 1)))
     short = materialize(short.filter(size == d), "knn-points")
-    asked = materialize(asked.filter(size == d), "knn-queries")
+    pivots = pivots or min(MOST_PIVOTS, max(PIVOTS, -(-short.count() // PIVOT_ROWS)))
     chosen = short.orderBy(F.xxhash64(F.to_json("v")), F.element_at("ids", 1)).limit(pivots).collect()
-    centre = np.array([r["v"] for r in chosen], np.int64).reshape(len(chosen), d)
+    centre = np.array([r["v"] for r in chosen], np.float64).reshape(len(chosen), d)
+    half = (centre * centre).sum(1) / 2
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = centre.astype(np.float64)
         for pdf in batches:
             x = _matrix(pdf["v"]).astype(np.float64)
-            dist = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]
-            cell = dist.argmin(1)
-            yield pdf.assign(cell=cell.astype(np.int32), dist=np.sqrt(np.maximum(((x - c[cell]) ** 2).sum(1), 0)))
-
-    cells = materialize(short.mapInPandas(near, "v array<long>, ids array<long>, cell int, dist double"), "knn-cells")
-    summary = cells.groupBy("cell").agg(F.max("dist").alias("radius"), F.count("*").alias("n")).collect()  # at most pivots rows
-    radius = np.zeros(len(centre))
-    count = np.zeros(len(centre), np.int64)
-    for r in summary:
-        radius[r["cell"]], count[r["cell"]] = r["radius"] + 1e-6, r["n"]
-    blocks = np.maximum(1, -(-count // CELL_BLOCK))
-    parts = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    cells = cells.withColumn("block", F.pmod(F.xxhash64("v"), parts).cast("int"))
-    n_query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_query_blocks)).cast("int"))
-
-    def bounds(q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        mid = q.astype(np.float64) @ centre.T.astype(np.float64)
-        reach = np.sqrt((q.astype(np.float64) ** 2).sum(1))[:, None] * radius[None, :]
-        used = count > 0
-        return np.where(used, mid - reach, -np.inf), np.where(used, mid + reach, -np.inf), mid
+            cell = (half[None, :] - x @ centre.T).argmin(1)
+            dist = np.sqrt(((x - centre[cell]) ** 2).sum(1))
+            yield pdf.assign(cell=cell.astype(np.int32), dist=dist, norm=np.sqrt((x * x).sum(1)))
+
+    placed = "v array<long>, ids array<long>, cell int, dist double, norm double"
+    cells = materialize(short.mapInPandas(near, placed), "knn-cells")
+    # from here on to the driver: at most pivots x RINGS rows
+    cuts = [i / RINGS for i in range(1, RINGS)]
+    by_cell = cells.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("dist", cuts, 1000).alias("cuts")).collect()
+    edges = np.full((len(centre), RINGS - 1), np.inf)
+    for r in by_cell:
+        every = RINGS // max(1, min(RINGS, r["n"] // RING_ROWS))  # fewer rings for small cells
+        some = r["cuts"][every - 1 :: every]
+        edges[r["cell"], : len(some)] = some
+
+    def ringed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(ring=(edges[pdf["cell"]] < pdf["dist"].to_numpy()[:, None]).sum(1).astype(np.int32))
+
+    rings = materialize(cells.mapInPandas(ringed, placed + ", ring int"), "knn-rings")
+    summary = rings.groupBy("cell", "ring").agg(F.max("dist").alias("r"), F.max("norm").alias("m"), F.count("*").alias("n"))
+    shape = (len(centre), RINGS)
+    radius, norm, count = np.zeros(shape), np.zeros(shape), np.zeros(shape, np.int64)
+    for r in summary.collect():
+        radius[r["cell"], r["ring"]], norm[r["cell"], r["ring"]], count[r["cell"], r["ring"]] = r["r"] + 1e-6, r["m"] + 1e-6, r["n"]
+    cut = np.maximum(1, -(-count // block))
+    parts = spark.createDataFrame([(int(c), int(g), int(cut[c, g])) for c, g in zip(*np.nonzero(count), strict=True)], "cell int, ring int, parts int")
+    slices = rings.join(F.broadcast(parts), ["cell", "ring"])
+    slices = slices.select("v", "ids", "cell", "ring", F.pmod(F.xxhash64("v"), "parts").cast("int").alias("slice"))
+    used = count.sum(1) > 0
 
     def own_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            _, high, mid = bounds(_matrix(pdf["v"]))
-            yield pdf.assign(cell=np.where(count > 0, mid, -np.inf).argmax(1).astype(np.int32))
+            mid = _matrix(pdf["v"]).astype(np.float64) @ centre.T
+            yield pdf.assign(home=np.where(used, mid, -np.inf).argmax(1).astype(np.int32))
+
+    asked = materialize(asked.filter(size == d).mapInPandas(own_cell, "query_id long, v array<long>, home int"), "knn-queries")
+    per_home = np.zeros(len(centre), np.int64)
+    for r in asked.groupBy("home").agg(F.count("*").alias("n")).collect():
+        per_home[r["home"]] = r["n"]
+    first_block, spread = _query_blocks(per_home, _side_by_side(centre), block)
 
-    def other_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Cells whose upper bound reaches the k-th score that is sure by now."""
+    def aimed(pdf: pd.DataFrame, need: np.ndarray) -> pd.DataFrame:
+        """A row for each query and slice of the rings it needs."""
+        i, c, g = np.nonzero(need)
+        times = cut[c, g]
+        j = np.repeat(np.arange(len(i)), times)
+        at = np.arange(len(j)) - np.repeat(np.cumsum(times) - times, times)
+        home = pdf["home"].to_numpy()
+        qb = first_block[home] + pdf["query_id"].to_numpy() % spread[home]
+        return pd.DataFrame({
+            "query_id": pdf["query_id"].to_numpy()[i[j]], "qb": qb[i[j]].astype(np.int32), "cell": c[j].astype(np.int32),
+            "ring": g[j].astype(np.int32), "slice": at.astype(np.int32),
+        })
+
+    def at_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            low, high, _ = bounds(_matrix(pdf["v"]))
-            order = np.argsort(-low, axis=1)
-            total = np.cumsum(count[order], axis=1)
-            at = np.minimum((total <= k).sum(1), len(count) - 1)  # one more than k: the own id is left out
-            sure = np.where(total[:, -1] > k, np.take_along_axis(low, np.take_along_axis(order, at[:, None], 1), 1)[:, 0], -np.inf)
-            known = np.where(pdf["known"].notna(), pdf["known"].astype(float).fillna(-np.inf), -np.inf)
-            need = high + 1e-3 * np.maximum(1, np.abs(high)) >= np.maximum(sure, known)[:, None]
-            need &= np.arange(len(count))[None, :] != pdf["cell"].to_numpy()[:, None]
-            i, c = np.nonzero(need & (count > 0)[None, :])
-            yield pdf.iloc[i].assign(cell=c.astype(np.int32))[["query_id", "v", "qb", "cell"]]
+            need = np.zeros((len(pdf), *shape), bool)
+            need[np.arange(len(pdf)), pdf["home"]] = count[pdf["home"]] > 0
+            yield aimed(pdf, need)
+
+    def elsewhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rings whose upper bound reaches the k-th score that is sure by now."""
+        there = (count > 0).reshape(-1)
+        for whole in batches:
+            for at in range(0, len(whole), TILE[0]):
+                pdf = whole.iloc[at : at + TILE[0]]
+                q = _matrix(pdf["v"]).astype(np.float64)
+                long = np.sqrt((q * q).sum(1))[:, None, None]
+                mid = (q @ centre.T)[:, :, None]
+                low = np.where(there, (mid - long * radius).reshape(len(pdf), -1), -np.inf)
+                high = np.minimum(mid + long * radius, long * norm).reshape(len(pdf), -1)
+                order = np.argsort(-low, axis=1)
+                total = np.cumsum(count.reshape(-1)[order], axis=1)
+                k_at = np.minimum((total <= k).sum(1), low.shape[1] - 1)[:, None]  # one more than k: the own id is left out
+                sure = np.take_along_axis(low, np.take_along_axis(order, k_at, 1), 1)[:, 0]
+                sure = np.where(total[:, -1] > k, sure, -np.inf)
+                sure = np.maximum(sure, pdf["known"].astype("float64").fillna(-np.inf).to_numpy())[:, None]
+                need = there & (high + 1e-3 * np.maximum(1, np.abs(high)) >= sure)
+                need = need.reshape(len(pdf), *shape)
+                need[np.arange(len(pdf)), pdf["home"]] = False
+                yield aimed(pdf, need)
 
     def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or x.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return _best(q["query_id"].to_numpy(), _scores(_matrix(q["v"]), _matrix(x["v"])), x["ids"].tolist(), k)
-
-    def solved(q: DataFrame) -> DataFrame:
-        n = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-        q = q.withColumn("block", F.explode(F.sequence(F.lit(0), n - 1)))
-        x = cells.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-        keys = ("cell", "block", "qb")
-        return q.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInPandas(lambda a, b: solve(a, b), schema)
-
-    q0 = asked.mapInPandas(own_cell, "query_id long, v array<long>, qb int, cell int")
-    first = materialize(solved(q0), "knn-own")
+        out = []
+        if len(q) and len(x):
+            qv, qid, ids = _matrix(q["v"]), q["query_id"].to_numpy(), x["ids"].tolist()
+            for lo in range(0, len(x), TILE[1]):
+                xv = _matrix(x["v"].iloc[lo : lo + TILE[1]])
+                for at in range(0, len(q), TILE[0]):
+                    some = slice(at, at + TILE[0])
+                    out += _best(qid[some], _scores(qv[some], xv), ids[lo : lo + TILE[1]], k)
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+    def solved(targets: DataFrame) -> DataFrame:
+        q = targets.join(asked.select("query_id", "v"), "query_id")
+        keys = ("qb", "cell", "ring", "slice")
+        return q.groupBy(*keys).cogroup(replicated(slices, targets).groupBy(*keys)).applyInPandas(lambda a, b: solve(a, b), schema)
+
+    aims = "query_id long, qb int, cell int, ring int, slice int"
+    first = materialize(solved(materialize(asked.mapInPandas(at_home, aims), "knn-home")), "knn-own")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("query_id", F.col("score").alias("known"))
-    q1 = q0.join(kth, "query_id", "left").select("query_id", "v", "qb", "cell", "known")
-    rest = solved(q1.mapInPandas(other_cells, "query_id long, v array<long>, qb int, cell int"))
+    more = asked.join(kth, "query_id", "left").select("query_id", "v", "home", "known").mapInPandas(elsewhere, aims)
+    rest = solved(materialize(more, "knn-needs"))
     ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

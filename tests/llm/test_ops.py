@@ -289,6 +289,20 @@ def test_pii_equals_brute_force(spark, odd, none):
     assert clean[15] == "mail [EMAIL] [PHONE], [CARD], [IP] iban [IBAN]" and clean[0] is None and clean[4] == LONG
 
 
+def test_pii_many_matches_in_one_text(spark):
+    import time
+
+    one = "".join(f"mail a{k}@x.org or 10.0.0.{k % 256}, " for k in range(100_000))
+    df = spark.createDataFrame([(1, one), (2, "ssn 123-45-6789, 987-65-4321")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.pii for r in pii.with_spans(df).collect()}
+    assert [(s["kind"], s["start"], s["end"]) for s in got[1]] == pii_base(one) and len(got[1]) == 200_000
+    assert [one[s["start"] : s["end"]] for s in got[1][:2]] == ["a0@x.org", "a1@x.org"] and len(got[2]) == 2
+    docs = df.selectExpr("doc_id", "text", "length(text) AS n_chars")
+    clean = {r.doc_id: r.text for r in pii.stage_pii(spark, docs, SF).collect()}
+    assert clean[1] == "mail [EMAIL] or [IP], " * 100_000 and time.time() - began < 90
+
+
 def repeats_brute(texts, length):
     w = {d: (t or "").encode().split() for d, t in texts.items()}
     first = {}
@@ -319,6 +333,16 @@ def test_substring_dedup_equals_brute_force(spark, odd, none):
         substring_dedup.remove_repeats(df, period=5, cover=(0, 1))
 
 
+def test_substring_dedup_tells_rows_of_one_id_apart(spark):
+    alone = some_words(200, 10**6)
+    for ids in ((1, None, None), (1, 2, 2), (-7, 5, 5)):
+        rows = list(zip(ids, (PASSAGE + " a", "b " + PASSAGE, alone)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        got = sorted((r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(df).collect())
+        want = [(61, 60, hashlib.sha256(b"b").hexdigest()), (61, 0, hashlib.sha256(f"{PASSAGE} a".encode()).hexdigest())]
+        assert got == sorted([*want, (200, 0, hashlib.sha256(alone.encode()).hexdigest())])
+
+
 def test_quality_rules_equal_brute_force(spark, odd, none):
     for r in quality_rules.apply_rules(odd).collect():
         t = r.text or ""
@@ -367,6 +391,42 @@ def test_knn_equals_brute_force(spark):
     assert voronoi_knn.top_k(df.filter("vec_id < 3"), df.filter("vec_id = 0")).count() == 2
 
 
+def test_knn_sends_data_where_queries_need_them(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    heart = np.eye(12) * 3
+    x = np.concatenate([heart[k % 12] + r.normal(size=(50, 12)) / 100 for k in range(12)])
+    df = spark.createDataFrame([(i, [float(v) for v in a]) for i, a in enumerate(x)] + [(5, [1.0] * 12), (None, [1.0] * 12), (7, [1.0])], "vec_id long, embedding array<double>")
+    sent = []
+    monkeypatch.setattr(voronoi_knn, "replicated", lambda a, b, f=voronoi_knn.replicated: sent.append(f(a, b).count()) or f(a, b))
+    got = voronoi_knn.top_k(df, df.filter("vec_id % 10 = 0"), pivots=40)
+    rows = got.collect()
+    # far cells are out of reach: each vector goes to its own query block, few to another
+    assert sent[0] <= 601 and sent[1] <= 601 and len(rows) == 5 * 60
+    z = np.floor(256 * x).astype(np.int64)
+    best = collections.defaultdict(list)
+    for q in rows:
+        best[q.query_id].append((-q.score, q.vec_id))
+    for q in range(0, 600, 10):
+        want = sorted([(-int(z[q] @ z[i]), i) for i in range(600) if i != q] + [(-int(256 * z[q].sum()), 5)])[:5]
+        assert sorted(best[q]) == want
+
+
+def test_knn_blocks_slices_and_rings(spark, monkeypatch):
+    monkeypatch.setattr(voronoi_knn, "BLOCK_BYTES", 8 * 6 * 20)
+    monkeypatch.setattr(voronoi_knn, "RING_ROWS", 10)
+    monkeypatch.setattr(voronoi_knn, "TILE", (3, 7))
+    r = np.random.default_rng(5)
+    x = r.normal(size=(500, 6)).round(2)
+    df = spark.createDataFrame([(i - 20, [float(v) for v in a]) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for q in voronoi_knn.top_k(df, df.filter("vec_id % 5 = 0"), pivots=6).collect():
+        got[q.query_id].append((q.rank, -q.score, q.vec_id))
+    z = np.floor(256 * x).astype(np.int64)
+    for q in range(0, 500, 5):
+        want = sorted((-int(z[q] @ z[i]), i - 20) for i in range(500) if i != q)[:5]
+        assert sorted(got[q - 20]) == [(n + 1, *w) for n, w in enumerate(want)]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, name):
