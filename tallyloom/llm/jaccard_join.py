@@ -512,3 +512,25 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         again = again.withColumn("_salt", F.spark_partition_id()) if "_salt" in key else again
         again = again.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     return once.unionByName(again.drop("_salt")).unionByName(docs.filter(nameless & wordless))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i + 1:i + 5], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(0, greatest(1, len(ws) - 4))) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+)
+SELECT r.a AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""

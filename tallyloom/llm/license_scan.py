@@ -4,7 +4,8 @@ All rolling three-word hashes of a text meet the three-word hashes of the licens
 templates in one join with the (fixed, small) template table. A hit at text place p
 and template place q lies on diagonal p - q. Hits are counted by diagonal,
 neighbouring diagonals (words put in or left out) are merged, and what remains is
-verified on the words themselves.
+verified: the template places that its hits cover, in the order of the diagonals, and
+whose words the passage holds. A base phrase counts only as a whole.
 
 Words: runs of digits, letters a-z after A-Z are lower-cased, and non-ASCII characters.
 
@@ -42,6 +43,25 @@ TEMPLATES = (
     ("creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    # whole grants and notices
+    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+     "the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish "
+     "distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject "
+     "to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial "
+     "portions of the software", "mit"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may "
+     "obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing "
+     "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express "
+     "or implied see the license for the specific language governing permissions and limitations under the license", "apache-2"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as "
+     "published by the free software foundation either version 3 of the license or at your option any later version", "gpl-3"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in "
+     "the documentation and or other materials provided with the distribution", "bsd"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that "
+     "the above copyright notice and this permission notice appear in all copies", "isc"),
+    ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled "
+     "binary for any purpose commercial or non commercial and by any means", "unlicense"),
 )
 
 
@@ -97,6 +117,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     votes = hits.groupBy("_row", "t_id", "d").agg(
         *[F.first(c).alias(c) for c in (*keep, "n_words", "t_label", "t_base", "t_words", "seen")],
         F.count("*").alias("votes"), F.min("p").alias("p0"), (F.max("p") + K).alias("p1"),
+        F.collect_list("q").alias("qs"),  # at most as many as the template has words
     )
     # merge: a diagonal within GAP of the one before, whose words follow it closely
     line = Window.partitionBy("_row", "t_id").orderBy("d")
@@ -106,16 +127,13 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     spans = runs.groupBy("_row", "t_id", "_run").agg(
         *[F.first(c).alias(c) for c in (*keep, "n_words", "t_label", "t_base", "t_words")],
         F.min_by("seen", "d").alias("seen"), F.min("d").alias("d"), F.sum("votes").alias("votes"),
+        F.flatten(F.collect_list("qs")).alias("qs"),
     )
     n = F.size("t_words")
     whole = (F.slice("seen", 1, n) == F.col("t_words")) & (F.col("votes") == n - K + 1)
-    share = F.when(F.col("t_base"), whole.cast("double")).otherwise(
-        F.least(
-            F.lit(1.0),
-            F.size(F.filter("t_words", lambda x: F.array_contains("seen", x))) / n,
-            (F.col("votes") + K - 1) / n + F.lit(1.0 - MATCH) / 2,
-        )
-    )
+    covered = F.array_distinct(F.flatten(F.transform("qs", lambda q: F.array(*[q + k for k in range(K)]))))
+    held = F.size(F.filter(covered, lambda q: F.array_contains("seen", F.get("t_words", q))))
+    share = F.when(F.col("t_base"), whole.cast("double")).otherwise(held / n)
     spans = spans.withColumn("share", F.when(F.col("t_id") == none, F.lit(0.0)).otherwise(share))
     found = F.col("share") >= F.when(F.col("t_base"), F.lit(1.0)).otherwise(F.lit(MATCH))
     base = found & F.col("t_base")
@@ -139,3 +157,45 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan_licenses(docs)
+
+
+_TEMPLATES = ", ".join(f"({i}, '{p}', '{x}', {i < len(BASE)})" for i, (p, x) in enumerate([*BASE, *TEMPLATES]))
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS ws FROM documents
+), t AS (
+  SELECT id, label, is_base, string_split(phrase, ' ') AS ts FROM (VALUES {_TEMPLATES}) v(id, phrase, label, is_base)
+), tg AS (
+  SELECT id, label, is_base, ts, q, array_to_string(ts[q + 1:q + {K}], ' ') AS g FROM t, range(0, 200) r(q) WHERE q <= len(ts) - {K}
+), dg AS (
+  SELECT doc_id, p, array_to_string(ws[p + 1:p + {K}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {K - 1})) AS p FROM d WHERE len(ws) >= {K})
+), hit AS (
+  SELECT doc_id, id, label, is_base, ts, p - q AS dg, p, q FROM dg JOIN tg USING (g)
+), vote AS (
+  SELECT doc_id, id, any_value(label) AS label, any_value(is_base) AS is_base, any_value(ts) AS ts, dg, count(*) AS votes, min(p) AS p0, max(p) + {K} AS p1, list(q) AS qs
+  FROM hit GROUP BY doc_id, id, dg
+), fresh AS (
+  SELECT *, CASE WHEN is_base OR coalesce(dg - lag(dg) OVER w > {GAP} OR abs(p0 - lag(p1) OVER w) > {GAP + K}, true) THEN 1 ELSE 0 END AS fresh
+  FROM vote WINDOW w AS (PARTITION BY doc_id, id ORDER BY dg)
+), run AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, id ORDER BY dg ROWS UNBOUNDED PRECEDING) AS run FROM fresh
+), span AS (
+  SELECT doc_id, id, run, any_value(label) AS label, any_value(is_base) AS is_base, any_value(ts) AS ts, min(dg) AS dg, sum(votes) AS votes, flatten(list(qs)) AS qs
+  FROM run GROUP BY doc_id, id, run
+), seen AS (
+  SELECT s.*, d.ws[greatest(dg, 0) + 1:greatest(dg, 0) + len(ts) + {GAP}] AS seen FROM span s JOIN d USING (doc_id)
+), judged AS (
+  SELECT *, CASE WHEN is_base THEN CASE WHEN seen[1:len(ts)] = ts AND votes = len(ts) - {K - 1} THEN 1.0 ELSE 0.0 END
+    ELSE len(list_filter(list_distinct(flatten(list_transform(qs, lambda q: [q, q + 1, q + 2]))), lambda q: list_contains(seen, ts[q + 1])))::DOUBLE / len(ts) END::DOUBLE AS share
+  FROM seen
+), found AS (
+  SELECT *, share >= CASE WHEN is_base THEN 1.0 ELSE {MATCH} END AS ok FROM judged
+)
+SELECT d.doc_id, CAST(len(any_value(d.ws)) AS BIGINT) AS n_words, count(*) FILTER (ok AND is_base) AS n_base,
+  min(f.dg) FILTER (ok AND is_base) AS first_word, max(f.dg) FILTER (ok AND is_base) AS last_word,
+  coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (ok AND is_base))), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list(label) FILTER (ok))), ','), '') AS labels,
+  coalesce(max(share) FILTER (ok), 0.0)::DOUBLE AS score
+FROM d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id
+"""

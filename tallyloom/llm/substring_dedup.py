@@ -279,3 +279,25 @@ def remove_repeats(
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return remove_repeats(docs, texts=False)
+
+
+ORACLE_SQL = f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + {LENGTH}], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - {LENGTH - 1})) AS i FROM d WHERE len(ws) >= {LENGTH})
+), f AS (
+  SELECT k, min(doc_id) AS least FROM w GROUP BY k
+), gone AS (
+  SELECT doc_id, list_distinct(list(p)) AS ps
+  FROM (SELECT w.doc_id, unnest(range(w.i + 1, w.i + {LENGTH + 1})) AS p FROM w JOIN f USING (k) WHERE f.least < w.doc_id) GROUP BY doc_id
+), u AS (
+  SELECT d.doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d
+), left_over AS (
+  SELECT u.doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM u
+  LEFT JOIN (SELECT doc_id, unnest(ps) AS p, true AS out FROM gone) g USING (doc_id, p) WHERE out IS NULL GROUP BY u.doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
