@@ -27,6 +27,16 @@ def month_window(d: Column, days: int = 15) -> tuple[Column, Column]:
 def parse_dates(raw: Column, month_first_fails: Column) -> Column:
     """Month-first, or day-first for a file whose month-first reading fails too often."""
     def tried(*formats: str) -> Column:
-        return F.coalesce(*[F.try_to_timestamp(raw, F.lit(f)) for f in ("yyyy-MM-dd", *formats)]).cast("date")
+        shapes = ("yyyy-M-d", "yyyy/M/d", "yyyyMMdd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", *formats, "d MMM yyyy", "MMM d, yyyy", "d-MMM-yyyy", "d MMMM yyyy", "MMMM d, yyyy")
+        return F.coalesce(*[F.try_to_timestamp(F.trim(raw), F.lit(f)) for f in shapes]).cast("date")
 
-    return F.when(month_first_fails, tried("d/M/yyyy", "d-M-yyyy")).otherwise(tried("M/d/yyyy", "M-d-yyyy"))
+    day_first = tried("d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yy")
+    return F.when(month_first_fails, day_first).otherwise(tried("M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yy"))
+
+
+def month_name(d: Column) -> Column:
+    return F.date_format(d, "MMMM yyyy")
+
+
+def day_month(d: Column) -> Column:
+    return F.date_format(d, "dd MMM")

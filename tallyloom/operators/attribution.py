@@ -38,15 +38,13 @@ def indel_ratio(a: str, b: str) -> int:
 
 def abbreviation(line: list[str], name: list[str]) -> int:
     """Every word of the line starts a word of the name (or the reverse), in order."""
-    if not line or not name:
+    if not line or not name or len(line) > len(name) or len(line) == 1 < len(name):
         return 0
-    at = used = 0
-    for word in line:
-        hit = next((i for i in range(at, len(name)) if name[i].startswith(word) or word.startswith(name[i])), None)
-        if hit is None:
-            return 0
-        at, used = hit + 1, used + 1
-    return 0 if used < 2 <= len(name) else round(80 + 20 * used / len(name))
+    rest = iter(name)
+    # any() leaves the iterator behind the word that it stopped at: the next word goes on there
+    if not all(any(n.startswith(w) or w.startswith(n) for n in rest) for w in line):
+        return 0
+    return round(80 + 20 * len(line) / len(name))
 
 
 class _Names:

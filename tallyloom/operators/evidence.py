@@ -12,27 +12,58 @@ def in_band(payments: DataFrame, low: float, high: float) -> DataFrame:
     return payments.filter(F.col("amount").between(F.least(a, b), F.greatest(a, b)))
 
 
-def ledger(payments: DataFrame, client_id: int | None, start: str, end: str) -> DataFrame:
-    """One client's payments (None: those of all clients), both days included."""
-    days = payments.filter(F.col("transaction_date").between(start, end))
-    return days if client_id is None else days.filter(F.col("client_id") == client_id)
+def ledger(payments: DataFrame, client_id: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """One client's payments (None: those of all clients), both days included; a missing
+    bound does not hold."""
+    rows = payments if client_id is None else payments.filter(F.col("client_id") == client_id)
+    rows = rows if start is None else rows.filter(F.col("transaction_date") >= F.lit(start).cast("date"))
+    return rows if end is None else rows.filter(F.col("transaction_date") <= F.lit(end).cast("date"))
 
 
-def split_payments(targets: DataFrame, payments: DataFrame, tol: float = 0.01) -> DataFrame:
+def split_payments(targets: DataFrame, payments: DataFrame, tol: float = 0.02) -> DataFrame:
     """targets(client_id, target, start, end) -> combinations of one, two or three
-    payments of the window whose sum is within tol of the target. A target of 0 or less
-    has none. Rows: client_id, size, ids."""
+    payments of the window, refunds among them, whose sum is within tol of the target. A
+    target of 0 or less has none. Rows: client_id, size, ids.
+
+    The last payment of a combination is looked up by what is missing: amounts lie in
+    steps twice the slack wide, so it is in the step of the missing amount or one beside.
+    """
     t = targets.filter("target > 0").withColumn("slack", F.col("target") * F.lit(tol).cast("decimal(6,4)"))
     p = payments.join(t, "client_id").filter(F.col("transaction_date").between(F.col("start"), F.col("end")))
-    p = p.filter(F.col("amount") > 0).select("client_id", "txn_id", "amount", "target", "slack")
-    p = p.filter(F.col("amount") <= F.col("target") + F.col("slack"))
-    b, c = (p.select("client_id", F.col("txn_id").alias(f"id_{x}"), F.col("amount").alias(f"amount_{x}")) for x in "bc")
-    near = lambda total: F.abs(total - F.col("target")) <= F.col("slack")
-    two = p.join(b, "client_id").filter("txn_id < id_b").withColumn("sum2", F.col("amount") + F.col("amount_b"))
-    two = two.filter(F.col("sum2") <= F.col("target") + F.col("slack"))
-    three = two.join(c, "client_id").filter("id_b < id_c")
-    out = p.filter(near(F.col("amount"))).select("client_id", F.lit(1).alias("size"), F.array("txn_id").alias("ids"))
-    out = out.unionByName(two.filter(near(F.col("sum2"))).select("client_id", F.lit(2).alias("size"), F.array("txn_id", "id_b").alias("ids")))
-    return out.unionByName(
-        three.filter(near(F.col("sum2") + F.col("amount_c"))).select("client_id", F.lit(3).alias("size"), F.array("txn_id", "id_b", "id_c").alias("ids"))
-    )
+    p = p.select("client_id", "txn_id", "amount", "target", "slack")
+
+    def step(x):
+        return F.floor(x.cast("double") / (2 * F.col("slack").cast("double")))
+
+    last = p.select("client_id", F.col("txn_id").alias("id_z"), F.col("amount").alias("amount_z"), step(F.col("amount")).alias("_k"))
+
+    def completed(some: DataFrame, ids: list[str], total) -> DataFrame:
+        lacking = F.col("target") - total
+        near = some.withColumn("_k", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: step(lacking) + i)))
+        hit = near.join(last, ["client_id", "_k"]).filter((F.col(ids[-1]) < F.col("id_z")) & (F.abs(lacking - F.col("amount_z")) <= F.col("slack")))
+        return hit.select("client_id", F.lit(len(ids) + 1).alias("size"), F.array(*ids, "id_z").alias("ids"))
+
+    b = p.select("client_id", F.col("txn_id").alias("id_b"), F.col("amount").alias("amount_b"))
+    one = p.filter(F.abs(F.col("amount") - F.col("target")) <= F.col("slack"))
+    one = one.select("client_id", F.lit(1).alias("size"), F.array("txn_id").alias("ids"))
+    two = completed(p, ["txn_id"], F.col("amount"))
+    three = completed(p.join(b, "client_id").filter("txn_id < id_b"), ["txn_id", "id_b"], F.col("amount") + F.col("amount_b"))
+    return one.unionByName(two).unionByName(three)
+
+
+def amount_range(gap, expected, slack_pct: float | None = None):
+    """(low, high) around the missing amount, or around what was due if nothing is missing."""
+    target = F.when(gap > 0, gap).otherwise(expected).cast("decimal(18,2)")
+    slack = max(slack_pct or 15.0, 1.0) / 100
+    return tuple(F.round(target * F.lit(x).cast("decimal(9,6)"), 2).cast("double") for x in (1 - slack, 1 + slack))
+
+
+def search_window(billing_date, widen_days: int = 0):
+    """(first, last) day that a search around a billing looks at."""
+    days = 45 + max(widen_days, 0)
+    return F.date_sub(billing_date, days), F.date_add(billing_date, days)
+
+
+def confidence_after(confidence, verdict):
+    """A confirmed finding is sure at least, a rejected one weak at most."""
+    return F.when(verdict == "confirmed", F.greatest(confidence, F.lit(0.9))).when(verdict == "false_positive", F.least(confidence, F.lit(0.1))).otherwise(confidence)

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from tallyloom.functions.text import fold_typography
+from tallyloom.functions.questions import percentage_stated
+from tallyloom.functions.text import absent_quote, flatten, fold_typography
+from tallyloom.operators.attribution import indel_ratio
 from tallyloom.operators.corpus import verbatim_hits
 
 #: Lengths of the stretches of a quote that are searched, longest first.
@@ -18,6 +20,8 @@ LEAST = 20
 #: Hundredths that a window must resemble a quote, and share of its words that a page must use.
 RATIO = 75
 OVERLAP = 35
+#: ratio from which a quote counts as copied
+NEAR = 92
 WORD = "[a-z0-9][a-z0-9,.$%-]*"
 STOPWORDS = frozenset("the of and or to in for a an by on at as is be shall will with from that this such any all each per its it not".split())
 
@@ -108,28 +112,38 @@ def _folded(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page", F.lower(fold_typography(F.col("text"))).alias("_t")).filter(F.length("_t") >= LEAST)
 
 
+def exact_candidates(clauses: DataFrame, pages: DataFrame) -> DataFrame:
+    """(clause_id, doc_id) with a page that holds the quote's shortest stretch, case aside."""
+    p = _folded(pages)
+    least = clauses.select(F.col("clause_id").alias("item_id"), F.get(F.reverse(probes(F.col("clause_text"))), 0)["probe"].alias("text")).filter("text IS NOT NULL")
+    exact = verbatim_hits(least, p.select(F.struct("doc_id", "page").alias("doc_id"), F.col("_t").alias("text")))
+    return exact.select(F.col("item_id").alias("clause_id"), "doc_id.doc_id").distinct()
+
+
 def candidates(clauses: DataFrame, pages: DataFrame) -> DataFrame:
     """clauses(clause_id, clause_text), pages(doc_id, page, text) -> all (clause_id, doc_id)
     that locate() can place: pages that hold the shortest stretch or share enough words."""
+    exact = exact_candidates(clauses, pages)
     p = _folded(pages)
-    least = clauses.select(F.col("clause_id").alias("item_id"), F.get(F.reverse(probes(F.col("clause_text"))), 0)["probe"].alias("text")).filter("text IS NOT NULL")
-    exact = verbatim_hits(least, p.select(F.struct("doc_id", "page").alias("doc_id"), F.col("_t").alias("text")))
-    exact = exact.select(F.col("item_id").alias("clause_id"), "doc_id.doc_id")
     needles = _needles(clauses)
     like = _sharing(needles, p, []).join(needles.select("clause_id", "_n"), "clause_id").join(p, ["doc_id", "page"])
     like = like.filter(_likeness("_n", "_t") >= RATIO).select("clause_id", "doc_id")
     return exact.unionByName(like).distinct()
 
 
+def exact_places(clauses: DataFrame, pages: DataFrame) -> DataFrame:
+    """clause_id, doc_id, page and ord of the longest stretch found, then the first page."""
+    p = pages.select("doc_id", "page", fold_typography(F.col("text")).alias("_t"))
+    c = clauses.withColumn("_p", F.explode(probes(F.col("clause_text")))).select("clause_id", "doc_id", "_p.ord", "_p.probe")
+    hits = c.join(p, "doc_id").filter(F.contains("_t", "probe"))
+    return hits.groupBy("clause_id", "doc_id").agg(F.min(F.struct("ord", "page")).alias("_b")).select("clause_id", "doc_id", "_b.page", "_b.ord")
+
+
 def locate(clauses: DataFrame, pages: DataFrame) -> DataFrame:
     """clauses(clause_id, doc_id, clause_text), pages(doc_id, page, text) -> page and
     method: the longest stretch found wins, then the first page ('exact'); else the page with
     the window most like the quote, from a ratio of 75, then the first ('fuzzy'); else 'failed'."""
-    p = pages.select("doc_id", "page", fold_typography(F.col("text")).alias("_t"))
-    c = clauses.withColumn("_p", F.explode(probes(F.col("clause_text")))).select("clause_id", "doc_id", "_p.ord", "_p.probe")
-    hits = c.join(p, "doc_id").filter(F.contains("_t", "probe"))
-    best = Window.partitionBy("clause_id", "doc_id").orderBy("ord", "page")
-    one = hits.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("clause_id", "doc_id", "page", "ord")
+    one = exact_places(clauses, pages)
     left = _needles(clauses.join(one, ["clause_id", "doc_id"], "left_anti").select("clause_id", "doc_id", "clause_text"))
     t = _folded(pages)
     like = _sharing(left, t, ["doc_id"]).join(left.select("clause_id", "doc_id", "_n"), ["clause_id", "doc_id"]).join(t, ["doc_id", "page"])
@@ -139,3 +153,64 @@ def locate(clauses: DataFrame, pages: DataFrame) -> DataFrame:
     out = clauses.select("clause_id", "doc_id").join(one, ["clause_id", "doc_id"], "left").join(like, ["clause_id", "doc_id"], "left")
     method = F.when(F.col("page").isNotNull(), "exact").when(F.col("_near").isNotNull(), "fuzzy").otherwise("failed")
     return out.select("clause_id", "doc_id", F.coalesce("page", "_near").alias("page"), "ord", method.alias("method"))
+
+
+def partial_ratio(quote: str, document: str) -> int:
+    """Best Indel ratio of the quote with any stretch of its length, if that can reach ``NEAR``.
+
+    At 92 of 100 at most 16 letters of 100 differ, so of pieces of six letters one stands
+    unchanged: only stretches around such a piece are looked at."""
+    size = len(quote)
+    if len(document) <= size:
+        return indel_ratio(quote, document)
+    reach = 2 * (100 - NEAR) * size // 100
+    starts: set[int] = set()
+    for at in range(0, size - 5, 6):
+        piece, hit = quote[at : at + 6], -1
+        while (hit := document.find(piece, hit + 1)) >= 0:
+            starts.update(range(max(0, hit - at - reach), min(len(document) - size, hit - at + reach) + 1))
+    return max((indel_ratio(quote, document[i : i + size]) for i in starts), default=0)
+
+
+@F.pandas_udf(IntegerType())
+def _partial(quote: pd.Series, document: pd.Series) -> pd.Series:
+    return pd.Series([partial_ratio(q, d) if q and d else 0 for q, d in zip(quote, document, strict=True)], dtype="int32")
+
+
+def is_verbatim(quotes: DataFrame, quote: str = "quote", document: str = "document") -> DataFrame:
+    """Add ``verbatim``: the quote has 20 letters at least and stands in the document, white
+    space and case aside, or nearly so. Only what does not stand there is compared by ratio."""
+    flat = quotes.withColumns({"_q": flatten(F.coalesce(quote, F.lit(""))), "_d": flatten(F.coalesce(document, F.lit("")))})
+    flat = flat.withColumn("_s", F.contains("_d", "_q"))
+    long = F.length("_q") >= LEAST
+    ratio = _partial(F.when(long & ~F.col("_s"), F.col("_q")), F.when(long & ~F.col("_s"), F.col("_d")))
+    return flat.withColumn("verbatim", long & (F.col("_s") | (ratio >= NEAR))).drop("_q", "_d", "_s")
+
+
+def ground(quotes: DataFrame) -> DataFrame:
+    """quotes(..., kind, quote, percentage, document) with status: blank (no quote is given),
+    dropped (not in the document), bad_figure (the rate is not in the quote; milestones have
+    none) or kept. ``grounded``: the quote stands, whatever becomes of its rate."""
+    q = is_verbatim(quotes)
+    blank = absent_quote(F.col("quote"))
+    rated = (F.col("kind") != "milestone") & F.col("percentage").isNotNull()
+    bad = rated & ~percentage_stated(F.col("percentage"), F.col("quote"))
+    status = F.when(blank, "blank").when(~F.col("verbatim"), "dropped").when(bad, "bad_figure").otherwise("kept")
+    return q.withColumns({"status": status, "grounded": ~blank & F.col("verbatim")}).drop("verbatim")
+
+
+def overlap(quote: Column, page: Column) -> Column:
+    """Share of a quote's distinctive words that a page uses; null where it has none."""
+    mine = _vocabulary(F.lower(quote))
+    return F.when(F.size(mine) > 0, F.size(F.array_intersect(mine, _vocabulary(F.lower(page)))) / F.size(mine))
+
+
+def rates(located: DataFrame) -> DataFrame:
+    """Counts and percentages of quotes placed exactly, by likeness, and not at all."""
+    n = F.count("*")
+    share = lambda c: F.when(n > 0, F.round(100.0 * F.count_if(c) / n, 1)).otherwise(0.0)
+    m = F.col("method")
+    return located.agg(
+        n.alias("n"), share(m == "exact").alias("exact_pct"), share(m == "fuzzy").alias("fuzzy_pct"), share(m == "failed").alias("failed_pct"),
+        share(m != "failed").alias("grounded_pct"),
+    )

@@ -19,31 +19,28 @@ TOLERANCE_DAYS = 15
 
 
 def best_bucket(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOLERANCE_DAYS) -> DataFrame:
-    """(txn_id, entry_id, lag): the billing each payment answers.
+    """(txn_id, entry_id, lag, amount): the billing each payment answers.
 
     Same client and same calendar month, or at most ``tolerance_days`` apart; a billing
     already issued beats one to come, then the nearest, then the earlier, then the
     smaller entry id.
     """
     e = entries.select("entry_id", "client_id", "billing_date")
-    months = F.array_distinct(
-        F.array(
-            *[month_number(d) for d in (F.date_sub("billing_date", tolerance_days), F.col("billing_date"), F.date_add("billing_date", tolerance_days))]
-        )
-    )
-    e = e.withColumn("_m", F.explode(months))
-    p = payments.select("txn_id", "client_id", "transaction_date").withColumn("_m", month_number(F.col("transaction_date")))
+    reach = [month_number(d) for d in (F.date_sub("billing_date", tolerance_days), F.date_add("billing_date", tolerance_days))]
+    e = e.withColumn("_m", F.explode(F.sequence(*reach)))
+    p = payments.select("txn_id", "client_id", "transaction_date", "amount").withColumn("_m", month_number(F.col("transaction_date")))
     both = p.join(e, ["client_id", "_m"])
     lag = F.datediff("transaction_date", "billing_date")
     same = month_number(F.col("billing_date")) == F.col("_m")
     both = both.withColumn("lag", lag).filter(same | (F.abs("lag") <= tolerance_days))
-    order = Window.partitionBy("txn_id").orderBy(F.when(F.col("lag") >= 0, 0).otherwise(1), F.abs("lag"), "billing_date", "entry_id")
-    return both.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("txn_id", "entry_id", "lag")
+    order = F.struct(F.when(F.col("lag") >= 0, 0).otherwise(1), F.abs("lag"), "billing_date", "entry_id", "lag", "amount")
+    best = both.groupBy("txn_id").agg(F.min(order).alias("_b"))
+    return best.select("txn_id", "_b.entry_id", "_b.lag", "_b.amount")
 
 
 def bucket_totals(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOLERANCE_DAYS) -> DataFrame:
     """Every entry with paid, n_payments and the largest payment's id; empty ones stay."""
-    hit = best_bucket(entries, payments, tolerance_days).join(payments.select("txn_id", "amount"), "txn_id")
+    hit = best_bucket(entries, payments, tolerance_days)
     sums = hit.groupBy("entry_id").agg(
         F.sum("amount").cast("decimal(18,2)").alias("paid"), F.count("*").alias("n_payments"),
         F.max_by("txn_id", F.struct("amount", -F.col("txn_id"))).alias("representative_id"),
@@ -57,11 +54,11 @@ def unmatched(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOL
     return payments.join(best_bucket(entries, payments, tolerance_days), "txn_id", "left_anti").filter("client_id IS NOT NULL")
 
 
-def _close(target: Column) -> Column:
-    return F.greatest(target * F.lit(0.01).cast("decimal(4,2)"), F.lit(0.01).cast("decimal(18,4)"))
+def _close(target: Column, pct: float = 1.0) -> Column:
+    return F.greatest(target * F.lit(pct / 100).cast("decimal(6,4)"), F.lit(0.01).cast("decimal(18,4)"))
 
 
-def classify(buckets: DataFrame) -> DataFrame:
+def classify(buckets: DataFrame, tolerance_pct: float = 1.0) -> DataFrame:
     """Add gap, anomaly_type (null: fine, or overpaid), confidence and clause_role."""
     owed, paid = F.col("expected_amount"), F.col("paid")
     df = buckets.withColumn("gap", (owed - paid).cast("decimal(18,2)")).withColumn("_prev", previous_rate(buckets))
@@ -77,7 +74,7 @@ def classify(buckets: DataFrame) -> DataFrame:
     lapsed = F.when(F.col("applied_discount_pct") == 0, F.array_min(offs))
     df = df.withColumn("_raise", raised).withColumn("_disc", lapsed)
     late = F.col("_raise").isNotNull() & (F.col("_disc").isNull() | (F.col("_raise") <= F.col("_disc")))
-    fine = (owed <= 0) | (F.col("gap") <= _close(owed))
+    fine = (owed <= 0) | (F.col("gap") <= _close(owed, tolerance_pct))
     kind = (
         F.when(owed <= 0, F.lit(None)).when(paid <= 0, "ghost_invoice").when(fine, F.lit(None))
         .when(late, "forgotten_raise").when(F.col("_disc").isNotNull(), "zombie_discount").otherwise("short_change")
@@ -94,8 +91,8 @@ def classify(buckets: DataFrame) -> DataFrame:
     ).drop("_prev", "_raise", "_disc")
 
 
-def reconcile(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOLERANCE_DAYS) -> DataFrame:
-    return classify(bucket_totals(entries, payments, tolerance_days))
+def reconcile(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOLERANCE_DAYS, tolerance_pct: float = 1.0) -> DataFrame:
+    return classify(bucket_totals(entries, payments, tolerance_days), tolerance_pct)
 
 
 def score_against(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

@@ -109,7 +109,7 @@ def schedule_single_rise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reconcile_best_bucket(spark: SparkSession, d: str) -> DataFrame:
-    return rec.best_bucket(src.entries(spark, d), src.payments(spark, d))
+    return rec.best_bucket(src.entries(spark, d), src.payments(spark, d)).drop("amount")
 
 
 def reconcile_buckets(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +154,8 @@ def findings_groups(spark: SparkSession, d: str) -> DataFrame:
     """By type in the fixed display order, with subtotals."""
     order = F.array(*map(F.lit, ("ghost_invoice", "forgotten_raise", "zombie_discount", "short_change")))
     g = findings(spark, d).groupBy("anomaly_type").agg(F.count("*").alias("n"), shown(F.sum("gap")).alias("subtotal"))
-    return g.withColumn("position", F.array_position(order, F.col("anomaly_type"))).orderBy("position")
+    position = F.array_position(order, F.col("anomaly_type"))  # 0 for an unknown type, which comes last
+    return g.withColumn("position", F.when(position > 0, position).otherwise(F.size(order) + 1)).orderBy("position")
 
 
 def dash_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +218,7 @@ SQL = {
     "findings_by_gap": BASE + """SELECT entry_id, client_name, anomaly_type, CAST(expected_amount AS DOUBLE) AS expected, CAST(paid AS DOUBLE) AS actual,
       CAST(gap AS DOUBLE) AS gap, round(confidence, 3) AS confidence FROM findings""",
     "findings_groups": BASE + """SELECT anomaly_type, count(*) AS n, CAST(sum(gap) AS DOUBLE) AS subtotal,
-      CAST(list_position(['ghost_invoice', 'forgotten_raise', 'zombie_discount', 'short_change'], anomaly_type) AS BIGINT) AS position FROM findings GROUP BY anomaly_type""",
+      CAST(CASE anomaly_type WHEN 'ghost_invoice' THEN 1 WHEN 'forgotten_raise' THEN 2 WHEN 'zombie_discount' THEN 3 WHEN 'short_change' THEN 4 ELSE 5 END AS BIGINT) AS position FROM findings GROUP BY anomaly_type""",
     "dash_summary": BASE + """SELECT CAST(sum(gap) AS DOUBLE) AS total_gap, count(*) AS n_findings, count(*) FILTER (confidence < 0.9) AS n_unsure,
       count(*) FILTER (clause_role = 'base_fee') AS n_base_fee, count(DISTINCT client_id) AS clients_affected, max(billing_date) AS latest,
       (SELECT count(*) FROM contracts) AS clients_total FROM findings""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.dates import parse_dates
@@ -23,18 +23,19 @@ def file_kind(path: Column) -> Column:
 def read_statement(spark: SparkSession, path: str, mapping: dict[str, str]) -> DataFrame:
     """CSV with a confirmed {field: column} map -> date, amount, description. Rows whose
     date or amount cannot be read go; without a date or amount column there are none."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).csv(path).withColumn("_file", F.col("_metadata.file_path"))
     schema = "transaction_date date, amount double, description string"
     if not {"date", "amount"} <= mapping.keys() or not set(mapping.values()) <= set(raw.columns):
         return spark.createDataFrame([], schema)
     picked = raw.select(
-        F.col(mapping["date"]).alias("_d"), F.col(mapping["amount"]).alias("_a"),
+        "_file", F.col(mapping["date"]).alias("_d"), F.col(mapping["amount"]).alias("_a"),
         (F.col(mapping["description"]) if "description" in mapping else F.lit(None).cast("string")).alias("_t"),
     )
     month_first = parse_dates(F.col("_d"), F.lit(False))
-    failing = picked.agg((F.avg(month_first.isNull().cast("int")) > UNREAD).alias("_day_first"))
+    # each file is read month-first or day-first as a whole
+    failing = picked.groupBy("_file").agg((F.avg(month_first.isNull().cast("int")) > UNREAD).alias("_day_first"))
     text = squeeze(F.col("_t"))
-    out = picked.crossJoin(failing).select(
+    out = picked.join(failing, "_file").select(
         parse_dates(F.col("_d"), F.col("_day_first")).alias("transaction_date"), clean_amount(F.col("_a")).alias("amount"),
         F.when(text != "", text).alias("description"),
     )
@@ -42,9 +43,12 @@ def read_statement(spark: SparkSession, path: str, mapping: dict[str, str]) -> D
 
 
 def new_uploads(uploads: DataFrame, known: DataFrame) -> DataFrame:
-    """Files of a batch whose name is not in the run yet, the first of each name."""
+    """Files of a batch whose name is not in the run yet, the first of each name by position."""
     fresh = uploads.join(known.select("run_id", "filename"), ["run_id", "filename"], "left_anti")
-    return fresh.dropDuplicates(["run_id", "filename"]).withColumn("status", F.when(file_kind(F.col("filename")) == "csv", "pending").otherwise("complete"))
+    place = F.col("position") if "position" in fresh.columns else F.lit(0)
+    first = Window.partitionBy("run_id", "filename").orderBy(place)
+    fresh = fresh.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    return fresh.withColumn("status", F.when(file_kind(F.col("filename")) == "csv", "pending").otherwise("complete"))
 
 
 def object_key(run_id: Column, content: Column, name: Column) -> Column:
