@@ -39,9 +39,10 @@ def text_relevance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct numbers a text states, their count and sum (added in order of size)."""
-    n = F.array_sort(F.array_distinct(text.amounts_in(F.col("text"))))
-    return terms(spark, d).select("doc_id", F.size(n).cast("long").alias("n"), F.round(F.aggregate(n, F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+    """Distinct numbers that a whole text states, their count and exact sum."""
+    n = F.array_distinct(F.array_compact(text.amounts_in(F.col("text"), "decimal(38,6)")))
+    total = F.aggregate(n, F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x).cast("decimal(38,2)")).cast("double")
+    return terms(spark, d).select("doc_id", F.size(n).cast("long").alias("n"), total.alias("total"))
 
 
 def text_fold(spark: SparkSession, d: str) -> DataFrame:
@@ -264,8 +265,10 @@ SQL = {
     "text_fingerprint": f"SELECT doc_id, {_FP.format('text')} AS fingerprint FROM documents",
     "text_blanks": f"WITH {TERMS} SELECT doc_id, CAST({_COUNT.format('text', text.BLANK)} AS BIGINT) AS blanks FROM terms",
     "text_relevance": f"WITH {TERMS} SELECT doc_id, CAST({' + '.join(_COUNT.format('text', '(?i)' + p) + f' * {w}' for p, w in text.RELEVANCE)} AS BIGINT) AS score FROM terms",
-    "text_numbers": f"""WITH {TERMS}, n AS (SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '{_NUMBER}'),
-      lambda x: round(CAST(replace(x, ',', '') AS DOUBLE), 2)))) AS v FROM terms) SELECT doc_id, CAST(len(v) AS BIGINT) AS n, round(coalesce(list_sum(v), 0), 2) AS total FROM n""",
+    "text_numbers": f"""WITH {TERMS}, n AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '{_NUMBER}'),
+      lambda x: round(TRY_CAST(replace(x, ',', '') AS DECIMAL(38,6)), 2)), lambda x: x IS NOT NULL)) AS v FROM terms),
+      u AS (SELECT doc_id, unnest(v) AS x FROM n), s AS (SELECT doc_id, CAST(sum(x) AS DOUBLE) AS total FROM u GROUP BY doc_id)
+      SELECT doc_id, CAST(len(v) AS BIGINT) AS n, coalesce(total, 0) AS total FROM n LEFT JOIN s USING (doc_id)""",
     "text_fold": f"SELECT doc_id, md5(trim(regexp_replace({FOLD}, '\\s+', ' ', 'g'))) AS folded FROM documents",
     "html_text": f"WITH x AS (SELECT page_id, {_HTML} AS t FROM pages, (SELECT {_NAMED} AS named)) SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS BIGINT) AS n FROM x",
     "text_verbatim": """WITH q AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM benchmark),
