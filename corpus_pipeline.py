@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and
 reread as the next stage's docs. All but the last return the columns of documents.
 Mixing may return a document more than once (whole copies), so later rows repeat ids.
+
+Null texts and texts without words fail the quality rules; rows with a null id pass every
+stage as documents of their own (one of each text after the join); very long texts are
+taken whole; an empty table gives an empty table; columns beside those of documents ride
+along up to packing.
 """
 
 from __future__ import annotations

@@ -12,9 +12,10 @@ shards below it. Law ``rows``: counts are at most one apart.
 Ranks inside a shard are taken in cells (shard, linked or not, hash of the group,
 hash of the id), so that neither a shard nor a huge group is sorted in one task.
 
-Defined cases: a null text is an empty one of size 8 and crc 0; rows with the same
-id are rows of their own; an empty table gives an empty table; extra columns stay
-out of the moves and are not returned.
+Defined cases: a null text is an empty one of size 8 and crc 0; a very long text counts
+like any other, by its digest; rows with the same id, null ids too, are rows of their own
+(equal rows fall to the same hashes and are told apart by rank alone); an empty table
+gives an empty table; extra columns stay out of the moves and are not returned.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ all rows is spread over ``cells`` windows of even width in key probability.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last
 in order; rows with the same id and text are rows of their own; equal keys go by
-id, then size; an empty table gives an empty table; extra columns stay.
+id, then size; null ids share one random number and are taken by their weight, then size;
+a very long text is measured whole; an empty table gives an empty table; extra columns stay.
 """
 
 from __future__ import annotations

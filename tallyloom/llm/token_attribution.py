@@ -11,8 +11,8 @@ A token that crosses a boundary is given to one section by ``rule``:
 add up to the document's tokens exactly.
 
 Defined cases: a null field is empty and has one section of no characters; an empty
-section counts 0; rows with the same id are counted one by one; an empty table gives
-an empty table; extra columns are not read.
+section counts 0; a very long text is encoded whole; rows with the same id, null ids too,
+are counted one by one; an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -495,3 +495,27 @@ def test_stage_keeps_null_ids_and_one_of_repeated_rows(spark):
     assert got.columns == docs.columns
     want = [(3, one, "r"), (5, two, "s"), (6, None, "s"), (None, two, "s"), (None, "other words that stand alone here", "s"), (None, None, "s"), (None, "", "s")]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_very_long_text(spark):
+    body = some_words(60_000, 30_000)
+    rows = [(1, body, "s"), (2, body + " one two", "s"), (3, "start " + PASSAGE, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {r[0]: r[1] for r in rows}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()}
+    assert got == jaccard_brute(texts) and got[2][1] == 1
+    cut = {r[0]: tuple(r[1:4]) for r in substring_dedup.remove_repeats(df).collect()}
+    assert cut == repeats_brute(texts, 50)
+    n = {i: len(words(t)) for i, t in texts.items()}
+    assert {r.doc_id: r.n_words for r in quality_rules.apply_rules(df).collect()} == n
+    assert {r.doc_id: r.n_words for r in license_scan.scan_licenses(df).collect()} == n
+    assert {r.doc_id: r.size for r in source_mixing.mix_sources(df).collect()} == n
+    assert all(not r.pii for r in pii.with_spans(df).collect())
+
+
+def test_stages_on_an_empty_table(spark, none):
+    import corpus_pipeline
+
+    docs = none.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0
