@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.store import materialize
+
 KEEP = 0.6
 AROUND = 40
 #: matches whose places are summed up at once
@@ -144,7 +146,10 @@ def with_spans(docs: DataFrame, text: str = "text", kinds=KINDS) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text", changed: str = "__changed", kinds=KINDS) -> DataFrame:
     """Each kind's spans replaced by [KIND], one kind after the other on what is left by
-    those before it; ``changed`` tells whether there were any. One pass over the pieces."""
+    those before it; ``changed`` tells whether there were any. One pass over the pieces.
+
+    Each kind reads the text that the one before has left, several times over: write the
+    result before filtering on its text, or Catalyst copies all steps into the filter."""
     out = docs.withColumn(changed, F.lit(False))
     for kind, pattern, holds, score, context in kinds:
         m, g = _cut(F.col(text), pattern, holds)
@@ -186,7 +191,8 @@ def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     No row goes: null and empty texts, null ids and repeated rows stay as they are, and an
     empty table gives an empty table. Columns other than text and n_chars are not touched.
+    The result is a written table, so that no later filter is pushed into the replacements.
     """
     clean = redact(docs)
     length = F.when(F.col("__changed"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", length).select(*docs.columns)
+    return materialize(clean.withColumn("n_chars", length).select(*docs.columns), "pii-clean")
