@@ -136,15 +136,15 @@ def verbatim_hits(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     q = q.withColumn("_w", F.split("q", " "))
     k = F.coalesce(*[F.when(F.size("_w") >= n + 2, n) for n in QUOTE_WORDS], F.lit(0))
     q = q.withColumn("_k", k)
-    inner = F.xxhash64("_k", F.array_join(F.slice("_w", F.lit(2), F.greatest("_k", F.lit(1))), " "))
+    hashed = lambda n, first: F.xxhash64(F.lit(n), *[F.get("_w", first + j) for j in range(n)])
+    inner = F.coalesce(*[F.when(F.col("_k") == n, hashed(n, F.lit(1))) for n in QUOTE_WORDS])
     long = q.filter("_k > 0").select("item_id", "q", inner.alias("_h"))
     asked = [r["_k"] for r in q.select("_k").distinct().collect()]  # at most one for each width
     t = docs.select("doc_id", flatten(F.col("text")).alias("t"))
     words = t.withColumn("_w", F.split("t", " "))
 
     def windows(n: int) -> Column:
-        join = lambda i: F.xxhash64(F.lit(n), F.concat_ws(" ", *[F.get("_w", i + j) for j in range(n)]))
-        return F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(0), F.size("_w") - n), join)).otherwise(F.array().cast("array<bigint>"))
+        return F.when(F.size("_w") >= n, F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: hashed(n, i))).otherwise(F.array().cast("array<bigint>"))
 
     # outer: the filter that a plain explode infers would split the text for every window
     every = F.array_distinct(F.flatten(F.array(*[windows(n) for n in QUOTE_WORDS if n in asked], F.array().cast("array<bigint>"))))
