@@ -19,17 +19,23 @@ FIELD_NAMES = {
 }
 #: Fixed value: a header less like every known one stays unmapped.
 HEADER_LIKENESS = 55
-#: blocks that the names of one length and run are dealt into
-BLOCKS = 8
+#: names of a run that a block holds, about
+BLOCK = 2048
 
 
 def _alike(threshold: int):
+    #: the shorter key's least share of both lengths
+    least = (threshold - 0.5) / 200
+
     def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("n")
+        sizes, places, keys = right["n"].to_numpy(), right["place"].to_numpy(), right["key"].to_numpy()
         out = []
-        for place, key in zip(left["place"], left["key"], strict=True):
-            for other, k in zip(right["place"], right["key"], strict=True):
-                if other < place and (k == key or indel_ratio(key, k) >= threshold):
-                    out.append((left["run_id"].iloc[0], place, other))
+        for run, place, key, n in zip(left["run_id"], left["place"], left["key"], left["n"], strict=True):
+            lo, hi = np.searchsorted(sizes, [np.ceil(n * least / (1 - least)), np.floor(n * (1 - least) / least) + 1])
+            for i in lo + np.flatnonzero(places[lo:hi] < place):
+                if keys[i] == key or indel_ratio(key, keys[i]) >= threshold:
+                    out.append((run, place, places[i]))
         return pd.DataFrame(out, columns=["run_id", "a", "b"], dtype=np.int64)
 
     return pairs
@@ -37,13 +43,15 @@ def _alike(threshold: int):
 
 def similar_names(names: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """names(run_id, place, key) -> (run_id, a, b): the name at place a is like the earlier one
-    at b. Two keys can only reach the ratio where the lengths allow it, so names meet by length."""
-    least = (threshold - 0.5) / 200  # of the sum of both lengths, the shorter's share
+    at b. Names of a run are dealt into blocks by their number, and blocks meet in pairs; two
+    keys are compared where their lengths allow the ratio. The work is the square of a run's names."""
     names = names.filter("key <> ''").withColumn("n", F.length("key"))
-    low, high = F.ceil(F.col("n") * least / (1 - least)).cast("int"), F.floor(F.col("n") * (1 - least) / least).cast("int")
-    left = names.withColumn("len", F.explode(F.sequence(low, high))).withColumn("block", F.pmod(F.xxhash64("place"), F.lit(BLOCKS)).cast("int"))
-    right = names.withColumns({"len": F.col("n"), "block": F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))})
-    by = ["run_id", "len", "block"]
+    blocks = names.groupBy("run_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    names = names.join(blocks, "run_id").withColumn("own", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int"))
+    names = names.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = names.select("run_id", F.col("own").alias("i"), F.col("other").alias("j"), "place", "key", "n")
+    right = names.select("run_id", F.col("other").alias("i"), F.col("own").alias("j"), "place", "key", "n").toDF("run_id", "i", "j", "place", "key", "n")
+    by = ["run_id", "i", "j"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_alike(threshold), "run_id long, a long, b long")
 
 
