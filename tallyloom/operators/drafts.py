@@ -174,3 +174,14 @@ def table_text(rows: Column) -> Column:
     """A table as text: cells of a row joined by bars, a line each, blank rows gone."""
     lines = F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))), " | "))
     return F.array_join(F.filter(lines, lambda x: ~x.rlike(r"^[ |]*$")), "\n")
+
+
+def window_around(whole: Column, needle: Column, size: int = 1400) -> Column:
+    """A stretch of a text around a scored snippet, found by its first ten words, else by its
+    last ten, whatever the case and the white space between; null where neither stands there."""
+    words = F.filter(F.split(needle, r"\s+"), lambda w: w != "")
+    pattern = lambda some: F.concat(F.lit("(?i)"), F.array_join(F.transform(some, lambda w: F.regexp_replace(w, r"(\p{Punct})", r"\\$1")), r"\s+"))
+    head, tail = F.slice(words, 1, 10), F.slice(words, F.greatest(F.size(words) - 9, F.lit(1)), 10)
+    hit = F.when(F.size(words) >= 3, F.coalesce(F.regexp_substr(whole, pattern(head)), F.regexp_substr(whole, pattern(tail))))
+    start = F.greatest(F.instr(whole, hit) - 1 - size // 3, F.lit(0))
+    return F.when(hit.isNotNull(), F.substr(whole, start + 1, F.lit(size)))

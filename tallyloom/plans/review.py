@@ -45,6 +45,12 @@ def contract_hits(spark: SparkSession, d: str) -> DataFrame:
     return scan.hits(terms(spark, d))
 
 
+def clause_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Excerpts around one clause, whichever way it is broken and written."""
+    w = drafts.window_around(F.col("text"), F.lit("THE  fee shall\nincrease BY 5% annually."))
+    return terms(spark, d).select("doc_id", F.md5(w.cast("binary")).alias("window_md5"))
+
+
 def draft_answers(spark: SparkSession, d: str) -> DataFrame:
     """The plain reader's answers as drafts over excerpts with other sums beside the fee."""
     k = F.col("client_id")
@@ -104,7 +110,7 @@ def order_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    name_groups, column_proposals, contract_categories, contract_hits, draft_checks, draft_corrections, exam_progress, exam_final, exam_scan, order_tables,
+    name_groups, column_proposals, contract_categories, contract_hits, clause_windows, draft_checks, draft_corrections, exam_progress, exam_final, exam_scan, order_tables,
 )}
 
 
@@ -181,6 +187,8 @@ SQL = {
         f"CASE WHEN {_said(p)} THEN '{c}' END" for c, p in scan.CATEGORIES.items()
     ) + f"""], lambda c: c IS NOT NULL) AS cs FROM fl) SELECT doc_id, array_to_string(cs, ',') AS categories, list_contains(cs, 'recurring_fee') AND list_contains(cs, 'escalation') AS core_pair, {_said(scan.PLAIN_WORDS)} AS plain_filter,
       list_contains(cs, 'escalation') AND NOT {_said(corpus.CONCRETE_RISE)} AND {_said(scan.DISPUTE)} AS dispute_only FROM x WHERE len(cs) >= 2""",
+    "clause_windows": f"""WITH {TERMS}, x AS (SELECT doc_id, text, strpos(lower(text), 'the fee shall increase by 5% annually.') AS p FROM terms)
+      SELECT doc_id, CASE WHEN p > 0 THEN md5(substring(text, greatest(p - 1 - 466, 0) + 1, 1400)) END AS window_md5 FROM x""",
     "draft_checks": _DRAFTS + "SELECT name, CASE WHEN usable THEN failed END AS failed, CASE WHEN usable THEN 3 + 4 * has_esc::INT + has_disc::INT + has_ms::INT END AS n_checks, verdict FROM ver",
     "draft_corrections": _DRAFTS + """SELECT name, CASE WHEN mend THEN fee ELSE amount END AS amount, CASE WHEN mend THEN rhythm ELSE frequency END AS frequency, has_esc AND NOT lost AND NOT unquoted AS has_rise,
       (has_disc AND NOT bad_disc)::INT AS n_items, concat_ws('; ', CASE WHEN mend THEN 'base amount: the only recurring fee in the text' END, CASE WHEN mend AND rhythm <> frequency THEN 'billing frequency: from the same sentence' END,

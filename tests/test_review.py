@@ -85,3 +85,10 @@ def test_drafts_are_checked_and_repaired(spark):
 def test_table_text(spark):
     df = spark.range(1).select(drafts.table_text(F.array(F.array(F.lit(" a "), F.lit(None).cast("string")), F.array(F.lit(""), F.lit(" ")), F.array(F.lit("b"), F.lit("c")))).alias("x"))
     assert df.first().x == "a | \nb | c"
+
+
+def test_windows_around_a_snippet(spark):
+    long = "x" * 3000 + " The (monthly)\nFEE is $5. " + "y" * 3000
+    rows = [(long, "the (monthly) fee is $5."), (long, "not here " * 9 + "(monthly) fee is $5. " + "y" * 3000), (long, "fee is"), (None, "a b c"), ("a b c", None)]
+    got = [r.w for r in spark.createDataFrame(rows, "t string, n string").select(drafts.window_around(F.col("t"), F.col("n")).alias("w")).collect()]
+    assert got[0] == long[3001 - 466 : 3001 - 466 + 1400] and got[1:] == [None] * 4
