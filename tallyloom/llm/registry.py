@@ -16,6 +16,7 @@ MODULES = {
     "op6_pii": "pii",
     "op7_substring_dedup": "substring_dedup",
     "op8_quality_rules": "quality_rules",
+    "op12_importance_resampling": "importance_resampling",
 }
 
 
