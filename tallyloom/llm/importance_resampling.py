@@ -45,12 +45,13 @@ def _bucket(run: Column, buckets: int) -> Column:
 
 def line_features(words: Column, longest: int, buckets: int) -> Column:
     """Buckets of all runs of 1 to ``longest`` of ``words``."""
-    found = [F.transform(words, lambda w: _bucket(w, buckets))]
-    for k in range(2, longest + 1):
+    def runs(k: int) -> Column:
         starts = F.sequence(F.lit(1), F.size(words) - (k - 1))
-        runs = F.transform(starts, lambda i, k=k: _bucket(F.array_join(F.slice(words, i, F.lit(k)), " "), buckets))
-        found.append(F.when(F.size(words) >= k, runs).otherwise(F.array().cast("array<int>")))
-    return F.concat(*found) if len(found) > 1 else found[0]
+        found = F.transform(starts, lambda i: _bucket(F.array_join(F.slice(words, i, F.lit(k)), " "), buckets))
+        return F.when(F.size(words) >= k, found).otherwise(F.array().cast("array<int>"))
+
+    single = F.transform(words, lambda w: _bucket(w, buckets))
+    return F.concat(single, *[runs(k) for k in range(2, longest + 1)]) if longest > 1 else single
 
 
 def crossing_features(lines: Column, longest: int, buckets: int) -> Column:

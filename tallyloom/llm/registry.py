@@ -17,6 +17,8 @@ MODULES = {
     "op7_substring_dedup": "substring_dedup",
     "op8_quality_rules": "quality_rules",
     "op12_importance_resampling": "importance_resampling",
+    "op13_prefix_trie": "prefix_trie",
+    "op11_secret_scan": "secret_scan",
 }
 
 
