@@ -1,24 +1,37 @@
 """Who sent a payment: fuzzy match of bank lines to clients with a margin.
 
-Distinct cleaned descriptions are scored against every client, so score and runner_up
-are those of all pairs. Lines and names are dealt into blocks; each pair of blocks is
-scored in one call, a line against all names of the block at once, and gives the two
-best clients of each line. The work is lines times names; only lines and names travel.
+A line is a client's from a score of ``threshold`` on if no other client comes within
+``margin``. So only scores above threshold less margin matter, and an index finds all of
+those without scoring all pairs:
+
+* a ratio that high needs lengths within a factor and a number of letter pairs in common
+  (a letter too few breaks two pairs, a letter too many one). Of each key only so many of
+  its rarest pairs are listed that two keys with enough in common share one of them;
+* an abbreviation needs every word of the line to start a word of the name or the reverse,
+  so the line's rarest word is looked up by its first letters.
+
+Lines and names that share a listed pair meet in cells of bounded size; in a cell a line is
+scored against all names of a fitting length at once. Scores of threshold less margin and
+below are reported as 0.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tallyloom.functions.text import clean_description, normalise_name
 
 THRESHOLD = 85
 MARGIN = 6
-#: blocks that names are dealt into; lines go to as many as there are shuffle partitions
-NAME_BLOCKS = 8
+#: lines and names of one letter pair that meet in one call at most, more or less
+CELL_LINES, CELL_NAMES = 4_000, 40_000
 
 
 def indel_ratio(a: str, b: str) -> int:
@@ -47,98 +60,197 @@ def abbreviation(line: list[str], name: list[str]) -> int:
     return round(80 + 20 * len(line) / len(name))
 
 
+def common_letters(floor: int, length: int) -> int:
+    """Letters in common that two keys of this joint length need for a rounded ratio of ``floor``."""
+    return -(-(2 * floor - 1) * length // 400)
+
+
+def lengths(floor: int, n: int) -> tuple[int, int]:
+    """Shortest and longest key that can reach ``floor`` beside a key of n letters."""
+    return -(-(2 * floor - 1) * n // (401 - 2 * floor)), (401 - 2 * floor) * n // (2 * floor - 1)
+
+
+@lru_cache(maxsize=4096)
+def common_pairs(floor: int, n: int) -> int:
+    """Letter pairs (ends count as letters) that a key of n letters shares at least with any
+    key that can reach ``floor`` beside it."""
+    low, high = lengths(floor, n)
+    found = []
+    for m in range(max(low, 1), high + 1):
+        both = common_letters(floor, n + m)
+        gone, new = n - both, m - both
+        if gone >= 0 and new >= 0:
+            found.append(max(n + 1 - 2 * gone - new, m + 1 - 2 * new - gone))
+    return min(found, default=1)
+
+
+def pairs_of(key: str) -> list[tuple[str, int]]:
+    """Letter pairs of a key with its ends marked, each with the number of its occurrence."""
+    seen: dict[str, int] = {}
+    out = []
+    for a, b in zip("^" + key, key + "$"):
+        seen[a + b] = seen.get(a + b, 0) + 1
+        out.append((a + b, seen[a + b]))
+    return out
+
+
+def listed_pairs(key: str, often: dict[str, int], floor: int) -> list[str]:
+    """The rarest pairs of a key, so many that a key with enough in common lists one of them too."""
+    every = sorted(pairs_of(key), key=lambda p: (often.get(p[0], 0), p))
+    return [f"{p}{k}" for p, k in every[: len(every) - max(common_pairs(floor, len(key)), 1) + 1]]
+
+
+def _listing(often: dict[str, int], floor: int, key: str) -> Callable:
+    """Task: each row once for every listed pair of its key."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pairs = [listed_pairs(k, often, floor) for k in pdf[key]]
+            out = pdf.loc[pdf.index.repeat([len(p) for p in pairs])].copy()
+            out["_pair"] = [x for p in pairs for x in p]
+            yield out
+
+    return run
+
+
 class _Names:
-    """Names of a block: keys by character place, clients by the start of each word."""
+    """Keys of a cell by length, and their letters by place."""
 
-    def __init__(self, keys: list[str], words: list[list[str]], clients: np.ndarray):
+    def __init__(self, keys: list[str], ids: np.ndarray):
         order = sorted(range(len(keys)), key=lambda i: len(keys[i]))
-        self.keys, self.words = [keys[i] for i in order], [words[i] for i in order]
-        self.clients = clients[order]
+        self.keys, self.ids = [keys[i] for i in order], ids[order]
         self.length = np.array([len(k) for k in self.keys], np.int64)
         flat = np.frombuffer("".join(self.keys).encode(), np.uint8)
         start = np.cumsum(self.length) - self.length
-        # the names longer than a place are the last ones
+        # the keys longer than a place are the last ones
         after = np.searchsorted(self.length, np.arange(self.length.max(initial=0)), "right")
-        self.places = [(lo, flat[start[lo:] + p]) for p, lo in enumerate(after)]
-        starts: dict[str, set[int]] = {}
-        for i, w in enumerate(self.words):
-            for x in w:
-                starts.setdefault(x[:2], set()).add(i)
-        self.starts = starts
-
-    def scores(self, key: str, words: list[str]) -> np.ndarray:
+        self.places = [(int(lo), flat[start[lo:] + p]) for p, lo in enumerate(after)]
+
+    def near(self, key: str, floor: int) -> Iterator[tuple[int, int]]:
+        """(place in the cell, ratio) of the keys that reach ``floor`` beside ``key``."""
         n = len(key)
-        if n == 0:
-            out = np.zeros(len(self.keys), np.int64)
-        elif n > 64:
-            out = np.array([indel_ratio(key, k) for k in self.keys], np.int64)
+        low, high = lengths(floor, n)
+        lo, hi = int(np.searchsorted(self.length, low)), int(np.searchsorted(self.length, high, "right"))
+        if lo >= hi:
+            return
+        if n > 64:
+            ratio = np.array([indel_ratio(key, k) for k in self.keys[lo:hi]], np.int64)
         else:
             masks = np.zeros(256, np.uint64)
             for i, ch in enumerate(key.encode()):
                 masks[ch] |= np.uint64(1 << i)
             full = np.uint64((1 << n) - 1)
-            row = np.full(len(self.keys), full)
-            for lo, chars in self.places:
-                r = row[lo:]
-                u = r & masks[chars]
-                row[lo:] = ((r + u) | (r - u)) & full
+            row = np.full(hi - lo, full)
+            for start, chars in self.places:
+                a = max(start, lo)
+                if a >= hi:
+                    break
+                r = row[a - lo :]
+                u = r & masks[chars[a - start : hi - start]]
+                row[a - lo :] = ((r + u) | (r - u)) & full
             common = n - np.bitwise_count(row).astype(np.int64)
-            out = np.where(self.length > 0, np.rint(200 * common / (n + self.length)), 0).astype(np.int64)
-        # words have two letters at least, so one that starts another shares its first two
-        met = [self.starts.get(w[:2], set()) for w in words]
-        for i in set.intersection(*sorted(met, key=len)) if met else ():
-            out[i] = max(out[i], abbreviation(words, self.words[i]))
-        return out
-
-
-def _best_two(lines: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-    """The two best clients of each line among the names of a block."""
-    if not len(lines) or not len(names):
-        return pd.DataFrame({"_line": [], "_cid": [], "_s": []}, dtype=object)
-    clients, ids = pd.factorize(names["_cid"], sort=True)
-    block = _Names(names["_kb"].tolist(), [list(w) for w in names["_wb"]], clients)
-    out = []
-    for line, key, words in zip(lines["_line"], lines["_ka"], lines["_wa"], strict=True):
-        best = np.full(len(ids), -1, np.int64)
-        np.maximum.at(best, block.clients, block.scores(key, list(words)))
-        first = int(best.argmax())  # of equal scores the smallest id
-        out.append((line, ids[first], int(best[first])))
-        if len(ids) > 1:
-            best[first] = -1
-            second = int(best.argmax())
-            out.append((line, ids[second], int(best[second])))
-    return pd.DataFrame(out, columns=["_line", "_cid", "_s"], dtype=object)
+            ratio = np.rint(200 * common / (n + self.length[lo:hi])).astype(np.int64)
+        for k in np.flatnonzero(ratio >= floor):
+            yield lo + int(k), int(ratio[k])
+
+
+def _scored(floor: int) -> Callable:
+    def run(lines: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(lines) and len(names):
+            cell = _Names(names["_kb"].tolist(), names["_cid"].to_numpy())
+            scope = lines["_scope"].iat[0]
+            for line, key in zip(lines["_line"], lines["_ka"], strict=True):
+                out += [(scope, line, cell.ids[k], s) for k, s in cell.near(key, floor)]
+        return pd.DataFrame(out, columns=["_scope", "_line", "_cid", "_s"], dtype=object)
+
+    return run
+
+
+def cells(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """_scope, _pair, and how many cells its lines and its names are dealt into."""
+    n = lines.groupBy("_scope", "_pair").agg(F.count("*").alias("lines"))
+    n = n.join(names.groupBy("_scope", "_pair").agg(F.count("*").alias("names")), ["_scope", "_pair"])
+    parts = lambda c, most: F.ceil(F.col(c) / most).cast("int")
+    return n.withColumns({"_nl": parts("lines", CELL_LINES), "_nn": parts("names", CELL_NAMES)})
+
+
+def listed(lines: DataFrame, names: DataFrame, floor: int) -> tuple[DataFrame, DataFrame]:
+    """Lines (_scope, _line, _ka) and names (_scope, _cid, _kb) once for each listed pair."""
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("_kb") + 1), lambda i: F.substr(F.concat(F.lit("^"), "_kb", F.lit("$")), i, F.lit(2))))
+    # pairs of 36 letters and two ends: some 1500 rows, whatever the input
+    often = {r[0]: r[1] for r in names.select(pair.alias("p")).groupBy("p").count().collect()}
+    lines = lines.mapInPandas(_listing(often, floor, "_ka"), lines.withColumn("_pair", F.lit("")).schema)
+    return lines, names.mapInPandas(_listing(often, floor, "_kb"), names.withColumn("_pair", F.lit("")).schema)
+
+
+def near_names(lines: DataFrame, names: DataFrame, floor: int) -> DataFrame:
+    """_scope, _line, _cid, _s of all lines and names with a ratio of ``floor`` or more."""
+    a, b = listed(lines.filter("_ka <> ''"), names.filter("_kb <> ''"), floor)
+    n = cells(a, b)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    mine = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
+    a = a.join(n, ["_scope", "_pair"]).withColumns({"_cl": mine("_ka", "_nl"), "_cn": every("_nn")}).select("_scope", "_pair", "_cl", "_cn", "_line", "_ka")
+    b = b.join(n, ["_scope", "_pair"]).withColumns({"_cn": mine("_kb", "_nn"), "_cl": every("_nl")}).select("_scope", "_pair", "_cl", "_cn", "_cid", "_kb")
+    by = ["_scope", "_pair", "_cl", "_cn"]
+    kind = names.schema["_cid"].dataType.simpleString()
+    found = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(_scored(floor), f"_scope string, _line string, _cid {kind}, _s int")
+    return found.distinct()
+
+
+@F.pandas_udf(IntegerType())
+def _abbreviation(line: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([abbreviation(list(a), list(b)) for a, b in zip(line, name, strict=True)], dtype="int32")
+
+
+def abbreviated_names(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """_scope, _line, _cid, _s of all lines whose words start the words of a name, in order."""
+    two, three = lambda w: F.substring(w, 1, 2), lambda w: F.substring(w, 1, 3)
+    star, bare = lambda w: F.concat(two(w), F.lit("*")), lambda w: F.concat(two(w), F.lit("="))
+    # a word of three letters meets words with the same three, or the word of its first two
+    told = F.flatten(F.transform("_wb", lambda w: F.array(star(w), F.when(F.length(w) > 2, three(w)).otherwise(bare(w)))))
+    there = names.select("_scope", "_cid", "_wb", F.explode(F.array_distinct(told)).alias("_at"))
+    asked = lambda w: F.when(F.length(w) > 2, F.array(three(w), bare(w))).otherwise(F.array(star(w)))
+    words = lines.filter(F.size("_wa") > 0).select("_scope", "_line", "_wa", F.posexplode("_wa").alias("_k", "_w"))
+    words = words.select("_scope", "_line", "_wa", "_k", F.explode(asked(F.col("_w"))).alias("_at"))
+    often = there.groupBy("_scope", "_at").agg(F.count("*").alias("_n"))
+    each = words.join(often, ["_scope", "_at"], "left").groupBy("_scope", "_line", "_k").agg(F.first("_wa").alias("_wa"), F.sum(F.coalesce("_n", F.lit(0))).alias("_n"), F.collect_list("_at").alias("_at"))
+    rarest = each.groupBy("_scope", "_line").agg(F.min_by(F.struct("_wa", "_at"), F.struct("_n", "_k")).alias("_r"))
+    rarest = rarest.select("_scope", "_line", "_r._wa", F.explode("_r._at").alias("_at"))
+    met = rarest.join(there, ["_scope", "_at"]).filter((F.size("_wa") <= F.size("_wb")) & ((F.size("_wa") > 1) | (F.size("_wb") == 1)))
+    starts = lambda c: F.transform(c, two)
+    met = met.filter(F.size(F.array_except(starts("_wa"), starts("_wb"))) == 0)
+    return met.withColumn("_s", _abbreviation("_wa", "_wb")).filter("_s > 0").select("_scope", "_line", "_cid", "_s")
 
 
 def _words(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: F.length(w) > 1)
 
 
-def attribute(payments: DataFrame, clients: DataFrame, threshold: int = THRESHOLD, margin: int = MARGIN) -> DataFrame:
-    """payments(txn_id, client_id, description), clients(client_id, name) -> txn_id,
-    client_id (null: nobody surely), score, runner_up. A known client_id stays at 100."""
-    p = payments.withColumn("_line", clean_description(F.col("description")))
-    known = clients.select(F.col("client_id").alias("_known")).distinct()
-    p = p.join(known, F.col("client_id") == F.col("_known"), "left")
-    lines = p.filter("_known IS NULL AND _line <> ''").select("_line").distinct()
+def attribute(payments: DataFrame, clients: DataFrame, threshold: int = THRESHOLD, margin: int = MARGIN, within: tuple[str, ...] = ()) -> DataFrame:
+    """payments(txn_id, client_id, description), clients(client_id, name) -> ``within``, txn_id,
+    client_id (null: nobody surely), score, runner_up. A known client_id stays at 100.
+
+    ``within``: columns of both sides (the run) inside which lines meet clients."""
+    floor = threshold - margin + 1
+    scope = F.to_json(F.struct(*within)) if within else F.lit("")
+    p = payments.withColumns({"_line": clean_description(F.col("description")), "_scope": scope})
+    names = clients.filter("client_id IS NOT NULL").select(scope.alias("_scope"), F.col("client_id").alias("_cid"), F.coalesce("name", F.lit("")).alias("_name"))
+    known = names.select("_scope", F.col("_cid").alias("client_id"), F.col("_cid").alias("_known")).distinct()
+    p = p.join(known, ["_scope", "client_id"], "left")
+    lines = p.filter("_known IS NULL AND _line <> ''").select("_scope", "_line").distinct()
     lines = lines.withColumns({"_ka": normalise_name(F.col("_line")), "_wa": _words(F.col("_line"))})
-    names = clients.filter("client_id IS NOT NULL").select(F.col("client_id").alias("_cid"), F.coalesce("name", F.lit("")).alias("_name"))
     names = names.withColumns({"_kb": normalise_name(F.col("_name")), "_wb": _words(F.col("_name"))})
-    parts = int(clients.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    lines = lines.withColumns({"_lb": dealt("_line", parts), "_nb": every(NAME_BLOCKS)})
-    names = names.withColumns({"_nb": dealt("_cid", NAME_BLOCKS), "_lb": every(parts)}).drop("_name")
-    kind = clients.schema["client_id"].dataType.simpleString()
-    scored = lines.groupBy("_lb", "_nb").cogroup(names.groupBy("_lb", "_nb")).applyInPandas(_best_two, f"_line string, _cid {kind}, _s int")
-    order = Window.partitionBy("_line").orderBy(F.desc("_s"), "_cid")
+    scored = near_names(lines.drop("_wa"), names.select("_scope", "_cid", "_kb").distinct(), floor)
+    scored = scored.unionByName(abbreviated_names(lines, names).filter(F.col("_s") >= floor))
+    scored = scored.groupBy("_scope", "_line", "_cid").agg(F.max("_s").alias("_s"))
+    order = Window.partitionBy("_scope", "_line").orderBy(F.desc("_s"), "_cid")
     top = scored.withColumns({"_r": F.row_number().over(order), "_next": F.coalesce(F.lead("_s").over(order), F.lit(0))}).filter("_r = 1")
     sure = (F.col("_s") >= threshold) & (F.col("_s") - F.col("_next") >= margin)
-    top = top.select("_line", F.when(sure, F.col("_cid")).alias("_who"), F.col("_s").alias("_score"), F.col("_next").alias("_runner"))
-    out = p.join(top, "_line", "left")
+    top = top.select("_scope", "_line", F.when(sure, F.col("_cid")).alias("_who"), F.col("_s").alias("_score"), F.col("_next").alias("_runner"))
+    out = p.join(top, ["_scope", "_line"], "left")
     fixed = F.col("_known").isNotNull()
     return out.select(
-        "txn_id", F.when(fixed, F.col("_known")).otherwise(F.col("_who")).alias("client_id"),
+        *within, "txn_id", F.when(fixed, F.col("_known")).otherwise(F.col("_who")).alias("client_id"),
         F.when(fixed, 100).otherwise(F.coalesce("_score", F.lit(0))).alias("score"),
         F.when(fixed, 0).otherwise(F.coalesce("_runner", F.lit(0))).alias("runner_up"),
     )
