@@ -1,24 +1,22 @@
 """Who sent a payment: fuzzy match of bank lines to clients with a margin.
 
 A line is a client's from a score of ``threshold`` on if no other client comes within
-``margin``. So only scores above threshold less margin matter, and an index finds all of
-those without scoring all pairs:
+``margin``. So only scores above threshold less margin matter, and all of those are found
+without comparing all pairs:
 
-* a ratio that high needs lengths within a factor and a number of letter pairs in common
-  (a letter too few breaks two pairs, a letter too many one). Of each key only so many of
-  its rarest pairs are listed that two keys with enough in common share one of them;
+* a ratio that high leaves few letters unmatched, and each of those breaks two letter pairs at
+  most: lengths and 256-bit signatures of the letter pairs rule out nearly all pairs in a
+  few bit operations, and only the rest is compared letter by letter;
 * an abbreviation needs every word of the line to start a word of the name or the reverse,
   so the line's rarest word is looked up by its first letters.
 
-Lines and names that share a listed pair meet in cells of bounded size; in a cell a line is
-scored against all names of a fitting length at once. Scores of threshold less margin and
+Lines and names are dealt into blocks of bounded size; each pair of blocks is one call. Scores of threshold less margin and
 below are reported as 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,8 +28,8 @@ from tallyloom.functions.text import clean_description, normalise_name
 
 THRESHOLD = 85
 MARGIN = 6
-#: lines and names of one letter pair that meet in one call at most, more or less
-CELL_LINES, CELL_NAMES = 4_000, 40_000
+#: 64-bit words of a signature; lines and names of a block, more or less
+WORDS, BLOCK_LINES, BLOCK_NAMES = 4, 1_000, 100_000
 
 
 def indel_ratio(a: str, b: str) -> int:
@@ -60,141 +58,104 @@ def abbreviation(line: list[str], name: list[str]) -> int:
     return round(80 + 20 * len(line) / len(name))
 
 
-def common_letters(floor: int, length: int) -> int:
-    """Letters in common that two keys of this joint length need for a rounded ratio of ``floor``."""
-    return -(-(2 * floor - 1) * length // 400)
-
-
-def lengths(floor: int, n: int) -> tuple[int, int]:
-    """Shortest and longest key that can reach ``floor`` beside a key of n letters."""
-    return -(-(2 * floor - 1) * n // (401 - 2 * floor)), (401 - 2 * floor) * n // (2 * floor - 1)
-
-
-@lru_cache(maxsize=4096)
-def common_pairs(floor: int, n: int) -> int:
-    """Letter pairs (ends count as letters) that a key of n letters shares at least with any
-    key that can reach ``floor`` beside it."""
-    low, high = lengths(floor, n)
-    found = []
-    for m in range(max(low, 1), high + 1):
-        both = common_letters(floor, n + m)
-        gone, new = n - both, m - both
-        if gone >= 0 and new >= 0:
-            found.append(max(n + 1 - 2 * gone - new, m + 1 - 2 * new - gone))
-    return min(found, default=1)
-
-
-def pairs_of(key: str) -> list[tuple[str, int]]:
-    """Letter pairs of a key with its ends marked, each with the number of its occurrence."""
-    seen: dict[str, int] = {}
-    out = []
-    for a, b in zip("^" + key, key + "$"):
-        seen[a + b] = seen.get(a + b, 0) + 1
-        out.append((a + b, seen[a + b]))
+def signatures(keys: list[str]) -> np.ndarray:
+    """Bits of the letter pairs of each key, its ends marked: ``WORDS`` 64-bit words a key."""
+    size = np.array([len(k) + 2 for k in keys], np.int64)
+    flat = np.frombuffer("".join(f"^{k}$" for k in keys).encode(), np.uint8).astype(np.uint64)
+    pair = np.ones(max(len(flat) - 1, 0), bool)
+    pair[np.cumsum(size)[:-1] - 1] = False  # not from one key to the next
+    owner = np.repeat(np.arange(len(keys)), size)[:-1][pair]
+    bit = ((flat[:-1] * np.uint64(257) + flat[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40))[pair] % np.uint64(64 * WORDS)
+    out = np.zeros((len(keys), WORDS), np.uint64)
+    np.bitwise_or.at(out, (owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
     return out
 
 
-def listed_pairs(key: str, often: dict[str, int], floor: int) -> list[str]:
-    """The rarest pairs of a key, so many that a key with enough in common lists one of them too."""
-    every = sorted(pairs_of(key), key=lambda p: (often.get(p[0], 0), p))
-    return [f"{p}{k}" for p, k in every[: len(every) - max(common_pairs(floor, len(key)), 1) + 1]]
-
-
-def _listing(often: dict[str, int], floor: int, key: str) -> Callable:
-    """Task: each row once for every listed pair of its key."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pairs = [listed_pairs(k, often, floor) for k in pdf[key]]
-            out = pdf.loc[pdf.index.repeat([len(p) for p in pairs])].copy()
-            out["_pair"] = [x for p in pairs for x in p]
-            yield out
-
-    return run
-
-
-class _Names:
-    """Keys of a cell by length, and their letters by place."""
-
-    def __init__(self, keys: list[str], ids: np.ndarray):
-        order = sorted(range(len(keys)), key=lambda i: len(keys[i]))
-        self.keys, self.ids = [keys[i] for i in order], ids[order]
-        self.length = np.array([len(k) for k in self.keys], np.int64)
-        flat = np.frombuffer("".join(self.keys).encode(), np.uint8)
-        start = np.cumsum(self.length) - self.length
-        # the keys longer than a place are the last ones
-        after = np.searchsorted(self.length, np.arange(self.length.max(initial=0)), "right")
-        self.places = [(int(lo), flat[start[lo:] + p]) for p, lo in enumerate(after)]
-
-    def near(self, key: str, floor: int) -> Iterator[tuple[int, int]]:
-        """(place in the cell, ratio) of the keys that reach ``floor`` beside ``key``."""
-        n = len(key)
-        low, high = lengths(floor, n)
-        lo, hi = int(np.searchsorted(self.length, low)), int(np.searchsorted(self.length, high, "right"))
-        if lo >= hi:
-            return
-        if n > 64:
-            ratio = np.array([indel_ratio(key, k) for k in self.keys[lo:hi]], np.int64)
-        else:
-            masks = np.zeros(256, np.uint64)
-            for i, ch in enumerate(key.encode()):
-                masks[ch] |= np.uint64(1 << i)
-            full = np.uint64((1 << n) - 1)
-            row = np.full(hi - lo, full)
-            for start, chars in self.places:
-                a = max(start, lo)
-                if a >= hi:
-                    break
-                r = row[a - lo :]
-                u = r & masks[chars[a - start : hi - start]]
-                row[a - lo :] = ((r + u) | (r - u)) & full
-            common = n - np.bitwise_count(row).astype(np.int64)
-            ratio = np.rint(200 * common / (n + self.length[lo:hi])).astype(np.int64)
-        for k in np.flatnonzero(ratio >= floor):
-            yield lo + int(k), int(ratio[k])
+class Names:
+    """Keys of a block: letters in a table, lengths, signatures."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+        self.size = np.array([len(k) for k in keys], np.int64)
+        self.letters = np.zeros((len(keys), int(self.size.max(initial=0))), np.uint8)
+        self.letters[np.arange(self.letters.shape[1]) < self.size[:, None]] = np.frombuffer("".join(keys).encode(), np.uint8)
+        self.signs = signatures(keys)
+
+    def possible(self, signs: np.ndarray, n: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
+        """(line, name) that lengths and letter pairs do not rule out.
+
+        With ``both`` letters in common, a line of n letters loses n - both and gains
+        m - both: a letter lost breaks two of its pairs, a letter gained one."""
+        kinds, kind = np.unique(n, return_inverse=True)
+        both = -(-(2 * floor - 1) * (kinds[:, None] + self.size) // 400)
+        gone, new = kinds[:, None] - both, self.size - both
+        lost = np.where((gone >= 0) & (new >= 0), 2 * gone + new, -1).astype(np.int16)
+        missing = np.zeros((len(n), len(self.size)), np.int16)
+        for w in range(WORDS):
+            missing += np.bitwise_count(signs[:, w, None] & ~self.signs[:, w])
+        a, b = np.nonzero(missing <= lost[kind])
+        back = np.bitwise_count(self.signs[b] & ~signs[a]).sum(axis=1, dtype=np.int64)
+        keep = back <= 2 * new[kind[a], b] + gone[kind[a], b]
+        return a[keep], b[keep]
+
+
+def near_pairs(lines: list[str], names: Names, floor: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(lines, names, ratios) of the keys that reach ``floor``, and how many pairs were compared."""
+    step = max(1, most // max(len(names.keys), 1))
+    for at in range(0, len(lines), step):
+        part = lines[at : at + step]
+        n = np.array([len(k) for k in part], np.int64)
+        a, b = names.possible(signatures(part), n, floor)
+        ratio = np.zeros(len(a), np.int64)
+        for k in np.flatnonzero(n[a] > 64):
+            ratio[k] = indel_ratio(part[a[k]], names.keys[b[k]])
+        short = np.flatnonzero(n[a] <= 64)
+        masks = np.zeros((len(part), 256), np.uint64)
+        for k, key in enumerate(part):
+            for p, ch in enumerate(key[:64].encode()):
+                masks[k, ch] |= np.uint64(1 << p)
+        sa, sb = a[short], b[short]
+        full = (np.uint64(2) << (n[sa] - 1).astype(np.uint64)) - np.uint64(1)
+        row = full.copy()
+        # a name's letters beyond its end are zeros, which no line holds: they change nothing
+        for place in range(int(names.size[sb].max(initial=0))):
+            u = row & masks[sa, names.letters[sb, place]]
+            row = ((row + u) | (row - u)) & full
+        common = n[sa] - np.bitwise_count(row).astype(np.int64)
+        ratio[short] = np.rint(200 * common / (n[sa] + names.size[sb])).astype(np.int64)
+        good = ratio >= floor
+        yield a[good] + at, b[good], ratio[good], len(a)
 
 
 def _scored(floor: int) -> Callable:
+    """Task: a block of lines against a block of names; a row with no line tells the pairs compared."""
     def run(lines: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, compared = [], 0
         if len(lines) and len(names):
-            cell = _Names(names["_kb"].tolist(), names["_cid"].to_numpy())
-            scope = lines["_scope"].iat[0]
-            for line, key in zip(lines["_line"], lines["_ka"], strict=True):
-                out += [(scope, line, cell.ids[k], s) for k, s in cell.near(key, floor)]
-        return pd.DataFrame(out, columns=["_scope", "_line", "_cid", "_s"], dtype=object)
+            block, ids = Names(names["_kb"].tolist()), names["_cid"].to_numpy()
+            line, scope = lines["_line"].to_numpy(), lines["_scope"].iat[0]
+            for a, b, ratio, n in near_pairs(lines["_ka"].tolist(), block, floor):
+                out += [(scope, x, y, int(s)) for x, y, s in zip(line[a], ids[b], ratio)]
+                compared += n
+        return pd.DataFrame([*out, (None, None, None, compared)], columns=["_scope", "_line", "_cid", "_s"], dtype=object)
 
     return run
 
 
-def cells(lines: DataFrame, names: DataFrame) -> DataFrame:
-    """_scope, _pair, and how many cells its lines and its names are dealt into."""
-    n = lines.groupBy("_scope", "_pair").agg(F.count("*").alias("lines"))
-    n = n.join(names.groupBy("_scope", "_pair").agg(F.count("*").alias("names")), ["_scope", "_pair"])
-    parts = lambda c, most: F.ceil(F.col(c) / most).cast("int")
-    return n.withColumns({"_nl": parts("lines", CELL_LINES), "_nn": parts("names", CELL_NAMES)})
-
-
-def listed(lines: DataFrame, names: DataFrame, floor: int) -> tuple[DataFrame, DataFrame]:
-    """Lines (_scope, _line, _ka) and names (_scope, _cid, _kb) once for each listed pair."""
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("_kb") + 1), lambda i: F.substr(F.concat(F.lit("^"), "_kb", F.lit("$")), i, F.lit(2))))
-    # pairs of 36 letters and two ends: some 1500 rows, whatever the input
-    often = {r[0]: r[1] for r in names.select(pair.alias("p")).groupBy("p").count().collect()}
-    lines = lines.mapInPandas(_listing(often, floor, "_ka"), lines.withColumn("_pair", F.lit("")).schema)
-    return lines, names.mapInPandas(_listing(often, floor, "_kb"), names.withColumn("_pair", F.lit("")).schema)
-
-
 def near_names(lines: DataFrame, names: DataFrame, floor: int) -> DataFrame:
-    """_scope, _line, _cid, _s of all lines and names with a ratio of ``floor`` or more."""
-    a, b = listed(lines.filter("_ka <> ''"), names.filter("_kb <> ''"), floor)
-    n = cells(a, b)
+    """_scope, _line, _cid, _s of all lines and names with a ratio of ``floor`` or more, and
+    rows without a line whose _s is how many pairs were compared letter by letter."""
+    a, b = lines.filter("_ka <> ''"), names.filter("_kb <> ''")
+    n = a.groupBy("_scope").agg(F.count("*").alias("_l")).join(b.groupBy("_scope").agg(F.count("*").alias("_m")), "_scope")
+    blocks = lambda c, most: F.ceil(F.col(c) / most).cast("int")
+    n = n.select("_scope", blocks("_l", BLOCK_LINES).alias("_nl"), blocks("_m", BLOCK_NAMES).alias("_nn"))
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     mine = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
-    a = a.join(n, ["_scope", "_pair"]).withColumns({"_cl": mine("_ka", "_nl"), "_cn": every("_nn")}).select("_scope", "_pair", "_cl", "_cn", "_line", "_ka")
-    b = b.join(n, ["_scope", "_pair"]).withColumns({"_cn": mine("_kb", "_nn"), "_cl": every("_nl")}).select("_scope", "_pair", "_cl", "_cn", "_cid", "_kb")
-    by = ["_scope", "_pair", "_cl", "_cn"]
+    a = a.join(n, "_scope").withColumns({"_bl": mine("_line", "_nl"), "_bn": every("_nn")}).select("_scope", "_bl", "_bn", "_line", "_ka")
+    b = b.join(n, "_scope").withColumns({"_bn": mine("_kb", "_nn"), "_bl": every("_nl")}).select("_scope", "_bl", "_bn", "_cid", "_kb")
+    by = ["_scope", "_bl", "_bn"]
     kind = names.schema["_cid"].dataType.simpleString()
-    found = a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(_scored(floor), f"_scope string, _line string, _cid {kind}, _s int")
-    return found.distinct()
+    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(_scored(floor), f"_scope string, _line string, _cid {kind}, _s long")
 
 
 @F.pandas_udf(IntegerType())
@@ -241,7 +202,7 @@ def attribute(payments: DataFrame, clients: DataFrame, threshold: int = THRESHOL
     lines = lines.withColumns({"_ka": normalise_name(F.col("_line")), "_wa": _words(F.col("_line"))})
     names = names.withColumns({"_kb": normalise_name(F.col("_name")), "_wb": _words(F.col("_name"))})
     scored = near_names(lines.drop("_wa"), names.select("_scope", "_cid", "_kb").distinct(), floor)
-    scored = scored.unionByName(abbreviated_names(lines, names).filter(F.col("_s") >= floor))
+    scored = scored.filter("_line IS NOT NULL").unionByName(abbreviated_names(lines, names).filter(F.col("_s") >= floor))
     scored = scored.groupBy("_scope", "_line", "_cid").agg(F.max("_s").alias("_s"))
     order = Window.partitionBy("_scope", "_line").orderBy(F.desc("_s"), "_cid")
     top = scored.withColumns({"_r": F.row_number().over(order), "_next": F.coalesce(F.lead("_s").over(order), F.lit(0))}).filter("_r = 1")

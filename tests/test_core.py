@@ -124,29 +124,24 @@ def test_attribution_equals_all_pairs(spark):
     assert got[0][:2] == (1, 89) and got[1] == (None, 100, 95)
 
 
-def test_keys_that_are_alike_list_a_pair_in_common():
+def test_signatures_rule_out_no_keys_that_are_alike():
     rnd = random.Random(3)
-    for floor in (80, 86, 60):
-        for n in range(1, 120):
-            assert n < 3 or floor < 80 or attribution.common_pairs(floor, n) >= 1
-    near = 0
-    for _ in range(4000):
-        a = "".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 24)))
-        b = list(a)
+    a = ["".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 90))) for _ in range(150)]
+    b = []
+    for x in a:
+        y = list(x)
         for _ in range(rnd.randrange(0, 6)):
-            k = rnd.randrange(len(b) + 1)
-            b[k : k + rnd.randrange(2)] = rnd.choice(("", "a", "x"))
-        b = "".join(b)
-        if b and attribution.indel_ratio(a, b) >= 80:
-            near += 1
-            assert attribution.lengths(80, len(a))[0] <= len(b) <= attribution.lengths(80, len(a))[1]
-            assert set(attribution.listed_pairs(a, {"ab": 3}, 80)) & set(attribution.listed_pairs(b, {"ab": 3}, 80)), (a, b)
-    assert near > 1000
+            k = rnd.randrange(len(y) + 1)
+            y[k : k + rnd.randrange(2)] = rnd.choice(("", "a", "x"))
+        b.append("".join(y) or "a")
+    got = {(int(i), int(j)): int(s) for i, j, s, _ in ((*t, 0) for x in attribution.near_pairs(a, attribution.Names(b), 80, 1000) for t in zip(*x[:3]))}
+    want = {(i, j): s for i, x in enumerate(a) for j, y in enumerate(b) if (s := attribution.indel_ratio(x, y)) >= 80}
+    assert got == want and len(want) > 100
 
 
 def test_attribution_scores_few_pairs_and_loses_none(spark, monkeypatch):
-    monkeypatch.setattr(attribution, "CELL_LINES", 40)
-    monkeypatch.setattr(attribution, "CELL_NAMES", 30)
+    monkeypatch.setattr(attribution, "BLOCK_LINES", 40)
+    monkeypatch.setattr(attribution, "BLOCK_NAMES", 30)
     rnd = random.Random(4)
     parts = "north south east west gold silver iron oak river lake stone field bright swift royal metro union delta alpha omega crown harbor summit valley".split()
     names = [" ".join(rnd.sample(parts, 2)).title() + rnd.choice(("", " Inc.", " Works", " Trading Co.")) for _ in range(700)]
@@ -171,6 +166,9 @@ def test_attribution_scores_few_pairs_and_loses_none(spark, monkeypatch):
         sure += s1 >= 85 and s1 - s2 >= 6
         assert got[i] == (c1 if s1 >= 85 and s1 - s2 >= 6 else None, s1, s2), t
     assert sure > 100
+    keys = [d.filter(F.col("x").isin(*w)).select(F.lit("").alias("_scope"), F.col("x").alias(a), text.normalise_name(F.col("x")).alias(k)) for w, a, k in ((texts, "_line", "_ka"), (names, "_cid", "_kb"))]
+    compared = attribution.near_names(*keys, 80).filter("_line IS NULL").agg(F.sum("_s")).first()[0]
+    assert compared < len(texts) * len(names) / 10
 
 
 def test_indel_ratio():
