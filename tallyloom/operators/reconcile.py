@@ -18,18 +18,18 @@ from tallyloom.operators.schedule import previous_rate
 TOLERANCE_DAYS = 15
 
 
-def best_bucket(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOLERANCE_DAYS) -> DataFrame:
+def best_bucket(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOLERANCE_DAYS, within: tuple[str, ...] = ()) -> DataFrame:
     """(txn_id, entry_id, lag, amount): the billing each payment answers.
 
     Same client and same calendar month, or at most ``tolerance_days`` apart; a billing
     already issued beats one to come, then the nearest, then the earlier, then the
-    smaller entry id.
+    smaller entry id. ``within``: columns (the run) that both have to share, too.
     """
-    e = entries.select("entry_id", "client_id", "billing_date")
+    e = entries.select("entry_id", "client_id", "billing_date", *within)
     reach = [month_number(d) for d in (F.date_sub("billing_date", tolerance_days), F.date_add("billing_date", tolerance_days))]
     e = e.withColumn("_m", F.explode(F.sequence(*reach)))
-    p = payments.select("txn_id", "client_id", "transaction_date", "amount").withColumn("_m", month_number(F.col("transaction_date")))
-    both = p.join(e, ["client_id", "_m"])
+    p = payments.select("txn_id", "client_id", "transaction_date", "amount", *within).withColumn("_m", month_number(F.col("transaction_date")))
+    both = p.join(e, ["client_id", "_m", *within])
     lag = F.datediff("transaction_date", "billing_date")
     same = month_number(F.col("billing_date")) == F.col("_m")
     both = both.withColumn("lag", lag).filter(same | (F.abs("lag") <= tolerance_days))
@@ -38,9 +38,9 @@ def best_bucket(entries: DataFrame, payments: DataFrame, tolerance_days: int = T
     return best.select("txn_id", "_b.entry_id", "_b.lag", "_b.amount")
 
 
-def bucket_totals(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOLERANCE_DAYS) -> DataFrame:
+def bucket_totals(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOLERANCE_DAYS, within: tuple[str, ...] = ()) -> DataFrame:
     """Every entry with paid, n_payments and the largest payment's id; empty ones stay."""
-    hit = best_bucket(entries, payments, tolerance_days)
+    hit = best_bucket(entries, payments, tolerance_days, within)
     sums = hit.groupBy("entry_id").agg(
         F.sum("amount").cast("decimal(18,2)").alias("paid"), F.count("*").alias("n_payments"),
         F.max_by("txn_id", F.struct("amount", -F.col("txn_id"))).alias("representative_id"),
@@ -49,9 +49,9 @@ def bucket_totals(entries: DataFrame, payments: DataFrame, tolerance_days: int =
     return out.withColumn("paid", F.coalesce("paid", F.lit(0).cast("decimal(18,2)"))).fillna(0, ["n_payments"])
 
 
-def unmatched(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOLERANCE_DAYS) -> DataFrame:
+def unmatched(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOLERANCE_DAYS, within: tuple[str, ...] = ()) -> DataFrame:
     """Attributed payments that answer no billing."""
-    return payments.join(best_bucket(entries, payments, tolerance_days), "txn_id", "left_anti").filter("client_id IS NOT NULL")
+    return payments.join(best_bucket(entries, payments, tolerance_days, within), "txn_id", "left_anti").filter("client_id IS NOT NULL")
 
 
 def _close(target: Column, pct: float = 1.0) -> Column:
@@ -91,8 +91,8 @@ def classify(buckets: DataFrame, tolerance_pct: float = 1.0) -> DataFrame:
     ).drop("_prev", "_raise", "_disc")
 
 
-def reconcile(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOLERANCE_DAYS, tolerance_pct: float = 1.0) -> DataFrame:
-    return classify(bucket_totals(entries, payments, tolerance_days), tolerance_pct)
+def reconcile(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOLERANCE_DAYS, tolerance_pct: float = 1.0, within: tuple[str, ...] = ()) -> DataFrame:
+    return classify(bucket_totals(entries, payments, tolerance_days, within), tolerance_pct)
 
 
 def score_against(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,6 +17,8 @@ from tallyloom.functions.text import normalise_name, stands_in
 from tallyloom.operators import reconcile as rec
 from tallyloom.operators import schedule
 from tallyloom.operators.attribution import attribute
+from tallyloom.sources.lineage import cut
+from tallyloom.sources.stored import Change, Store
 
 #: Closed vocabularies of the tables.
 VOCABULARIES = {
@@ -57,10 +59,9 @@ def proving_clause(role: Column, inherited: Column) -> Column:
     )
 
 
-def window_of(lines: DataFrame) -> tuple[str, str] | None:
-    """First day of the first month to the last date of a run's lines; None without lines."""
-    r = lines.agg(F.trunc(F.min("transaction_date"), "month").alias("low"), F.max("transaction_date").alias("high")).first()
-    return None if r["low"] is None else (str(r["low"]), str(r["high"]))
+def windows_of(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by`` (the run), first day of the first month and last date of its lines."""
+    return lines.groupBy(*by).agg(F.trunc(F.min("transaction_date"), "month").alias("_first"), F.max("transaction_date").alias("_last"))
 
 
 def compute_run(
@@ -69,23 +70,37 @@ def compute_run(
     """timeline, attributions, findings: billings in the span of the lines, lines attributed to
     clients, what is short of its billing with the clause that proves it.
 
-    plans: as from ``contract_plans``; milestones: contract_id, amount, due_date."""
-    low, high = window or window_of(lines) or (None, None)
+    Where lines and clients have a run_id, all runs are computed in one plan and kept apart:
+    each has the window of its own lines (a run without lines those of its contracts), its lines
+    meet its own clients alone. Billings and attributions are written once. plans: as from ``contract_plans``, their run that of the client;
+    milestones: contract_id, amount, due_date."""
+    runs = ("run_id",) if "run_id" in clients.columns and "run_id" in lines.columns else ()
     # narrow terms go through the schedule; clauses join on afterwards
     wide = ("base_clause", "esc_clause", "disc_clauses")
-    terms = plans.select(*[c for c in plans.columns if c not in wide])
+    terms = plans.select(*[c for c in plans.columns if c not in (*wide, *runs)])
+    if runs:
+        terms = terms.join(clients.select("client_id", "run_id").distinct(), "client_id")
+    low, high = F.col("_first"), F.col("_last")
+    if window:
+        terms = terms.withColumns({"_first": F.lit(window[0]).cast("date"), "_last": F.lit(window[1]).cast("date")})
+    elif runs:
+        terms = terms.join(windows_of(lines, runs), "run_id", "left")
+    else:
+        terms = terms.crossJoin(F.broadcast(windows_of(lines)))  # one row
     entries = schedule.expected_timeline(terms, low, high)
     if milestones is not None:
         entries = entries.unionByName(schedule.milestone_rows(terms, milestones.select("contract_id", "amount", "due_date"), low, high))
-    order = Window.partitionBy("contract_id").orderBy("billing_date", "payment_type", "expected_amount")
-    entries = entries.withColumn("entry_id", F.col("contract_id") * 10_000 + F.row_number().over(order) - 1)
+    entries = entries.drop("_first", "_last")
+    order = Window.partitionBy("contract_id", *runs).orderBy("billing_date", "payment_type", "expected_amount")
+    place = F.row_number().over(order)
+    entries = cut(entries.withColumn("entry_id", F.concat_ws(":", *runs, "contract_id", F.lpad(place.cast("string"), 10, "0"))))
     proof = plans.select("contract_id", *wide)
     clause = schedule.row_clause(F.col("base_clause"), F.col("esc_clause"), F.col("disc_clauses"))
     clause = F.when(F.col("payment_type") == "recurring", clause).otherwise(F.col("base_clause"))
     timeline = entries.join(proof, "contract_id").withColumn("clause_id", clause)
-    who = attribute(lines.select("txn_id", "client_id", "description"), clients.select("client_id", "name"))
+    who = cut(attribute(lines.select("txn_id", "client_id", "description", *runs), clients.select("client_id", "name", *runs), within=runs))
     paid = lines.drop("client_id").join(who.filter("client_id IS NOT NULL").select("txn_id", "client_id"), "txn_id")
-    found = rec.reconcile(entries, paid).filter("anomaly_type IS NOT NULL")
+    found = rec.reconcile(entries, paid, within=runs).filter("anomaly_type IS NOT NULL")
     found = found.join(timeline.select("entry_id", *wide, "clause_id"), "entry_id")
     found = found.withColumn("clause_id", proving_clause(F.col("clause_role"), F.col("clause_id"))).drop(*wide)
     return {"timeline": timeline.drop(*wide), "attributions": who, "findings": found}
@@ -98,12 +113,74 @@ def written_back(lines: DataFrame, attributions: DataFrame) -> DataFrame:
     return out.withColumn("client_id", F.coalesce("_who", "client_id")).drop("_who")
 
 
+def counters(plans: DataFrame, clients: DataFrame, lines: DataFrame, computed: dict[str, DataFrame]) -> DataFrame:
+    """What a computed run counts of itself, by run: contracts, those that cannot bill, billings,
+    lines newly attributed, attributed to nobody and answering no billing, findings by kind."""
+    home = clients.select("client_id", "run_id").distinct()
+    back = written_back(lines, computed["attributions"])
+    paid = back.filter("client_id IS NOT NULL")
+    loose = rec.unmatched(computed["timeline"], paid, within=("run_id",)).groupBy("run_id").agg(F.count("*").alias("unmatched"))
+    kinds = [F.count_if(F.col("anomaly_type") == k).alias(f"n_{k}") for k in VOCABULARIES["anomaly_type"]]
+    parts = [
+        plans.drop("run_id").join(home, "client_id").groupBy("run_id").agg(F.count("*").alias("contracts"), F.count_if(F.col("start_date").isNull() | F.col("base_amount").isNull()).alias("skipped")),
+        computed["timeline"].groupBy("run_id").agg(F.count("*").alias("timeline_rows")),
+        back.groupBy("run_id").agg(F.count_if(F.col("client_id").isNull()).alias("unattributed"), F.count_if("changed").alias("newly_attributed")), loose,
+        computed["findings"].groupBy("run_id").agg(F.count("*").alias("findings"), F.sum("gap").alias("total_gap"), *kinds),
+    ]
+    out = clients.select("run_id").distinct()
+    for p in parts:
+        out = out.join(p, "run_id", "left")
+    return out.fillna(0, [c for c in out.columns if c not in ("run_id", "total_gap")]).withColumn("total_gap", F.coalesce("total_gap", F.lit(0).cast("decimal(18,2)")))
+
+
+FINDING = ("run_id", "entry_id", "client_id", "billing_date", "anomaly_type", "expected_amount", "paid", "gap", "confidence", "clause_id")
+BILLING = ("run_id", "entry_id", "client_id", "contract_id", "billing_date", "expected_amount", "payment_type", "clause_id")
+
+
+def recompute(store: Store, plans: DataFrame, clients: DataFrame, milestones: DataFrame | None = None, window: tuple[str, str] | None = None) -> DataFrame:
+    """Runs computed anew from the stored lines; findings, timeline and the lines' clients are
+    stored in one step. Findings start over: a verdict goes with the finding it was passed on.
+    Returns rows inserted, changed, deleted and kept by table and run."""
+    lines = store.read("lines")
+    x = compute_run(plans, clients, lines, milestones, window)
+    runs = sorted(r[0] for r in clients.select("run_id").distinct().collect())
+    found = x["findings"].select(*FINDING).withColumns({"status": F.lit("unverified"), "reasoning": F.lit(None).cast("string"), "verified_at": F.lit(None).cast("timestamp")})
+    back = written_back(lines, x["attributions"]).filter("changed").select("run_id", "txn_id", "client_id")
+    return store.merge({
+        "findings": Change(found, ("entry_id",), "replace", runs), "timeline": Change(x["timeline"].select(*BILLING), ("entry_id",), "replace", runs),
+        "lines": Change(back, ("txn_id",), "update"),
+    })
+
+
+def write_verdicts(store: Store, verdicts: DataFrame) -> DataFrame:
+    """verdicts(run_id, entry_id, status, reasoning, confidence, verified_at): a null confidence
+    leaves the finding's; a finding that is gone is passed over."""
+    was = store.read("findings").select("run_id", "entry_id", F.col("confidence").alias("_was"))
+    out = verdicts.join(was, ["run_id", "entry_id"]).withColumn("confidence", F.coalesce("confidence", "_was")).drop("_was")
+    return store.merge({"findings": Change(out, ("entry_id",), "update")})
+
+
+def write_places(store: Store, located: DataFrame) -> DataFrame:
+    """located(run_id, id, page, method): page and method of each clause, none where it was not
+    found; boxes of clauses that have lost their page go."""
+    box = store.read("clauses").select("run_id", "id", F.col("page").alias("_page"), "bbox")
+    out = located.join(box, ["run_id", "id"]).withColumn("bbox", F.when(F.col("page").eqNullSafe(F.col("_page")), F.col("bbox"))).drop("_page")
+    return store.merge({"clauses": Change(out, ("id",), "update")})
+
+
+def dangling(findings: DataFrame, timeline: DataFrame) -> DataFrame:
+    """Findings whose billing is not there: none after a recompute or a delete."""
+    return findings.join(timeline.select("run_id", "entry_id"), ["run_id", "entry_id"], "left_anti")
+
+
 def upsert_clients(known: DataFrame, names: DataFrame) -> DataFrame:
-    """known(client_id, run_id, name) and names(run_id, name): those known, then a client for
-    each new normalised name, numbered on from the largest id; the first spelling stays."""
+    """known(client_id, run_id, name) and names(run_id, name[, position]): those known, then a
+    client for each new normalised name, numbered on from the largest id. The first spelling by
+    position stays; without positions the smallest."""
+    first = F.struct(*([F.col("position")] if "position" in names.columns else []), F.col("name"))
     key = normalise_name(F.col("name"))
     have = known.withColumn("normalized_name", key)
-    new = names.withColumn("normalized_name", key).groupBy("run_id", "normalized_name").agg(F.min("name").alias("name"))
+    new = names.withColumn("normalized_name", key).groupBy("run_id", "normalized_name").agg(F.min(first)["name"].alias("name"))
     new = new.join(have.select("run_id", "normalized_name"), ["run_id", "normalized_name"], "left_anti")
     top = known.agg(F.coalesce(F.max("client_id"), F.lit(0)).alias("_top"))
     # numbered inside cells, so that no single task orders all new names
@@ -133,14 +210,14 @@ def normalised(extractions: DataFrame) -> dict[str, DataFrame]:
     )
     c = x.select("rule_id", "document_id", "document", F.explode(every).alias("_c"))
     c = c.select("rule_id", "document_id", "_c.*", "document").filter(F.trim("text") != "")
-    c = c.withColumn("id", F.col("rule_id") * 100 + F.col("place"))
+    c = c.withColumn("id", F.concat_ws(":", "rule_id", "place"))
     c = c.withColumn("method", F.when(~stands_in(F.col("text"), F.col("document")), "failed")).drop("document")
     ids = c.groupBy("rule_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "id"))).alias("_ids"))
     at = lambda place: F.coalesce(F.try_element_at("_ids", place), F.try_element_at("_ids", F.lit(0)))
     x = x.join(ids, "rule_id", "left")
     esc = x.filter("esc_pct IS NOT NULL").select(F.col("rule_id").alias("id"), "rule_id", at(F.lit(1)).alias("clause_id"), F.col("esc_pct").alias("percentage"), F.col("esc_after").alias("after_months"))
     off = x.select("rule_id", "_ids", F.posexplode("discounts").alias("_i", "_d"))
-    off = off.select((F.col("rule_id") * 100 + F.col("_i")).alias("id"), "rule_id", at(F.col("_i") + 2).alias("clause_id"), "_d.percentage", "_d.duration_months")
+    off = off.select(F.concat_ws(":", "rule_id", "_i").alias("id"), "rule_id", at(F.col("_i") + 2).alias("clause_id"), "_d.percentage", "_d.duration_months")
     return {"rules": x.select("rule_id", "document_id", "base_amount"), "clauses": c, "escalations": esc, "discounts": off}
 
 

@@ -43,17 +43,18 @@ def _discounted(rate: Column, elapsed: Column) -> Column:
     return F.when((elapsed >= 0) & (elapsed < F.col("_until")), off).otherwise(none)
 
 
-def with_bounds(contracts: DataFrame, window_start: str | None, window_end: str | None, horizon: int = HORIZON) -> DataFrame:
-    """Contracts that can bill, with ``_low`` and ``_high``: the window, or the contract's own
-    start and its end, or ``horizon`` months where it has none. Its end always holds."""
-    day = lambda x: F.lit(x).cast("date")
+def with_bounds(contracts: DataFrame, window_start: str | Column | None, window_end: str | Column | None, horizon: int = HORIZON) -> DataFrame:
+    """Contracts that can bill, with ``_low`` and ``_high``: the window (a date, or a column of
+    the contracts), or the contract's own start and its end, or ``horizon`` months where it has
+    none. Its end always holds."""
+    day = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("date")
     known = contracts.filter("start_date IS NOT NULL AND base_amount IS NOT NULL")
     known = known.withColumn("_low", F.coalesce(day(window_start), "start_date"))
     open_end = F.add_months("_low", max(horizon - 1, 0))
     return known.withColumn("_high", F.least(F.coalesce(day(window_end), "end_date", open_end), "end_date"))
 
 
-def expected_timeline(contracts: DataFrame, window_start: str | None = None, window_end: str | None = None, compound: bool = True, horizon: int = HORIZON) -> DataFrame:
+def expected_timeline(contracts: DataFrame, window_start: str | Column | None = None, window_end: str | Column | None = None, compound: bool = True, horizon: int = HORIZON) -> DataFrame:
     """Recurring billings in the window, stepped from the contract's start (month ends
     clamp to the anchor's day). One-time and unknown frequencies bill once, on the start.
 
@@ -91,7 +92,7 @@ def expected_timeline(contracts: DataFrame, window_start: str | None = None, win
     )
 
 
-def milestone_rows(contracts: DataFrame, milestones: DataFrame, window_start: str | None = None, window_end: str | None = None, horizon: int = HORIZON) -> DataFrame:
+def milestone_rows(contracts: DataFrame, milestones: DataFrame, window_start: str | Column | None = None, window_end: str | Column | None = None, horizon: int = HORIZON) -> DataFrame:
     """Dated milestones (contract_id, amount, due_date) in the window, as timeline rows."""
     known = with_bounds(contracts, window_start, window_end, horizon)
     dated = known.join(milestones.filter("due_date IS NOT NULL"), "contract_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tallyloom.operators import evidence, grounding, run, schedule
 from tallyloom.plans.leaks import BASE
 from tallyloom.sources import derived as src
 from tallyloom.sources import run_tables as tables
+from tallyloom.sources.lineage import shared_dir
+from tallyloom.sources.stored import Change, Store
 
 #: The order in which kinds of leaks are shown.
 TYPE_ORDER = run.VOCABULARIES["anomaly_type"]
@@ -182,17 +186,16 @@ def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_states(spark: SparkSession, d: str) -> DataFrame:
-    """Which screen a run has earned: empty, review, clean or processing. Runs here are nations."""
-    n = src.table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"))
-    home = src.table(spark, d, "customer").select(F.col("c_custkey").alias("client_id"), F.col("c_nationkey").alias("nation"))
-    docs = tables.documents(spark, d).join(home, F.col("document_id") == F.col("client_id")).groupBy("nation").agg(
+    """Which screen a run has earned: empty, review, clean or processing. Runs here are ten
+    customers each, as their keys follow on."""
+    home = src.table(spark, d, "customer").select(F.col("c_custkey").alias("client_id"), F.floor(F.col("c_custkey") / 10).alias("batch"))
+    docs = tables.documents(spark, d).join(home, F.col("document_id") == F.col("client_id")).groupBy("batch").agg(
         F.count("*").alias("docs"), F.bool_and(F.col("extraction_status") == "complete").alias("read")
     )
-    found = tables.run_findings(spark, d).filter("anomaly_type = 'zombie_discount' AND client_id % 3 = 0").join(home, "client_id").groupBy("nation").agg(F.count("*").alias("found"))
-    known = home.groupBy("nation").agg(F.count("*").alias("clients"))
-    out = n.join(docs, "nation", "left").join(found, "nation", "left").join(known, "nation", "left").fillna(0, ["docs", "found", "clients"])
+    found = tables.run_findings(spark, d).filter("anomaly_type = 'zombie_discount'").join(home, "client_id").groupBy("batch").agg(F.count("*").alias("found"))
+    out = home.groupBy("batch").agg(F.count("*").alias("clients")).join(docs, "batch", "left").join(found, "batch", "left").fillna(0, ["docs", "found"])
     state = F.when(F.col("docs") == 0, "empty").when(F.col("found") > 0, "review").when(F.col("read") & (F.col("clients") > 0), "clean").otherwise("processing")
-    return out.select("nation", state.alias("state"))
+    return out.select("batch", state.alias("state"))
 
 
 def schedule_milestones(spark: SparkSession, d: str) -> DataFrame:
@@ -236,25 +239,69 @@ def schedule_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _computed(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return run.compute_run(_plans(spark, d), tables.clients(spark, d), tables.lines(spark, d), window=src.WINDOW)
+    return run.compute_run(_plans(spark, d), tables.trading_clients(spark, d), tables.statement_lines(spark, d), window=src.WINDOW)
 
 
 def run_findings(spark: SparkSession, d: str) -> DataFrame:
-    """A run computed from its tables: contracts reloaded, bank lines attributed, billings
-    held against them, findings with the clause that proves them."""
+    """Runs computed from their tables, kept apart: contracts reloaded, bank lines attributed,
+    billings held against them, findings with the clause that proves them."""
     f = _computed(spark, d)["findings"]
-    return f.select("client_id", "billing_date", "anomaly_type", shown(F.col("gap")).alias("gap"), "confidence", "clause_id")
+    return f.select("run_id", "client_id", "billing_date", "anomaly_type", shown(F.col("gap")).alias("gap"), "confidence", "clause_id")
 
 
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
-    """What a computed run counts of itself."""
-    x, lines = _computed(spark, d), tables.lines(spark, d)
-    back = run.written_back(lines, x["attributions"])
-    one = back.agg(F.count_if(F.col("client_id").isNull()).alias("unattributed"), F.count_if("changed").alias("newly_attributed"))
-    t = x["timeline"].agg(F.count("*").alias("timeline_rows"))
-    f = x["findings"].agg(F.count("*").alias("findings"), shown(F.sum("gap")).alias("total_gap"))
-    c = _plans(spark, d).agg(F.count("*").alias("contracts"), F.count_if(F.col("start_date").isNull() | F.col("base_amount").isNull()).alias("skipped"))
-    return c.crossJoin(t).crossJoin(one).crossJoin(f)
+    """What the computed runs count of themselves."""
+    n = run.counters(_plans(spark, d), tables.trading_clients(spark, d), tables.statement_lines(spark, d), _computed(spark, d))
+    return n.withColumn("total_gap", shown(F.col("total_gap")))
+
+
+def _store(spark: SparkSession) -> Store:
+    return Store(spark, f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}")
+
+
+def _passes(spark: SparkSession, counts: list[DataFrame]) -> DataFrame:
+    out = counts[0].withColumn("pass", F.lit(1))
+    for k, c in enumerate(counts[1:], 2):
+        out = out.unionByName(c.withColumn("pass", F.lit(k)))
+    return out.filter("n > 0")
+
+
+def run_recomputed(spark: SparkSession, d: str) -> DataFrame:
+    """Rows stored, changed and kept by two recomputes in a row: the second changes none."""
+    store = _store(spark)
+    lines = tables.statement_lines(spark, d).select("run_id", "txn_id", "client_id", "transaction_date", "amount", "description")
+    store.merge({"lines": Change(lines, ("txn_id",))})
+    return _passes(spark, [run.recompute(store, _plans(spark, d), tables.trading_clients(spark, d), window=src.WINDOW) for _ in range(2)])
+
+
+def verdicts_written(spark: SparkSession, d: str) -> DataFrame:
+    """Stored findings after a reviewer's verdicts, some on findings that are gone."""
+    store = _store(spark)
+    f = tables.run_findings(spark, d)
+    blank = {"reasoning": F.lit(None).cast("string"), "verified_at": F.lit(None).cast("timestamp")}
+    store.merge({"findings": Change(f.withColumns({"status": F.lit("unverified"), **blank}).select(*[c for c in run.FINDING if c in f.columns], "status", *blank), ("entry_id",))})
+    said = {"reasoning": F.concat(F.lit("seen: "), "anomaly_type"), "verified_at": F.lit("2025-02-01").cast("timestamp")}
+    sure = F.when(F.col("status") != "unverified", evidence.confidence_after(F.col("confidence"), F.col("status")))
+    v = f.withColumns({**said, "confidence": sure}).select("run_id", "entry_id", "status", "reasoning", "confidence", "verified_at")
+    run.write_verdicts(store, v.unionByName(v.withColumn("entry_id", -1 - F.col("entry_id"))))
+    after = store.read("findings")
+    return after.groupBy("run_id", "status").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 2).alias("confidence"), F.count("reasoning").alias("reasoned"), F.max("verified_at").cast("date").alias("verified_on"))
+
+
+def places_written(spark: SparkSession, d: str) -> DataFrame:
+    """Clauses placed on the pages of their documents and written back, twice."""
+    store = _store(spark)
+    home = tables.rules(spark, d).select("rule_id", "client_id").join(tables.clients(spark, d).select("client_id", "run_id"), "client_id").select("rule_id", "run_id")
+    c = tables.clauses(spark, d).join(home, "rule_id").select("run_id", "id", "document_id", "kind", "text", "page", "bbox", "method")
+    store.merge({"clauses": Change(c, ("id",))})
+    each = c.filter("document_id IS NOT NULL").withColumn("page", F.when(F.col("kind") == "discount", 1).otherwise(0))
+    pages = each.groupBy(F.col("document_id").alias("doc_id"), "page").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("text"))
+    at = grounding.locate(c.filter("document_id IS NOT NULL").select(F.col("id").alias("clause_id"), F.col("document_id").alias("doc_id"), F.col("text").alias("clause_text")), pages)
+    at = c.select("run_id", "id").join(at.select(F.col("clause_id").alias("id"), "page", "method"), "id", "left").withColumn("method", F.coalesce("method", F.lit("failed")))
+    _passes(spark, [run.write_places(store, at), run.write_places(store, at)])
+    counts = _passes(spark, [run.write_places(store, at)]).groupBy("run_id").agg(F.sum("n").alias("kept"))
+    after = store.read("clauses").groupBy("run_id", "method", "page").agg(F.count("*").alias("n"), F.count("bbox").alias("boxed"))
+    return after.join(counts, "run_id")
 
 
 def run_deleted(spark: SparkSession, d: str) -> DataFrame:
@@ -276,16 +323,17 @@ def clients_upserted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vocabulary_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Values outside the six vocabularies; the rhythms and kinds here hold no other."""
-    v = run.VOCABULARIES
-    f = tables.run_findings(spark, d)
-    parts = [
-        run.violations(f, "anomaly_type", v["anomaly_type"]), run.violations(f, "status", ("confirmed", "false_positive")), run.violations(tables.clauses(spark, d), "method", ("exact",)),
-        run.violations(tables.rules(spark, d), "frequency", v["frequency"]), run.violations(tables.documents(spark, d), "extraction_status", v["extraction_status"]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """Values outside the six vocabularies, of values as a feed spells them: some are none."""
+    k = F.col("c_custkey")
+    raw = src.table(spark, d, "customer").select(
+        F.when(k % 4 == 0, "underpaid").otherwise("ghost_invoice").alias("anomaly_type"), F.when(k % 5 == 0, "open").when(k % 5 == 1, "needs_review").otherwise("confirmed").alias("status"),
+        F.when(k % 3 == 0, "guessed").when(k % 3 == 1, "fuzzy").alias("method"), F.when(k % 6 == 0, "one-off").otherwise("milestone").alias("payment_type"),
+        F.lower("c_mktsegment").alias("frequency"), F.when(k % 7 == 0, "done").otherwise("complete").alias("extraction_status"),
+    )
+    out = None
+    for name, allowed in run.VOCABULARIES.items():
+        part = run.violations(raw, name, allowed)
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -359,9 +407,10 @@ def extraction_rows(spark: SparkSession, d: str) -> DataFrame:
         "esc_quote", F.when(F.col("disc_quote").isNotNull(), offs).alias("discounts"), "document",
     )
     t = run.normalised(x)
-    out = t["clauses"].groupBy(F.concat_ws(" ", F.lit("clause"), "kind", F.coalesce("method", F.lit("present"))).alias("name")).agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+    key = lambda c: F.split_part(c, F.lit(":"), F.lit(1)).cast("long") * 100 + F.split_part(c, F.lit(":"), F.lit(2)).cast("long")
+    out = t["clauses"].groupBy(F.concat_ws(" ", F.lit("clause"), "kind", F.coalesce("method", F.lit("present"))).alias("name")).agg(F.count("*").alias("n"), F.sum(key("id")).alias("ids"))
     for kind in ("escalations", "discounts"):
-        out = out.unionByName(t[kind].agg(F.lit(kind).alias("name"), F.count("*").alias("n"), F.sum("clause_id").alias("ids")))
+        out = out.unionByName(t[kind].agg(F.lit(kind).alias("name"), F.count("*").alias("n"), F.sum(key("clause_id")).alias("ids")))
     return out
 
 
@@ -370,7 +419,7 @@ QUERIES = {
     for f in (
         run_list, run_documents, document_status, run_clients, run_transactions, clause_rows, clause_rates, run_summary, run_table_counts, findings_view, findings_filtered,
         finding_texts, finding_context, finding_windows, verdict_counts, run_states, schedule_milestones, schedule_horizon, milestones_open, contract_plans, schedule_notes,
-        run_findings, run_counters, run_deleted, clients_upserted, vocabulary_checks, grounding_filter, exam_marks, exam_report, extraction_rows,
+        run_findings, run_counters, run_recomputed, verdicts_written, places_written, run_deleted, clients_upserted, vocabulary_checks, grounding_filter, exam_marks, exam_report, extraction_rows,
     )
 }
 
@@ -394,7 +443,7 @@ _RUN = BASE + """, rc AS (
   FROM said, (VALUES (1, 'base_fee'), (2, 'escalation'), (3, 'discount')) v(n, kind) WHERE n <> 3 OR has_disc
 ), fr AS (
   SELECT f.*, rc.run_id, CASE WHEN entry_id % 17 <> 0 THEN f.client_id * 10 + CASE clause_role WHEN 'escalation' THEN 2 WHEN 'discount' THEN 3 ELSE 1 END END AS clause_id,
-    CASE WHEN confidence >= 0.9 THEN 'confirmed' WHEN confidence < 0.6 THEN 'false_positive' ELSE 'unverified' END AS status
+    CASE WHEN entry_id % 7 = 0 THEN 'needs_review' WHEN entry_id % 5 = 0 THEN 'unverified' WHEN confidence >= 0.9 THEN 'confirmed' WHEN confidence < 0.6 THEN 'false_positive' ELSE 'unverified' END AS status
   FROM findings f JOIN rc USING (client_id)
 ), ms AS (
   SELECT o_orderkey AS id, o_custkey AS contract_id, CAST(CAST(o_totalprice AS DECIMAL(18,6)) AS DECIMAL(18,2)) AS amount,
@@ -404,8 +453,16 @@ _RUN = BASE + """, rc AS (
   SELECT p.txn_id, run_id, CASE WHEN txn_id % 13 <> 5 THEN p.client_id END AS client_id, transaction_date, amount,
     CASE WHEN p.client_id % 13 <> 0 THEN p.client_id END AS document_id FROM paid_rows p JOIN rc ON rc.client_id = p.client_id
 )"""
-# the run's own reconciliation: lines without a payer are left out
-_OWN = BASE.replace("FROM truth WHERE planted_type IS NULL OR planted_type <> 'ghost_invoice'", "FROM truth WHERE (planted_type IS NULL OR planted_type <> 'ghost_invoice') AND entry_id % 13 <> 5")
+# the runs' own reconciliation: lines without a payer are left out, and those that name one of two of a run
+_TWICE = """SELECT c_custkey FROM (SELECT c_custkey, count(*) OVER (PARTITION BY n_regionkey, c_custkey - CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) AS same
+  FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE same > 1"""
+_PAID = "(planted_type IS NULL OR planted_type <> 'ghost_invoice')"
+_LOST = f"(entry_id % 13 = 5 OR (entry_id % 3 = 1 AND client_id IN ({_TWICE})))"
+_OWN = BASE.replace(f"FROM truth WHERE {_PAID[1:-1]}", f"FROM truth WHERE {_PAID} AND NOT {_LOST}") + """, rc AS (
+  SELECT c_custkey AS client_id, n_regionkey AS run_id FROM customer JOIN nation ON c_nationkey = n_nationkey
+)"""
+_COUNTED = f"""SELECT run_id, count(*) FILTER ({_PAID} AND {_LOST}) AS unattributed, count(*) FILTER ({_PAID} AND NOT {_LOST} AND entry_id % 3 = 1) AS newly,
+  count(*) FILTER ({_PAID}) AS lines, count(*) AS billings FROM truth JOIN rc USING (client_id) GROUP BY run_id"""
 _ANSWERS = _RUN + """, a AS (
   SELECT model, client_id, concat_ws(chr(10) || ' ', q_base, q_esc, q_disc) AS document, NOT (model = 'plain' AND client_id % 19 = 0) AS usable,
     CAST(base_amount AS DOUBLE) AS want_amount, CAST(CASE WHEN model = 'plain' AND client_id % 3 = 0 THEN base_amount + 500 WHEN client_id % 29 <> 0 THEN base_amount END AS DOUBLE) AS amount,
@@ -476,10 +533,9 @@ SQL = {
     "verdict_counts": _RUN + """SELECT run_id, count(*) FILTER (status = 'confirmed') AS confirmed, count(*) FILTER (status = 'false_positive') AS rejected, count(*) FILTER (status = 'unverified') AS open,
         coalesce(CAST(sum(gap) FILTER (t.entry_id IS NOT NULL) AS DOUBLE), 0) AS planted_value, coalesce(CAST(sum(gap) FILTER (t.entry_id IS NOT NULL AND status = 'false_positive') AS DOUBLE), 0) AS destroyed_value
       FROM fr LEFT JOIN (SELECT entry_id, planted_type FROM truth WHERE planted_type IS NOT NULL) t ON t.entry_id = fr.entry_id AND t.planted_type = fr.anomaly_type GROUP BY run_id""",
-    "run_states": _RUN + """, x AS (SELECT n_nationkey AS nation, count(c_custkey) AS clients, count(d.document_id) AS docs, bool_and(extraction_status = 'complete') FILTER (d.document_id IS NOT NULL) AS done,
-        count(f.client_id) AS found FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN docs d ON d.document_id = c_custkey
-        LEFT JOIN (SELECT DISTINCT client_id FROM fr WHERE anomaly_type = 'zombie_discount' AND client_id % 3 = 0) f ON f.client_id = c_custkey GROUP BY n_nationkey)
-      SELECT nation, CASE WHEN docs = 0 THEN 'empty' WHEN found > 0 THEN 'review' WHEN done THEN 'clean' ELSE 'processing' END AS state FROM x""",
+    "run_states": _RUN + """, x AS (SELECT c_custkey // 10 AS batch, count(d.document_id) AS docs, bool_and(extraction_status = 'complete') FILTER (d.document_id IS NOT NULL) AS done, count(f.client_id) AS found
+        FROM customer LEFT JOIN docs d ON d.document_id = c_custkey LEFT JOIN (SELECT DISTINCT client_id FROM fr WHERE anomaly_type = 'zombie_discount') f ON f.client_id = c_custkey GROUP BY 1)
+      SELECT batch, CASE WHEN docs = 0 THEN 'empty' WHEN found > 0 THEN 'review' WHEN done THEN 'clean' ELSE 'processing' END AS state FROM x""",
     "schedule_milestones": _RUN + """, t AS (SELECT client_id, billing_date, 'recurring' AS payment_type, expected_amount FROM keyed UNION ALL
         SELECT contract_id, due_date, 'milestone', amount FROM ms JOIN contracts ON client_id = contract_id WHERE due_date BETWEEN DATE '1995-01-01' AND DATE '2001-12-31')
       SELECT client_id, billing_date, payment_type, CAST(expected_amount AS DOUBLE) AS expected_amount, row_number() OVER (PARTITION BY client_id ORDER BY billing_date, payment_type, expected_amount) AS place FROM t""",
@@ -494,19 +550,33 @@ SQL = {
       concat_ws(' · ', 'Base ' || format('{:,.2f}', CAST(base_amount AS DOUBLE)), CASE WHEN applied_escalation THEN '+' || CAST(esc_pct AS INTEGER) || '% escalation applied' END,
         CASE WHEN applied_discount_pct > 0 THEN '-10% discount active' END, CASE WHEN NOT applied_escalation AND applied_discount_pct = 0 THEN 'contract rate, no adjustment' END,
         '= ' || format('{:,.2f}', CAST(expected_amount AS DOUBLE))) AS note FROM keyed""",
-    "run_findings": _OWN + """SELECT client_id, billing_date, anomaly_type, CAST(gap AS DOUBLE) AS gap, confidence,
-      client_id * 10 + CASE clause_role WHEN 'escalation' THEN 2 WHEN 'discount' THEN 3 ELSE 1 END AS clause_id FROM findings""",
-    "run_counters": _OWN + """SELECT (SELECT count(*) FROM contracts) AS contracts, CAST(0 AS BIGINT) AS skipped, (SELECT count(*) FROM keyed) AS timeline_rows,
-      (SELECT count(*) FROM truth WHERE (planted_type IS NULL OR planted_type <> 'ghost_invoice') AND entry_id % 13 = 5) AS unattributed, CAST(0 AS BIGINT) AS newly_attributed,
-      count(*) AS findings, CAST(sum(gap) AS DOUBLE) AS total_gap FROM findings""",
+    "run_findings": _OWN + """SELECT run_id, client_id, billing_date, anomaly_type, CAST(gap AS DOUBLE) AS gap, confidence,
+      client_id * 10 + CASE clause_role WHEN 'escalation' THEN 2 WHEN 'discount' THEN 3 ELSE 1 END AS clause_id FROM findings JOIN rc USING (client_id)""",
+    "run_counters": _OWN + f""", k AS ({_COUNTED}), f AS (SELECT run_id, count(*) AS findings, CAST(sum(gap) AS DOUBLE) AS total_gap, """ + ", ".join(
+        f"count(*) FILTER (anomaly_type = '{t}') AS n_{t}" for t in TYPE_ORDER
+    ) + """ FROM findings JOIN rc USING (client_id) GROUP BY run_id),
+      c AS (SELECT run_id, count(*) AS contracts FROM contracts JOIN rc USING (client_id) GROUP BY run_id)
+      SELECT run_id, contracts, CAST(0 AS BIGINT) AS skipped, billings AS timeline_rows, unattributed, newly AS newly_attributed, CAST(0 AS BIGINT) AS unmatched, findings, total_gap, """
+    + ", ".join(f"n_{t}" for t in TYPE_ORDER) + " FROM k JOIN f USING (run_id) JOIN c USING (run_id)",
+    "run_recomputed": _OWN + f""", k AS ({_COUNTED}), f AS (SELECT run_id, count(*) AS n FROM findings JOIN rc USING (client_id) GROUP BY run_id),
+      r AS (SELECT 'findings' AS name, run_id, 1 AS pass, 'inserted' AS kind, n FROM f UNION ALL SELECT 'findings', run_id, 2, 'kept', n FROM f
+        UNION ALL SELECT 'timeline', run_id, 1, 'inserted', billings FROM k UNION ALL SELECT 'timeline', run_id, 2, 'kept', billings FROM k
+        UNION ALL SELECT 'lines', run_id, 1, 'changed', newly FROM k UNION ALL SELECT 'lines', run_id, 1, 'kept', lines - newly FROM k)
+      SELECT name, CAST(run_id AS BIGINT) AS run_id, CAST(pass AS INTEGER) AS pass, kind, n FROM r WHERE n > 0""",
+    "verdicts_written": _RUN + """SELECT run_id, status, count(*) AS n, round(sum(CASE status WHEN 'confirmed' THEN greatest(confidence, 0.9) WHEN 'false_positive' THEN least(confidence, 0.1) ELSE confidence END), 2)::DOUBLE AS confidence,
+      count(*) AS reasoned, DATE '2025-02-01' AS verified_on FROM fr GROUP BY run_id, status""",
+    "places_written": _RUN + """, c AS (SELECT rc.run_id, cl.*, CASE WHEN cl.document_id IS NOT NULL THEN CASE kind WHEN 'discount' THEN 1 ELSE 0 END END AS seat FROM cl JOIN rc ON rc.client_id = cl.rule_id)
+      SELECT run_id, CASE WHEN seat IS NULL THEN 'failed' ELSE 'exact' END AS method, CAST(seat AS INTEGER) AS page, count(*) AS n,
+        count(*) FILTER ((page IS NOT DISTINCT FROM seat) AND id % 4 <> 0) AS boxed, any_value(kept) AS kept
+      FROM c JOIN (SELECT run_id, count(*) AS kept FROM c GROUP BY run_id) USING (run_id) GROUP BY run_id, seat""",
     "run_deleted": _RUN + """, k AS (SELECT client_id FROM rc WHERE run_id <> 2) SELECT 'clients' AS name, count(*) AS n FROM k UNION ALL SELECT 'documents', count(*) FROM docs WHERE run_id <> 2
       UNION ALL SELECT 'rules', count(*) FROM contracts JOIN k USING (client_id) UNION ALL SELECT 'clauses', count(*) FROM cl JOIN k ON client_id = rule_id
       UNION ALL SELECT 'escalations', 2 * count(*) FROM contracts JOIN k USING (client_id) UNION ALL SELECT 'discounts', count(*) FROM contracts JOIN k USING (client_id) WHERE has_disc
       UNION ALL SELECT 'lines', count(*) FROM tl WHERE run_id <> 2""",
     "clients_upserted": """WITH c AS (SELECT n_regionkey AS run_id, c_custkey AS id FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL
         SELECT n_regionkey, -1 - s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) SELECT run_id, count(*) AS n, count(*) AS ids, count(*) AS names FROM c GROUP BY run_id""",
-    "vocabulary_checks": _RUN + """SELECT 'status' AS name, status AS value, count(*) AS n FROM fr WHERE status = 'unverified' GROUP BY 2
-      UNION ALL SELECT 'method', method, count(*) FROM cl WHERE method <> 'exact' GROUP BY 2""",
+    "vocabulary_checks": "SELECT name, value, count(*) AS n FROM customer, (VALUES ('anomaly_type', 4, 'underpaid'), ('status', 5, 'open'), ('method', 3, 'guessed'), ('payment_type', 6, 'one-off'), ('extraction_status', 7, 'done')) "
+      "v(name, step, value) WHERE c_custkey % step = 0 GROUP BY name, value UNION ALL SELECT 'frequency', lower(c_mktsegment), count(*) FROM customer GROUP BY 2",
     "grounding_filter": _ANSWERS + " SELECT model, kind, status, count(*) AS n, count(*) FILTER (status IN ('bad_figure', 'kept')) AS grounded FROM g GROUP BY model, kind, status",
     "exam_marks": _ANSWERS + " SELECT * FROM marks",
     "exam_report": _ANSWERS + " SELECT model, count(*) AS n, " + ", ".join(f"count(*) FILTER ({c}) AS n_{c}" for c in ("usable", "amount", "frequency", "escalation", "found")) + ", " + ", ".join(

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; one is set only where none is and the master is local."""
+    sc = spark.sparkContext
+    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not found and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    found = found or "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once: a reliable checkpoint, in the session's ``spark.checkpoint.dir``."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = sc.getConf().get("spark.checkpoint.dir")
-        if not found and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="tallyloom-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -103,13 +103,33 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def trading_name(key: Column) -> Column:
+    """Two words of letters from a key; each key divisible by three has the name of the one before."""
+    of = (key - F.when(key % 3 == 0, 1).otherwise(0)).cast("string")
+    word = F.translate(F.md5(of.cast("binary")), "0123456789", "ghijklmnop")
+    return F.concat(F.initcap(F.substring(word, 1, 8)), F.lit(" "), F.initcap(F.substring(word, 9, 8)), F.lit(" Ltd."))
+
+
+def trading_clients(spark: SparkSession, d: str) -> DataFrame:
+    return clients(spark, d).withColumn("name", trading_name(F.col("client_id")))
+
+
+def statement_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Bank lines of which a third name their payer in the text alone, as banks write it."""
+    unknown = (F.col("txn_id") % 3 == 1) & F.col("client_id").isNotNull()
+    name = F.regexp_replace(trading_name(F.col("client_id")), " Ltd[.]$", "")
+    told = F.when(F.col("txn_id") % 2 == 0, F.concat(F.upper(name), F.lit(" ACH PMT 4711"))).otherwise(F.concat(F.substring(name, 1, 4), F.substring(name, 6, 20)))
+    return lines(spark, d).withColumns({"description": F.when(unknown, told).otherwise(F.col("description")), "client_id": F.when(~unknown, F.col("client_id"))})
+
+
 def run_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Findings with run, clause (null for every seventeenth) and a status from their confidence."""
+    """Findings with run, clause (null for every seventeenth) and a status: by key open or to be
+    reviewed, else from their confidence."""
     role = F.col("clause_role")
     n = F.when(role == "escalation", KINDS["escalation"]).when(role == "discount", KINDS["discount"]).otherwise(KINDS["base_fee"])
     sure = F.col("confidence")
     f = findings(spark, d).join(clients(spark, d).select("client_id", "run_id"), "client_id")
     return f.withColumns({
         "clause_id": F.when(F.col("entry_id") % 17 != 0, F.col("client_id") * 10 + n),
-        "status": F.when(sure >= 0.9, "confirmed").when(sure < 0.6, "false_positive").otherwise("unverified"),
+        "status": F.when(F.col("entry_id") % 7 == 0, "needs_review").when(F.col("entry_id") % 5 == 0, "unverified").when(sure >= 0.9, "confirmed").when(sure < 0.6, "false_positive").otherwise("unverified"),
     })

@@ -90,7 +90,11 @@ class Store:
 
     def _staged(self, state: dict, name: str, change: Change, mark: str) -> list[tuple[str, int, str, int]]:
         """New folders for the partitions of one table that differ, entered into ``state``."""
-        by, new, key = self.by, change.rows, [self.by, *change.keys]
+        by, key = self.by, [self.by, *change.keys]
+        # the rows given are worked out once
+        at = f"{self.root}/staging/{mark}/{name}-rows"
+        change.rows.write.parquet(at)
+        new = self.spark.read.schema(change.rows.schema).parquet(at)
         if name not in state:
             if change.mode == "update":
                 raise KeyError(name)
@@ -105,7 +109,7 @@ class Store:
         given = [c for c in columns if c in new.columns and c not in key]
         rest = [c for c in columns if c not in key]
         told = old.select(F.struct(*key).alias("_a"), F.struct(*[F.col(c) for c in rest]).alias("_old"))
-        asked = new.select(F.struct(*[F.col(c).cast(old.schema[c].dataType) for c in key]).alias("_b"), F.struct(*[F.col(c).cast(old.schema[c].dataType).alias(c) for c in given]).alias("_new"))
+        asked = new.select(F.struct(*[F.col(c).cast(old.schema[c].dataType).alias(c) for c in key]).alias("_b"), F.struct(*[F.col(c).cast(old.schema[c].dataType).alias(c) for c in given]).alias("_new"))
         both = told.join(asked, F.col("_a").eqNullSafe(F.col("_b")), "full_outer")
         after = [F.when(F.col("_b").isNull(), F.col(f"_old.{c}")).otherwise(F.col(f"_new.{c}") if c in given else F.col(f"_old.{c}")).alias(c) for c in rest]
         both = both.select(F.coalesce("_a", "_b").alias("_k"), F.col("_a").isNull().alias("_fresh"), F.col("_b").isNull().alias("_gone"), "_old", F.struct(*after).alias("_now"))
@@ -148,7 +152,7 @@ class Store:
             out.close()
         if self._fs.exists(final):
             raise Conflict(f"version {version} of {self.root} is there already")
-        options = self.spark._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         self._files.rename(temp, final, options)
 
     def tidy(self, keep: int = 1) -> int:
