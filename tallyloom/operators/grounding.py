@@ -7,21 +7,18 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DoubleType, IntegerType
 
 from tallyloom.functions.questions import percentage_stated
 from tallyloom.functions.text import absent_quote, flatten, fold_typography
-from tallyloom.operators.attribution import indel_ratio
 from tallyloom.operators.corpus import verbatim_hits
+from tallyloom.operators.near import LEAST, NEAR, partial_ratio
 
 #: Lengths of the stretches of a quote that are searched, longest first.
 LADDER = (None, 240, 160, 80)
-LEAST = 20
 #: Hundredths that a window must resemble a quote, and share of its words that a page must use.
 RATIO = 75
 OVERLAP = 35
-#: ratio from which a quote counts as copied
-NEAR = 92
 WORD = "[a-z0-9][a-z0-9,.$%-]*"
 STOPWORDS = frozenset("the of and or to in for a an by on at as is be shall will with from that this such any all each per its it not".split())
 
@@ -155,31 +152,14 @@ def locate(clauses: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select("clause_id", "doc_id", F.coalesce("page", "_near").alias("page"), "ord", method.alias("method"))
 
 
-def partial_ratio(quote: str, document: str) -> int:
-    """Best Indel ratio of the quote with any stretch of its length, if that can reach ``NEAR``.
-
-    At 92 of 100 at most 16 letters of 100 differ, so of pieces of six letters one stands
-    unchanged: only stretches around such a piece are looked at."""
-    size = len(quote)
-    if len(document) <= size:
-        return indel_ratio(quote, document)
-    reach = 2 * (100 - NEAR) * size // 100
-    starts: set[int] = set()
-    for at in range(0, size - 5, 6):
-        piece, hit = quote[at : at + 6], -1
-        while (hit := document.find(piece, hit + 1)) >= 0:
-            starts.update(range(max(0, hit - at - reach), min(len(document) - size, hit - at + reach) + 1))
-    return max((indel_ratio(quote, document[i : i + size]) for i in starts), default=0)
-
-
-@F.pandas_udf(IntegerType())
+@F.pandas_udf(DoubleType())
 def _partial(quote: pd.Series, document: pd.Series) -> pd.Series:
-    return pd.Series([partial_ratio(q, d) if q and d else 0 for q, d in zip(quote, document, strict=True)], dtype="int32")
+    return pd.Series([partial_ratio(q, d) if q and d else 0.0 for q, d in zip(quote, document, strict=True)], dtype="float64")
 
 
 def is_verbatim(quotes: DataFrame, quote: str = "quote", document: str = "document") -> DataFrame:
     """Add ``verbatim``: the quote has 20 letters at least and stands in the document, white
-    space and case aside, or nearly so. Only what does not stand there is compared by ratio."""
+    space and case aside, or nearly so, or a shorter document in it (``near``). Only what does not stand there is compared by ratio."""
     flat = quotes.withColumns({"_q": flatten(F.coalesce(quote, F.lit(""))), "_d": flatten(F.coalesce(document, F.lit("")))})
     flat = flat.withColumn("_s", F.contains("_d", "_q"))
     long = F.length("_q") >= LEAST

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
-from tallyloom.operators import corpus
+from tallyloom.operators import corpus, near
 from tallyloom.plans.leaks import BASE
 from tallyloom.sources import derived as src
 from tallyloom.sources.derived import table
@@ -59,6 +59,19 @@ def text_verbatim(spark: SparkSession, d: str) -> DataFrame:
     return corpus.verbatim_hits(table(spark, d, "benchmark"), table(spark, d, "documents"))
 
 
+def text_near(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts that stand in a document nearly word for word: all against all."""
+    return near.near_verbatim(table(spark, d, "benchmark"), table(spark, d, "documents"))
+
+
+def text_near_altered(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark texts with every thirtieth letter another one, against all documents: each
+    document that holds the text itself, and whether it was found."""
+    quotes = table(spark, d, "benchmark").select("item_id", F.regexp_replace(text.flatten(F.col("text")), "(.{29}).", "$1~").alias("text"))
+    found = near.near_verbatim(quotes, table(spark, d, "documents")).select("item_id", "doc_id", F.lit(True).alias("found"))
+    return text_verbatim(spark, d).join(found, ["item_id", "doc_id"], "left").select("item_id", "doc_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def corpus_tiers(spark: SparkSession, d: str) -> DataFrame:
     return corpus.tiers(terms(spark, d)).groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("redacted")).alias("redacted"))
 
@@ -233,7 +246,7 @@ QUERIES = {
     for f in (
         text_fingerprint, text_blanks, text_relevance, text_numbers, text_fold, html_text, text_verbatim, corpus_tiers, corpus_buckets,
         corpus_question_filter, corpus_percentages, clause_snippets, fees_stated, clause_fill, leak_check, seal_check, sealed_counts, corpus_deduplicated, seeded_pick,
-        rewrite_check, extractions_merged, sealed_membership, first_clause_per_filer, exam_scorecard, exam_split, turn_ordinals, chunk_scores,
+        rewrite_check, text_near, text_near_altered, extractions_merged, sealed_membership, first_clause_per_filer, exam_scorecard, exam_split, turn_ordinals, chunk_scores,
     )
 }
 _FP = "substr(md5(substr(trim(regexp_replace(regexp_replace(lower({0}), '[^a-z ]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 150)), 1, 8)"
@@ -271,6 +284,9 @@ SQL = {
       SELECT doc_id, CAST(len(v) AS BIGINT) AS n, coalesce(total, 0) AS total FROM n LEFT JOIN s USING (doc_id)""",
     "text_fold": f"SELECT doc_id, md5(trim(regexp_replace({FOLD}, '\\s+', ' ', 'g'))) AS folded FROM documents",
     "html_text": f"WITH x AS (SELECT page_id, {_HTML} AS t FROM pages, (SELECT {_NAMED} AS named)) SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS BIGINT) AS n FROM x",
+    "text_near_altered": """SELECT *, true AS found FROM (WITH q AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM benchmark),
+      t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents)
+      SELECT item_id, doc_id FROM q JOIN t ON contains(t, q) WHERE length(q) >= 20)""",
     "text_verbatim": """WITH q AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS q FROM benchmark),
       t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents)
       SELECT item_id, doc_id FROM q JOIN t ON contains(t, q) WHERE length(q) >= 20""",
