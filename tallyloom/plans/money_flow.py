@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from tallyloom.operators import cashflow, evidence
 from tallyloom.operators.attribution import attribute
 from tallyloom.plans.leaks import BASE, findings
 from tallyloom.sources import derived as src
+from tallyloom.sources import ingest
+from tallyloom.sources.lineage import shared_dir
+from tallyloom.sources.stored import Store
 
 RECEIPTS = """receipts AS (SELECT o_orderkey AS txn_id, o_custkey AS client_id, CAST(o_orderdate AS DATE) AS transaction_date,
   CAST(CAST(o_totalprice AS DECIMAL(18,6)) AS DECIMAL(18,2)) AS amount, o_orderpriority AS description FROM orders)"""
@@ -117,6 +122,29 @@ def statement_clean(spark: SparkSession, d: str) -> DataFrame:
     return out.filter("amount IS NOT NULL")
 
 
+def statements_ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Events as statement files of three layouts, uploaded in two batches and once more: the
+    first layout is known, the second gets confirmed afterwards, the third never."""
+    e = src.table(spark, d, "events")
+    file = F.floor(F.col("event_id") / 500)
+    amount = F.when(F.col("event_id") % 10 == 3, "n/a").otherwise(F.floor("value").cast("long").cast("string"))
+    row = F.struct("event_id", F.concat_ws(",", F.date_format("ts", "yyyy-MM-dd"), amount, F.concat(F.lit('"'), "event_type", F.lit(', card"'))).alias("line"))
+    rows = e.groupBy(file.alias("file")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    heads = {0: ("Date", "Amount", "Text"), 1: ("Posted", "Value", "Memo"), 2: ("When", "Sum", "Note")}
+    head = F.element_at(F.array(*[F.lit(",".join(h)) for h in heads.values()]), (F.col("file") % 3 + 1).cast("int"))
+    content = F.concat_ws("\n", head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).cast("binary")
+    files = rows.select((F.col("file") % 2).cast("int").alias("run_id"), F.concat(F.lit("s"), F.col("file").cast("string"), F.lit(".csv")).alias("filename"), content.alias("content"))
+    known = lambda k: spark.createDataFrame([(list(heads[k]), dict(zip(ingest.FIELDS, heads[k])))], "h array<string>, mapping map<string,string>").select(text.header_signature(F.col("h")).alias("signature"), "mapping")
+    store = Store(spark, f"{shared_dir(spark)}/statements-{uuid.uuid4().hex}")
+    for part in (files.filter("filename LIKE '%1.csv'"), files):
+        ingest.ingest(store, part, known(0))
+    ingest.confirm(store, known(1))
+    sums = store.read("lines").groupBy("run_id", "filename").agg(F.sum("amount").cast("double").alias("total"), F.max("transaction_date").alias("last"))
+    aside = store.read("set_aside").groupBy("run_id", "filename").agg(F.count("*").alias("set_aside"))
+    out = store.read("documents").select("run_id", "filename", "status", "n_lines").join(sums, ["run_id", "filename"], "left").join(aside, ["run_id", "filename"], "left")
+    return out.fillna(0, ["set_aside"])
+
+
 def statement_signature(spark: SparkSession, d: str) -> DataFrame:
     """Signatures of the columns each event names, as a header cache would key them."""
     e = src.table(spark, d, "events")
@@ -166,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         revenue_by_month, cash_baseline, cash_recovery, cash_verdicts, cash_projection, cash_on_revenue, verdict_figures, months_spanned, transaction_window, band_search,
-        client_ledger, evidence_split_payments, statement_clean, statement_signature, attribute_lines, table_counts, vocabulary_violations, filer_cap,
+        client_ledger, evidence_split_payments, statement_clean, statements_ingested, statement_signature, attribute_lines, table_counts, vocabulary_violations, filer_cap,
     )
 }
 _MONTHLY = RECEIPTS + ", monthly AS (SELECT strftime(transaction_date, '%Y-%m') AS month, sum(amount) AS revenue FROM receipts GROUP BY 1)"
@@ -204,6 +232,10 @@ SQL = {
         WHERE abs(a.amount + b.amount - a.target) <= a.slack
       UNION ALL SELECT a.client_id, 3, a.txn_id || ',' || b.txn_id || ',' || c.txn_id FROM p a JOIN p b ON a.client_id = b.client_id AND a.txn_id < b.txn_id
         JOIN p c ON a.client_id = c.client_id AND b.txn_id < c.txn_id WHERE abs(a.amount + b.amount + c.amount - a.target) <= a.slack""",
+    "statements_ingested": """WITH e AS (SELECT event_id // 500 AS file, event_id % 10 = 3 AS bad, CAST(floor(value) AS BIGINT) AS amount, CAST(ts AS DATE) AS day FROM events)
+      SELECT CAST(file % 2 AS INTEGER) AS run_id, 's' || file || '.csv' AS filename, CASE WHEN file % 3 = 2 THEN 'pending' ELSE 'complete' END AS status,
+        count(*) FILTER (NOT bad AND file % 3 < 2) AS n_lines, CAST(sum(amount) FILTER (NOT bad AND file % 3 < 2) AS DOUBLE) AS total, max(day) FILTER (NOT bad AND file % 3 < 2) AS "last",
+        count(*) FILTER (bad AND file % 3 < 2) AS set_aside FROM e GROUP BY file""",
     "statement_clean": """SELECT event_id, CAST(ts AS DATE) AS day, CASE WHEN event_id % 5 = 1 THEN -abs(round(value, 2)) ELSE round(value, 2) END AS amount,
       upper(event_type) AS description FROM events WHERE event_id % 5 <> 2""",
     "statement_signature": """SELECT sha256(array_to_string(list_sort([lower(event_type), 'date', 'amount ' || (user_id % 7)]), '|')) AS signature, count(*) AS n FROM events GROUP BY 1""",
