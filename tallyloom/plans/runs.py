@@ -13,6 +13,7 @@ from tallyloom.operators import evidence, grounding, run, schedule
 from tallyloom.plans.leaks import BASE
 from tallyloom.sources import derived as src
 from tallyloom.sources import run_tables as tables
+from tallyloom.sources import scenarios
 from tallyloom.sources.lineage import shared_dir
 from tallyloom.sources.stored import Change, Store
 
@@ -274,6 +275,30 @@ def run_recomputed(spark: SparkSession, d: str) -> DataFrame:
     return _passes(spark, [run.recompute(store, _plans(spark, d), tables.trading_clients(spark, d), window=src.WINDOW) for _ in range(2)])
 
 
+def scenarios_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A scenario a nation, its contracts and payments with planted leaks, written to folders,
+    read back and computed: what was planted and what is found."""
+    home = src.table(spark, d, "customer").select(F.col("c_custkey").alias("client_id"), F.concat(F.lit("nation-"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("scenario"))
+    c = src.contracts(spark, d).join(home, "client_id").withColumn("name", tables.trading_name(F.col("client_id"), False))
+    said = {n: tables.clause_text(F.lit(n)) for n in tables.KINDS}
+    rise = F.struct(F.col("esc_pct").alias("percentage"), F.col("esc_after").alias("after_months"), said["escalation"].alias("clause_text"))
+    offs = F.transform("discounts", lambda x: F.struct(x["percentage"], x["duration_months"], said["discount"].alias("clause_text")))
+    rules = F.struct(F.col("start_date").alias("contract_start_date"), F.col("base_amount"), F.col("frequency").alias("billing_frequency"), said["base_fee"].alias("base_clause"), rise.alias("escalation"), offs.alias("discounts"))
+    contract = F.concat_ws("\n", said["base_fee"], said["escalation"], F.when(F.col("discounts").isNotNull(), said["discount"]))
+    clients = c.select("scenario", "name", rules.alias("rules"), contract.alias("contract"))
+    p = src.payments(spark, d).drop("description").join(c.select("client_id", "scenario", F.upper(F.regexp_replace("name", " Ltd[.]$", " ACH")).alias("description")), "client_id")
+    t = src.planted(src.entries(spark, d)).filter("planted_type IS NOT NULL").join(home, "client_id")
+    truth = t.groupBy("scenario").agg(F.count("*").alias("n"), F.sum(F.col("expected_amount") - F.coalesce("paid_amount", F.lit(0))).cast("decimal(18,2)").alias("gap"))
+    folder = f"{shared_dir(spark)}/scenarios-{uuid.uuid4().hex}"
+    scenarios.write_scenarios(scenarios.scenario_files(clients, p, truth), folder)
+    back = scenarios.read_scenarios(spark, folder)
+    found = run.compute_run(scenarios.plans_of(back), back["clients"], back["lines"], window=src.WINDOW)["findings"]
+    found = found.groupBy("run_id").agg(F.count("*").alias("found"), shown(F.sum("gap")).alias("found_gap"))
+    n = back["lines"].groupBy("run_id").agg(F.count("*").alias("lines")).join(back["clients"].groupBy("run_id").agg(F.count("*").alias("clients")), "run_id")
+    out = back["truth"].join(n, "run_id").join(found, "run_id", "left")
+    return out.select("scenario", "clients", "lines", F.col("n").alias("planted"), shown(F.col("gap")).alias("planted_gap"), F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("found_gap", F.lit(0.0)).alias("found_gap"))
+
+
 def verdicts_written(spark: SparkSession, d: str) -> DataFrame:
     """Stored findings after a reviewer's verdicts, some on findings that are gone."""
     store = _store(spark)
@@ -419,7 +444,7 @@ QUERIES = {
     for f in (
         run_list, run_documents, document_status, run_clients, run_transactions, clause_rows, clause_rates, run_summary, run_table_counts, findings_view, findings_filtered,
         finding_texts, finding_context, finding_windows, verdict_counts, run_states, schedule_milestones, schedule_horizon, milestones_open, contract_plans, schedule_notes,
-        run_findings, run_counters, run_recomputed, verdicts_written, places_written, run_deleted, clients_upserted, vocabulary_checks, grounding_filter, exam_marks, exam_report, extraction_rows,
+        run_findings, run_counters, run_recomputed, scenarios_round_trip, verdicts_written, places_written, run_deleted, clients_upserted, vocabulary_checks, grounding_filter, exam_marks, exam_report, extraction_rows,
     )
 }
 
@@ -563,6 +588,13 @@ SQL = {
         UNION ALL SELECT 'timeline', run_id, 1, 'inserted', billings FROM k UNION ALL SELECT 'timeline', run_id, 2, 'kept', billings FROM k
         UNION ALL SELECT 'lines', run_id, 1, 'changed', newly FROM k UNION ALL SELECT 'lines', run_id, 1, 'kept', lines - newly FROM k)
       SELECT name, CAST(run_id AS BIGINT) AS run_id, CAST(pass AS INTEGER) AS pass, kind, n FROM r WHERE n > 0""",
+    "scenarios_round_trip": BASE + """, h AS (SELECT c_custkey AS client_id, 'nation-' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS scenario FROM customer),
+        c AS (SELECT scenario, count(*) AS clients FROM contracts JOIN h USING (client_id) GROUP BY 1), l AS (SELECT scenario, count(*) AS lines FROM paid_rows JOIN h USING (client_id) GROUP BY 1),
+        t AS (SELECT scenario, count(*) AS planted, CAST(sum(expected_amount - coalesce(amount, 0)) AS DOUBLE) AS planted_gap
+          FROM truth JOIN h USING (client_id) LEFT JOIN paid_rows p ON p.txn_id = truth.entry_id WHERE planted_type IS NOT NULL GROUP BY 1),
+        f AS (SELECT scenario, count(*) AS found, CAST(sum(gap) AS DOUBLE) AS found_gap FROM findings JOIN h USING (client_id) GROUP BY 1)
+      SELECT scenario, clients, lines, coalesce(planted, 0) AS planted, coalesce(planted_gap, 0) AS planted_gap, coalesce(found, 0) AS found, coalesce(found_gap, 0) AS found_gap
+      FROM c JOIN l USING (scenario) LEFT JOIN t USING (scenario) LEFT JOIN f USING (scenario)""",
     "verdicts_written": _RUN + """SELECT run_id, status, count(*) AS n, round(sum(CASE status WHEN 'confirmed' THEN greatest(confidence, 0.9) WHEN 'false_positive' THEN least(confidence, 0.1) ELSE confidence END), 2)::DOUBLE AS confidence,
       count(*) AS reasoned, DATE '2025-02-01' AS verified_on FROM fr GROUP BY run_id, status""",
     "places_written": _RUN + """, c AS (SELECT rc.run_id, cl.*, CASE WHEN cl.document_id IS NOT NULL THEN CASE kind WHEN 'discount' THEN 1 ELSE 0 END END AS seat FROM cl JOIN rc ON rc.client_id = cl.rule_id)

@@ -103,9 +103,10 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def trading_name(key: Column) -> Column:
-    """Two words of letters from a key; each key divisible by three has the name of the one before."""
-    of = (key - F.when(key % 3 == 0, 1).otherwise(0)).cast("string")
+def trading_name(key: Column, shared: bool = True) -> Column:
+    """Two words of letters from a key; ``shared``: a key divisible by three has the name of the
+    one before."""
+    of = (key - F.when(F.lit(shared) & (key % 3 == 0), 1).otherwise(0)).cast("string")
     word = F.translate(F.md5(of.cast("binary")), "0123456789", "ghijklmnop")
     return F.concat(F.initcap(F.substring(word, 1, 8)), F.lit(" "), F.initcap(F.substring(word, 9, 8)), F.lit(" Ltd."))
 
