@@ -185,3 +185,16 @@ def window_around(whole: Column, needle: Column, size: int = 1400) -> Column:
     hit = F.when(F.size(words) >= 3, F.coalesce(F.regexp_substr(whole, pattern(head)), F.regexp_substr(whole, pattern(tail))))
     start = F.greatest(F.instr(whole, hit) - 1 - size // 3, F.lit(0))
     return F.when(hit.isNotNull(), F.substr(whole, start + 1, F.lit(size)))
+
+
+def excerpt(whole: Column, snippets: list[Column], head: int = 1200, size: int = 1400) -> Column:
+    """The opening of a text and the stretches around its scored snippets, those that are in an
+    earlier part already left out; what is left between is told by [...]."""
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    parts = F.array(F.substring(whole, 1, head))
+    for s in snippets:
+        w = window_around(whole, s, size)
+        fresh = w.isNotNull() & ~F.coalesce(F.exists(parts, lambda p: F.contains(p, F.substring(w, 1, 120))), F.lit(True))  # noqa: B023
+        parts = F.when(fresh, F.concat(parts, F.array(w))).otherwise(parts)
+    told = F.filter(F.transform(parts, trimmed), lambda p: p != "")
+    return F.regexp_replace(F.array_join(told, "\n\n[...]\n\n"), r"\n{3,}", "\n\n")

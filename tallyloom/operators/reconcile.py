@@ -54,6 +54,18 @@ def unmatched(entries: DataFrame, payments: DataFrame, tolerance_days: int = TOL
     return payments.join(best_bucket(entries, payments, tolerance_days, within), "txn_id", "left_anti").filter("client_id IS NOT NULL")
 
 
+def billing_span(entries: DataFrame, by: tuple[str, ...] = (), tolerance_days: int = 0) -> DataFrame:
+    """First and last billing date, ``tolerance_days`` wider: where to look for payments. No row
+    without billings."""
+    out = entries.groupBy(*by).agg(F.date_sub(F.min("billing_date"), tolerance_days).alias("first_day"), F.date_add(F.max("billing_date"), tolerance_days).alias("last_day"))
+    return out.filter("first_day IS NOT NULL")
+
+
+def review_queue(findings: DataFrame, limit: int, status: str = "unverified") -> DataFrame:
+    """The findings to look at next: those of one status, most money first, at most ``limit``."""
+    return findings.filter(F.col("status") == status).orderBy(F.desc("gap"), "entry_id").limit(limit)
+
+
 def _close(target: Column, pct: float = 1.0) -> Column:
     return F.greatest(target * F.lit(pct / 100).cast("decimal(6,4)"), F.lit(0.01).cast("decimal(18,4)"))
 

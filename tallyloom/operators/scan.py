@@ -92,8 +92,10 @@ def categories(docs: DataFrame) -> DataFrame:
 
 
 def survivors(scored: DataFrame, least: int = 3) -> DataFrame:
-    """Documents with enough categories, the best first."""
-    return scored.filter(F.col("score") >= least).orderBy(F.desc("core_pair"), F.desc("score"), F.desc("n_chars"), "doc_id")
+    """Documents with enough categories, the best first: those of the gold tier, if it is told,
+    then those with both core categories, more categories, longer ones."""
+    gold = [F.desc("gold")] if "gold" in scored.columns else []
+    return scored.filter(F.col("score") >= least).orderBy(*gold, F.desc("core_pair"), F.desc("score"), F.desc("n_chars"), "doc_id")
 
 
 def _spans(flat: str, patterns: tuple[str, ...]) -> Iterator[tuple[int, int]]:

@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
-from tallyloom.operators import corpus, drafts, names, scan
+from tallyloom.functions.money import shown
+from tallyloom.operators import corpus, drafts, marks, names, pairs, reconcile, scan
 from tallyloom.plans import runs
+from tallyloom.plans.leaks import BASE
 from tallyloom.plans.texts import TERMS, terms
 from tallyloom.sources import derived as src
+from tallyloom.sources import run_tables as tables
 
 SYLLABLES = "bar cen dol fen gar hal jor kel lum mer nor pol ras sed tor vel".split()
 
@@ -51,6 +54,42 @@ def clause_windows(spark: SparkSession, d: str) -> DataFrame:
     return terms(spark, d).select("doc_id", F.md5(w.cast("binary")).alias("window_md5"))
 
 
+def contract_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """Openings with the stretch around a clause at the end, asked for twice."""
+    t = src.table(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" The fee shall\nincrease by 5% annually.")).alias("text"))
+    asked = [F.lit("the fee shall increase by 5% annually."), F.lit("THE FEE shall increase BY 5% annually. And more words that are not there to be found at all")]
+    return t.select("doc_id", F.md5(drafts.excerpt(F.col("text"), asked).cast("binary")).alias("excerpt_md5"))
+
+
+def clause_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Planted clauses marked in the escaped text of their documents; the second quote stands nowhere."""
+    k = (F.col("doc_id") % 6 + 1).cast("int")
+    clause = F.element_at(F.array(*map(F.lit, corpus.CLAUSES)), k)
+    m = terms(spark, d).select("doc_id", marks.marked(F.col("text"), F.array(clause, F.lit("no such words stand here"), F.lit(None))).alias("m"))
+    return m.select("doc_id", F.size("m.marks").cast("long").alias("n_marks"), F.get("m.marks", 0)["end"].alias("until"), F.md5(F.col("m.html").cast("binary")).alias("html_md5"))
+
+
+def pairs_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Training pairs from contracts, templates dealt evenly; some are spoilt after writing."""
+    c = src.contracts(spark, d).select("client_id", "client_name", "base_amount", "frequency", "esc_pct", F.lit(10).alias("off_pct"), F.lit(3).alias("off_months"), (F.col("client_id") + 900_000).alias("ms_amount"))
+    p = pairs.written(pairs.dealt(c, "client_id", 7))
+    k = F.col("client_id")
+    p = p.withColumns({"base_amount": F.when(k % 11 == 0, F.col("base_amount") + 1).otherwise(F.col("base_amount")), "rise_clause": F.when(k % 13 == 0, F.upper("rise_clause")).otherwise(F.col("rise_clause"))})
+    out = p.withColumn("problems", F.array_join(pairs.problems(p), "; "))
+    return out.groupBy("template", "problems").agg(F.count("*").alias("n"))
+
+
+def finding_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The fifty findings to be looked at next."""
+    q = reconcile.review_queue(tables.run_findings(spark, d), 50)
+    return q.select("entry_id", "run_id", shown(F.col("gap")).alias("gap"))
+
+
+def billing_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Where to look for the payments of each rhythm: its billings, fifteen days wider."""
+    return reconcile.billing_span(src.entries(spark, d), ("frequency",), 15)
+
+
 def draft_answers(spark: SparkSession, d: str) -> DataFrame:
     """The plain reader's answers as drafts over excerpts with other sums beside the fee."""
     k = F.col("client_id")
@@ -110,10 +149,17 @@ def order_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    name_groups, column_proposals, contract_categories, contract_hits, clause_windows, draft_checks, draft_corrections, exam_progress, exam_final, exam_scan, order_tables,
+    name_groups, column_proposals, contract_categories, contract_hits, clause_windows, contract_excerpts, clause_marks, pairs_checked, finding_queue, billing_windows, draft_checks, draft_corrections, exam_progress, exam_final, exam_scan, order_tables,
 )}
 
 
+def _escaped(x: str) -> str:
+    """SQL of a text with its special characters escaped and its line ends as breaks."""
+    for c, e in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{c if c != chr(39) * 2 else chr(39) * 2}', '{e}')"
+    return f"replace({x}, chr(10), '<br>')"
+
+
 def _ratio(a: str, b: str) -> str:
     """SQL of the ratio of two strings: rows of the table of common subsequences, folded."""
     zero = f"list_transform(range(len({b})), lambda z: 0)"
@@ -189,6 +235,18 @@ SQL = {
       list_contains(cs, 'escalation') AND NOT {_said(corpus.CONCRETE_RISE)} AND {_said(scan.DISPUTE)} AS dispute_only FROM x WHERE len(cs) >= 2""",
     "clause_windows": f"""WITH {TERMS}, x AS (SELECT doc_id, text, strpos(lower(text), 'the fee shall increase by 5% annually.') AS p FROM terms)
       SELECT doc_id, CASE WHEN p > 0 THEN md5(substring(text, greatest(p - 1 - 466, 0) + 1, 1400)) END AS window_md5 FROM x""",
+    "contract_excerpts": """WITH x AS (SELECT doc_id, text || ' The fee shall' || chr(10) || 'increase by 5% annually.' AS t FROM documents),
+      w AS (SELECT doc_id, t, substring(t, greatest(length(t) - 38 - 466, 0) + 1, 1400) AS w FROM x),
+      e AS (SELECT doc_id, regexp_replace(substring(t, 1, 1200), '^\\s+|\\s+$', '', 'g') AS h, CASE WHEN NOT contains(substring(t, 1, 1200), substring(w, 1, 120)) THEN regexp_replace(w, '^\\s+|\\s+$', '', 'g') END AS w FROM w)
+      SELECT doc_id, md5(regexp_replace(concat_ws(chr(10) || chr(10) || '[...]' || chr(10) || chr(10), CASE WHEN h <> '' THEN h END, w), '\\n{3,}', chr(10) || chr(10), 'g')) AS excerpt_md5 FROM e""",
+    "clause_marks": f"""WITH {TERMS}, x AS (SELECT doc_id, t.text, length(t.text) - 1 - length(d.text) AS n FROM terms t JOIN documents d USING (doc_id)),
+      e AS (SELECT doc_id, n, {_escaped("substring(text, 1, n)")} AS c, {_escaped("substring(text, n + 1)")} AS r FROM x)
+      SELECT doc_id, CAST(1 AS BIGINT) AS n_marks, CAST(n AS INTEGER) AS until, md5('<mark class="exact">' || c || '</mark>' || r) AS html_md5 FROM e""",
+    "pairs_checked": BASE + """, p AS (SELECT *, CAST((row_number() OVER (ORDER BY md5('7:' || client_id), client_id) - 1) % 6 AS INTEGER) AS template FROM contracts)
+      SELECT template, concat_ws('; ', CASE WHEN client_id % 11 = 0 THEN 'fee is not in the text' END, CASE WHEN client_id % 13 = 0 AND template IN (1, 3, 5) THEN 'rise clause is not verbatim' END) AS problems, count(*) AS n
+      FROM p GROUP BY 1, 2""",
+    "finding_queue": runs._RUN + "SELECT entry_id, run_id, CAST(gap AS DOUBLE) AS gap FROM fr WHERE status = 'unverified' ORDER BY fr.gap DESC, entry_id LIMIT 50",
+    "billing_windows": BASE + "SELECT frequency, CAST(min(billing_date) - 15 AS DATE) AS first_day, CAST(max(billing_date) + 15 AS DATE) AS last_day FROM keyed GROUP BY frequency",
     "draft_checks": _DRAFTS + "SELECT name, CASE WHEN usable THEN failed END AS failed, CASE WHEN usable THEN 3 + 4 * has_esc::INT + has_disc::INT + has_ms::INT END AS n_checks, verdict FROM ver",
     "draft_corrections": _DRAFTS + """SELECT name, CASE WHEN mend THEN fee ELSE amount END AS amount, CASE WHEN mend THEN rhythm ELSE frequency END AS frequency, has_esc AND NOT lost AND NOT unquoted AS has_rise,
       (has_disc AND NOT bad_disc)::INT AS n_items, concat_ws('; ', CASE WHEN mend THEN 'base amount: the only recurring fee in the text' END, CASE WHEN mend AND rhythm <> frequency THEN 'billing frequency: from the same sentence' END,
