@@ -232,23 +232,52 @@ def containing(quotes: DataFrame, texts: DataFrame, size: int = 60, step: int =
     return hits.filter(F.contains("text", "item_id.text")).select("item_id.name", "doc_id").distinct()
 
 
+def _two_first(left: DataFrame, by: str) -> DataFrame:
+    """``by``, and the two smallest ords of each: a smallest, then a smallest of the others."""
+    one = left.groupBy(by).agg(F.min("ord").alias(f"{by}_1"))
+    rest = left.join(one, by).filter(F.col("ord") > F.col(f"{by}_1")).groupBy(by).agg(F.min("ord").alias(f"{by}_2"))
+    return one.join(rest, by, "left")
+
+
+def _chains(links: DataFrame) -> DataFrame:
+    """links(ord, before, odd): ``before`` leads on until it has no link; each round doubles the
+    steps, ``odd`` tells whether their number is."""
+    while True:
+        on = links.select(F.col("ord").alias("before"), F.col("before").alias("_b"), F.col("odd").alias("_o"))
+        longer = links.join(on, "before", "left")
+        longer = cut(longer.select("ord", F.coalesce("_b", "before").alias("before"), F.when(F.col("_o"), ~F.col("odd")).otherwise(F.col("odd")).alias("odd"), F.col("_b").isNotNull().alias("_on")))
+        links = longer.drop("_on")
+        if longer.filter("_on").isEmpty():
+            return links
+
+
 def keep_first_of_each(docs: DataFrame) -> DataFrame:
     """docs(doc_id, ord, filer, clause): one document of a filer AND of a clause, in order.
 
-    Greedy by nature: whether a document stays depends on those before it. A document
-    that is the first left of both its filer and its clause is sure; it rules out the
-    others of both, and the rest go round again, a written-out plan each time."""
-    kept, left = None, docs
+    Greedy by nature: whether a document stays depends on those before it of its filer and its
+    clause. One without any is sure. One with a single one before it stays if that one goes: such
+    documents form chains, which are walked by doubling, so a chain of n is decided in log n
+    joins. What shares a filer or clause with one that stays goes; documents with several before
+    them wait for the next round. Rounds: the depth of such waiting, not the length of chains."""
+    kept, left = None, cut(docs.select("doc_id", "ord", "filer", "clause"))
     while True:
-        first = left.withColumns({
-            "_f": F.min("ord").over(Window.partitionBy("filer")), "_c": F.min("ord").over(Window.partitionBy("clause")),
-        })
-        sure = cut(first.filter((F.col("ord") == F.col("_f")) & (F.col("ord") == F.col("_c"))).select(*docs.columns))
-        if sure.isEmpty():
+        x = left.join(_two_first(left, "filer"), "filer").join(_two_first(left, "clause"), "clause")
+        ahead = lambda by: F.when(F.col("ord") == F.col(f"{by}_1"), F.lit(None)).otherwise(F.col(f"{by}_1"))
+        few = lambda by: (F.col("ord") == F.col(f"{by}_1")) | F.coalesce(F.col("ord") == F.col(f"{by}_2"), F.lit(False))
+        x = x.withColumns({"_f": ahead("filer"), "_c": ahead("clause")})
+        single = few("filer") & few("clause") & (F.col("_f").isNull() | F.col("_c").isNull() | (F.col("_f") == F.col("_c")))
+        x = cut(x.select("ord", F.coalesce("_f", "_c").alias("before"), (F.col("_f").isNull() & F.col("_c").isNull()).alias("sure"), single.alias("single")))
+        sure = x.filter("sure").select("ord")
+        ends = _chains(cut(x.filter("single AND NOT sure").select("ord", "before", F.lit(True).alias("odd"))))
+        # a chain that ends at a document that is not sure yet is left for later
+        known = ends.join(sure.withColumnRenamed("ord", "before"), "before", "left_semi")
+        stay = cut(sure.unionByName(known.filter("NOT odd").select("ord")))
+        if stay.isEmpty():
             return kept if kept is not None else left
-        kept = sure if kept is None else kept.unionByName(sure)
-        left = left.join(sure.select("filer").distinct(), "filer", "left_anti").join(sure.select("clause").distinct(), "clause", "left_anti")
-        left = cut(left.select(*docs.columns))
+        mine = cut(left.join(stay, "ord", "left_semi"))
+        kept = mine if kept is None else kept.unionByName(mine)
+        left = left.join(mine.select("filer"), "filer", "left_anti").join(mine.select("clause"), "clause", "left_anti")
+        left = cut(left.select("doc_id", "ord", "filer", "clause"))
 
 
 def filled(text: Column, seed: Column) -> Column:

@@ -235,6 +235,16 @@ SQL = {
       list_contains(cs, 'escalation') AND NOT {_said(corpus.CONCRETE_RISE)} AND {_said(scan.DISPUTE)} AS dispute_only FROM x WHERE len(cs) >= 2""",
     "clause_windows": f"""WITH {TERMS}, x AS (SELECT doc_id, text, strpos(lower(text), 'the fee shall increase by 5% annually.') AS p FROM terms)
       SELECT doc_id, CASE WHEN p > 0 THEN md5(substring(text, greatest(p - 1 - 466, 0) + 1, 1400)) END AS window_md5 FROM x""",
+    "attribute_lines": f"""WITH s AS (SELECT s_suppkey AS id, sha256(s_name) AS w FROM supplier), p AS (
+        SELECT id, {", ".join(f"{SYLLABLES}[('0x' || substr(w, {i}, 2))::INT % 16 + 1] AS p{i}" for i in (1, 3, 5, 7, 9, 11))} FROM s
+      ), n AS (SELECT id, p1 || p3 || p5 AS a, p7 || p9 || p11 AS b FROM p
+      ), x AS (SELECT l.id AS line, n.id AS name, l.a[1:6] || l.b AS k, n.a || n.b AS m, [l.a[1:6], l.b] AS lw, [n.a, n.b, 'holdings', 'inc'] AS nw FROM n l, n WHERE l.id % 11 <> 0
+      ), r AS (SELECT line, name, list_reduce([0, 1, 2], lambda q, i: CASE WHEN q < 0 THEN -1 ELSE coalesce(list_min(list_filter(range(q + 1, 5), lambda j: starts_with(nw[j], lw[i]) OR starts_with(lw[i], nw[j]))), -1) END) > 0 AS abbr,
+          CASE WHEN levenshtein(k, m) <= 0.205 * (len(k) + len(m)) THEN {_ratio("k", "m")} ELSE 0 END AS ratio FROM x
+      ), y AS (SELECT line, name, greatest(CASE WHEN abbr THEN 90 ELSE 0 END, CASE WHEN ratio >= 80 THEN ratio ELSE 0 END) AS s FROM r
+      ), t AS (SELECT line, name, s, row_number() OVER (PARTITION BY line ORDER BY s DESC, name) AS place, coalesce(lead(s) OVER (PARTITION BY line ORDER BY s DESC, name), 0) AS next FROM y)
+      SELECT id AS txn_id, CASE WHEN id % 11 = 0 THEN id WHEN s >= 85 AND s - next >= 6 THEN name END AS client_id, CAST(CASE WHEN id % 11 = 0 THEN 100 ELSE s END AS BIGINT) AS score,
+        CAST(CASE WHEN id % 11 = 0 THEN 0 ELSE next END AS BIGINT) AS runner_up FROM s1 LEFT JOIN t ON line = id AND place = 1""".replace("FROM s1 LEFT", "FROM s LEFT"),
     "contract_excerpts": """WITH x AS (SELECT doc_id, text || ' The fee shall' || chr(10) || 'increase by 5% annually.' AS t FROM documents),
       w AS (SELECT doc_id, t, substring(t, greatest(length(t) - 38 - 466, 0) + 1, 1400) AS w FROM x),
       e AS (SELECT doc_id, regexp_replace(substring(t, 1, 1200), '^\\s+|\\s+$', '', 'g') AS h, CASE WHEN NOT contains(substring(t, 1, 1200), substring(w, 1, 120)) THEN regexp_replace(w, '^\\s+|\\s+$', '', 'g') END AS w FROM w)

@@ -291,6 +291,11 @@ SQL = {
       t AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM documents)
       SELECT item_id, doc_id FROM q JOIN t ON contains(t, q) WHERE length(q) >= 20""",
     "corpus_tiers": f"WITH {_TIERS} SELECT tier, count(*) AS n, count(*) FILTER (redacted) AS redacted FROM tiered GROUP BY tier",
+    "corpus_deduplicated": f"""WITH {_TIERS}, d AS (SELECT doc_id, (tier <> 'gold')::INT AS o, source || '_' || doc_id % 40 AS f, {_FP.format('substring(text, 60, 90)')} AS c  FROM tiered WHERE tier <> 'reject'),
+      l AS (SELECT list({{'k': doc_id, 'f': f, 'c': c}} ORDER BY o, doc_id) AS l FROM d),
+      r AS (SELECT list_reduce(l, lambda s, d: CASE WHEN list_contains(s.f, d.f) OR list_contains(s.c, d.c) THEN s ELSE {{'k': list_append(s.k, d.k), 'f': list_append(s.f, d.f), 'c': list_append(s.c, d.c)}} END,
+        {{'k': []::BIGINT[], 'f': []::VARCHAR[], 'c': []::VARCHAR[]}}) AS r FROM l)
+      SELECT unnest(r.k) AS doc_id, unnest(r.f) AS filer FROM r""",
     "corpus_buckets": f"""WITH {_TIERS}, b AS (SELECT *, {_COUNT.format('text', text.BLANK)} AS blanks FROM tiered)
       SELECT CASE WHEN tier = 'gold' THEN 'ready' WHEN tier = 'reject' THEN 'skipped' WHEN blanks = 0 THEN 'review' WHEN blanks <= 4 THEN 'filled' ELSE 'skipped' END AS bucket,
       count(*) AS n FROM b GROUP BY 1""",

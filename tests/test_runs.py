@@ -179,6 +179,16 @@ def test_first_of_filer_and_clause_is_greedy(spark):
     assert sorted(x.doc_id for x in got.collect()) == want
 
 
+def test_a_long_chain_is_decided_in_few_rounds(spark, monkeypatch):
+    # each document shares its filer with the one before it and its clause with the one after
+    rows = [(i, i, f"f{i // 2}", f"c{(i + 1) // 2}") for i in range(10_000)]
+    writes = []
+    monkeypatch.setattr(corpus, "cut", lambda df, f=corpus.cut: writes.append(1) or f(df))
+    got = corpus.keep_first_of_each(spark.createDataFrame(rows, "doc_id long, ord long, filer string, clause string").repartition(4))
+    assert sorted(x.doc_id for x in got.collect()) == list(range(0, 10_000, 2)) and len(writes) < 40
+    assert corpus.keep_first_of_each(spark.createDataFrame([], "doc_id long, ord long, filer string, clause string")).count() == 0
+
+
 def test_verbatim_has_a_second_tier(spark):
     doc = "Before. The monthly retainer shall increase by five percent on each anniversary of this agreement. " * 3
     rows = [("The monthly retainer  shall increase by FIVE percent", True), ("The month1y retainer shall increase by five percent on each anniversary", True),
