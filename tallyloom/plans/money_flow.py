@@ -63,15 +63,19 @@ def cash_on_revenue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verdict_figures(spark: SparkSession, d: str) -> DataFrame:
-    """A sentence on each verdict held against the figures it may state: all stand but one."""
+    """A sentence on each verdict held against the figures it may state: by turns all stand, one
+    does not, two do not."""
     v = _verdicts(spark, d)
     v = v.withColumn("allowed", cashflow.allowed_figures(v))
+    k = F.col("scenario") % 3
+    wrong = F.concat(F.lit(", or "), F.format_number(F.abs("after") + F.lit(1000.5), 2))
     said = F.concat(
-        F.lit("After $"), F.format_number("monthly_cost", 2), F.lit(" a month for 12 months, "), F.format_number(F.abs("after"), 2), F.lit(" is left, or "),
-        F.format_number(F.abs("after") + F.lit(1000.5), 2), F.lit("; that is "), F.round(F.col("cost_share") * 100, 1).cast("decimal(9,1)").cast("string"), F.lit("% of revenue."),
+        F.lit("After $"), F.format_number("monthly_cost", 2), F.lit(" a month for 12 months, "), F.format_number(F.abs("after"), 2), F.lit(" is left"), F.when(k > 0, wrong).otherwise(""),
+        F.when(k == 2, F.concat(F.lit(" at $"), F.format_number(F.col("monthly_cost") + F.lit(77.25), 2))).otherwise(""),
+        F.lit("; that is "), F.round(F.col("cost_share") * 100, 1).cast("decimal(9,1)").cast("string"), F.lit("% of revenue."),
     )
-    bad = cashflow.offending(text.amounts_in(said), F.col("allowed"), F.col("cost_share"))
-    return v.select("scenario", F.size(bad).cast("long").alias("n_offending"))
+    v = v.withColumn("bad", cashflow.offending(text.amounts_in(said), F.col("allowed"), F.col("cost_share")))
+    return v.select("scenario", F.size("bad").cast("long").alias("n_offending"), F.get("bad", 0).alias("first"), F.get("bad", 1).alias("second"))
 
 
 def cash_projection(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +221,8 @@ SQL = {
       round(CAST(monthly_cost AS DOUBLE) / CAST(monthly_revenue + monthly AS DOUBLE), 4) AS cost_share FROM v""",
     "cash_on_revenue": _VERDICT + """ SELECT scenario, CAST(i AS INTEGER) AS month_ahead, CAST(i * (monthly_revenue + monthly - monthly_cost) AS DOUBLE) AS with_recovery,
       CAST(i * (monthly_revenue - monthly_cost) AS DOUBLE) AS without_recovery FROM v CROSS JOIN range(1, 7) t(i)""",
-    "verdict_figures": "SELECT s_nationkey AS scenario, CAST(1 AS BIGINT) AS n_offending FROM supplier GROUP BY s_nationkey",
+    "verdict_figures": _VERDICT + """ SELECT scenario, CAST(scenario % 3 AS BIGINT) AS n_offending, CASE WHEN scenario % 3 > 0 THEN round(CAST(abs(after) AS DOUBLE) + 1000.5, 2) END AS "first",
+      CASE WHEN scenario % 3 = 2 THEN round(CAST(monthly_cost AS DOUBLE) + 77.25, 2) END AS second FROM v""",
     "cash_projection": _VERDICT + """ SELECT scenario, CAST(i AS INTEGER) AS month_ahead, CAST(i * after AS DOUBLE) AS with_recovery,
       CAST(i * (after - monthly) AS DOUBLE) AS without_recovery FROM v CROSS JOIN range(1, 13) t(i)""",
     "months_spanned": f"WITH {RECEIPTS} SELECT client_id, count(DISTINCT date_trunc('month', transaction_date)) AS months FROM receipts GROUP BY client_id",
