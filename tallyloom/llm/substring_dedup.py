@@ -14,9 +14,10 @@ known from their md5: only the smallest id of each text goes through the windows
 
 Defined cases: a null text has no words; every row is a document of its own: rows with the
 same id do not remove from each other, whatever their texts (where an id has several texts
-rows are told apart by 64-bit hashes of id and text); a null id is larger than all others
-and rows with null ids do not remove from each other; very long texts are taken whole; an
-empty table gives an empty table; extra columns are not read.
+or none is given, rows are told apart by the id and a 64-bit hash of the text together); a
+null id is larger than all others, 2^63-1 included, and rows with null ids do not remove from
+each other; very long texts are taken whole; an empty table gives an empty table; extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -36,25 +37,34 @@ LENGTH = 50
 PERIOD = 31
 #: Differences of these places give every residue modulo 31.
 COVER = (0, 1, 3, 8, 12, 18)
-ENTRY = ["<u8", "<i8", "<i4", "<i4"]  # hash, document, place, home bucket of the document
+ENTRY = ["<u8", "<i8", "<i4", "<i4"]  # hash, document, place, home of the document
 WINDOW = ["<u8", "<u4", "<i8", "<i4", "<i4"]  # hash, check, document, place, home
-#: in both, where ids do not tell rows apart, the row's key follows
+RANGE = ["<i8", "<i4", "<i4"]  # document, first word, end
+#: in all of them, where ids do not tell rows apart, a hash of the text follows
 KEY = ["<i8"]
-RANGE = ["<i8", "<i4", "<i4"]  # row's key, first word, end
-LAST = 2**63 - 1
-#: stands for the documents of an anchor that a task has combined; no document has this id
-NOBODY = -(2**63)
+#: The home is the bucket of a document, plus the number of buckets where its id is null (and
+#: the document 0). An entry for all documents that a task has combined has no home:
+NO_HOME = -1
 #: anchors that a task combines before it sends them: bounds its memory
 COMBINED = 1 << 20
-RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+RESULT = "doc_id long, nameless boolean, n_words long, n_removed long, kept_sha256 string"
 
 
-def _docs_per(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _docs_per(hashes: np.ndarray, docs: np.ndarray, home: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries sorted by (hash, document): order, group starts, whether a group has two documents."""
-    order = np.lexsort((docs, hashes))
-    h, d = hashes[order], docs[order]
+    nameless = home >= buckets
+    order = np.lexsort((docs, nameless, hashes))
+    h, d, x = hashes[order], docs[order], nameless[order]
     first, ends = wh.groups(h)
-    return order, first, d[first] != d[ends - 1]
+    two = (d[first] != d[ends - 1]) | (x[first] != x[ends - 1])
+    if len(h):
+        two |= np.logical_or.reduceat(home[order] == NO_HOME, first)
+    return order, first, two
+
+
+def _later(docs: np.ndarray, nameless: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which entries of sorted groups are of another document than the group's first."""
+    return (docs != np.repeat(docs[first], size)) | (nameless != np.repeat(nameless[first], size))
 
 
 def anchors(docs: DataFrame, buckets: int, length: int, period: int, cover: tuple[int, ...], wide: bool) -> DataFrame:
@@ -67,14 +77,14 @@ def anchors(docs: DataFrame, buckets: int, length: int, period: int, cover: tupl
         h, d, p, b, r = (np.concatenate(c) for c in zip(*got, strict=True))
         if not len(h):
             return
-        order, first, shared = _docs_per(h, d)
+        order, first, shared = _docs_per(h, d, b, buckets)
         h, d, p, b, r = (x[order] for x in (h, d, p, b, r))
         known = np.repeat(shared, np.diff(np.append(first, len(h))))
         if known.any():
-            yield wh.packed(b[known].astype(np.int64), [r[known], p[known], p[known] + 1], 1)
-        # of a shared hash one entry goes on, for nobody, so that others meet it
+            yield wh.packed(b[known] % buckets, [d[known], p[known], p[known] + 1] + [r[known]] * wide, 1)
+        # of a shared hash one entry goes on, without a home, so that others meet it
         go = np.concatenate((np.flatnonzero(~known), first[shared]))
-        sent = [h[go], np.where(known[go], NOBODY, d[go]), p[go], b[go]] + [r[go]] * wide
+        sent = [h[go], d[go], p[go], np.where(known[go], NO_HOME, b[go]).astype(np.int32)] + [r[go]] * wide
         yield wh.packed((sent[0] % np.uint64(buckets)).astype(np.int64), sent)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +97,7 @@ def anchors(docs: DataFrame, buckets: int, length: int, period: int, cover: tupl
                 at = np.flatnonzero(chosen[place % period] & (place + k <= n) & (n >= length))
                 h = wh.windows(words, k)
                 ids, keys = some["doc_id"].to_numpy(np.int64), some["key"].to_numpy(np.int64)
-                home = some["bucket"].to_numpy(np.int32)
+                home = some["home"].to_numpy(np.int32)
                 got.append([h[at] if len(at) else h[:0], ids[text[at]], place[at].astype(np.int32), home[text[at]], keys[text[at]]])
                 held += len(at)
                 if held >= COMBINED:
@@ -99,38 +109,51 @@ def anchors(docs: DataFrame, buckets: int, length: int, period: int, cover: tupl
     return docs.mapInPandas(find, wh.PACKED)
 
 
-def _ranges(pdf: pd.DataFrame, kind: int) -> list[np.ndarray]:
+def _ranges(pdf: pd.DataFrame, kind: int, wide: bool) -> list[np.ndarray]:
     """The ranges of one bucket that are at home already, led by the bucket."""
-    r = wh.unpacked(pdf.loc[pdf["kind"] == kind, "load"].tolist(), RANGE)
+    r = wh.unpacked(pdf.loc[pdf["kind"] == kind, "load"].tolist(), RANGE + KEY * wide)
     return [np.full(len(r[0]), pdf["bucket"].iat[0]), *r]
 
 
-def _repeated(wide: bool):
+def _repeated(buckets: int, wide: bool):
     """Anchors in two documents, packed by the home of their document."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found() -> Iterator[list[np.ndarray]]:
             for pdf in wh.by_bucket(batches):
-                yield _ranges(pdf, 1)
+                yield _ranges(pdf, 1, wide)
                 h, d, p, b, *r = wh.unpacked(pdf.loc[pdf["kind"] == 0, "load"].tolist(), ENTRY + KEY * wide)
-                order, first, shared = _docs_per(h, d)
+                order, first, shared = _docs_per(h, d, b, buckets)
                 size = np.diff(np.append(first, len(h)))
                 keep = order[np.repeat(shared, size)] if len(h) else order
-                keep = keep[d[keep] != NOBODY]
-                yield [b[keep], (r or [d])[0][keep], p[keep], p[keep] + 1]
+                keep = keep[b[keep] != NO_HOME]
+                yield [b[keep] % buckets, d[keep], p[keep], p[keep] + 1, *(x[keep] for x in r)]
 
         yield from wh.repacked(found(), 1)
 
     return find
 
 
-def _per_doc(loads: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+Row = tuple[int, int]  # id and hash of the text: the same row of documents, or a copy of it
+
+
+def _rows(pdf: pd.DataFrame) -> list[Row]:
+    return list(zip(pdf["doc_id"].tolist(), pdf["key"].tolist(), strict=True))
+
+
+def _copies(marks: pd.DataFrame, wide: bool) -> set[Row]:
+    d, *r = wh.unpacked(marks.loc[marks["kind"] == 3, "load"].tolist(), ["<i8"] + KEY * wide)
+    return set(zip(d.tolist(), (r or [np.zeros_like(d)])[0].tolist(), strict=True))
+
+
+def _per_doc(loads: list[bytes], wide: bool) -> dict[Row, tuple[np.ndarray, np.ndarray]]:
     """Ranges of each document."""
-    d, a, z = wh.unpacked(loads, RANGE)
-    order = np.argsort(d, kind="stable")
-    d, a, z = d[order], a[order], z[order]
-    cut, ends = wh.groups(d)
-    return {int(d[i]): (a[i:j], z[i:j]) for i, j in zip(cut, ends, strict=True)}
+    d, a, z, *r = wh.unpacked(loads, RANGE + KEY * wide)
+    r = (r or [np.zeros_like(d)])[0]
+    order = np.lexsort((r, d))
+    d, a, z, r = (x[order] for x in (d, a, z, r))
+    cut, ends = wh.groups(d, r)
+    return {(int(d[i]), int(r[i])): (a[i:j], z[i:j]) for i, j in zip(cut, ends, strict=True)}
 
 
 def _covered(n: int, a: np.ndarray, z: np.ndarray) -> np.ndarray:
@@ -141,91 +164,90 @@ def _covered(n: int, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _runs(docs: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
-    """Window starts -> ranges of covered words, neighbours joined."""
-    order = np.lexsort((starts, docs))
-    d, s = docs[order], starts[order]
+def _runs(docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
+    """Window starts -> document, ranges of covered words (neighbours joined) and key."""
+    order = np.lexsort((starts, keys, docs))
+    d, r, s = docs[order], keys[order], starts[order]
     if not len(d):
-        return [d, s.astype(np.int32), s.astype(np.int32)]
-    new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (s[1:] - s[:-1] > length)))
+        return [d, s.astype(np.int32), s.astype(np.int32), r]
+    new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (s[1:] - s[:-1] > length)))
     last = np.append(new[1:], len(d)) - 1
-    return [d[new], s[new].astype(np.int32), (s[last] + length).astype(np.int32)]
+    return [d[new], s[new].astype(np.int32), (s[last] + length).astype(np.int32), r[new]]
 
 
 def window_entries(length: int, period: int, buckets: int, wide: bool):
     """Texts and repeated anchors of one home bucket -> windows to be compared."""
 
     def find(texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        hits = _per_doc(marks.loc[marks["kind"] == 1, "load"].tolist())
-        copies = set(wh.unpacked(marks.loc[marks["kind"] == 3, "load"].tolist(), KEY)[0].tolist())
-        wanted = texts[texts["key"].isin(list(hits.keys() - copies))]
+        hits = _per_doc(marks.loc[marks["kind"] == 1, "load"].tolist(), wide)
+        look = hits.keys() - _copies(marks, wide)
+        wanted = texts[[row in look for row in _rows(texts)]]
         got: list[list[np.ndarray]] = []
         for some, raw in wh.chunks(wanted, "text") if len(wanted) else ():
             words, ends = wh.hash_words(raw)
             begin = np.append(0, ends[:-1])
             h, c = wh.windows(words, length), wh.windows(words, length, 77).astype(np.uint32)
-            home = some["bucket"].to_numpy(np.int32)
-            for i, (d, r) in enumerate(zip(some["doc_id"].tolist(), some["key"].tolist(), strict=True)):
+            home = some["home"].to_numpy(np.int32)
+            for i, (d, r) in enumerate(_rows(some)):
                 n = int(ends[i] - begin[i]) - length + 1
                 if n <= 0:
                     continue
-                a, z = hits[r]
+                a, z = hits[d, r]
                 at = np.flatnonzero(_covered(n, a - period + 1, z))
                 w, m = begin[i] + at, len(at)
                 got.append([h[w], c[w], np.full(m, d, np.int64), at.astype(np.int32), np.full(m, home[i]), np.full(m, r, np.int64)])
         if not got:
             return wh.packed(np.zeros(0, np.int64), [])
         h, c, d, p, b, r = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((d, c, h))
+        order = np.lexsort((d, b >= buckets, c, h))
         h, c, d, p, b, r = (x[order] for x in (h, c, d, p, b, r))
         first, ends = wh.groups(h, c)
-        later = d > np.repeat(d[first], ends - first)
+        later = _later(d, b >= buckets, first, ends - first)
         sent = [x[~later] for x in (h, c, d, p, b)] + [r[~later]] * wide
         out = [wh.packed((h[~later] % np.uint64(buckets)).astype(np.int64), sent)]
         if later.any():
-            runs = _runs(r[later], p[later], length)
-            out.append(wh.packed(np.full(len(runs[0]), int(b[0])), runs, 2))
+            runs = _runs(d[later], r[later], p[later], length)
+            out.append(wh.packed(np.full(len(runs[0]), int(b[0]) % buckets), runs if wide else runs[:3], 2))
         return pd.concat(out)
 
     return find
 
 
-def _later_windows(length: int, wide: bool):
+def _later_windows(length: int, buckets: int, wide: bool):
     """Windows whose smallest document is another one, packed by home as word ranges."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def found() -> Iterator[list[np.ndarray]]:
             for pdf in wh.by_bucket(batches):
-                yield _ranges(pdf, 2)
+                yield _ranges(pdf, 2, wide)
                 h, c, d, p, b, *r = wh.unpacked(pdf.loc[pdf["kind"] == 0, "load"].tolist(), WINDOW + KEY * wide)
-                r = r[0] if wide else d
-                order = np.lexsort((d, c, h))
-                h, c, d, p, b, r = (x[order] for x in (h, c, d, p, b, r))
+                order = np.lexsort((d, b >= buckets, c, h))
+                h, c, d, p, b, *r = (x[order] for x in (h, c, d, p, b, *r))
                 first, ends = wh.groups(h, c)
-                later = d > np.repeat(d[first], ends - first)
-                yield [b[later], r[later], p[later], p[later] + length]
+                later = _later(d, b >= buckets, first, ends - first)
+                yield [b[later] % buckets, d[later], p[later], p[later] + length, *(x[later] for x in r)]
 
         yield from wh.repacked(found(), 2)
 
     return find
 
 
-def _finish(length: int):
+def _finish(length: int, wide: bool):
     def cut(texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        hits = _per_doc(marks.loc[marks["kind"] == 2, "load"].tolist())
-        copies = set(wh.unpacked(marks.loc[marks["kind"] == 3, "load"].tolist(), KEY)[0].tolist())
+        hits = _per_doc(marks.loc[marks["kind"] == 2, "load"].tolist(), wide)
+        copies = _copies(marks, wide)
         rows = []
-        for d, r, t in zip(texts["doc_id"].tolist(), texts["key"].tolist(), texts["text"], strict=True):
+        for row, nameless, t in zip(_rows(texts), texts["nameless"].tolist(), texts["text"], strict=True):
             words = t.encode().split() if isinstance(t, str) else []
             n = len(words)
-            if r in copies and n >= length:
+            if row in copies and n >= length:
                 words = []
-            elif r in hits:
-                gone = _covered(n, *hits[r])
+            elif row in hits:
+                gone = _covered(n, *hits[row])
                 words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             kept = b" ".join(words)
-            rows.append((d, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            rows.append((row[0], nameless, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()))
+        return pd.DataFrame(rows, columns=["doc_id", "nameless", "n_words", "n_removed", "kept_sha256", "kept"])
 
     return cut
 
@@ -241,39 +263,43 @@ def remove_repeats(
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, buckets // 2)
     digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc_id"), F.col(text).alias("text"), digest.alias("h"))
-    named = materialize(rows.select("doc_id", "h"), "repeat-names")
-    texts_an_id = named.groupBy("doc_id").agg((F.min("h") < F.max("h")).alias("many"))
-    wide = not texts_an_id.filter("many").isEmpty()
-    key = F.xxhash64("doc_id", "h") if wide else F.col("doc_id")
+    ident = F.col(doc_id).cast("long")
+    rows = docs.select(F.coalesce(ident, F.lit(0)).alias("doc_id"), ident.isNull().alias("nameless"), F.col(text).alias("text"), digest.alias("h"))
+    named = materialize(rows.drop("text"), "repeat-names")
+    texts_an_id = named.groupBy("doc_id").agg((F.min("h") < F.max("h")).alias("many"), F.max("nameless").alias("nameless"))
+    wide = not texts_an_id.filter("many OR nameless").isEmpty()
+    key = F.xxhash64("h", "nameless") if wide else F.lit(0).cast("long")
 
     def homed(df: DataFrame) -> DataFrame:
-        return df.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+        df = df.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key"), F.lit(buckets)).cast("int"))
+        return df.withColumn("home", F.col("bucket") + F.when(F.col("nameless"), buckets).otherwise(0))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "bucket").sortWithinPartitions("bucket")
 
     # copies of whole texts: all but the smallest id
-    least = materialize(named.groupBy("h").agg(F.min("doc_id").alias("least")), "repeat-copies")
-    copies = homed(named).join(least, "h").filter("doc_id > least").select("bucket", "key")
+    place = F.struct("nameless", "doc_id")
+    least = materialize(named.groupBy("h").agg(F.min(place).alias("least")), "repeat-copies")
+    copies = homed(named).join(least, "h").filter(place > F.col("least")).select("bucket", "doc_id", "key")
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield wh.packed(pdf["bucket"].to_numpy(np.int64), [pdf["key"].to_numpy(np.int64)], 3)
+            ids = [pdf[c].to_numpy(np.int64) for c in ("doc_id", "key")]
+            yield wh.packed(pdf["bucket"].to_numpy(np.int64), ids if wide else ids[:1], 3)
 
     copies = materialize(copies.mapInPandas(listed, wh.PACKED), "repeat-copy-ids")
     rows = homed(rows).drop("h")
-    marks = dealt(anchors(rows, buckets, length, period, cover, wide)).mapInPandas(_repeated(wide), wh.PACKED)
+    marks = dealt(anchors(rows, buckets, length, period, cover, wide)).mapInPandas(_repeated(buckets, wide), wh.PACKED)
     found = (
         rows.groupBy("bucket").cogroup(marks.unionByName(copies).groupBy("bucket"))
         .applyInPandas(window_entries(length, period, buckets, wide), wh.PACKED)
     )
-    gone = dealt(found).mapInPandas(_later_windows(length, wide), wh.PACKED)
-    finish, schema = _finish(length), RESULT + ", kept string" if texts else RESULT
+    gone = dealt(found).mapInPandas(_later_windows(length, buckets, wide), wh.PACKED)
+    finish, schema = _finish(length, wide), RESULT + ", kept string" if texts else RESULT
     out = rows.groupBy("bucket").cogroup(gone.unionByName(copies).groupBy("bucket")).applyInPandas(
         lambda a, b: finish(a, b)[[c.split()[0] for c in schema.split(", ")]], schema
     )
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
+    return out.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
