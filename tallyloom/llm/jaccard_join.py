@@ -27,7 +27,7 @@ third of all documents share is sent once a batch.
 Defined cases: a null or empty text has an empty set and links with nothing; fewer than
 five words are one shingle; very long texts are taken whole; every row is a document: rows
 that repeat an id and a text get the same result, rows that repeat an id with another text
-are documents of their own (keys are then 64-bit hashes of id and text); a null id is left
+are documents of their own (all rows are then keyed by a number for id and text); a null id is left
 out of all links and is returned with a null component; an empty table gives an empty
 table; extra columns are not read.
 """
@@ -54,8 +54,8 @@ MARK = ["<u8", "<i8", "<i4"]  # shingle, document, home bucket of the document
 #: shingle, group, size, first shingle, component, most that can be shared from here on, members
 GROUP = ["<u8", "<i8", "<i8", "<u8", "<i8", "<i8", "<i8"]
 PAIRS = "a long, b long"
-#: stands for the documents of a shingle that a task has combined; no document has this key
-NOBODY = -(2**63)
+#: home of an entry that stands for all documents of a shingle that a task has combined
+NO_HOME = -1
 #: entries that a task combines before it sends them: bounds its memory
 COMBINED = 1 << 20
 #: open pairs for each document of a bucket that are sent as pairs; beyond, documents are sent
@@ -90,7 +90,9 @@ def _prefix_size(n: np.ndarray, similar: int) -> np.ndarray:
 
 
 def set_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, n_shingles and a 128-bit fingerprint of the set."""
+    """doc_id, hash of the text, n_shingles and a 128-bit fingerprint of the set.
+
+    Null ids travel as a mark beside a zero: a null among them would turn ids into floats."""
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -100,9 +102,11 @@ def set_sizes(docs: DataFrame) -> DataFrame:
                 one, two = np.zeros(len(some), np.uint64), np.zeros(len(some), np.uint64)
                 np.add.at(one, t, wh.mix(s))
                 np.add.at(two, t, wh.mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-                yield some[["doc_id", "hash"]].assign(n=n, f1=one.view(np.int64), f2=two.view(np.int64))
+                yield some[["doc_id", "nameless", "hash"]].assign(n=n, f1=one.view(np.int64), f2=two.view(np.int64))
 
-    return docs.mapInPandas(measure, "doc_id long, hash long, n long, f1 long, f2 long")
+    marked = docs.withColumns({"nameless": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
+    sizes = marked.mapInPandas(measure, "doc_id long, nameless boolean, hash long, n long, f1 long, f2 long")
+    return sizes.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).drop("nameless")
 
 
 def _edge(share: float) -> np.uint64:
@@ -121,7 +125,7 @@ def _marks(buckets: int, similar: int, share: float):
         known = np.repeat(shared, ends - first)
         yield wh.packed(b[known].astype(np.int64), [s[known], d[known], b[known]], 1)
         go = np.concatenate((np.flatnonzero(~known), first[shared]))
-        sent = [s[go], np.where(known[go], NOBODY, d[go]), b[go]]
+        sent = [s[go], d[go], np.where(known[go], NO_HOME, b[go]).astype(np.int32)]
         yield wh.packed((sent[0] % np.uint64(buckets)).astype(np.int64), sent)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +159,10 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             order = np.lexsort((d, s))
             s, d, b = s[order], d[order], b[order]
             first, ends = wh.groups(s)
-            keep = np.repeat(d[first] != d[ends - 1], ends - first) & (d != NOBODY) if len(s) else np.zeros(0, bool)
+            two = d[first] != d[ends - 1]
+            if len(s):
+                two |= np.logical_or.reduceat(b == NO_HOME, first)
+            keep = np.repeat(two, ends - first) & (b != NO_HOME)
             yield [b[keep], s[keep], d[keep], b[keep]]
 
     yield from wh.repacked(found(), 1)
@@ -414,14 +421,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = sizes.filter("doc_id IS NOT NULL")
     # an id stands for its row where no two texts share one
     texts_an_id = known.groupBy("doc_id").agg((F.min("hash") < F.max("hash")).alias("many"))
-    key = F.col("doc_id") if texts_an_id.filter("many").isEmpty() else F.xxhash64("doc_id", "hash")
+    numbers = None
+    if not texts_an_id.filter("many").isEmpty():
+        # numbers are written once: a task that runs again reads the same ones
+        numbers = known.select("doc_id", "hash").distinct().withColumn("key", F.monotonically_increasing_id())
+        numbers = materialize(numbers, "join-numbers")
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("key", F.col("doc_id")) if numbers is None else df.join(numbers, ["doc_id", "hash"])
+
+    known = keyed(known)
     same = ["f1", "f2", "n"]
-    least = known.filter("n > 0").groupBy(*same).agg(F.min(key).alias("least"), F.min("doc_id").alias("least_id"))
+    least = known.filter("n > 0").groupBy(*same).agg(F.min("key").alias("least"), F.min("doc_id").alias("least_id"))
     least = materialize(least, "join-classes")
+    shown = ["doc_id", "hash", "key", "n", "least"]
+    classed = known.join(least, same, "left").select(*shown)
     # rows with a null id have no key: they are in no class
-    own = F.when(F.col("doc_id").isNotNull(), key)
-    classed = sizes.withColumn("key", own).join(least, same, "left")
-    classed = materialize(classed.select("doc_id", "hash", "key", "n", F.when(F.col("key").isNotNull(), F.col("least")).alias("least")), "join-members")
+    none = F.lit(None).cast("long")
+    nameless = sizes.filter("doc_id IS NULL").withColumns({"key": none, "least": none}).select(*shown)
+    classed = materialize(classed.unionByName(nameless), "join-members")
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -439,7 +457,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return materialize(can, name)
 
     # a share of the hash range for all documents, then all of it for those that are left
-    rows = named.filter("doc_id IS NOT NULL").select(key.alias("doc_id"), "text")
+    rows = keyed(named.filter("doc_id IS NOT NULL")).select(F.col("key").alias("doc_id"), "text")
     can = narrowed(homed(rows), EXAMINED, "join-candidates")
     can = narrowed(homed(can), 1.0, "join-candidates-2")
     # groups of equal prefix and size: in the first pairs the smallest key stands for all
@@ -470,7 +488,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for links in more:
             stars = stars.unionByName(links)
         roots = components(stars)
-    # the smallest id of a component: its root, unless keys are hashes
+    # the smallest id of a component: its root, unless keys are numbers
     ids = least.select("least", "least_id").join(roots.withColumnRenamed("node", "least"), "least", "left")
     ids = ids.withColumn("root", F.coalesce("root", "least"))
     small = ids.groupBy("root").agg(F.min("least_id").alias("small"))
