@@ -3,14 +3,14 @@
 All rolling three-word hashes of a text meet the three-word hashes of the license
 templates in one join with the (fixed, small) template table. A hit at text place p
 and template place q lies on diagonal p - q. Hits are counted by diagonal,
-neighbouring diagonals (words put in or left out) are merged, and what remains is
-verified: the template places that its hits cover, in the order of the diagonals, and
-whose words the passage holds. A base phrase counts only as a whole.
+neighbouring diagonals (words put in or left out) are merged, however far a run drifts from
+its first one, and what remains is verified: every hit by its words, a span by the share of
+template places that its hits cover. A base phrase counts only as a whole.
 
 Words: runs of digits, letters a-z after A-Z are lower-cased, and non-ASCII characters.
 
 Defined cases: a null text counts as empty: no words, no labels, score 0; very long texts
-are taken whole, their words travel only to the places of hits; null ids and repeated
+are taken whole, their words do not travel; null ids and repeated
 rows are scanned one by one; a text shorter than three words has no hits; an empty
 table gives an empty table; extra columns play no part.
 """
@@ -107,15 +107,12 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     table = template_grams(spark).unionByName(ends)
     hits = hits.join(F.broadcast(table), "h")
     hits = hits.withColumn("d", F.when(F.col("t_id") == none, F.lit(0)).otherwise(F.col("p") - F.col("q")))
-    there = F.when(
-        F.col("t_id") != none, F.slice("_w", F.greatest(F.col("d"), F.lit(0)) + 1, F.size("t_words") + GAP)
-    )
-    hits = hits.select(
-        *keep, "_row", "t_id", "t_label", "t_base", "t_words", "p", "q", "d",
-        F.size("_w").alias("n_words"), there.alias("seen"),
-    )
+    # hashes only propose: a hit counts if the words are the template's
+    alike = F.slice("_w", F.col("p") + 1, K) == F.slice("t_words", F.col("q") + 1, K)
+    hits = hits.filter((F.col("t_id") == none) | alike)
+    hits = hits.select(*keep, "_row", "t_id", "t_label", "t_base", F.size("t_words").alias("t_n"), "p", "q", "d", F.size("_w").alias("n_words"))
     votes = hits.groupBy("_row", "t_id", "d").agg(
-        *[F.first(c).alias(c) for c in (*keep, "n_words", "t_label", "t_base", "t_words", "seen")],
+        *[F.first(c).alias(c) for c in (*keep, "n_words", "t_label", "t_base", "t_n")],
         F.count("*").alias("votes"), F.min("p").alias("p0"), (F.max("p") + K).alias("p1"),
         F.collect_list("q").alias("qs"),  # at most as many as the template has words
     )
@@ -125,15 +122,12 @@ def scan_licenses(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
     fresh = F.col("t_base") | F.coalesce(apart, F.lit(True))
     runs = votes.withColumn("_run", F.sum(fresh.cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy("_row", "t_id", "_run").agg(
-        *[F.first(c).alias(c) for c in (*keep, "n_words", "t_label", "t_base", "t_words")],
-        F.min_by("seen", "d").alias("seen"), F.min("d").alias("d"), F.sum("votes").alias("votes"),
-        F.flatten(F.collect_list("qs")).alias("qs"),
+        *[F.first(c).alias(c) for c in (*keep, "n_words", "t_label", "t_base", "t_n")],
+        F.min("d").alias("d"), F.sum("votes").alias("votes"), F.flatten(F.collect_list("qs")).alias("qs"),
     )
-    n = F.size("t_words")
-    whole = (F.slice("seen", 1, n) == F.col("t_words")) & (F.col("votes") == n - K + 1)
+    whole = F.col("votes") == F.col("t_n") - K + 1  # a base phrase's run is one diagonal
     covered = F.array_distinct(F.flatten(F.transform("qs", lambda q: F.array(*[q + k for k in range(K)]))))
-    held = F.size(F.filter(covered, lambda q: F.array_contains("seen", F.get("t_words", q))))
-    share = F.when(F.col("t_base"), whole.cast("double")).otherwise(held / n)
+    share = F.when(F.col("t_base"), whole.cast("double")).otherwise(F.size(covered) / F.col("t_n"))
     spans = spans.withColumn("share", F.when(F.col("t_id") == none, F.lit(0.0)).otherwise(share))
     found = F.col("share") >= F.when(F.col("t_base"), F.lit(1.0)).otherwise(F.lit(MATCH))
     base = found & F.col("t_base")
@@ -183,12 +177,10 @@ WITH d AS (
 ), span AS (
   SELECT doc_id, id, run, any_value(label) AS label, any_value(is_base) AS is_base, any_value(ts) AS ts, min(dg) AS dg, sum(votes) AS votes, flatten(list(qs)) AS qs
   FROM run GROUP BY doc_id, id, run
-), seen AS (
-  SELECT s.*, d.ws[greatest(dg, 0) + 1:greatest(dg, 0) + len(ts) + {GAP}] AS seen FROM span s JOIN d USING (doc_id)
 ), judged AS (
-  SELECT *, CASE WHEN is_base THEN CASE WHEN seen[1:len(ts)] = ts AND votes = len(ts) - {K - 1} THEN 1.0 ELSE 0.0 END
-    ELSE len(list_filter(list_distinct(flatten(list_transform(qs, lambda q: [q, q + 1, q + 2]))), lambda q: list_contains(seen, ts[q + 1])))::DOUBLE / len(ts) END::DOUBLE AS share
-  FROM seen
+  SELECT *, CASE WHEN is_base THEN CASE WHEN votes = len(ts) - {K - 1} THEN 1.0 ELSE 0.0 END
+    ELSE len(list_distinct(flatten(list_transform(qs, lambda q: [q, q + 1, q + 2]))))::DOUBLE / len(ts) END::DOUBLE AS share
+  FROM span
 ), found AS (
   SELECT *, share >= CASE WHEN is_base THEN 1.0 ELSE {MATCH} END AS ok FROM judged
 )
