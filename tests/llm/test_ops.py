@@ -131,6 +131,15 @@ def test_license_scan_finds_altered_template(spark):
     assert r.labels == "mit" and r.base_labels == "" and 0.8 <= r.score <= 1
 
 
+def test_license_scan_follows_a_drifting_passage(spark):
+    two = "licensed under the a b c d gnu general public e f g h license version 3"
+    many = " ".join(w + " x" * (4 * (k % 3 == 2)) for k, w in enumerate(license_scan.TEMPLATES[9][0].split()))
+    rows = [(1, two), (2, many), (3, two.replace("e f g h", "e f g h i"))]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].labels, got[1].score) == ("gpl-3", 1.0) and (got[2].labels, got[2].score > 0.95) == ("mit", True)
+    assert got[3].labels == ""  # five words between are too many
+
+
 def jaccard_brute(texts):
     sets = {}
     for i, t in texts.items():
@@ -374,6 +383,25 @@ def test_mixing_meets_targets(spark, odd, none):
     assert source_mixing.mix_sources(none).count() == 0
 
 
+@pytest.mark.parametrize("quality", ["1.0", "0.05", "0.05 + 0.95 * (id % 97) / 96"])
+def test_mixing_cells_stay_small_at_any_quality(spark, quality):
+    rows = spark.range(60000).selectExpr("id AS doc_id", "'s' AS source", "5L AS size", f"CAST({quality} AS DOUBLE) AS quality")
+    key = -source_mixing.F.log(source_mixing.uniform()) / source_mixing.F.col("quality")
+    cell = source_mixing.F.floor(source_mixing.F.log2(key) * source_mixing.CELLS)
+    most = rows.groupBy(cell.alias("c")).count().agg({"count": "max"}).first()[0]
+    assert most <= 60000 * 0.693 / 2.718 / source_mixing.CELLS + 6 * 60000**0.5 / source_mixing.CELLS**0.5
+    taken = source_mixing.mix_sources(rows, measured=True).agg({"taken": "sum"}).first()[0]
+    assert taken == 1.5 * 5 * 60000
+
+
+def test_mixing_ties_go_by_id_then_size(spark):
+    rows = [(None, "a b c", "s"), (None, "a", "s"), (None, "a b", "s"), (7, "a b c d", "s"), (7, "a", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = collections.Counter(map(tuple, source_mixing.mix_sources(df).select("doc_id", "size", "taken").collect()))
+    assert got == collections.Counter(map(tuple, source_mixing.mix_sources(df.coalesce(1)).select("doc_id", "size", "taken").collect()))
+    assert sum(k[2] * n for k, n in got.items()) == 17  # 16.5, half up
+
+
 def test_knn_equals_brute_force(spark):
     r = np.random.default_rng(3)
     x = np.round(r.normal(size=(400, 8)), 1)
