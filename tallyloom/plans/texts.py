@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text
-from tallyloom.operators import corpus, near
+from tallyloom.operators import corpus, fill, near
 from tallyloom.plans.leaks import BASE
 from tallyloom.sources import derived as src
 from tallyloom.sources.derived import table
 
 
+#: what is planted before and after a document, and the clauses that are looked for
+WITHHELD = (
+    " of $[***] per month rises by [*]% within the first [***] months; [redacted] stays. ",
+    " Storage costs $ [***] a unit per annum, hosting $[***] monthly; odd [***] stays.",
+)
+TARGETS = ("a FEE of $[***] per month rises", "rises by [*]% within the first [***] months")
+
+
 def terms(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a contract clause planted by id."""
     k = F.col("doc_id") % 6
@@ -121,6 +129,28 @@ def clause_fill(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", "x.n_filled", F.md5(F.col("x.text").cast("binary")).alias("text_md5"))
 
 
+def _withheld(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents between planted clauses with withheld figures, and their two target clauses
+    (the first one is not in documents with an odd id)."""
+    lead = F.when(F.col("doc_id") % 2 == 0, F.lit("A fee")).otherwise(F.lit("One charge"))
+    text = F.concat(lead, F.lit(WITHHELD[0]), F.coalesce("text", F.lit("")), F.lit(WITHHELD[1]))
+    docs = table(spark, d, "documents").select("doc_id", text.alias("text"))
+    targets = F.array(*[F.struct(F.lit(k).alias("place"), F.lit(c).alias("clause")) for k, c in enumerate(TARGETS)])
+    return docs, docs.select("doc_id", F.explode(targets).alias("c")).select("doc_id", "c.*")
+
+
+def fill_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log of figures put in: place, length, kind, value and pass of each."""
+    return fill.fill_script(*_withheld(spark, d))
+
+
+def fill_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """Texts after the log is applied."""
+    docs, clauses = _withheld(spark, d)
+    done = fill.replayed(docs, fill.fill_script(docs, clauses))
+    return done.select("doc_id", "n_filled", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def leak_check(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a stretch of 60 letters of a benchmark text."""
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("name"), "text")
@@ -245,7 +275,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_fingerprint, text_blanks, text_relevance, text_numbers, text_fold, html_text, text_verbatim, corpus_tiers, corpus_buckets,
-        corpus_question_filter, corpus_percentages, clause_snippets, fees_stated, clause_fill, leak_check, seal_check, sealed_counts, corpus_deduplicated, seeded_pick,
+        corpus_question_filter, corpus_percentages, clause_snippets, fees_stated, clause_fill, fill_log, fill_replayed, leak_check, seal_check, sealed_counts, corpus_deduplicated, seeded_pick,
         rewrite_check, text_near, text_near_altered, extractions_merged, sealed_membership, first_clause_per_filer, exam_scorecard, exam_split, turn_ordinals, chunk_scores,
     )
 }
@@ -274,7 +304,34 @@ _TIERS = TERMS + f""", flat AS (SELECT *, {_FLAT} AS f FROM terms), tiered AS (S
        ELSE 'reject' END AS tier FROM flat)"""
 _NUMBER = "\\d{1,3}(?:,\\d{3})+(?:\\.\\d+)?|\\d+(?:\\.\\d+)?"
 _FIGURES = lambda t: f"list_sort(list_distinct(list_transform(regexp_extract_all({t}, '\\d[\\d,]*(?:\\.\\d+)?'), lambda n: CASE WHEN contains(n, '.') THEN regexp_replace(replace(n, ',', ''), '\\.?0+$', '') ELSE replace(n, ',', '') END)))"
+_FILL = f"""WITH x AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 2 = 0 THEN 'A fee' ELSE 'One charge' END || '{WITHHELD[0]}' || coalesce(text, '') || '{WITHHELD[1]}', '\\s+', ' ', 'g') AS t FROM documents),
+      p AS (SELECT doc_id, t, string_split_regex(t, '{text.BLANK}') AS g, regexp_extract_all(t, '{text.BLANK}') AS m FROM x),
+      b AS (SELECT doc_id, t, k - 1 AS i, m[k] AS marker, CAST(list_sum(list_transform(g[1:k], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda y: length(y))), 0) AS BIGINT) AS a
+        FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM p)),
+      c AS (SELECT * FROM (VALUES (0, '{TARGETS[0]}'), (1, '{TARGETS[1]}')) v(place, clause)),
+      w AS (SELECT doc_id, place, instr(lower(t), lower(clause)) - 1 AS lo, instr(lower(t), lower(clause)) - 1 + length(clause) + {fill.BEYOND} AS hi FROM x, c WHERE contains(lower(t), lower(clause))),
+      s AS (SELECT b.*, place, substr(t, greatest(lo, a - {fill.TAIL}) + 1, a - greatest(lo, a - {fill.TAIL})) AS before,
+          substr(t, a + length(marker) + 1, least(hi - a - length(marker), {fill.SHOWN})) AS after
+        FROM b JOIN w USING (doc_id) WHERE a >= lo AND a + length(marker) <= hi),
+      k AS (SELECT *, CASE WHEN regexp_matches(lower(before), '\\$\\s*$') THEN 'money'
+          WHEN regexp_matches(lower(left(after, {fill.HEAD})), '{fill.KINDS[1][2]}') THEN 'percent'
+          WHEN regexp_matches(lower(before), '{fill.KINDS[2][1]}') AND regexp_matches(lower(left(after, {fill.HEAD})), '{fill.KINDS[2][2]}') THEN 'count' END AS kind FROM s),
+      f AS (SELECT doc_id, i, a, length(marker) AS n, marker, kind, regexp_matches(lower(before || left(after, {fill.HEAD})), '{fill.YEARLY}') AS yearly, 'clause' AS pass,
+          trim(right(before, {fill.SHOWN}) || marker || after) AS context
+        FROM k WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY place) = 1),
+      r AS (SELECT doc_id, i, a, marker, regexp_extract(left(t, a), '\\$\\s*$') AS lead, substr(t, a + length(marker) + 1, {fill.SHOWN}) AS after FROM b
+        WHERE doc_id IN (SELECT doc_id FROM f) AND NOT EXISTS (SELECT 1 FROM f WHERE f.doc_id = b.doc_id AND f.i = b.i)),
+      e AS (SELECT * FROM f UNION ALL SELECT doc_id, i, a - length(lead) + 1, length(marker) + length(lead) - 1, marker, 'money', regexp_matches(lower(regexp_extract(after, '{fill.PERIOD}', 1)), '{fill.YEARLY_PERIOD}'),
+          'periodic', lead || marker || regexp_extract(after, '{fill.PERIOD}') FROM r WHERE lead <> '' AND regexp_matches(after, '{fill.PERIOD}')),
+      v AS (SELECT *, CASE WHEN kind = 'money' AND yearly THEN {_PICK(corpus.YEARLY_FEES, '(i + 1)')} WHEN kind = 'money' THEN {_PICK(corpus.MONTHLY_FEES, '(i + 1)')}
+          WHEN kind = 'percent' THEN CAST({_PICK(corpus.RATES, '(i + 1)')} AS DOUBLE) ELSE {_PICK(corpus.COUNTS, '(i + 1)')} END::DOUBLE AS value FROM e),
+      edits AS (SELECT *, CASE WHEN kind = 'money' THEN format('{{:,}}', CAST(value AS BIGINT)) WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS rendered FROM v)"""
+
 SQL = {
+    "fill_log": _FILL + """ SELECT doc_id, CAST(a AS INTEGER) AS "at", CAST(n AS INTEGER) AS n, marker, kind, value, rendered, pass, context FROM edits""",
+    "fill_replayed": _FILL + """, z AS (SELECT *, coalesce(lag(a + n) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM edits),
+      y AS (SELECT doc_id, count(*) AS n_filled, string_agg(substr(t, since + 1, a - since) || rendered, '' ORDER BY a) AS head, max(a + n) AS last FROM z JOIN x USING (doc_id) GROUP BY doc_id)
+      SELECT doc_id, CAST(coalesce(n_filled, 0) AS BIGINT) AS n_filled, md5(coalesce(head, '') || substr(t, coalesce(last, 0) + 1)) AS text_md5 FROM x LEFT JOIN y USING (doc_id)""",
     "text_fingerprint": f"SELECT doc_id, {_FP.format('text')} AS fingerprint FROM documents",
     "text_blanks": f"WITH {TERMS} SELECT doc_id, CAST({_COUNT.format('text', text.BLANK)} AS BIGINT) AS blanks FROM terms",
     "text_relevance": f"WITH {TERMS} SELECT doc_id, CAST({' + '.join(_COUNT.format('text', '(?i)' + p) + f' * {w}' for p, w in text.RELEVANCE)} AS BIGINT) AS score FROM terms",
