@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 from decimal import Decimal
 
 import pytest
@@ -96,6 +97,14 @@ def test_split_payments_with_refunds_and_brute_force(spark):
     assert got == want and (0, 1) in got and (2,) in got
 
 
+def test_payments_that_cannot_complete_a_sum_are_not_paired(spark):
+    d = dt.date(2025, 3, 5)
+    p = spark.createDataFrame([(i, 1, d, Decimal(n)) for i, n in enumerate([10, 11, *range(1000, 15_000)])], "txn_id long, client_id long, transaction_date date, amount decimal(18,2)")
+    t = spark.createDataFrame([(1, Decimal(21), d, d)], "client_id long, target decimal(18,2), start date, end date")
+    began = time.time()
+    assert [tuple(r) for r in evidence.split_payments(t, p).collect()] == [(1, 2, [0, 1])] and time.time() - began < 30
+
+
 def test_cost_share_counts_recovery_and_revenue_basis(spark):
     months = spark.createDataFrame([(f"2025-{m:02d}", Decimal(10000)) for m in range(1, 13)], "month string, revenue decimal(18,2)")
     rec = cashflow.recovery(spark.createDataFrame([("confirmed", Decimal(120000))], "status string, gap decimal(18,2)"), F.lit(12))
