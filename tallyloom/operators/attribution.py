@@ -4,14 +4,17 @@ A line is a client's from a score of ``threshold`` on if no other client comes w
 ``margin``. So only scores above threshold less margin matter, and all of those are found
 without comparing all pairs:
 
-* a ratio that high leaves few letters unmatched, and each of those breaks two letter pairs at
-  most: lengths and 256-bit signatures of the letter pairs rule out nearly all pairs in a
-  few bit operations, and only the rest is compared letter by letter;
+* a ratio that high leaves few letters unmatched: lines go down a tree of the names' beginnings
+  together and leave it where too many letters are lost or new, so a line meets the names that
+  begin like it, not all of them (lines of more than 64 letters are held against all names by
+  lengths and 256-bit signatures of letter pairs);
 * an abbreviation needs every word of the line to start a word of the name or the reverse,
-  so the line's rarest word is looked up by its first letters.
+  so the line's rarest word is looked up by as many of its letters as it has.
 
 Lines and names are dealt into blocks of bounded size; each pair of blocks is one call. Scores of threshold less margin and
-below are reported as 0.
+below are reported as 0. Where only the sender is asked for (``decide``), scores of ``SURE`` and
+above come first, from a join on what is left of both keys without a letter or two; lines that
+those decide are not compared any further.
 """
 
 from __future__ import annotations
@@ -25,11 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from tallyloom.functions.text import clean_description, normalise_name
+from tallyloom.sources.lineage import cut
 
 THRESHOLD = 85
 MARGIN = 6
 #: 64-bit words of a signature; lines and names of a block, more or less
-WORDS, BLOCK_LINES, BLOCK_NAMES = 4, 1_000, 100_000
+WORDS, BLOCK_LINES, BLOCK_NAMES = 4, 4_096, 100_000
+#: scores found by the join on shortened keys, and letters that are left out at most
+SURE, LEFT_OUT = 92, 2
+#: letters of a word's beginning by which it is looked up
+LEVELS = (2, 3, 4, 6, 9, 13, 20)
 
 
 def indel_ratio(a: str, b: str) -> int:
@@ -72,7 +80,9 @@ def signatures(keys: list[str]) -> np.ndarray:
 
 
 class Names:
-    """Keys of a block: letters in a table, lengths, signatures."""
+    """Keys of a block: letters in a table, lengths, signatures, and by length a tree of their
+    beginnings: ``trees[m]`` lists for each depth the first child of every node (and the end),
+    the letters of the nodes, and last the keys in the order of the leaves."""
 
     def __init__(self, keys: list[str]):
         self.keys = keys
@@ -80,6 +90,23 @@ class Names:
         self.letters = np.zeros((len(keys), int(self.size.max(initial=0))), np.uint8)
         self.letters[np.arange(self.letters.shape[1]) < self.size[:, None]] = np.frombuffer("".join(keys).encode(), np.uint8)
         self.signs = signatures(keys)
+        self.trees = {int(m): self._tree(np.flatnonzero(self.size == m), int(m)) for m in np.unique(self.size) if m}
+
+    def _tree(self, which: np.ndarray, m: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
+        table = np.ascontiguousarray(self.letters[which, :m])
+        order = np.argsort(table.view(f"S{m}").ravel(), kind="stable")
+        table, which = table[order], which[order]
+        fresh = np.zeros(len(which), bool)
+        fresh[0] = True
+        node, first, letter = np.zeros(len(which), np.int64), [], []
+        for d in range(m):
+            # a node begins where its parent does, or where its letter differs from the one before
+            fresh[1:] |= table[1:, d] != table[:-1, d]
+            starts = np.flatnonzero(fresh)
+            first.append(np.searchsorted(node[starts], np.arange(node[-1] + 2)))
+            letter.append(table[starts, d])
+            node = np.cumsum(fresh) - 1
+        return first, letter, np.searchsorted(node, np.arange(node[-1] + 2)), which
 
     def possible(self, signs: np.ndarray, n: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
         """(line, name) that lengths and letter pairs do not rule out.
@@ -99,32 +126,72 @@ class Names:
         return a[keep], b[keep]
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, x) of all x from start[k] to end[k] - 1."""
+    size = end - start
+    k = np.repeat(np.arange(len(size)), size)
+    return k, np.arange(len(k)) - np.repeat(np.cumsum(size) - size, size) + start[k]
+
+
+def walked(masks: np.ndarray, n: np.ndarray, names: Names, m: int, floor: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(lines, names, letters in common) of all names of m letters that reach ``floor``, down
+    their tree, at most about ``most`` pairs of line and node at a time.
+
+    With c letters in common needed, a line of n letters may lose n - c and gain m - c. After d
+    letters of a name the pair lives on if the line's first d - (m - c) + (n - c) letters have
+    d - (m - c) in common with them: no other way leads to c."""
+    first, letter, leaf, which = names.trees[m]
+    need = np.maximum(-(-(2 * floor - 1) * (n + m) // 400), 1)
+    lines = np.flatnonzero((need <= n) & (need <= m))
+    todo = [(0, lines, np.zeros(len(lines), np.int64), np.where(n[lines] == 64, ~np.uint64(0), (np.uint64(1) << n[lines].astype(np.uint64)) - np.uint64(1)))]
+    while todo:
+        d, line, node, row = todo.pop()
+        if not len(line):
+            continue
+        if d == m:
+            k, at = _ranges(leaf[node], leaf[node + 1])
+            yield line[k], which[at], n[line[k]] - np.bitwise_count(row[k]).astype(np.int64)
+            continue
+        size = first[d][node + 1] - first[d][node]
+        if len(line) > 1 and size.sum() > most:
+            half = len(line) // 2
+            todo += [(d, line[half:], node[half:], row[half:]), (d, line[:half], node[:half], row[:half])]
+            continue
+        k, node = _ranges(first[d][node], first[d][node + 1])
+        line, row = line[k], row[k]
+        mask = masks[line, letter[d][node]]
+        u = row & mask
+        row = (row + u) | (row - u)
+        gained = d + 1 - (m - need[line])
+        reach = (gained + n[line] - need[line]).clip(0, 64).astype(np.uint64)
+        seen = np.where(reach == 64, ~np.uint64(0), (np.uint64(1) << (reach & np.uint64(63))) - np.uint64(1))
+        full = np.where(n[line] == 64, ~np.uint64(0), (np.uint64(1) << (n[line].astype(np.uint64) & np.uint64(63))) - np.uint64(1))
+        row &= full
+        keep = np.bitwise_count(~row & seen) >= gained
+        todo.append((d + 1, line[keep], node[keep], row[keep]))
+
+
 def near_pairs(lines: list[str], names: Names, floor: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(lines, names, ratios) of the keys that reach ``floor``, and how many pairs were compared."""
+    """(lines, names, ratios) of the keys that reach ``floor``, and how many pairs were compared
+    to their last letter. Lines of up to 64 letters go down the trees of the names, longer ones
+    are held against all names by signatures."""
+    n = np.array([len(k) for k in lines], np.int64)
+    short = np.flatnonzero((n > 0) & (n <= 64))
+    masks = np.zeros((len(short), 256), np.uint64)
+    for k, at in enumerate(short):
+        for p, ch in enumerate(lines[at].encode()):
+            masks[k, ch] |= np.uint64(1 << p)
+    for m in names.trees:
+        for a, b, common in walked(masks, n[short], names, m, floor, most):
+            yield short[a], b, np.rint(200 * common / (n[short[a]] + m)).astype(np.int64), len(a)
+    long = np.flatnonzero(n > 64)
     step = max(1, most // max(len(names.keys), 1))
-    for at in range(0, len(lines), step):
-        part = lines[at : at + step]
-        n = np.array([len(k) for k in part], np.int64)
-        a, b = names.possible(signatures(part), n, floor)
-        ratio = np.zeros(len(a), np.int64)
-        for k in np.flatnonzero(n[a] > 64):
-            ratio[k] = indel_ratio(part[a[k]], names.keys[b[k]])
-        short = np.flatnonzero(n[a] <= 64)
-        masks = np.zeros((len(part), 256), np.uint64)
-        for k, key in enumerate(part):
-            for p, ch in enumerate(key[:64].encode()):
-                masks[k, ch] |= np.uint64(1 << p)
-        sa, sb = a[short], b[short]
-        full = (np.uint64(2) << (n[sa] - 1).astype(np.uint64)) - np.uint64(1)
-        row = full.copy()
-        # a name's letters beyond its end are zeros, which no line holds: they change nothing
-        for place in range(int(names.size[sb].max(initial=0))):
-            u = row & masks[sa, names.letters[sb, place]]
-            row = ((row + u) | (row - u)) & full
-        common = n[sa] - np.bitwise_count(row).astype(np.int64)
-        ratio[short] = np.rint(200 * common / (n[sa] + names.size[sb])).astype(np.int64)
+    for at in range(0, len(long), step):
+        part = long[at : at + step]
+        a, b = names.possible(signatures([lines[k] for k in part]), n[part], floor)
+        ratio = np.array([indel_ratio(lines[part[x]], names.keys[y]) for x, y in zip(a, b, strict=True)], np.int64)
         good = ratio >= floor
-        yield a[good] + at, b[good], ratio[good], len(a)
+        yield part[a[good]], b[good], ratio[good], len(a)
 
 
 def _scored(floor: int) -> Callable:
@@ -152,7 +219,7 @@ def near_names(lines: DataFrame, names: DataFrame, floor: int) -> DataFrame:
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     mine = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
     a = a.join(n, "_scope").withColumns({"_bl": mine("_line", "_nl"), "_bn": every("_nn")}).select("_scope", "_bl", "_bn", "_line", "_ka")
-    b = b.join(n, "_scope").withColumns({"_bn": mine("_kb", "_nn"), "_bl": every("_nl")}).select("_scope", "_bl", "_bn", "_cid", "_kb")
+    b = b.join(n, "_scope").withColumns({"_bn": mine("_kb", "_nn"), "_bl": every("_nl")}).select("_scope", "_bl", "_bn", "_cid", "_kb").toDF("_scope", "_bl", "_bn", "_cid", "_kb")
     by = ["_scope", "_bl", "_bn"]
     kind = names.schema["_cid"].dataType.simpleString()
     return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(_scored(floor), f"_scope string, _line string, _cid {kind}, _s long")
@@ -165,33 +232,83 @@ def _abbreviation(line: pd.Series, name: pd.Series) -> pd.Series:
 
 def abbreviated_names(lines: DataFrame, names: DataFrame) -> DataFrame:
     """_scope, _line, _cid, _s of all lines whose words start the words of a name, in order."""
-    two, three = lambda w: F.substring(w, 1, 2), lambda w: F.substring(w, 1, 3)
-    star, bare = lambda w: F.concat(two(w), F.lit("*")), lambda w: F.concat(two(w), F.lit("="))
-    # a word of three letters meets words with the same three, or the word of its first two
-    told = F.flatten(F.transform("_wb", lambda w: F.array(star(w), F.when(F.length(w) > 2, three(w)).otherwise(bare(w)))))
+    heads = lambda w: F.transform(F.filter(F.array(*map(F.lit, LEVELS)), lambda k: k <= F.length(w)), lambda k: F.substr(w, F.lit(1), k))
+    star, bare = lambda h: F.concat(h, F.lit("*")), lambda h: F.concat(h, F.lit("="))
+    # the shorter of two words is looked up by its longest head: a line's among all heads of the
+    # names' words, a name's among all heads of the line's words
+    told = F.flatten(F.transform("_wb", lambda w: F.concat(F.transform(heads(w), star), F.array(bare(F.element_at(heads(w), -1))))))
     there = names.select("_scope", "_cid", "_wb", F.explode(F.array_distinct(told)).alias("_at"))
-    asked = lambda w: F.when(F.length(w) > 2, F.array(three(w), bare(w))).otherwise(F.array(star(w)))
-    words = lines.filter(F.size("_wa") > 0).select("_scope", "_line", "_wa", F.posexplode("_wa").alias("_k", "_w"))
-    words = words.select("_scope", "_line", "_wa", "_k", F.explode(asked(F.col("_w"))).alias("_at"))
+    asked = lambda w: F.concat(F.array(star(F.element_at(heads(w), -1))), F.transform(heads(w), bare))
+    ways = lines.filter(F.size("_wa") > 0).select("_scope", "_line", F.posexplode("_wa").alias("_k", "_w"))
+    ways = ways.select("_scope", "_line", "_k", F.explode(asked(F.col("_w"))).alias("_at"))
     often = there.groupBy("_scope", "_at").agg(F.count("*").alias("_n"))
-    each = words.join(often, ["_scope", "_at"], "left").groupBy("_scope", "_line", "_k").agg(F.first("_wa").alias("_wa"), F.sum(F.coalesce("_n", F.lit(0))).alias("_n"), F.collect_list("_at").alias("_at"))
-    rarest = each.groupBy("_scope", "_line").agg(F.min_by(F.struct("_wa", "_at"), F.struct("_n", "_k")).alias("_r"))
-    rarest = rarest.select("_scope", "_line", "_r._wa", F.explode("_r._at").alias("_at"))
+    # both sums of a line in one place
+    each = ways.join(often, ["_scope", "_at"]).repartition("_scope", "_line").groupBy("_scope", "_line", "_k").agg(F.sum("_n").alias("_n"))
+    told_of = each.groupBy("_scope", "_line").agg(F.min_by("_k", F.struct("_n", "_k")).alias("_k"), F.count("*").alias("_m"))
+    rarest = lines.join(told_of, ["_scope", "_line"]).filter(F.col("_m") == F.size("_wa"))  # each word starts some name's
+    rarest = rarest.select("_scope", "_line", "_wa", F.explode(asked(F.get("_wa", F.col("_k")))).alias("_at"))
     met = rarest.join(there, ["_scope", "_at"]).filter((F.size("_wa") <= F.size("_wb")) & ((F.size("_wa") > 1) | (F.size("_wb") == 1)))
-    starts = lambda c: F.transform(c, two)
+    starts = lambda c: F.transform(c, lambda w: F.substring(w, 1, 2))
     met = met.filter(F.size(F.array_except(starts("_wa"), starts("_wb"))) == 0)
     return met.withColumn("_s", _abbreviation("_wa", "_wb")).filter("_s > 0").select("_scope", "_line", "_cid", "_s")
 
 
+@F.pandas_udf(IntegerType())
+def _ratio(line: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([100 if a == b else indel_ratio(a, b) for a, b in zip(line, name, strict=True)], dtype="int32")
+
+
+def _shortened(key: Column, n: int) -> Column:
+    """What is left of a key without ``n`` letters, each once."""
+    out = F.array(key)
+    for _ in range(n):
+        less = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))
+        out = F.array_distinct(F.flatten(F.transform(out, less)))
+    return out
+
+
+def sure_names(lines: DataFrame, names: DataFrame, floor: int = SURE) -> tuple[DataFrame, list[int]]:
+    """(_scope, _line, _cid, _s of all ratios of ``floor`` or more, lengths of the lines' keys for
+    which that is so). Two keys with c letters in common are equal once each has lost the others:
+    keys are joined on what is left without them, for the lengths where that is few."""
+    a, b = (x.filter(F.col(k) != "").withColumn("_n", F.length(k)) for x, k in ((lines, "_ka"), (names, "_kb")))
+    n, m = ([r["_n"] for r in x.select("_n").distinct().collect()] for x in (a, b))  # one row a length
+    need = {(i, j): max(1, -(-(2 * floor - 1) * (i + j) // 400)) for i in n for j in m}
+    need = {p: c for p, c in need.items() if c <= min(p)}
+    wide = {i for (i, j), c in need.items() if max(i, j) - c > LEFT_OUT}
+    need = {p: c for p, c in need.items() if p[0] not in wide}
+
+    def without(x: DataFrame, key: str, side: int) -> DataFrame:
+        less = {k: sorted({p[side] - c for p, c in need.items() if p[side] == k}) for k in {p[side] for p in need}}
+        ways = F.array().cast("array<string>")
+        for k, gone in less.items():
+            ways = F.when(F.col("_n") == k, F.concat(*[_shortened(F.col(key), g) for g in gone])).otherwise(ways)
+        return x.select("_scope", *[c for c in x.columns if c in ("_line", "_cid", key)], F.explode(ways).alias("_x"))
+
+    met = without(a, "_ka", 0).join(without(b, "_kb", 1), ["_scope", "_x"]).drop("_x").distinct()
+    scored = met.withColumn("_s", _ratio("_ka", "_kb").cast("long")).filter(F.col("_s") >= floor)
+    return scored.select("_scope", "_line", "_cid", "_s"), sorted(set(n) - wide)
+
+
 def _words(x: Column) -> Column:
     return F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: F.length(w) > 1)
 
 
-def attribute(payments: DataFrame, clients: DataFrame, threshold: int = THRESHOLD, margin: int = MARGIN, within: tuple[str, ...] = ()) -> DataFrame:
+def _best(scored: DataFrame) -> DataFrame:
+    """The best and the next score of each line."""
+    scored = scored.groupBy("_scope", "_line", "_cid").agg(F.max("_s").alias("_s"))
+    order = Window.partitionBy("_scope", "_line").orderBy(F.desc("_s"), "_cid")
+    return scored.withColumns({"_r": F.row_number().over(order), "_next": F.coalesce(F.lead("_s").over(order), F.lit(0))}).filter("_r = 1")
+
+
+def attribute(
+    payments: DataFrame, clients: DataFrame, threshold: int = THRESHOLD, margin: int = MARGIN, within: tuple[str, ...] = (), decide: bool = False
+) -> DataFrame:
     """payments(txn_id, client_id, description), clients(client_id, name) -> ``within``, txn_id,
     client_id (null: nobody surely), score, runner_up. A known client_id stays at 100.
 
-    ``within``: columns of both sides (the run) inside which lines meet clients."""
+    ``within``: columns of both sides (the run) inside which lines meet clients. ``decide``: the
+    clients and scores are asked for; a runner-up that is too far off to matter may be told as 0."""
     floor = threshold - margin + 1
     scope = F.to_json(F.struct(*within)) if within else F.lit("")
     p = payments.withColumns({"_line": clean_description(F.col("description")), "_scope": scope})
@@ -201,11 +318,18 @@ def attribute(payments: DataFrame, clients: DataFrame, threshold: int = THRESHOL
     lines = p.filter("_known IS NULL AND _line <> ''").select("_scope", "_line").distinct()
     lines = lines.withColumns({"_ka": normalise_name(F.col("_line")), "_wa": _words(F.col("_line"))})
     names = names.withColumns({"_kb": normalise_name(F.col("_name")), "_wb": _words(F.col("_name"))})
-    scored = near_names(lines.drop("_wa"), names.select("_scope", "_cid", "_kb").distinct(), floor)
-    scored = scored.filter("_line IS NOT NULL").unionByName(abbreviated_names(lines, names).filter(F.col("_s") >= floor))
-    scored = scored.groupBy("_scope", "_line", "_cid").agg(F.max("_s").alias("_s"))
-    order = Window.partitionBy("_scope", "_line").orderBy(F.desc("_s"), "_cid")
-    top = scored.withColumns({"_r": F.row_number().over(order), "_next": F.coalesce(F.lead("_s").over(order), F.lit(0))}).filter("_r = 1")
+    if decide:
+        p, lines, names = cut(p), cut(lines), cut(names)
+    open_, keys, scored = lines.drop("_wa"), names.select("_scope", "_cid", "_kb").distinct(), abbreviated_names(lines, names).filter(F.col("_s") >= floor)
+    if decide and floor < SURE:
+        alike, lengths = sure_names(open_, keys)
+        scored = cut(scored.unionByName(alike))
+        # what is not known is below SURE: too far from the best, or the next is too close already
+        told = _best(scored).filter((F.col("_s") >= SURE) & ((F.col("_s") >= SURE + margin - 1) | (F.col("_s") - F.col("_next") < margin)))
+        told = told.select("_scope", "_line", F.lit(True).alias("_told"))
+        open_ = open_.join(told, ["_scope", "_line"], "left").filter(F.col("_told").isNull() | ~F.length("_ka").isin(*lengths, 0)).drop("_told")
+    scored = scored.unionByName(near_names(open_, keys, floor).filter("_line IS NOT NULL"))
+    top = _best(scored)
     sure = (F.col("_s") >= threshold) & (F.col("_s") - F.col("_next") >= margin)
     top = top.select("_scope", "_line", F.when(sure, F.col("_cid")).alias("_who"), F.col("_s").alias("_score"), F.col("_next").alias("_runner"))
     out = p.join(top, ["_scope", "_line"], "left")

@@ -171,6 +171,47 @@ def test_attribution_scores_few_pairs_and_loses_none(spark, monkeypatch):
     assert compared < len(texts) * len(names) / 10
 
 
+def test_names_of_few_syllables_are_met_by_their_beginnings(spark):
+    rnd = random.Random(6)
+    syllables = "bar cen dol fen gar hal jor kel lum mer nor pol ras sed tor vel".split()
+    names = ["".join(rnd.choice(syllables) for _ in range(6)) for _ in range(2000)]
+    lines = [x[:6] + x[9:] for x in names[:500]]
+    got, compared = {}, 0
+    for a, b, ratio, n in attribution.near_pairs(lines, attribution.Names(names), 80, 5000):
+        compared += n
+        got |= {(int(i), int(j)): int(s) for i, j, s in zip(a, b, ratio)}
+    want = {(i, j): s for i, x in enumerate(lines) for j, y in enumerate(names) if (s := attribution.indel_ratio(x, y)) >= 80}
+    assert got == want and compared < len(lines) * len(names) / 1000
+
+
+def test_abbreviations_by_heads_of_any_length(spark):
+    rnd = random.Random(7)
+    word = lambda n: "".join(rnd.choice("ab") for _ in range(n))
+    names = [[word(rnd.randrange(2, 24)) for _ in range(rnd.randrange(1, 4))] for _ in range(150)]
+    lines = [[w[: rnd.randrange(2, 30)] + rnd.choice(("", "", word(3))) for w in n] for n in names] + [["ab"], ["qq", "ab"], []]
+    a = spark.createDataFrame([("", str(i), w) for i, w in enumerate(lines)], "_scope string, _line string, _wa array<string>")
+    b = spark.createDataFrame([("", i, w) for i, w in enumerate(names)], "_scope string, _cid long, _wb array<string>")
+    got = {(int(r._line), r._cid): r._s for r in attribution.abbreviated_names(a, b).distinct().collect()}
+    want = {(i, j): s for i, x in enumerate(lines) for j, y in enumerate(names) if (s := attribution.abbreviation(x, y))}
+    assert got == want and len(want) > 100
+
+
+def test_deciding_needs_no_further_scores(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(8)).title()
+    names = [f"{word()} {word()} Ltd." for _ in range(300)] + ["Abc Ltd", "A" * 40]
+    names += [n[:k] + n[k + 1 :] for n in names[:60] for k in (2,)] + names[60:70]
+    texts = [n[:-5] for n in names] + [n[:4] + n[5:] for n in names[:200]] + [n[:2] + "zzz" + n[5:] for n in names[:40]] + ["BANK SVC FEE", "", "a" * 39]
+    clients = spark.createDataFrame([(i, i % 2, n) for i, n in enumerate(names)], "client_id long, run_id int, name string")
+    lines = spark.createDataFrame([(i, None, i % 2, t) for i, t in enumerate(texts)], "txn_id long, client_id long, run_id int, description string")
+    full, short = ({r.txn_id: r for r in attribution.attribute(lines, clients, within=("run_id",), decide=d).collect()} for d in (False, True))
+    assert {k: (r.client_id, r.score) for k, r in full.items()} == {k: (r.client_id, r.score) for k, r in short.items()}
+    assert sum(r.client_id is not None for r in full.values()) > 200
+    key = lambda c, k, x: spark.createDataFrame([("", i, t) for i, t in enumerate(x)], f"_scope string, {c} long, {k} string")
+    got, lengths = attribution.sure_names(key("_line", "_ka", ["abcdefghijklmnop", "abcdefghijklmno", "x" * 60]), key("_cid", "_kb", ["abcdefghijklmnxp", "abcdefghijklmnop", "x" * 59]))
+    assert sorted((r._line, r._cid, r._s) for r in got.collect()) == [(0, 0, 94), (0, 1, 100), (1, 1, 97)] and lengths == [15, 16]
+
+
 def test_indel_ratio():
     assert attribution.indel_ratio("kitten", "kitten") == 100
     assert attribution.indel_ratio("kitten", "sitting") == 62
