@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import normalise_name
-from tallyloom.operators.attribution import THRESHOLD, indel_ratio
+from tallyloom.operators.attribution import THRESHOLD, indel_ratio, near_names
 from tallyloom.sources.lineage import cut
 
 #: The fields that a statement must have, and how banks call their columns.
@@ -19,40 +18,16 @@ FIELD_NAMES = {
 }
 #: Fixed value: a header less like every known one stays unmapped.
 HEADER_LIKENESS = 55
-#: names of a run that a block holds, about
-BLOCK = 2048
-
-
-def _alike(threshold: int):
-    #: the shorter key's least share of both lengths
-    least = (threshold - 0.5) / 200
-
-    def pairs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("n")
-        sizes, places, keys = right["n"].to_numpy(), right["place"].to_numpy(), right["key"].to_numpy()
-        out = []
-        for run, place, key, n in zip(left["run_id"], left["place"], left["key"], left["n"], strict=True):
-            lo, hi = np.searchsorted(sizes, [np.ceil(n * least / (1 - least)), np.floor(n * (1 - least) / least) + 1])
-            for i in lo + np.flatnonzero(places[lo:hi] < place):
-                if keys[i] == key or indel_ratio(key, keys[i]) >= threshold:
-                    out.append((run, place, places[i]))
-        return pd.DataFrame(out, columns=["run_id", "a", "b"], dtype=np.int64)
-
-    return pairs
 
 
 def similar_names(names: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """names(run_id, place, key) -> (run_id, a, b): the name at place a is like the earlier one
-    at b. Names of a run are dealt into blocks by their number, and blocks meet in pairs; two
-    keys are compared where their lengths allow the ratio. The work is the square of a run's names."""
-    names = names.filter("key <> ''").withColumn("n", F.length("key"))
-    blocks = names.groupBy("run_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    names = names.join(blocks, "run_id").withColumn("own", F.pmod(F.xxhash64("place"), F.col("blocks")).cast("int"))
-    names = names.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = names.select("run_id", F.col("own").alias("i"), F.col("other").alias("j"), "place", "key", "n")
-    right = names.select("run_id", F.col("other").alias("i"), F.col("own").alias("j"), "place", "key", "n").toDF("run_id", "i", "j", "place", "key", "n")
-    by = ["run_id", "i", "j"]
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_alike(threshold), "run_id long, a long, b long")
+    at b. The names of a run go down the tree of their own keys, in blocks."""
+    n = names.filter("key <> ''").withColumn("_scope", F.col("run_id").cast("string"))
+    lines = n.select("_scope", F.col("place").cast("string").alias("_line"), F.col("key").alias("_ka"))
+    met = near_names(lines, n.select("_scope", F.col("place").alias("_cid"), F.col("key").alias("_kb")), threshold).filter("_line IS NOT NULL")
+    met = met.select(F.col("_scope").cast("long").alias("run_id"), F.col("_line").cast("long").alias("a"), F.col("_cid").cast("long").alias("b"))
+    return met.filter("b < a")
 
 
 def group_clients(names: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

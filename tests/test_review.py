@@ -1,6 +1,7 @@
 """Name groups, headers, scans and drafts on small cases, against plain loops where there are such."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,15 @@ def test_name_groups_of_nothing_and_of_equal_names(spark):
     assert names.group_clients(df.limit(0)).count() == 0
 
 
+def test_name_groups_of_a_large_run_need_no_square(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bar cen dol fen gar hal jor kel lum mer nor pol ras sed tor vel".split()) for _ in range(6))
+    said = list(dict.fromkeys(word() for _ in range(16_000)))
+    df = spark.createDataFrame([(1, i, n) for i, n in enumerate(said)], "run_id long, ord long, name string")
+    began = time.time()
+    assert names.group_clients(df).count() == len(said) and time.time() - began < 60
+
+
 @pytest.mark.parametrize("headers, want", [
     (["Posting Date", "Details", "Debit"], {"date": "Posting Date", "description": "Details", "amount": "Debit"}),
     (["xx", "qq"], {}), ([], {}), (["Txn Date", "Value Date"], {"date": "Txn Date"}),
