@@ -7,10 +7,11 @@ or less where they are cut off by an end of the longer.
 With n letters at most 16 of 100 n letters are missing or put in, and each breaks one of the
 shorter's pieces at most. So of its n // 5 pieces of five letters a known number stands
 unchanged, and their diagonals (place in the longer less place in the shorter) lie no further
-apart than the letters that differ. Pieces are looked up at all places of the longer texts
-(those that a bitmap of all pieces lets through), hits are counted by overlapping bands of
-diagonals, and only where enough different pieces fall into a band is the stretch compared,
-with bit rows, at the starts that the band allows.
+apart than the letters that differ. Shorter and longer texts are dealt into blocks of bounded
+size that meet in pairs; inside such a pair, pieces are looked up at all places of the longer
+texts (those that a bitmap of the pieces lets through), hits are counted by overlapping bands
+of diagonals, and only where enough different pieces fall into a band is the stretch compared,
+with bit rows, at the starts that the band allows. Hits never leave their task.
 """
 
 from __future__ import annotations
@@ -19,10 +20,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tallyloom.functions.text import flatten
 from tallyloom.sources.lineage import cut
@@ -30,8 +29,9 @@ from tallyloom.sources.lineage import cut
 #: hundredths of likeness; shortest quote that counts as evidence
 NEAR, LEAST = 92, 20
 PIECE = 5
-#: bits of the bitmap of pieces
-BITS = 1 << 24
+#: bits of a block's bitmap of pieces; letters that a block of shorter and of longer texts holds, about
+BITS = 1 << 20
+SHORT_BLOCK, LONG_BLOCK = 1_000_000, 4_000_000
 
 
 def edits(n: int) -> int:
@@ -109,82 +109,76 @@ def _rolled(text: str, size: int) -> np.ndarray:
     return h
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The disjoint pieces of each text: id, place, hash, letters that may differ, pieces that stand."""
-    for b in batches:
-        rows, place, hashes, e, stand = [], [], [], [], []
-        for k, t in enumerate(b.column("text").to_pylist()):
-            size, n = piece_length(len(t)), len(t)
-            h = _rolled(t, size)[::size]
-            rows.append(np.full(len(h), k)), place.append(np.arange(len(h)) * size), hashes.append(h.view(np.int64))
-            e.append(np.full(len(h), edits(n))), stand.append(np.full(len(h), n // size - edits(n)))
-        if rows:
-            at, *cols = (np.concatenate(c) for c in (rows, place, hashes, e, stand))
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at)), *[pa.array(c.astype(np.int64)) for c in cols]], names=["short_id", "o", "h", "e", "stand"])
-
-
-def _places(bitmap: bytes, sizes: list[int]):
-    """Task: the runs of each text that some piece may be, by the bitmap of pieces."""
-    known = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, t in enumerate(b.column("text").to_pylist()):
-                for size in sizes:
-                    h = _rolled(t, size)
-                    at = np.flatnonzero(known[(h & np.uint64(BITS - 1)).astype(np.int64)])
-                    if len(at):
-                        ids = b.column("id").take(pa.array(np.full(len(at), k)))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(at), pa.array(h[at].view(np.int64))], names=["long_id", "p", "h"])
-
-    return run
-
-
-def _bitmap(pieces: DataFrame) -> bytes:
-    """A bit for each hash: one row for 32,768 bits, whatever the number of pieces."""
-    bit = F.pmod("h", F.lit(BITS)) + 1
-    rows = pieces.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
-    out = bytearray(BITS // 8)
-    for r in rows:
-        at = (r["b"] - 1) * 4096
-        if 0 <= at < len(out):
-            out[at : at + 4096] = bytes(r["m"])
-    return bytes(out)
-
-
-@F.pandas_udf(DoubleType())
-def _ratio(short: pd.Series, part: pd.Series, first: pd.Series, low: pd.Series, high: pd.Series, size: pd.Series) -> pd.Series:
-    """Best stretch of a part of a text: ``first`` is where the part begins, ``low`` and ``high``
-    the starts allowed, ``size`` the length of the whole text."""
-    out = []
-    for s, p, f, a, b, n in zip(short, part, first, low, high, size, strict=True):
-        # only a part that reaches an end of the text has a stretch cut off there
-        starts = [x - f for x in range(a, b + 1) if (x >= 0 or f == 0) and (x + len(s) <= n or f + len(p) == n)]
-        out.append(best_stretch(s, p, starts))
-    return pd.Series(out, dtype="float64")
+class Pieces:
+    """The disjoint pieces of the shorter texts of a block, by length and hash."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        n = np.array([len(t) for t in texts], np.int64)
+        self.n, self.e = n, 2 * (100 - NEAR) * n // 100
+        size = np.array([piece_length(len(t)) for t in texts], np.int64)
+        self.stand = n // size - self.e
+        self.by_size = {}
+        for k in np.unique(size):
+            some = np.flatnonzero(size == k)
+            hashes = [_rolled(texts[i], int(k))[::k] for i in some]
+            h, owner = np.concatenate(hashes), np.repeat(some, [len(x) for x in hashes])
+            place = np.concatenate([np.arange(len(x)) for x in hashes])
+            order = np.argsort(h, kind="stable")
+            known = np.zeros(BITS, bool)
+            known[(h & np.uint64(BITS - 1)).astype(np.int64)] = True
+            self.by_size[int(k)] = (h[order], owner[order], place[order], known)
+
+    def bands(self, text: str) -> Iterator[tuple[int, int]]:
+        """(short text, band of diagonals) with as many different pieces as have to stand."""
+        for size, (hashes, owner, place, known) in self.by_size.items():
+            h = _rolled(text, size)
+            at = np.flatnonzero(known[(h & np.uint64(BITS - 1)).astype(np.int64)])
+            low, high = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], "right")
+            count = high - low
+            hit = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+            q, o, p = owner[hit], place[hit], np.repeat(at, count)
+            fits = self.n[q] <= len(text)
+            q, o, p = q[fits], o[fits], p[fits]
+            if not len(q):
+                continue
+            # bands twice as wide as the letters that may differ, half over each other
+            band = (p - o * size) // (self.e[q] + 1)
+            q, o, band = np.tile(q, 2), np.tile(o, 2), np.concatenate([band, band - 1])
+            first, kinds = band.min(), o.max() + 1
+            bands = band.max() - first + 1
+            each, n = np.unique(np.unique((q * bands + band - first) * kinds + o) // kinds, return_counts=True)
+            q, band = each // bands, each % bands + first
+            good = n >= self.stand[q]
+            yield from zip(q[good].tolist(), band[good].tolist())
+
+
+def _near_in(shorts: pd.DataFrame, longs: pd.DataFrame) -> pd.DataFrame:
+    """A block of shorter texts against one of longer texts: the pairs that are near."""
+    best: dict[tuple, float] = {}
+    if len(shorts) and len(longs):
+        pieces, ids = Pieces(shorts["text"].tolist()), shorts["id"].tolist()
+        for long_id, text in zip(longs["id"].tolist(), longs["text"], strict=True):
+            for q, band in pieces.bands(text):
+                e = int(pieces.e[q])
+                ratio = best_stretch(pieces.texts[q], text, range(band * (e + 1) - e, (band + 2) * (e + 1) + e))
+                if ratio >= NEAR:
+                    best[ids[q], long_id] = max(ratio, best.get((ids[q], long_id), 0.0))
+    return pd.DataFrame([(*k, r) for k, r in best.items()], columns=["short_id", "long_id", "ratio"])
 
 
 def near_stretches(short: DataFrame, long: DataFrame) -> DataFrame:
     """short(id, text) and long(id, text) -> short_id, long_id, ratio of all pairs where the
     short text is near a stretch of the long one; texts are compared as they are."""
     ids = lambda df: df.schema["id"].dataType.simpleString()
-    pieces = cut(short.filter("text <> ''").mapInArrow(_pieces, f"short_id {ids(short)}, o long, h long, e long, stand long"))
-    sizes = sorted({piece_length(r["n"]) for r in short.filter("text <> ''").select(F.least(F.length("text"), F.lit(LEAST)).alias("n")).distinct().collect()})
-    there = long.filter("text <> ''").mapInArrow(_places(_bitmap(pieces), sizes), f"long_id {ids(long)}, p long, h long")
-    hits = there.join(pieces, "h").withColumn("d", F.col("p") - F.col("o"))
-    # bands twice as wide as the letters that may differ, half over each other
-    step = F.col("e") + 1
-    band = F.floor(F.col("d") / step)
-    hits = hits.withColumn("band", F.explode(F.array(band, band - 1)))
-    bands = hits.groupBy("short_id", "long_id", "band").agg(F.size(F.collect_set("o")).alias("n"), F.first("stand").alias("stand"), F.first("e").alias("e"))
-    bands = bands.filter(F.col("n") >= F.col("stand"))
-    found = bands.join(short.select(F.col("id").alias("short_id"), F.col("text").alias("_s")), "short_id")
-    found = found.join(long.select(F.col("id").alias("long_id"), F.col("text").alias("_t")), "long_id")
-    low, high = F.col("band") * step - F.col("e"), (F.col("band") + 2) * step - 1 + F.col("e")
-    found = found.withColumns({"low": low, "high": high, "size": F.length("_t"), "first": F.greatest(low, F.lit(0))}).filter(F.length("_s") <= F.col("size"))
-    part = F.substr("_t", (F.col("first") + 1).cast("int"), (F.col("high") - F.col("first") + F.length("_s")).cast("int"))
-    found = found.select("short_id", "long_id", "_s", part.alias("part"), "first", "low", "high", "size")
-    return found.withColumn("ratio", _ratio("_s", "part", "first", "low", "high", "size")).filter(F.col("ratio") >= NEAR).groupBy("short_id", "long_id").agg(F.max("ratio").alias("ratio"))
+    letters = lambda df: df.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    n, m = (-(-letters(df) // most) or 1 for df, most in ((short, SHORT_BLOCK), (long, LONG_BLOCK)))
+    own = lambda k: F.pmod(F.xxhash64("id", "text"), F.lit(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    a = short.filter("text <> '' AND id IS NOT NULL").select(own(n).alias("i"), every(m).alias("j"), "id", "text").toDF("i", "j", "id", "text")
+    b = long.filter("text <> '' AND id IS NOT NULL").select(every(n).alias("i"), own(m).alias("j"), "id", "text").toDF("i", "j", "id", "text")
+    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(_near_in, f"short_id {ids(short)}, long_id {ids(long)}, ratio double")
+    return found.groupBy("short_id", "long_id").agg(F.max("ratio").alias("ratio"))
 
 
 def near_verbatim(quotes: DataFrame, documents: DataFrame) -> DataFrame:

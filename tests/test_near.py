@@ -87,5 +87,19 @@ def test_all_quotes_against_all_documents(spark):
     assert near.near_verbatim(q.limit(0), d).count() == 0 and near.near_verbatim(q, d.limit(0)).count() == 0
 
 
+def test_hits_of_common_pieces_stay_in_their_task(spark, monkeypatch):
+    monkeypatch.setattr(near, "SHORT_BLOCK", 500)
+    monkeypatch.setattr(near, "LONG_BLOCK", 2000)
+    quotes, docs = cases()
+    q = spark.createDataFrame([(i, flat(x)) for i, x in quotes.items() if x and len(x) >= 20], "id int, text string")
+    d = spark.createDataFrame([(i, flat(x)) for i, x in docs.items()], "id long, text string")
+    df = near.near_stretches(q, d)
+    want = {(r.short_id, r.long_id): r.ratio for r in df.collect()}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "Join" not in plan and len(want) > 20
+    monkeypatch.undo()
+    assert want == {(r.short_id, r.long_id): r.ratio for r in near.near_stretches(q, d).collect()}
+
+
 def test_windows_of_the_quotes_length_are_ratios(spark):
     assert near.best_stretch("abcd", "xxabcdxx", [2]) == 100.0 and round(near.best_stretch("abcd", "xxabxdxx", [2])) == indel_ratio("abcd", "abxd")
