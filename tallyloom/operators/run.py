@@ -98,7 +98,7 @@ def compute_run(
     clause = schedule.row_clause(F.col("base_clause"), F.col("esc_clause"), F.col("disc_clauses"))
     clause = F.when(F.col("payment_type") == "recurring", clause).otherwise(F.col("base_clause"))
     timeline = entries.join(proof, "contract_id").withColumn("clause_id", clause)
-    who = cut(attribute(lines.select("txn_id", "client_id", "description", *runs), clients.select("client_id", "name", *runs), within=runs))
+    who = cut(attribute(lines.select("txn_id", "client_id", "description", *runs), clients.select("client_id", "name", *runs), within=runs, decide=True))
     paid = lines.drop("client_id").join(who.filter("client_id IS NOT NULL").select("txn_id", "client_id"), "txn_id")
     found = rec.reconcile(entries, paid, within=runs).filter("anomaly_type IS NOT NULL")
     found = found.join(timeline.select("entry_id", *wide, "clause_id"), "entry_id")
