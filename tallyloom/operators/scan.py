@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import flatten
 from tallyloom.operators.corpus import CONCRETE_RISE
+from tallyloom.sources.lineage import cut
 
 #: The wording of each category of terms.
 CATEGORIES = {
@@ -59,6 +60,14 @@ CATEGORIES = {
         r"payment terms",
     ),
 }
+#: Words of which each match of a category has one: a cheap first look.
+GATES = {
+    "recurring_fee": ("retainer", "month", "annual", "recurring", "quarterly"),
+    "escalation": ("increase", "escalat", "uplift", "adjust"),
+    "discount": ("discount", "introductory", "promotional", "initial", "trial", "rebate", "waived"),
+    "milestone": ("milestone", "upon ", "payment schedule", "lump", "one-time", "one time"),
+    "payment_terms": ("net ", "within ", "payment terms"),
+}
 #: Rises that mean a dispute handed upwards.
 DISPUTE = (
     r"escalat(?:e|ed|ion)(?:.{0,60}?)(?:dispute|senior|executive|management|committee|level \d)",
@@ -78,24 +87,33 @@ def _any(flat: Column, patterns: tuple[str, ...]) -> Column:
     return flat.rlike("|".join(patterns))
 
 
+def _named(flat: Column, category: str) -> Column:
+    gate = F.lit(False)
+    for word in GATES[category]:
+        gate = gate | F.contains(flat, F.lit(word))
+    return gate & _any(flat, CATEGORIES[category])
+
+
 def categories(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> categories named, their number, and what follows from them."""
     flat = F.col("_flat")
     d = docs.select("doc_id", F.length("text").alias("n_chars"), flatten(F.coalesce("text", F.lit(""))).alias("_flat"))
-    found = F.array_compact(F.array(*[F.when(_any(flat, p), F.lit(c)) for c, p in CATEGORIES.items()]))
-    d = d.withColumn("categories", found)
-    has = lambda c: F.array_contains("categories", c)
+    # out of an array of one: what is filtered on later is not worked out a second time
+    named = F.struct(*[_named(flat, c).alias(c) for c in CATEGORIES])
+    d = d.select("*", F.inline_outer(F.array(named)))
+    d = d.withColumn("categories", F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in CATEGORIES])))
     return d.select(
-        "doc_id", "n_chars", "categories", F.size("categories").alias("score"), (has("recurring_fee") & has("escalation")).alias("core_pair"),
-        _any(flat, PLAIN_WORDS).alias("plain_filter"), (has("escalation") & ~_any(flat, CONCRETE_RISE) & _any(flat, DISPUTE)).alias("dispute_only"),
+        "doc_id", "n_chars", "categories", F.size("categories").alias("score"), (F.col("recurring_fee") & F.col("escalation")).alias("core_pair"),
+        _any(flat, PLAIN_WORDS).alias("plain_filter"), (F.col("escalation") & _any(flat, DISPUTE) & ~_any(flat, CONCRETE_RISE)).alias("dispute_only"),
     )
 
 
 def survivors(scored: DataFrame, least: int = 3) -> DataFrame:
     """Documents with enough categories, the best first: those of the gold tier, if it is told,
-    then those with both core categories, more categories, longer ones."""
+    then those with both core categories, more categories, longer ones. They are written once:
+    a sort looks at its rows twice."""
     gold = [F.desc("gold")] if "gold" in scored.columns else []
-    return scored.filter(F.col("score") >= least).orderBy(*gold, F.desc("core_pair"), F.desc("score"), F.desc("n_chars"), "doc_id")
+    return cut(scored.filter(F.col("score") >= least)).orderBy(*gold, F.desc("core_pair"), F.desc("score"), F.desc("n_chars"), "doc_id")
 
 
 def _spans(flat: str, patterns: tuple[str, ...]) -> Iterator[tuple[int, int]]:
@@ -122,5 +140,8 @@ def hits(docs: DataFrame) -> DataFrame:
                         out.append((doc, name, flat[max(0, lo - AROUND) : hi + AROUND].strip(), page))
             yield pd.DataFrame(out, columns=["doc_id", "category", "snippet", "page"])
 
-    some = F.exists(F.array(*[F.lit("|".join(p)) for p in CATEGORIES.values()]), lambda p: F.rlike(flatten(F.col("text")), p))
-    return docs.select("doc_id", "text").filter(some).mapInPandas(find, FOUND)
+    some = F.lit(False)
+    for name in CATEGORIES:
+        some = some | _named(F.col("_flat"), name)
+    named = docs.select("doc_id", "text", F.inline_outer(F.array(F.struct(flatten(F.col("text")).alias("_flat"))))).filter(some).drop("_flat")
+    return named.mapInPandas(find, FOUND)

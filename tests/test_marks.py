@@ -100,3 +100,22 @@ def test_excerpts_names_masks_and_queues(spark):
     assert [r.entry_id for r in reconcile.review_queue(f, 2).collect()] == [2, 4]
     s = spark.createDataFrame([(1, 3, True, False, 5), (2, 3, False, True, 1), (3, 2, True, True, 9), (4, 4, True, True, 1)], "doc_id int, score int, core_pair boolean, gold boolean, n_chars int")
     assert [r.doc_id for r in scan.survivors(s, 3).collect()] == [4, 2, 1]
+
+
+def test_categories_are_worked_out_once(spark):
+    df = spark.createDataFrame([(1, "a monthly fee")], "doc_id long, text string")
+    plan = scan.categories(df).filter("score >= 2")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("payment schedule|") == 1
+
+
+def test_gates_stand_in_all_that_the_patterns_match():
+    said = {
+        "recurring_fee": ["retainer", "monthly sum", "sums of $5 per month", "$5 / month", "payable monthly", "per monthly in advance", "annual fees", "recurring revenue", "quarterly fee"],
+        "escalation": ["will increase by 5%", "5% uplift", "5% adjustment", "escalator", "annually adjust", "increase by cpi", "upon each anniversary they adjust", "price adjustment"],
+        "discount": ["5% discount", "discount of 5%", "discounted fee", "trial period", "initial rate", "promotional price", "introductory price", "rebate", "fee waived"],
+        "milestone": ["milestone", "upon launch $", "$ upon delivery", "payment schedule", "lump-sum", "one time fee", "one-time charge"],
+        "payment_terms": ["net forty five", "within 15 days of", "due within 9 days", "payment terms"],
+    }
+    for name, texts in said.items():
+        assert all(any(re.search(p, t) for p in scan.CATEGORIES[name]) and any(g in t for g in scan.GATES[name]) for t in texts), name
+        assert all(any(re.search(p, t) for t in texts) for p in scan.CATEGORIES[name]), name
