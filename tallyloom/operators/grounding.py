@@ -67,16 +67,16 @@ def window_ratio(needle: str, page: str) -> int:
 
 @F.pandas_udf(IntegerType())
 def _likeness(needle: pd.Series, page: pd.Series) -> pd.Series:
-    """Window ratio of a quote and a page that uses enough of its words, else 0."""
-    known: dict[str, set[str]] = {}
-    out = []
-    for q, t in zip(needle, page, strict=True):
-        if q not in known:
-            known[q] = vocabulary(q)
-        words = known[q]
-        shares = not words or 100 * len(words & vocabulary(t)) >= OVERLAP * len(words)
-        out.append(window_ratio(q, t) if shares else 0)
-    return pd.Series(out, dtype="int32")
+    return pd.Series([window_ratio(q, t) for q, t in zip(needle, page, strict=True)], dtype="int32")
+
+
+def _alike(met: DataFrame, needles: DataFrame, pages: DataFrame, within: list[str]) -> DataFrame:
+    """Pairs of _sharing() whose page uses enough of the quote's words, with ``_s``, their likeness,
+    from a ratio of 75."""
+    words = pages.select("doc_id", "page", "_t", _vocabulary(F.col("_t")).alias("_pv"))
+    both = met.join(needles.select("clause_id", *within, "_n", "_v"), ["clause_id", *within]).join(words, ["doc_id", "page"])
+    both = both.filter(100 * F.size(F.array_intersect("_v", "_pv")) >= OVERLAP * F.size("_v"))
+    return both.select("clause_id", "doc_id", "page", _likeness("_n", "_t").alias("_s")).filter(F.col("_s") >= RATIO)
 
 
 def _needles(clauses: DataFrame) -> DataFrame:
@@ -106,33 +106,36 @@ def _sharing(needles: DataFrame, pages: DataFrame, within: list[str]) -> DataFra
 
 
 def _folded(pages: DataFrame) -> DataFrame:
-    return pages.select("doc_id", "page", F.lower(fold_typography(F.col("text"))).alias("_t")).filter(F.length("_t") >= LEAST)
+    # out of an array of one: the filter does not fold a second time
+    text = F.inline_outer(F.array(F.struct(F.lower(fold_typography(F.col("text"))).alias("_t"))))
+    return pages.select("doc_id", "page", text).filter(F.length("_t") >= LEAST)
 
 
-def exact_candidates(clauses: DataFrame, pages: DataFrame) -> DataFrame:
-    """(clause_id, doc_id) with a page that holds the quote's shortest stretch, case aside."""
+def exact_pages(clauses: DataFrame, pages: DataFrame) -> DataFrame:
+    """(clause_id, doc_id, page) of pages that hold the quote's shortest stretch, case aside."""
     p = _folded(pages)
     least = clauses.select(F.col("clause_id").alias("item_id"), F.get(F.reverse(probes(F.col("clause_text"))), 0)["probe"].alias("text")).filter("text IS NOT NULL")
     exact = verbatim_hits(least, p.select(F.struct("doc_id", "page").alias("doc_id"), F.col("_t").alias("text")))
-    return exact.select(F.col("item_id").alias("clause_id"), "doc_id.doc_id").distinct()
+    return exact.select(F.col("item_id").alias("clause_id"), "doc_id.doc_id", "doc_id.page")
 
 
 def candidates(clauses: DataFrame, pages: DataFrame) -> DataFrame:
     """clauses(clause_id, clause_text), pages(doc_id, page, text) -> all (clause_id, doc_id)
     that locate() can place: pages that hold the shortest stretch or share enough words."""
-    exact = exact_candidates(clauses, pages)
+    exact = exact_pages(clauses, pages).select("clause_id", "doc_id")
     p = _folded(pages)
     needles = _needles(clauses)
-    like = _sharing(needles, p, []).join(needles.select("clause_id", "_n"), "clause_id").join(p, ["doc_id", "page"])
-    like = like.filter(_likeness("_n", "_t") >= RATIO).select("clause_id", "doc_id")
+    like = _alike(_sharing(needles, p, []), needles, p, []).select("clause_id", "doc_id")
     return exact.unionByName(like).distinct()
 
 
 def exact_places(clauses: DataFrame, pages: DataFrame) -> DataFrame:
-    """clause_id, doc_id, page and ord of the longest stretch found, then the first page."""
+    """clause_id, doc_id, page and ord of the longest stretch found, then the first page.
+    Where ``clauses`` tells the pages that can hold a quote, as exact_pages() does, no others are looked at."""
+    on = [c for c in ("doc_id", "page") if c in clauses.columns]
     p = pages.select("doc_id", "page", fold_typography(F.col("text")).alias("_t"))
-    c = clauses.withColumn("_p", F.explode(probes(F.col("clause_text")))).select("clause_id", "doc_id", "_p.ord", "_p.probe")
-    hits = c.join(p, "doc_id").filter(F.contains("_t", "probe"))
+    c = clauses.withColumn("_p", F.explode(probes(F.col("clause_text")))).select("clause_id", *on, "_p.ord", "_p.probe")
+    hits = c.join(p, on).filter(F.contains("_t", "probe"))
     return hits.groupBy("clause_id", "doc_id").agg(F.min(F.struct("ord", "page")).alias("_b")).select("clause_id", "doc_id", "_b.page", "_b.ord")
 
 
@@ -143,8 +146,7 @@ def locate(clauses: DataFrame, pages: DataFrame) -> DataFrame:
     one = exact_places(clauses, pages)
     left = _needles(clauses.join(one, ["clause_id", "doc_id"], "left_anti").select("clause_id", "doc_id", "clause_text"))
     t = _folded(pages)
-    like = _sharing(left, t, ["doc_id"]).join(left.select("clause_id", "doc_id", "_n"), ["clause_id", "doc_id"]).join(t, ["doc_id", "page"])
-    like = like.withColumn("_s", _likeness("_n", "_t")).filter(F.col("_s") >= RATIO)
+    like = _alike(_sharing(left, t, ["doc_id"]), left, t, ["doc_id"])
     near = Window.partitionBy("clause_id", "doc_id").orderBy(F.desc("_s"), "page")
     like = like.withColumn("_r", F.row_number().over(near)).filter("_r = 1").select("clause_id", "doc_id", F.col("page").alias("_near"))
     out = clauses.select("clause_id", "doc_id").join(one, ["clause_id", "doc_id"], "left").join(like, ["clause_id", "doc_id"], "left")

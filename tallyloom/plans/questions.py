@@ -9,6 +9,7 @@ from tallyloom.functions import questions as q
 from tallyloom.operators import grounding
 from tallyloom.plans.texts import FOLD, TERMS, terms
 from tallyloom.sources.derived import table
+from tallyloom.sources.lineage import cut
 
 
 def question_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -43,9 +44,9 @@ def clause_exact(spark: SparkSession, d: str) -> DataFrame:
     bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     clauses = bench.select(F.col("item_id").alias("clause_id"), F.col("text").alias("clause_text"))
     pages = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
-    pairs = grounding.exact_candidates(clauses, pages)
-    some = pages.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    return grounding.exact_places(pairs.join(clauses, "clause_id"), some)
+    found = cut(grounding.exact_pages(clauses, pages))
+    some = pages.join(found.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+    return grounding.exact_places(found.join(clauses, "clause_id"), some)
 
 
 def clause_locate(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +54,7 @@ def clause_locate(spark: SparkSession, d: str) -> DataFrame:
     bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     clauses = bench.select(F.col("item_id").alias("clause_id"), F.col("text").alias("clause_text"))
     pages = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
-    pairs = grounding.candidates(clauses, pages)
+    pairs = cut(grounding.candidates(clauses, pages))
     some = pages.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     found = grounding.locate(pairs.join(clauses, "clause_id"), some)
 

@@ -311,3 +311,15 @@ def test_ledgers_of_all_clients(spark, tmp_path):
     rows = [(1, 7, dt.date(1996, 1, 1), 10.0, "x"), (2, 8, dt.date(1998, 12, 31), 20.0, "x"), (3, 8, dt.date(1999, 1, 1), 30.0, "x")]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     assert sorted((r.client_id, r.txn_id) for r in money_flow.client_ledger(spark, str(tmp_path)).collect()) == [(7, 1), (8, 2)]
+
+
+def test_exact_pages_are_told_and_folded_once(spark):
+    from tallyloom.operators import grounding
+
+    c = spark.createDataFrame([(1, "The fee is due on the first day of a month")], "clause_id long, clause_text string")
+    p = spark.createDataFrame([(7, 0, "nothing at all stands on this one"), (7, 1, "so THE fee is due on the first day of a month")], "doc_id long, page int, text string")
+    assert [tuple(r) for r in grounding.exact_pages(c, p).collect()] == [(1, 7, 1)]
+    plan = grounding._folded(p)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "regexp_replace" in line for line in plan.splitlines())
+    # without the page's word that the quote shares, no likeness is asked for
+    assert grounding.candidates(c, p.filter("page = 0")).count() == 0
