@@ -259,3 +259,11 @@ def test_statement_stream_counts_lines_once(spark, tmp_path):
     q = live.clean_stream(lines).writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.line_id, r.amount, r.description) for r in spark.table("cleaned").collect()] == [("l1", 10.0, "FEE")]
+
+
+def test_findings_are_worked_out_once(spark):
+    from tallyloom.plans import runs
+
+    for name in ("verdict_counts", "finding_windows"):
+        plan = runs.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("min(struct(") == 1, name
