@@ -96,14 +96,20 @@ def _says(text: Column, patterns: tuple[str, ...], gate: str) -> Column:
     return text.rlike(GATES[gate]) & hit
 
 
+def once(docs: DataFrame, **found: Column) -> DataFrame:
+    """Add columns that are worked out once, whatever is filtered on them later: out of an array
+    of one, as a filter moved below a projection would evaluate them again."""
+    return docs.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in found.items()]))))
+
+
 def tiers(docs: DataFrame) -> DataFrame:
     """Add redacted and tier: gold (both with figures), template (both by wording), reject.
     Patterns look at the squeezed, lower-cased text."""
-    t = F.col("_flat")
-    rise, fee = _says(t, CONCRETE_RISE, "rise"), _says(t, CONCRETE_FEE, "fee")
+    t, rise, fee = F.col("_flat"), F.col("_rise"), F.col("_fee")
+    out = once(docs, _flat=flatten(F.coalesce("text", F.lit(""))))
+    out = once(out, _rise=_says(t, CONCRETE_RISE, "rise"), _fee=_says(t, CONCRETE_FEE, "fee"))
     tier = F.when(rise & fee, "gold").when((rise | _says(t, SHAPE_RISE, "rise")) & (fee | _says(t, SHAPE_FEE, "fee")), "template").otherwise("reject")
-    out = docs.withColumn("_flat", flatten(F.coalesce("text", F.lit("")))).withColumns({"redacted": t.rlike(REDACTION), "tier": tier})
-    return out.drop("_flat")
+    return once(out, redacted=t.rlike(REDACTION), tier=tier).drop("_flat", "_rise", "_fee")
 
 
 def usable_questions(docs: DataFrame) -> DataFrame:

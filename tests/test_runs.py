@@ -177,6 +177,14 @@ def test_filled_blanks_and_fees(spark):
     assert spark.createDataFrame([(d,)], "t string").select(corpus.candidate_fees(F.col("t"))).first()[0] == [700.5, 5000.0]
 
 
+def test_tiers_are_worked_out_once_for_a_filter(spark):
+    rows = [(1, corpus.CLAUSES[0]), (2, corpus.CLAUSES[1]), (3, corpus.CLAUSES[5]), (4, None), (5, "The  Monthly fee of\n[***] will be INCREASED annually")]
+    kept = corpus.tiers(spark.createDataFrame(rows, "doc_id long, text string")).filter("tier <> 'reject'").withColumn("low", F.col("tier") == "template")
+    assert sorted((x.doc_id, x.tier, x.redacted, x.low) for x in kept.collect()) == [(1, "gold", False, False), (2, "template", True, True), (5, "template", True, True)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1 and plan.count(corpus.CONCRETE_RISE[0]) == 1
+
+
 def test_first_of_filer_and_clause_is_greedy(spark):
     r = random.Random(8)
     rows = [(i, i, f"f{r.randrange(12)}", f"c{r.randrange(12)}") for i in range(120)]
