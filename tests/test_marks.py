@@ -4,10 +4,12 @@ import collections
 import html
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tallyloom.functions import text
+from tallyloom.functions import batches, text
 from tallyloom.operators import drafts, marks, pairs, reconcile, scan
 
 rnd = random.Random(6)
@@ -119,3 +121,15 @@ def test_gates_stand_in_all_that_the_patterns_match():
     for name, texts in said.items():
         assert all(any(re.search(p, t) for p in scan.CATEGORIES[name]) and any(g in t for g in scan.GATES[name]) for t in texts), name
         assert all(any(re.search(p, t) for t in texts) for p in scan.CATEGORIES[name]), name
+
+
+def test_only_one_piece_of_a_batch_is_python_at_once():
+    text = pa.array(["x" * 10_000 + str(i) for i in range(3000)] + [None, ""])
+    tracemalloc.start()
+    out = batches.by_row(lambda t: None if t is None else [t, t.upper()], pa.list_(pa.string()), text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * batches.PIECE < 60_000_000  # 60 million letters come out
+    assert len(out) == 3002 and out[2999].as_py()[0].endswith("2999") and out[3000:].to_pylist() == [None, ["", ""]]
+    assert [len(a) for a in batches.pieces([(batches.PIECE, 1), (1, 2), (1, 3)], pa.int64())] == [1, 2]
+    assert batches.by_row(str, pa.string(), pa.array([], pa.string())).to_pylist() == []
