@@ -7,10 +7,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+from tallyloom.functions.batches import pieces
 from tallyloom.functions.text import flatten
 from tallyloom.operators.corpus import CONCRETE_RISE
 from tallyloom.sources.lineage import cut
@@ -128,20 +131,25 @@ def _spans(flat: str, patterns: tuple[str, ...]) -> Iterator[tuple[int, int]]:
 def hits(docs: DataFrame) -> DataFrame:
     """The first four hits of each category with their surroundings and page; form feeds part pages."""
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc, raw in zip(pdf["doc_id"], pdf["text"], strict=True):
-                flat = " ".join(raw.lower().split())
-                ends = np.cumsum([len(" ".join(p.split())) + 1 for p in raw.split("\f")])
-                for name, patterns in CATEGORIES.items():
-                    for lo, hi in itertools.islice(_spans(flat, patterns), HITS):
-                        page = min(int(np.searchsorted(ends, lo, "right")), len(ends) - 1) + 1
-                        out.append((doc, name, flat[max(0, lo - AROUND) : hi + AROUND].strip(), page))
-            yield pd.DataFrame(out, columns=["doc_id", "category", "snippet", "page"])
+    kind = to_arrow_type(StructType.fromDDL(FOUND))
+
+    def of_one(doc: int, raw: str) -> Iterator[tuple[int, dict]]:
+        flat = " ".join(raw.lower().split())
+        ends = np.cumsum([len(" ".join(p.split())) + 1 for p in raw.split("\f")])
+        for name, patterns in CATEGORIES.items():
+            for lo, hi in itertools.islice(_spans(flat, patterns), HITS):
+                page = min(int(np.searchsorted(ends, lo, "right")), len(ends) - 1) + 1
+                snippet = flat[max(0, lo - AROUND) : hi + AROUND].strip()
+                yield len(snippet), {"doc_id": doc, "category": name, "snippet": snippet, "page": page}
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("doc_id"), batch.column("text"), strict=True)
+            found = itertools.chain.from_iterable(of_one(doc.as_py(), raw.as_py()) for doc, raw in rows)
+            yield from map(pa.RecordBatch.from_struct_array, pieces(found, kind))
 
     some = F.lit(False)
     for name in CATEGORIES:
         some = some | _named(F.col("_flat"), name)
     named = docs.select("doc_id", "text", F.inline_outer(F.array(F.struct(flatten(F.col("text")).alias("_flat"))))).filter(some).drop("_flat")
-    return named.mapInPandas(find, FOUND)
+    return named.mapInArrow(find, FOUND)
