@@ -133,3 +133,14 @@ def test_only_one_piece_of_a_batch_is_python_at_once():
     assert len(out) == 3002 and out[2999].as_py()[0].endswith("2999") and out[3000:].to_pylist() == [None, ["", ""]]
     assert [len(a) for a in batches.pieces([(batches.PIECE, 1), (1, 2), (1, 3)], pa.int64())] == [1, 2]
     assert batches.by_row(str, pa.string(), pa.array([], pa.string())).to_pylist() == []
+
+
+def test_hits_leave_the_worker_by_pieces(spark, monkeypatch):
+    said = "A monthly fee is due. " + "word " * 60 + "A discount of 10% applies."
+    docs, steps = spark.createDataFrame([(1, said)], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *_: steps.append(f))
+    scan.hits(docs)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(9000)), "text": [said] * 9000})
+    out = list(steps[0](iter([batch, batch.slice(0, 0)])))
+    assert len(out) > 2 and all(sum(map(len, b.column("snippet").to_pylist())) < 2 * batches.PIECE for b in out)
+    assert [(r["doc_id"], r["category"]) for b in out for r in b.to_pylist()] == [(i, c) for i in range(9000) for c in ("recurring_fee", "discount")]
