@@ -100,7 +100,7 @@ def compute_run(
     timeline = entries.join(proof, "contract_id").withColumn("clause_id", clause)
     who = cut(attribute(lines.select("txn_id", "client_id", "description", *runs), clients.select("client_id", "name", *runs), within=runs, decide=True))
     paid = lines.drop("client_id").join(who.filter("client_id IS NOT NULL").select("txn_id", "client_id"), "txn_id")
-    found = rec.reconcile(entries, paid, within=runs).filter("anomaly_type IS NOT NULL")
+    found = rec.shortfalls(entries, paid, within=runs)
     found = found.join(timeline.select("entry_id", *wide, "clause_id"), "entry_id")
     found = found.withColumn("clause_id", proving_clause(F.col("clause_role"), F.col("clause_id"))).drop(*wide)
     return {"timeline": timeline.drop(*wide), "attributions": who, "findings": found}

@@ -323,3 +323,23 @@ def test_exact_pages_are_told_and_folded_once(spark):
     assert not any("Filter" in line and "regexp_replace" in line for line in plan.splitlines())
     # without the page's word that the quote shares, no likeness is asked for
     assert grounding.candidates(c, p.filter("page = 0")).count() == 0
+
+
+def test_short_billings_are_those_that_get_a_kind(spark):
+    owed, paid = ["100.00", "100.00", "100.00", "0.00", "-5.00", None, None, "0.50", "1000.00"], ["0.00", "99.00", "98.99", "0.00", "-9.00", "0.00", "7.00", "0.49", "1200.00"]
+    rows = [(i, o and Decimal(o), Decimal(p)) for i, (o, p) in enumerate(zip(owed, paid, strict=True))]
+    b = spark.createDataFrame(rows, "entry_id long, expected_amount decimal(18,2), paid decimal(18,2)")
+    b = b.selectExpr("*", "true AS applied_escalation", "0BD AS applied_discount_pct", "CAST(NULL AS decimal(18,2)) AS previous_amount", "CAST(NULL AS array<struct<percentage:decimal(9,6),duration_months:int>>) AS discounts")
+    want = {r.entry_id for r in reconcile.classify(b).filter("anomaly_type IS NOT NULL").collect()}
+    assert {r.entry_id for r in b.filter(reconcile.is_short()).collect()} == want == {0, 2, 5, 6}
+
+
+def test_findings_read_a_timeline_that_is_worked_out_once(spark):
+    from tallyloom.plans import leaks, runs
+
+    sf = "/root/testdata/sf0.001"
+    read = leaks.findings(spark, sf).inputFiles()
+    assert read and all("/billings-" in p for p in read)
+    # lines and findings of one query share it
+    read = [p for p in runs.run_table_counts(spark, sf).inputFiles() if "/billings-" in p]
+    assert len({p.rsplit("/", 2)[1] for p in read}) == 1
