@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from tallyloom.functions.batches import pieces
 from tallyloom.functions.dates import parse_dates
 from tallyloom.functions.text import clean_amount, header_signature, squeeze
 from tallyloom.sources.lineage import cut
@@ -32,16 +34,19 @@ DOCUMENT = ("run_id", "filename", "category", "status", "error", "warnings", "te
 LINE = ("run_id", "filename", "place", "client_id", "transaction_date", "amount", "description")
 
 
-@F.pandas_udf(ArrayType(ArrayType(StringType())))
-def _csv_rows(text: pd.Series) -> pd.Series:
-    """Rows of a CSV text, the header first; null where it cannot be read as one."""
-    def rows(t: str | None) -> list[list[str]] | None:
-        try:
-            return None if t is None else [r for r in csv.reader(io.StringIO(t), strict=True) if r]
-        except csv.Error:
-            return None
+def _rows(text: str | None) -> list[list[str]] | None:
+    try:
+        return None if text is None else [r for r in csv.reader(io.StringIO(text), strict=True) if r]
+    except csv.Error:
+        return None
 
-    return text.map(rows)
+
+@F.arrow_udf(ArrayType(ArrayType(StringType())))
+def _csv_rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Rows of a CSV text, the header first; null where it cannot be read as one. They leave the
+    worker a piece at a time: a batch may hold thousands of files."""
+    for texts in batches:
+        yield from pieces(((len(t or ""), _rows(t)) for t in (x.as_py() for x in texts)), pa.list_(pa.list_(pa.string())))
 
 
 def read_uploads(files: DataFrame) -> DataFrame:

@@ -83,3 +83,15 @@ def test_stream_of_files_equals_the_batch(spark, tmp_path, mappings):
     batch = Store(spark, f"file://{tmp_path}/batch")
     ingest.ingest(batch, up, mappings)
     assert outcomes(store) == outcomes(batch) == WANT and lines(store) == lines(batch)
+
+
+def test_rows_of_many_files_leave_the_worker_in_pieces():
+    import pyarrow as pa
+
+    text = "Date,Amount,Text\n" + '2025-01-02,5,"a, b"\n' * 20_000
+    texts = [text, None, "", 'a\n"b', text, text, text, text, "x,y\n\n"]
+    out = list(ingest._csv_rows.func(iter([pa.array(texts), pa.array([], pa.string()), pa.array(["z"])])))
+    assert len(out) > 2 and max(len(a) for a in out) < len(texts)
+    got = [r for a in out for r in a.to_pylist()]
+    assert [len(r) if r is not None else None for r in got] == [20_001, None, 0, None, 20_001, 20_001, 20_001, 20_001, 1, 1]
+    assert got[0][1] == ["2025-01-02", "5", "a, b"] and got[-2:] == [[["x", "y"]], [["z"]]]
