@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from tallyloom.functions.text import clean_description, normalise_name
-from tallyloom.sources.lineage import cut
+from tallyloom.sources.lineage import cut, written
 
 THRESHOLD = 85
 MARGIN = 6
@@ -302,24 +302,30 @@ def _best(scored: DataFrame) -> DataFrame:
 
 
 def attribute(
-    payments: DataFrame, clients: DataFrame, threshold: int = THRESHOLD, margin: int = MARGIN, within: tuple[str, ...] = (), decide: bool = False
+    payments: DataFrame, clients: DataFrame, threshold: int = THRESHOLD, margin: int = MARGIN, within: tuple[str, ...] = (), decide: bool = False, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """payments(txn_id, client_id, description), clients(client_id, name) -> ``within``, txn_id,
     client_id (null: nobody surely), score, runner_up. A known client_id stays at 100.
 
     ``within``: columns of both sides (the run) inside which lines meet clients. ``decide``: the
-    clients and scores are asked for; a runner-up that is too far off to matter may be told as 0."""
+    clients and scores are asked for; a runner-up that is too far off to matter may be told as 0.
+    ``keep``: columns of the payments that ride along."""
     floor = threshold - margin + 1
     scope = F.to_json(F.struct(*within)) if within else F.lit("")
-    p = payments.withColumns({"_line": clean_description(F.col("description")), "_scope": scope})
+    # lines without a client are dealt by themselves, not into one task
+    deal = F.when(F.col("client_id").isNull(), 1 + F.pmod(F.xxhash64("txn_id"), F.lit(1 << 20))).otherwise(0)
+    p = payments.withColumns({"_scope": scope, "_deal": deal})
     names = clients.filter("client_id IS NOT NULL").select(scope.alias("_scope"), F.col("client_id").alias("_cid"), F.coalesce("name", F.lit("")).alias("_name"))
-    known = names.select("_scope", F.col("_cid").alias("client_id"), F.col("_cid").alias("_known")).distinct()
-    p = p.join(known, ["_scope", "client_id"], "left")
+    known = names.select("_scope", F.col("_cid").alias("client_id"), F.col("_cid").alias("_known"), F.lit(0).cast("long").alias("_deal")).distinct()
+    p = p.join(known, ["_scope", "client_id", "_deal"], "left")
+    p = p.withColumn("_line", F.when(F.col("_known").isNull(), clean_description(F.col("description")))).select(*within, "txn_id", *keep, "_scope", "_known", "_line")
+    names = names.withColumns({"_kb": normalise_name(F.col("_name")), "_wb": _words(F.col("_name"))})
+    if decide:
+        p, names = written(p, "payments"), cut(names)
     lines = p.filter("_known IS NULL AND _line <> ''").select("_scope", "_line").distinct()
     lines = lines.withColumns({"_ka": normalise_name(F.col("_line")), "_wa": _words(F.col("_line"))})
-    names = names.withColumns({"_kb": normalise_name(F.col("_name")), "_wb": _words(F.col("_name"))})
     if decide:
-        p, lines, names = cut(p), cut(lines), cut(names)
+        lines = cut(lines)
     open_, keys, scored = lines.drop("_wa"), names.select("_scope", "_cid", "_kb").distinct(), abbreviated_names(lines, names).filter(F.col("_s") >= floor)
     if decide and floor < SURE:
         alike, lengths = sure_names(open_, keys)
@@ -332,10 +338,13 @@ def attribute(
     top = _best(scored)
     sure = (F.col("_s") >= threshold) & (F.col("_s") - F.col("_next") >= margin)
     top = top.select("_scope", "_line", F.when(sure, F.col("_cid")).alias("_who"), F.col("_s").alias("_score"), F.col("_next").alias("_runner"))
-    out = p.join(top, ["_scope", "_line"], "left")
     fixed = F.col("_known").isNotNull()
+    if decide:  # p is written: known lines need not meet the scores
+        out = p.filter(~fixed).join(top, ["_scope", "_line"], "left").unionByName(p.filter(fixed), allowMissingColumns=True)
+    else:
+        out = p.join(top, ["_scope", "_line"], "left")
     return out.select(
-        *within, "txn_id", F.when(fixed, F.col("_known")).otherwise(F.col("_who")).alias("client_id"),
+        *within, "txn_id", *keep, F.when(fixed, F.col("_known")).otherwise(F.col("_who")).alias("client_id"),
         F.when(fixed, 100).otherwise(F.coalesce("_score", F.lit(0))).alias("score"),
         F.when(fixed, 0).otherwise(F.coalesce("_runner", F.lit(0))).alias("runner_up"),
     )

@@ -17,7 +17,7 @@ from tallyloom.functions.text import normalise_name, stands_in
 from tallyloom.operators import reconcile as rec
 from tallyloom.operators import schedule
 from tallyloom.operators.attribution import attribute
-from tallyloom.sources.lineage import cut
+from tallyloom.sources.lineage import written
 from tallyloom.sources.stored import Change, Store
 
 #: Closed vocabularies of the tables.
@@ -64,11 +64,16 @@ def windows_of(lines: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return lines.groupBy(*by).agg(F.trunc(F.min("transaction_date"), "month").alias("_first"), F.max("transaction_date").alias("_last"))
 
 
+TERMS = ("client_id", "contract_id", "base_amount", "frequency", "start_date", "end_date", "esc_pct", "esc_after", "discounts")
+BILLED = ("client_id", "contract_id", "discounts", "billing_date", "expected_amount", "applied_escalation", "applied_discount_pct", "previous_amount", "payment_type")
+
+
 def compute_run(
     plans: DataFrame, clients: DataFrame, lines: DataFrame, milestones: DataFrame | None = None, window: tuple[str, str] | None = None
 ) -> dict[str, DataFrame]:
-    """timeline, attributions, findings: billings in the span of the lines, lines attributed to
-    clients, what is short of its billing with the clause that proves it.
+    """timeline, attributions, changes, findings: billings in the span of the lines, lines attributed
+    to clients, those of them that had another client or none, what is short of its billing with
+    the clause that proves it. What else a contract says joins on by contract_id.
 
     Where lines and clients have a run_id, all runs are computed in one plan and kept apart:
     each has the window of its own lines (a run without lines those of its contracts), its lines
@@ -77,7 +82,7 @@ def compute_run(
     runs = ("run_id",) if "run_id" in clients.columns and "run_id" in lines.columns else ()
     # narrow terms go through the schedule; clauses join on afterwards
     wide = ("base_clause", "esc_clause", "disc_clauses")
-    terms = plans.select(*[c for c in plans.columns if c not in (*wide, *runs)])
+    terms = plans.select(*TERMS)
     if runs:
         terms = terms.join(clients.select("client_id", "run_id").distinct(), "client_id")
     low, high = F.col("_first"), F.col("_last")
@@ -87,23 +92,26 @@ def compute_run(
         terms = terms.join(windows_of(lines, runs), "run_id", "left")
     else:
         terms = terms.crossJoin(F.broadcast(windows_of(lines)))  # one row
+    # dealt by contract before the billings are listed: they are numbered and get their clause in place
+    tasks = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    terms = terms.repartition(tasks, "contract_id")
     entries = schedule.expected_timeline(terms, low, high)
     if milestones is not None:
         entries = entries.unionByName(schedule.milestone_rows(terms, milestones.select("contract_id", "amount", "due_date"), low, high))
-    entries = entries.drop("_first", "_last")
+    entries = entries.select(*runs, *BILLED)
     order = Window.partitionBy("contract_id", *runs).orderBy("billing_date", "payment_type", "expected_amount")
     place = F.row_number().over(order)
-    entries = cut(entries.withColumn("entry_id", F.concat_ws(":", *runs, "contract_id", F.lpad(place.cast("string"), 10, "0"))))
-    proof = plans.select("contract_id", *wide)
+    entries = entries.withColumn("entry_id", F.concat_ws(":", *runs, "contract_id", F.lpad(place.cast("string"), 10, "0")))
     clause = schedule.row_clause(F.col("base_clause"), F.col("esc_clause"), F.col("disc_clauses"))
     clause = F.when(F.col("payment_type") == "recurring", clause).otherwise(F.col("base_clause"))
-    timeline = entries.join(proof, "contract_id").withColumn("clause_id", clause)
-    who = cut(attribute(lines.select("txn_id", "client_id", "description", *runs), clients.select("client_id", "name", *runs), within=runs, decide=True))
-    paid = lines.drop("client_id").join(who.filter("client_id IS NOT NULL").select("txn_id", "client_id"), "txn_id")
-    found = rec.shortfalls(entries, paid, within=runs)
-    found = found.join(timeline.select("entry_id", *wide, "clause_id"), "entry_id")
+    timeline = written(entries.join(plans.select("contract_id", *wide), "contract_id").withColumn("clause_id", clause), "timeline")
+    told = lines.select("txn_id", "client_id", F.col("client_id").alias("_told"), "description", "transaction_date", "amount", *runs)
+    who = attribute(told, clients.select("client_id", "name", *runs), within=runs, decide=True, keep=("transaction_date", "amount", "_told"))
+    who = written(who, "attributions")
+    found = rec.shortfalls(timeline, who.filter("client_id IS NOT NULL"), within=runs)
     found = found.withColumn("clause_id", proving_clause(F.col("clause_role"), F.col("clause_id"))).drop(*wide)
-    return {"timeline": timeline.drop(*wide), "attributions": who, "findings": found}
+    changes = who.filter(F.col("client_id").isNotNull() & ~F.col("client_id").eqNullSafe(F.col("_told"))).select(*runs, "txn_id", "client_id")
+    return {"timeline": timeline.drop(*wide), "attributions": who.drop("transaction_date", "amount", "_told"), "changes": changes, "findings": found}
 
 
 def written_back(lines: DataFrame, attributions: DataFrame) -> DataFrame:
@@ -145,10 +153,9 @@ def recompute(store: Store, plans: DataFrame, clients: DataFrame, milestones: Da
     x = compute_run(plans, clients, lines, milestones, window)
     runs = sorted(r[0] for r in clients.select("run_id").distinct().collect())
     found = x["findings"].select(*FINDING).withColumns({"status": F.lit("unverified"), "reasoning": F.lit(None).cast("string"), "verified_at": F.lit(None).cast("timestamp")})
-    back = written_back(lines, x["attributions"]).filter("changed").select("run_id", "txn_id", "client_id")
     return store.merge({
-        "findings": Change(found, ("entry_id",), "replace", runs), "timeline": Change(x["timeline"].select(*BILLING), ("entry_id",), "replace", runs),
-        "lines": Change(back, ("txn_id",), "update"),
+        "findings": Change(found, ("entry_id",), "replace", runs), "timeline": Change(x["timeline"].select(*BILLING), ("entry_id",), "replace", runs, True),
+        "lines": Change(x["changes"], ("txn_id",), "update", at_rest=True),
     })
 
 

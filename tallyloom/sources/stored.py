@@ -29,12 +29,14 @@ _PART = "_part"
 class Change:
     """Rows for a table. ``replace``: the touched partitions hold these rows and no others;
     ``upsert``: rows of other keys stay; ``update``: keys that are not there are passed over,
-    and only the columns given change. ``parts``: partitions to be touched even without rows."""
+    and only the columns given change. ``parts``: partitions to be touched even without rows.
+    ``at_rest``: the rows are read from written tables, no copy is made to work them out once."""
 
     rows: DataFrame
     keys: tuple[str, ...]
     mode: str = "replace"
     parts: list[int] = field(default_factory=list)
+    at_rest: bool = False
 
 
 class Conflict(RuntimeError):
@@ -91,26 +93,30 @@ class Store:
     def _staged(self, state: dict, name: str, change: Change, mark: str) -> list[tuple[str, int, str, int]]:
         """New folders for the partitions of one table that differ, entered into ``state``."""
         by, key = self.by, [self.by, *change.keys]
-        # the rows given are worked out once
-        at = f"{self.root}/staging/{mark}/{name}-rows"
-        change.rows.write.parquet(at)
-        new = self.spark.read.schema(change.rows.schema).parquet(at)
+        new = change.rows
+        if not change.at_rest:  # the rows given are worked out once
+            at = f"{self.root}/staging/{mark}/{name}-rows"
+            new.write.parquet(at)
+            new = self.spark.read.schema(new.schema).parquet(at)
         if name not in state:
             if change.mode == "update":
                 raise KeyError(name)
             state[name] = {"schema": json.loads(new.schema.json()), "parts": {}}
-        if not new.groupBy(*key).count().filter("count > 1").isEmpty():
-            raise ValueError(f"{name}: two rows of one key {key}")
         columns = [f["name"] for f in state[name]["schema"]["fields"]]
+        whole = change.mode == "replace" and set(columns) <= set(new.columns) and "map<" not in new.schema.simpleString()
+        if not whole and not new.groupBy(*key).count().filter("count > 1").isEmpty():
+            raise ValueError(f"{name}: two rows of one key {key}")
         touched = sorted({r[0] for r in new.select(by).distinct().collect()} | set(change.parts))
         old = self.read(name, touched, state)
         if change.mode == "replace" and change.parts and set(change.parts) != set(touched):
             raise ValueError(f"{name}: rows outside the partitions {change.parts}")
+        if whole:
+            return self._replaced(state, name, new.select(*[F.col(c).cast(old.schema[c].dataType).alias(c) for c in columns]), old, key, touched, mark)
         given = [c for c in columns if c in new.columns and c not in key]
         rest = [c for c in columns if c not in key]
         told = old.select(F.struct(*key).alias("_a"), F.struct(*[F.col(c) for c in rest]).alias("_old"))
         asked = new.select(F.struct(*[F.col(c).cast(old.schema[c].dataType).alias(c) for c in key]).alias("_b"), F.struct(*[F.col(c).cast(old.schema[c].dataType).alias(c) for c in given]).alias("_new"))
-        both = told.join(asked, F.col("_a").eqNullSafe(F.col("_b")), "full_outer")
+        both = told.join(asked, F.col("_a").eqNullSafe(F.col("_b")), "inner" if change.mode == "update" else "full_outer")
         after = [F.when(F.col("_b").isNull(), F.col(f"_old.{c}")).otherwise(F.col(f"_new.{c}") if c in given else F.col(f"_old.{c}")).alias(c) for c in rest]
         both = both.select(F.coalesce("_a", "_b").alias("_k"), F.col("_a").isNull().alias("_fresh"), F.col("_b").isNull().alias("_gone"), "_old", F.struct(*after).alias("_now"))
         kind = F.when(F.col("_fresh"), "inserted").when(F.col("_gone"), "deleted").when(~F.col("_old").eqNullSafe(F.col("_now")), "changed").otherwise("kept")
@@ -128,8 +134,41 @@ class Store:
             same = [stay[c].eqNullSafe(lost[f"_{c}"]) for c in key]
             stay = stay.join(lost, same, "left_anti")
             rows = stay.select(*columns).unionByName(delta.filter("_kind <> 'deleted'").select(*columns))
-            rows.withColumn(_PART, F.col(by)).repartition(F.col(_PART), F.xxhash64(*key) % self._spread(before, found, dirty)).write.partitionBy(_PART).parquet(f"{self.root}/{name}/{mark}")
-        for p in dirty:
+            self._write(rows, name, key, self._spread(before, found, dirty), mark)
+        return self._entered(state, name, before, found, touched, mark)
+
+    def _replaced(self, state: dict, name: str, new: DataFrame, old: DataFrame, key: list[str], touched: list[int], mark: str) -> list[tuple[str, int, str, int]]:
+        """Partitions that hold the rows given and no others: equal rows meet as wholes, in one shuffle;
+        where something differs, the rows given are what is written."""
+        by = self.by
+        if not any(str(p) in state[name]["parts"] for p in touched):
+            each = new.groupBy(*key).agg(F.count("*").alias("_new")).withColumns({"_was": F.lit(0), "_same": F.lit(False)})
+        else:
+            sides = new.withColumns({"_new": F.lit(1), "_was": F.lit(0)}).unionByName(old.withColumns({"_new": F.lit(0), "_was": F.lit(1)}))
+            # dealt by key: both sums find their rows in place
+            each = sides.repartition(*key).groupBy(*new.columns).agg(F.sum("_new").alias("_new"), F.sum("_was").alias("_was"))
+            each = each.groupBy(*key).agg(F.sum("_new").alias("_new"), F.sum("_was").alias("_was"), F.max((F.col("_new") > 0) & (F.col("_was") > 0)).alias("_same"))
+        kind = F.when(F.col("_was") == 0, "inserted").when(F.col("_new") == 0, "deleted").when(F.col("_same"), "kept").otherwise("changed")
+        told = each.groupBy(by, kind.alias("_kind")).agg(F.count("*").alias("_n"), F.max("_new").alias("_most")).collect()
+        if any(r["_most"] > 1 for r in told):
+            raise ValueError(f"{name}: two rows of one key {key}")
+        found = {(r[by], r["_kind"]): r["_n"] for r in told if r["_kind"] != "kept"}
+        before: dict = {}
+        for r in told:
+            before[r[by]] = before.get(r[by], 0) + (r["_n"] if r["_kind"] != "inserted" else 0)
+        dirty = sorted({p for p, _ in found})
+        if dirty:
+            rows = new if dirty == touched else new.filter(F.col(by).isin(*dirty))
+            self._write(rows, name, key, self._spread(before, found, dirty), mark)
+        return self._entered(state, name, before, found, touched, mark)
+
+    def _write(self, rows: DataFrame, name: str, key: list[str], spread: int, mark: str) -> None:
+        rows.withColumn(_PART, F.col(self.by)).repartition(F.col(_PART), F.xxhash64(*key) % spread).write.partitionBy(_PART).parquet(f"{self.root}/{name}/{mark}")
+
+    @staticmethod
+    def _entered(state: dict, name: str, before: dict, found: dict, touched: list[int], mark: str) -> list[tuple[str, int, str, int]]:
+        """The folders written, entered into ``state``; the counts of the partitions touched."""
+        for p in sorted({p for p, _ in found}):
             left = before.get(p, 0) + found.get((p, "inserted"), 0) - found.get((p, "deleted"), 0)
             state[name]["parts"].pop(str(p), None)
             if left:

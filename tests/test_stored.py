@@ -133,3 +133,25 @@ def test_recompute_starts_verdicts_over_and_settles(spark, store):
     assert run.dangling(store.read("findings"), store.read("timeline")).count() == 0
     again = told(run.recompute(store, plans, clients))
     assert {k: n for k, n in again.items() if k[2] != "kept"} == {("findings", f.run_id, "changed"): 1}
+
+
+def test_findings_take_two_joins_and_lines_without_client_are_dealt(spark):
+    plans, clients, lines = runs_with_the_same_names(spark, (1, 2))
+    got = run.compute_run(plans, clients, lines)
+    # billings and lines carry what findings need: payments to billings, sums to billings
+    assert got["findings"]._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert {r.txn_id for r in got["changes"].collect()} == {r.txn_id for r in got["attributions"].filter("client_id IS NOT NULL").collect()}
+
+
+def test_equal_rows_are_kept_and_changed_ones_written_whole(spark, store):
+    rows = [(r, k, None if k % 3 else "v", k / 2) for r in (1, 2) for k in range(50)]
+    store.merge({"t": Change(frame(spark, rows), ("k",))})
+    shut = frame(spark, rows[::-1])
+    assert told(store.merge({"t": Change(shut, ("k",), at_rest=True)})) == {("t", 1, "kept"): 50, ("t", 2, "kept"): 50}
+    new = [(r, k, "x" if (r, k) == (2, 7) else v, w) for r, k, v, w in rows if (r, k) != (2, 0)]
+    folders = store.state()["t"]["parts"]
+    assert told(store.merge({"t": Change(frame(spark, new), ("k",))})) == {("t", 1, "kept"): 50, ("t", 2, "kept"): 48, ("t", 2, "changed"): 1, ("t", 2, "deleted"): 1}
+    assert store.state()["t"]["parts"]["1"] == folders["1"] and held(store) == sorted(new, key=repr)
+    with pytest.raises(ValueError, match="two rows"):
+        store.merge({"t": Change(frame(spark, [*new, new[3]]), ("k",))})
+    assert held(store) == sorted(new, key=repr)
