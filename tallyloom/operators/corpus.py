@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import BLANK, flatten, relevance
-from tallyloom.sources.lineage import cut
+from tallyloom.sources.lineage import cut, written
 
 #: Clauses planted in documents by id, one for each way a contract can read.
 CLAUSES = (
@@ -155,7 +155,8 @@ def verbatim_hits(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     # outer: the filter that a plain explode infers would split the text for every window
     every = F.array_distinct(F.flatten(F.array(*[windows(n) for n in QUOTE_WORDS if n in asked], F.array().cast("array<bigint>"))))
     placed = words.select("doc_id", F.explode_outer(every).alias("_h"))
-    pairs = placed.join(long, "_h").select("item_id", "doc_id", "q").distinct()
+    # written: their size is known, few of them are sent to the texts and not all texts to them
+    pairs = written(placed.join(long, "_h").select("item_id", "doc_id", "q").distinct(), "pairs")
     sure = pairs.join(t, "doc_id").filter(F.contains("t", "q")).select("item_id", "doc_id")
     if 0 not in asked:
         return sure

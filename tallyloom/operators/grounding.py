@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tallyloom.functions.questions import percentage_stated
 from tallyloom.functions.text import absent_quote, flatten, fold_typography
 from tallyloom.operators.corpus import verbatim_hits
 from tallyloom.operators.near import LEAST, NEAR, partial_ratio
+from tallyloom.sources.lineage import written
 
 #: Lengths of the stretches of a quote that are searched, longest first.
 LADDER = (None, 240, 160, 80)
@@ -20,14 +22,16 @@ LADDER = (None, 240, 160, 80)
 RATIO = 75
 OVERLAP = 35
 WORD = "[a-z0-9][a-z0-9,.$%-]*"
+#: letters that a block of quotes and of pages holds, about
+QUOTE_BLOCK, PAGE_BLOCK = 1_000_000, 2_000_000
 STOPWORDS = frozenset("the of and or to in for a an by on at as is be shall will with from that this such any all each per its it not".split())
 
 
 def probes(clause):
     """Array of (order, stretch) of a quote; stretches under 20 characters are left out."""
     whole = F.regexp_replace(fold_typography(clause), "^[\\s.·…\"'‘’“”]+|[\\s.·…\"'‘’“”]+$", "")
-    cut = F.array(*[whole if n is None else F.trim(F.substring(whole, 1, n)) for n in LADDER])
-    return F.transform(F.filter(F.array_distinct(cut), lambda p: F.length(p) >= LEAST), lambda p, i: F.struct(i.alias("ord"), p.alias("probe")))
+    parts = F.array(*[whole if n is None else F.trim(F.substring(whole, 1, n)) for n in LADDER])
+    return F.transform(F.filter(F.array_distinct(parts), lambda p: F.length(p) >= LEAST), lambda p, i: F.struct(i.alias("ord"), p.alias("probe")))
 
 
 def vocabulary(text: str) -> set[str]:
@@ -40,26 +44,37 @@ def _vocabulary(x: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(*sorted(STOPWORDS)) & ((F.length(w) >= 4) | w.rlike("[0-9]")))
 
 
-def window_ratio(needle: str, page: str) -> int:
-    """Best Indel ratio of a quote with the windows of its length, a quarter of it apart."""
-    size = len(needle)
+def letter_masks(needle: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, ch in enumerate(needle):
         masks[ch] = masks.get(ch, 0) | 1 << i
+    return masks
+
+
+def window_ratio(needle: str, page: str, masks: dict[str, int] | None = None, least: int = 0) -> int:
+    """Best Indel ratio of a quote with the windows of its length, a quarter of it apart; what is
+    below ``least`` may be told as 0. ``masks``: as from ``letter_masks``, if they are at hand."""
+    size = len(needle)
+    masks = letter_masks(needle) if masks is None else masks
     full = (1 << size) - 1
 
-    def ratio(window: str) -> int:
-        row = full
-        for ch in window:
-            u = row & masks.get(ch, 0)
-            row = ((row + u) | (row - u)) & full
-        return round(200 * (size - row.bit_count()) / (size + len(window)))
+    def ratio(window: str, target: int) -> int:
+        row, n = full, len(window)
+        need = (target - 0.5) * (size + n) / 200
+        for at in range(0, n, 32):
+            for ch in window[at : at + 32]:
+                u = row & masks.get(ch, 0)
+                row = ((row + u) | (row - u)) & full
+            # too little even if all letters that are left are in common
+            if size - row.bit_count() + max(n - at - 32, 0) < need:
+                return 0
+        return round(200 * (size - row.bit_count()) / (size + n))
 
     if len(page) <= size * 1.2:
-        return ratio(page)
+        return ratio(page, least)
     best = 0
     for at in range(0, len(page) - size + 1, max(size // 4, 8)):
-        best = max(best, ratio(page[at : at + size]))
+        best = max(best, ratio(page[at : at + size], max(best + 1, least)))
         if best >= 97:
             break
     return best
@@ -79,6 +94,48 @@ def _alike(met: DataFrame, needles: DataFrame, pages: DataFrame, within: list[st
     return both.select("clause_id", "doc_id", "page", _likeness("_n", "_t").alias("_s")).filter(F.col("_s") >= RATIO)
 
 
+def _alike_in(quotes: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
+    """A block of quotes against a block of pages: the words in common are counted from lists of
+    the quotes that have a word; only where they are enough is a page compared."""
+    out = []
+    if len(quotes) and len(pages):
+        ids, needles = quotes["clause_id"].tolist(), quotes["_n"].tolist()
+        masks = [letter_masks(q) for q in needles]
+        asked: dict[str, list[int]] = {}
+        size = np.zeros(len(needles), np.int64)
+        for k, q in enumerate(needles):
+            words = vocabulary(q)
+            size[k] = len(words)
+            for w in words:
+                asked.setdefault(w, []).append(k)
+        holders = {w: np.array(k) for w, k in asked.items()}
+        for doc, page, text in zip(pages["doc_id"], pages["page"], pages["_t"], strict=True):
+            met = [holders[w] for w in vocabulary(text) if w in holders]
+            shared = np.bincount(np.concatenate(met), minlength=len(size)) if met else np.zeros(len(size), np.int64)
+            for k in np.flatnonzero(100 * shared >= OVERLAP * size).tolist():
+                s = window_ratio(needles[k], text, masks[k], RATIO)
+                if s >= RATIO:
+                    out.append((ids[k], doc, page, s))
+    return pd.DataFrame(out, columns=["clause_id", "doc_id", "page", "_s"])
+
+
+def alike_pages(clauses: DataFrame, pages: DataFrame) -> DataFrame:
+    """clause_id, doc_id, page, _s of all quotes and pages that use enough of the quote's words and
+    are like it from a ratio of 75. Blocks of quotes meet blocks of pages in pairs: pages travel
+    once for each block of quotes, pairs of a quote and a page never do."""
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    needles = _needles(clauses).filter("clause_id IS NOT NULL").select("clause_id", "_n")
+    folded = _folded(pages).filter("doc_id IS NOT NULL AND page IS NOT NULL")
+    letters = lambda df, c: df.agg(F.sum(F.length(c).cast("long"))).first()[0] or 0
+    n, m = -(-letters(needles, "_n") // QUOTE_BLOCK) or 1, -(-letters(pages, "text") // PAGE_BLOCK) or 1
+    own = lambda k, *c: F.pmod(F.xxhash64(*c), F.lit(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    a = needles.select(own(n, "clause_id", "_n").alias("_i"), every(m).alias("_j"), "clause_id", "_n")
+    b = folded.select(every(n).alias("_i"), own(m, "doc_id", "page").alias("_j"), "doc_id", "page", "_t")
+    shape = f"clause_id {kind(clauses, 'clause_id')}, doc_id {kind(pages, 'doc_id')}, page {kind(pages, 'page')}, _s int"
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(_alike_in, shape)
+
+
 def _needles(clauses: DataFrame) -> DataFrame:
     """clause_id, needle and words of the quotes that are long enough to be searched."""
     c = clauses.withColumn("_n", F.lower(F.get(probes(F.col("clause_text")), 0)["probe"])).filter("_n IS NOT NULL")
@@ -123,10 +180,7 @@ def candidates(clauses: DataFrame, pages: DataFrame) -> DataFrame:
     """clauses(clause_id, clause_text), pages(doc_id, page, text) -> all (clause_id, doc_id)
     that locate() can place: pages that hold the shortest stretch or share enough words."""
     exact = exact_pages(clauses, pages).select("clause_id", "doc_id")
-    p = _folded(pages)
-    needles = _needles(clauses)
-    like = _alike(_sharing(needles, p, []), needles, p, []).select("clause_id", "doc_id")
-    return exact.unionByName(like).distinct()
+    return exact.unionByName(alike_pages(clauses, pages).select("clause_id", "doc_id")).distinct()
 
 
 def exact_places(clauses: DataFrame, pages: DataFrame) -> DataFrame:
@@ -154,6 +208,17 @@ def locate(clauses: DataFrame, pages: DataFrame) -> DataFrame:
     return out.select("clause_id", "doc_id", F.coalesce("page", "_near").alias("page"), "ord", method.alias("method"))
 
 
+def locate_all(clauses: DataFrame, pages: DataFrame) -> DataFrame:
+    """locate() for all clauses(clause_id, clause_text) and all documents of pages(doc_id, page, text):
+    clause_id, doc_id, page, method of those that are placed. Each page is compared once."""
+    on = ["clause_id", "doc_id"]
+    found = written(exact_pages(clauses, pages), "exact")
+    some = pages.join(found.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
+    one = exact_places(found.join(clauses, "clause_id"), some).select(*on, "page", F.lit("exact").alias("method"))
+    like = alike_pages(clauses, pages).groupBy(*on).agg(F.min(F.struct((-F.col("_s")).alias("_s"), "page"))["page"].alias("page"))
+    return one.unionByName(like.join(one.select(*on), on, "left_anti").withColumn("method", F.lit("fuzzy")))
+
+
 @F.pandas_udf(DoubleType())
 def _partial(quote: pd.Series, document: pd.Series) -> pd.Series:
     return pd.Series([partial_ratio(q, d) if q and d else 0.0 for q, d in zip(quote, document, strict=True)], dtype="float64")

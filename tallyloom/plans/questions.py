@@ -9,7 +9,7 @@ from tallyloom.functions import questions as q
 from tallyloom.operators import grounding
 from tallyloom.plans.texts import FOLD, TERMS, terms
 from tallyloom.sources.derived import table
-from tallyloom.sources.lineage import cut
+from tallyloom.sources.lineage import written
 
 
 def question_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def clause_exact(spark: SparkSession, d: str) -> DataFrame:
     bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     clauses = bench.select(F.col("item_id").alias("clause_id"), F.col("text").alias("clause_text"))
     pages = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
-    found = cut(grounding.exact_pages(clauses, pages))
+    found = written(grounding.exact_pages(clauses, pages), "exact")
     some = pages.join(found.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi")
     return grounding.exact_places(found.join(clauses, "clause_id"), some)
 
@@ -54,16 +54,14 @@ def clause_locate(spark: SparkSession, d: str) -> DataFrame:
     bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
     clauses = bench.select(F.col("item_id").alias("clause_id"), F.col("text").alias("clause_text"))
     pages = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text"))
-    pairs = cut(grounding.candidates(clauses, pages))
-    some = pages.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = grounding.locate(pairs.join(clauses, "clause_id"), some)
+    found = grounding.locate_all(clauses, pages)
 
     def of(method: str):
         page = F.when(F.col("method") == method, F.col("page")).cast("long")
         return F.struct(F.lit(method).alias("method"), F.count(page).alias("n"), F.min(page).alias("first_page"), F.max(page).alias("last_page"))
 
     placed = found.agg(of("exact").alias("_e"), of("fuzzy").alias("_z"))
-    # all other pairs fail: candidates() leaves out none that can be placed
+    # all other pairs fail: locate_all() leaves out none that can be placed
     every = bench.agg(F.count("*").alias("_b")).crossJoin(docs.agg(F.count("*").alias("_d")))
     none = F.lit(None).cast("long")
     failed = F.struct(F.lit("failed").alias("method"), (F.col("_b") * F.col("_d") - F.col("_e.n") - F.col("_z.n")).alias("n"), none.alias("first_page"), none.alias("last_page"))

@@ -343,3 +343,38 @@ def test_findings_read_a_timeline_that_is_worked_out_once(spark):
     # lines and findings of one query share it
     read = [p for p in runs.run_table_counts(spark, sf).inputFiles() if "/billings-" in p]
     assert len({p.rsplit("/", 2)[1] for p in read}) == 1
+
+
+def test_all_quotes_are_placed_as_pair_by_pair(spark, monkeypatch):
+    import random
+
+    from tallyloom.operators import grounding
+
+    rng = random.Random(5)
+    words = [f"{a}{b}{n or ''}" for a in ("rent", "fee", "term", "price") for b in ("able", "ance", "ing") for n in range(4)]
+    quote = [" ".join(rng.choices(words, k=rng.randint(4, 30))) for _ in range(12)] + ["of the and or to in for a an by on at", "short"]
+    texts = []
+    for k in range(40):
+        lines = [" ".join(rng.choices(words, k=rng.randint(1, 60))) for _ in range(rng.randint(1, 4))]
+        some = rng.choice(quote).split()
+        if k % 3:
+            lines.append(" ".join(w if rng.random() > 0.1 * (k % 3) else w[:-2] for w in some).title() + " and so on")
+        else:
+            lines.append("so " + " ".join(some))
+        texts.append((k, i, x) for i, x in enumerate(lines))
+    pages = spark.createDataFrame([r for t in texts for r in t] + [(41, 0, None), (41, 1, quote[12].upper())], "doc_id long, page int, text string")
+    clauses = spark.createDataFrame(list(enumerate(quote)), "clause_id long, clause_text string")
+    monkeypatch.setattr(grounding, "QUOTE_BLOCK", 500)
+    monkeypatch.setattr(grounding, "PAGE_BLOCK", 2000)
+    got = {(r.clause_id, r.doc_id): (r.page, r.method) for r in grounding.locate_all(clauses, pages).collect()}
+    pairs = clauses.crossJoin(pages.select("doc_id").distinct())
+    want = {(r.clause_id, r.doc_id): (r.page, r.method) for r in grounding.locate(pairs, pages).filter("method <> 'failed'").collect()}
+    assert got == want and {m for _, m in got.values()} == {"exact", "fuzzy"}
+    # no pair of a quote and a page is shuffled: the pages are, once for each block of quotes
+    plan = grounding.alike_pages(clauses, pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "CoGroup" in plan
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcd ", k=rng.randint(20, 90))) for _ in range(2))
+        b = b[:9] + a[: rng.randint(0, 80)] + b[9:]
+        whole = grounding.window_ratio(a, b)
+        assert grounding.window_ratio(a, b, None, 60) == whole if whole >= 60 else grounding.window_ratio(a, b, None, 60) < 60
