@@ -2,7 +2,8 @@
 
 A scenario is a folder with ``actuals.csv`` (date, description, amount), ``ground_truth.json``
 (what was planted, and the clients with their rules) and ``contracts/``. ``spark.read.format(
-"scenarios")`` gives each folder to one task. Writing takes rows (scenario, file, place, line):
+"scenarios")`` gives each folder to a few tasks: one has the lines, the others a share of the clients
+each. Rows enter and leave Python as Arrow batches. Writing takes rows (scenario, file, place, line):
 tasks write below ``_staging``, the commit moves whole folders into place and adds a
 ``manifest.json`` to each; a job that fails leaves no folder behind.
 """
@@ -15,14 +16,18 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from tallyloom.functions.text import normalise_name
 from tallyloom.operators.run import contract_plans
+from tallyloom.sources.lineage import written
 
 NAME = "scenarios"
 ROWS = "scenario string, kind string, place long, name string, body string, text string"
@@ -30,12 +35,16 @@ RULES = (
     "struct<contract_start_date:date,contract_end_date:date,base_amount:decimal(18,2),billing_frequency:string,base_clause:string,"
     "escalation:struct<percentage:decimal(9,6),after_months:int,clause_text:string>,discounts:array<struct<percentage:decimal(9,6),duration_months:int,clause_text:string>>>"
 )
+ARROW = pa.schema([(c, pa.int64() if c == "place" else pa.string()) for c in ("scenario", "kind", "place", "name", "body", "text")])
+#: tasks that share the clients of a folder; rows of a batch
+SHARES, BATCH = 4, 4096
 TRUTH = "struct<n:long,gap:decimal(18,2)>"
 
 
 @dataclass
 class Folder(InputPartition):
     path: str
+    share: int | None = None  # of the clients; None: the lines
 
 
 @dataclass
@@ -54,51 +63,79 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        return [Folder(f) for f in _folders(self.path)] or [Folder("")]
-
-    def read(self, partition: Folder) -> Iterator[tuple]:
+        return [Folder(f, k) for f in _folders(self.path) for k in (None, *range(SHARES))] or [Folder("")]
+
+    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for row in self._rows(partition):
+            rows.append(row)
+            if len(rows) == BATCH:
+                yield _batch(rows)
+                rows = []
+        yield _batch(rows)
+
+    def _rows(self, partition: Folder) -> Iterator[tuple]:
         if not partition.path:
             return
         where, _ = fs.FileSystem.from_uri(self.path)
         name = partition.path.rsplit("/", 1)[-1]
 
         def text(*at: str) -> str | None:
-            file = "/".join((partition.path, *at))
-            if where.get_file_info(file).type != fs.FileType.File:
+            try:
+                with where.open_input_stream("/".join((partition.path, *at))) as f:
+                    return f.read().decode("utf-8", "replace")
+            except (FileNotFoundError, IsADirectoryError):
                 return None
-            with where.open_input_stream(file) as f:
-                return f.read().decode("utf-8", "replace")
 
+        if partition.share is None:
+            file = f"{partition.path}/actuals.csv"
+            if where.get_file_info(file).type == fs.FileType.File:
+                with where.open_input_stream(file) as f, io.TextIOWrapper(f, "utf-8", "replace", newline="") as lines:
+                    for k, r in enumerate(csv.DictReader(lines)):
+                        yield name, "line", k, r["date"], r["amount"], r["description"]
+            return
         truth = json.loads(text("ground_truth.json") or "{}")
-        yield name, "truth", 0, None, json.dumps(truth.get("planted", {})), None
+        if partition.share == 0:
+            yield name, "truth", 0, None, json.dumps(truth.get("planted", {})), None
         for k, c in enumerate(truth.get("clients", [])):
-            yield name, "client", k, c["name"], json.dumps(c["rules"]), text("contracts", c["source_contract"]) if c.get("source_contract") else None
-        for k, r in enumerate(csv.DictReader(io.StringIO(text("actuals.csv") or "", newline=""))):
-            yield name, "line", k, r["date"], r["amount"], r["description"]
+            if k % SHARES == partition.share:
+                yield name, "client", k, c["name"], json.dumps(c["rules"]), text("contracts", c["source_contract"]) if c.get("source_contract") else None
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path, self.mark = path, uuid.uuid4().hex
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         """Rows of a file follow each other, in order of their place."""
         where, root = fs.FileSystem.from_uri(self.path)
         files: dict[str, dict[str, int]] = {}
-        out, open_, attempt = None, None, uuid.uuid4().hex
-        for r in rows:
-            if (r.scenario, r.file) != open_:
-                if out:
-                    out.close()
-                open_ = (r.scenario, r.file)
-                if r.file in files.get(r.scenario, {}):
-                    raise ValueError(f"rows of {r.file} in {r.scenario} do not follow each other")
-                target = f"{root}/_staging/{self.mark}/{attempt}/{r.scenario}/{r.file}"
-                where.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                out = where.open_output_stream(target)
-            out.write((r.line + "\n").encode())
-            seen = files.setdefault(r.scenario, {})
-            seen[r.file] = seen.get(r.file, 0) + 1
+        out, open_, attempt, made = None, None, uuid.uuid4().hex, set()
+        for batch in batches:
+            keys = list(zip(batch.column("scenario").to_pylist(), batch.column("file").to_pylist(), strict=True))
+            for key, some in groupby(zip(keys, batch.column("line").to_pylist(), strict=True), itemgetter(0)):
+                scenario, file = key
+                seen = files.setdefault(scenario, {})
+                if key != open_:
+                    if out:
+                        out.close()
+                    open_ = key
+                    if file in seen:
+                        raise ValueError(f"rows of {file} in {scenario} do not follow each other")
+                    target = f"{root}/_staging/{self.mark}/{attempt}/{scenario}/{file}"
+                    folder = target.rsplit("/", 1)[0]
+                    if folder not in made:
+                        where.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    out = where.open_output_stream(target)
+                lines = [line + "\n" for _, line in some]
+                out.write("".join(lines).encode())
+                seen[file] = seen.get(file, 0) + len(lines)
         if out:
             out.close()
         return Written({s: {"at": f"{root}/_staging/{self.mark}/{attempt}/{s}", "files": f} for s, f in files.items()})
@@ -178,7 +215,8 @@ def read_scenarios(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     rows = spark.read.format(NAME).option("path", folder).load()
     names = sorted(f.rsplit("/", 1)[-1] for f in _folders(folder))  # one a folder
     runs = spark.createDataFrame(list(enumerate(names, 1)), "run_id int, scenario string")
-    rows = rows.join(F.broadcast(runs), "scenario")
+    # written once: every table is taken from these rows, and each would read all folders again
+    rows = written(rows.join(F.broadcast(runs), "scenario"), "scenario-rows")
     # ids follow from run and place: the same folder gives the same ids
     ident = F.shiftleft(F.col("run_id").cast("long"), 32) + F.col("place")
     c = rows.filter("kind = 'client'").withColumns({"id": ident, "r": F.from_json("body", RULES)})

@@ -63,3 +63,21 @@ def test_a_failed_write_leaves_no_folder(spark, tmp_path):
         scenarios.write_scenarios(bad, folder)
     assert not [p for p in (tmp_path / "some").glob("*") if p.name != "_staging"] and not list((tmp_path / "some").glob("_staging/*"))
     assert scenarios.read_scenarios(spark, folder)["lines"].count() == 0
+
+
+def test_folders_are_read_once_in_shares_and_batches(spark, tmp_path):
+    folder, n = f"file://{tmp_path}/big", 2 * scenarios.BATCH + 7
+    lines = spark.range(n).selectExpr("'big' AS scenario", "date'2025-01-01' AS transaction_date", "lpad(string(id), 6, '0') || ', \"x\"' AS description", "CAST(id AS decimal(18,2)) AS amount")
+    rules = F.from_json(F.lit('{"base_amount": 5, "base_clause": "The fee is $5."}'), scenarios.RULES)
+    clients = spark.range(11).select(F.lit("big").alias("scenario"), F.format_string("c%02d", "id").alias("name"), rules.alias("rules"), F.when(F.col("id") != 4, F.concat(F.lit("text "), "id")).alias("contract"))
+    truth = spark.createDataFrame([("big", 3, 1)], "scenario string, n long, gap int")
+    scenarios.write_scenarios(scenarios.scenario_files(clients, lines, truth), folder)
+    back = scenarios.read_scenarios(spark, folder)
+    for name in ("lines", "clients", "clauses", "truth", "documents"):
+        plan = back[name]._jdf.queryExecution().executedPlan().toString()
+        assert "BatchScan" not in plan and "FileScan parquet" in plan, name
+    got = back["lines"].select("txn_id", "amount", "description").orderBy("txn_id").collect()
+    assert [(r.txn_id, int(r.amount), r.description) for r in got] == [((1 << 32) + k, k, f'{k:06d}, "x"') for k in range(n)]
+    docs = {r.name: r.text for r in back["documents"].join(back["clients"], F.col("document_id") == F.col("client_id")).collect()}
+    assert docs == {f"c{k:02d}": None if k == 4 else f"text {k}\n" for k in range(11)}
+    assert [(r.n, float(r.gap)) for r in back["truth"].collect()] == [(3, 1.0)]
